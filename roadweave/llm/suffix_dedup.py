@@ -28,7 +28,7 @@ GRAM = 40
 #: Window starts that are hashed at once; bounds the memory that a very long text takes.
 CHUNK = 1 << 18
 #: Occurrences beyond which an anchor's windows are dealt by their bytes as well.
-HOT = 20_000
+HOT = 2_000
 #: Starts in a piece of a hot anchor's run.
 PIECE = 16
 SHARD_BYTES = 1_000_000
@@ -98,7 +98,7 @@ def _packed(*letters: np.ndarray) -> np.ndarray:
 
 def _named(keys: np.ndarray) -> np.ndarray:
     """The rank from 1 of each key; equal keys, equal ranks."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     k = keys[order]
     names = np.empty(len(keys), np.int64)
     names[order] = np.cumsum(np.r_[True, k[1:] != k[:-1]])
@@ -125,7 +125,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     sampled = sampled[sampled < n]
     # the remaining suffixes, by a letter and the rank of the rest
     rest = np.arange(0, n, 3)
-    rest = rest[np.argsort(_packed(s[rest], rank[rest + 1]), kind="stable")]
+    rest = rest[np.argsort(_packed(s[rest], rank[rest + 1]))]
     # merge: against suffixes at 1 mod 3 by a letter and a rank, at 2 mod 3 by two letters and a rank
     ones, twos = sampled[sampled % 3 == 1], sampled[sampled % 3 == 2]
     place = np.arange(len(rest))
@@ -223,26 +223,51 @@ def _cut_contexts(length: int):
     return run
 
 
+def _exact_pieces(part: pd.DataFrame, length: int) -> list[np.ndarray]:
+    """repeated_starts() for a deal too large to sort at once: each window is its own context, and equal ones collapse to one with a count."""
+    seen: dict[bytes, int] = {}
+    rows = list(zip(part["context"], part["count"].tolist(), part["n"].tolist(), strict=True))
+    for text, count, n in rows:
+        for i in range(n):
+            k = _key(text[i : i + length])
+            seen[k] = seen.get(k, 0) + count
+    return [np.array([seen[_key(text[i : i + length])] > 1 for i in range(n)]) for text, _, n in rows]
+
+
 def _sort_shard(length: int):
+    """Suffix-sorts a shard in parts that hold whole deals. A context alone in its deal has no other to be compared with: its count decides."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        masks: list[bytes] = []
-        # a shard is taken in parts that hold whole deals, so that a large one still needs little memory
-        pdf = pdf.sort_values("deal", kind="stable")
+        pdf = pdf.sort_values("deal", kind="stable", ignore_index=True)
         size = pdf["context"].str.len().to_numpy() + 1
         deal = pdf["deal"].to_numpy()
-        bound, total = [0], 0
-        for i in range(len(pdf)):
-            if total + size[i] > SHARD_BYTES and i > bound[-1] and (deal[i] != deal[i - 1] or total + size[i] > MOST):
-                if deal[i] == deal[i - 1]:
-                    raise MemoryError("a deal is larger than a shard can hold; lower HOT")
-                bound.append(i)
-                total = 0
-            total += size[i]
-        for a, b in zip(bound, [*bound[1:], len(pdf)], strict=True):
-            part = pdf.iloc[a:b]
-            masks += [np.packbits(x).tobytes() for x in repeated_starts(part["context"].tolist(), part["count"].tolist(), part["n"].tolist(), length)]
-        out = pd.DataFrame({"key": pdf["key"].to_numpy(), "mask": masks})
-        return out[[any(x) for x in masks]]
+        first = np.flatnonzero(np.r_[True, deal[1:] != deal[:-1]])
+        last = np.r_[first[1:], len(pdf)]
+        alone = np.zeros(len(pdf), bool)
+        alone[first[last - first == 1]] = True
+        masks = [np.packbits(np.ones(n, bool)).tobytes() if one and count > 1 else b"" for one, count, n in zip(alone, pdf["count"], pdf["n"], strict=True)]
+
+        def sort(at: list[int]) -> None:
+            part = pdf.iloc[at]
+            whole = size[at].sum() < MOST
+            hit = repeated_starts(part["context"].tolist(), part["count"].tolist(), part["n"].tolist(), length) if whole else _exact_pieces(part, length)
+            for i, x in zip(at, hit, strict=True):
+                masks[i] = np.packbits(x).tobytes() if x.any() else b""
+
+        held: list[int] = []
+        total = 0
+        for a, b in zip(first.tolist(), last.tolist(), strict=True):
+            if b - a == 1:
+                continue
+            if held and total + size[a:b].sum() > SHARD_BYTES:
+                sort(held)
+                held, total = [], 0
+            held += range(a, b)
+            total += size[a:b].sum()
+        if held:
+            sort(held)
+        found = np.array([bool(x) for x in masks])
+        return pd.DataFrame({"key": pdf["key"].to_numpy()[found], "mask": [x for x in masks if x]})
 
     return run
 
