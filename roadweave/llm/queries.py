@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import scratch, table
+
+
+def _crc32(ids: str):
+    return F.crc32(F.col(ids)).alias("ids_crc32")
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_files import read_tokens, write_tokens
+
+    index = write_tokens(table(spark, sf_dir, "documents"), scratch(spark, "tokens"), public_tokenizers.path("word_bpe_49k.json"), 2)
+    return read_tokens(index).select("doc_id", "start", "n_tokens", _crc32("ids"))
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +26,20 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "spans")
 
 
-QUERIES = {f.__name__: f for f in (op3_suffix_dedup,)}
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    out = near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    out = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return out.select("doc_id", "start", "length", _crc32("ids"), "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op3_suffix_dedup, op7_simhash, op9_packing)}
 
 ORACLES: dict[str, str] = {}
