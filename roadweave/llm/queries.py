@@ -26,6 +26,12 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "spans")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import overlaps
+
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -40,6 +46,14 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", _crc32("ids"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op3_suffix_dedup, op7_simhash, op9_packing)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import held_out, predict, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out("doc_id").alias("held_out"))
+    model = train(docs.where(~F.col("held_out")))
+    return predict(docs.select("doc_id", "text", "held_out"), model).drop("text")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op3_suffix_dedup, op4_decontamination, op7_simhash, op9_packing, op10_language_id)}
 
 ORACLES: dict[str, str] = {}
