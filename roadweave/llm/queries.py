@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import warc
 from .common import scratch, table
 
 
@@ -32,6 +33,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -39,6 +46,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import capture_log, header_text, resolve_revisits
+
+    return resolve_revisits(capture_log(table(spark, sf_dir, "pages"))).withColumn("headers", header_text(F.col("headers")))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -54,6 +67,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs.select("doc_id", "text", "held_out"), model).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op3_suffix_dedup, op4_decontamination, op7_simhash, op9_packing, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op3_suffix_dedup, op4_decontamination, op6_html_text, op7_simhash, op8_warc_revisits, op9_packing, op10_language_id)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_warc_revisits": warc.ORACLE}

@@ -276,7 +276,7 @@ def _sort_shard(length: int):
 MOST = (1 << 20) - 8
 
 
-def _take_out(length: int):
+def _take_out(length: int, as_text: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
@@ -291,7 +291,7 @@ def _take_out(length: int):
                 edge = np.diff(np.r_[False, inside, False].astype(np.int8))
                 spans = list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
                 kept = b"".join(data[a:b] for a, b in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(data)], strict=True))
-                out.append((len(data), int(inside.sum()), len(spans), kept, [list(x) for x in spans]))
+                out.append((len(data), int(inside.sum()), len(spans), kept.decode("utf-8", "ignore") if as_text else kept, [list(x) for x in spans]))
             res = pdf.drop(columns=["text", "hits"])
             for k, name in enumerate(("n_bytes", "n_removed", "n_spans", "kept", "spans")):
                 res[name] = pd.Series([x[k] for x in out], index=res.index, dtype="int64" if k < 3 else object)
@@ -300,12 +300,13 @@ def _take_out(length: int):
     return run
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """One row per input row: `id_col`, n_bytes, n_removed, n_spans (maximal removed runs), kept (binary: the remaining bytes), spans (array of [start, end)).
 
     A byte goes if a `length`-byte string over it starts anywhere else too, in this or another row; strings never cross rows.
     Null text: empty. Ids may be null or repeat: every row counts and gets a row of its own.
-    Empty table: no rows. Other columns of df are neither read nor returned.
+    Empty table: no rows. Columns named in `carry` are returned too, in a struct `carried`; other columns of df are neither read nor returned.
+    as_text: kept is a string; what a cut has left of a character goes too.
     """
     if length < GRAM + 8:
         raise ValueError(f"length must be at least {GRAM + 8}")
@@ -333,6 +334,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hits = contexts.select("k1", "k2", "first", "n", "key").join(found, "key")
     hits = stored(hits.groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "n", "mask")).alias("hits")), "hits")
     drop(contexts)
-    out = rows.join(hits, ["k1", "k2"], "left").select("id", "text", "hits")
-    schema = f"id {df.schema[id_col].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary, spans array<array<long>>"
-    return out.mapInPandas(_take_out(length), schema).withColumnRenamed("id", id_col)
+    if carry:
+        rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(*carry).alias("carried"))
+        rows = rows.withColumn("k1", F.xxhash64("id", "text")).withColumn("k2", F.xxhash64("text", "id", F.lit(1)))
+    out = rows.join(hits, ["k1", "k2"], "left").drop("k1", "k2")
+    carried = f"carried {rows.schema['carried'].dataType.simpleString()}, " if carry else ""
+    schema = f"id {df.schema[id_col].dataType.simpleString()}, {carried}n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}, spans array<array<long>>"
+    out = out.select("id", *(["carried"] if carry else []), "text", "hits")
+    return out.mapInPandas(_take_out(length, as_text), schema).withColumnRenamed("id", id_col)
