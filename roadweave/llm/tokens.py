@@ -36,10 +36,12 @@ class Encoder:
             made = json.load(f)
         self.vocab_size = self._tokenizer.get_vocab_size(with_added_tokens=True)
         if made.get("normalizer"):
-            # white space is dropped: a piece is what stands between spaces and line feeds
-            self._pieces = re.compile("[^ \\n]+").findall
+            # white space is dropped and letters lowered: a piece is what stands between spaces and line feeds
+            self._pieces = lambda text: text.replace("\n", " ").split(" ")
+            self._lowers = True
         else:
             # a word takes the one space before it; the last white space before a word is apart from what precedes it
+            self._lowers = False
             self._pieces = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+").findall
         self._cut = re.compile(f"[^{_WHITE}](?= [^{_WHITE}])").search
         self._memo: dict[str, bytes] = {}
@@ -48,15 +50,31 @@ class Encoder:
     def direct(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _stem(self, piece: str) -> tuple[str, str]:
+        """A piece without a full stop or comma after its last letter, which the splitting always parts; in small ASCII letters if case is dropped."""
+        mark = piece[-1:]
+        if (mark == "." or mark == ",") and piece[-2:-1].isalpha() and piece[-2] < "\u0250":
+            piece = piece[:-1]
+        else:
+            mark = ""
+        return (piece.lower() if self._lowers and piece.isascii() else piece), mark
+
     def _learn(self, new: list[str]) -> None:
-        for i in range(0, len(new), 1000):
-            part = new[i : i + 1000]
+        memo = self._memo
+        stems = list(map(self._stem, new))
+        unknown = list({x for x, _ in stems}.union({m for _, m in stems}).difference(memo))
+        for i in range(0, len(unknown), 1000):
+            part = unknown[i : i + 1000]
             e = self._tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
             ids, words = np.array(e.ids, "<u4").tobytes(), np.array(e.word_ids, np.int64)
             cuts = (np.searchsorted(words, np.arange(len(part) + 1)) * 4).tolist()
             for x, a, b in zip(part, cuts, cuts[1:], strict=False):
-                self._memo[x] = ids[a:b]
+                memo[x] = ids[a:b]
             self._size += len(ids) + sum(map(len, part)) + 140 * len(part)
+        for x, (stem, mark) in zip(new, stems, strict=True):
+            if x not in memo:
+                memo[x] = v = memo[stem] + memo[mark]
+                self._size += len(x) + len(v) + 140
 
     def ids(self, text: str) -> bytes:
         if len(text) > 2 * PART:
