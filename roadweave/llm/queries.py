@@ -20,6 +20,12 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(index).select("doc_id", "start", "n_tokens", _crc32("ids"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import count_tokens, vocabulary
+
+    return count_tokens(table(spark, sf_dir, "documents"), vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import remove_repeats
 
@@ -33,6 +39,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .progressive_jpeg import digests, media_column
+
+    return digests(media_column(table(spark, sf_dir, "documents")))
+
+
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_text import extract
 
@@ -67,6 +79,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs.select("doc_id", "text", "held_out"), model).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op3_suffix_dedup, op4_decontamination, op6_html_text, op7_simhash, op8_warc_revisits, op9_packing, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_token_counts, op3_suffix_dedup, op4_decontamination, op5_progressive_jpeg, op6_html_text, op7_simhash, op8_warc_revisits, op9_packing, op10_language_id)}
 
 ORACLES: dict[str, str] = {"op8_warc_revisits": warc.ORACLE}
