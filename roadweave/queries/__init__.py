@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from roadweave.sources.traffic import Traffic, oracle
 
-MODULES = ("elementwise",)
+MODULES = ("elementwise", "joins")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
