@@ -43,7 +43,7 @@ def point_queue_step(t: Traffic) -> DataFrame:
 
 @query(f"WITH {_FLOW} SELECT from_link_id, to_link_id, round(supply, 6) AS supply, round(flow, 6) AS flow FROM g")
 def turn_flows(t: Traffic) -> DataFrame:
-    return Flow.turn_flows(t.turn(), state(t)).select("from_link_id", "to_link_id", _r("supply", 4).alias("supply"), _r("flow", 4).alias("flow"))
+    return Flow.turn_flows(t.turn(), state(t)).select("from_link_id", "to_link_id", _r("supply").alias("supply"), _r("flow").alias("flow"))
 
 
 @query(f"""WITH {_FLOW}, x AS (SELECT from_link_id AS link_id, turn_demand > 0 AND flow > 0 AS e, true AS s FROM g UNION ALL SELECT to_link_id, turn_demand > 0 AND flow > 0, false FROM g)
