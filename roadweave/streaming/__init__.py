@@ -1 +1 @@
-"""Urban traffic analytics on Spark."""
+"""Stateful operators on streams of ticks; each has a batch form among the queries."""
