@@ -14,8 +14,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
 
 UND = "und"
 #: Rows with a label that training reads at most; those of the smallest hash, so the same ones at any partitioning.
@@ -26,7 +26,9 @@ TRAIN_WORDS = 120
 MOST_LANGS = 64
 BUCKETS = 1 << 17
 #: Words that a task remembers at most.
-MEMO = 300_000
+MEMO = 150_000
+#: Characters that are labelled at once.
+PART = 500_000
 #: Words between cuts of the recursion; see Model.posteriors.
 BLOCK = 64
 
@@ -42,7 +44,7 @@ class _Buckets(dict):
     """The bucket of each feature's name; hashed once."""
 
     def __missing__(self, name: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[name] = v = zlib.crc32(name.encode("utf-8", "surrogatepass")) % BUCKETS
         return v
@@ -285,35 +287,31 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: i
 
 
 def predict(df: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """df with lang_pred, score (0 to 1) and n_switches (neighbouring words of different languages).
+    """df with lang_pred, score (0 to 1) and n_switches (neighbouring words of different languages); columns of df with these names are replaced.
 
-    Null text, or text without a letter: UND with score 0. Without a model each text is UND. Whole texts are read. df may not have
-    columns of those names. Empty table: no rows.
+    Null text, or text without a letter: UND with score 0. Without a model each text is UND. Whole texts are read. Empty table: no rows.
     """
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # BUCKETS + lexicon rows of at most MOST_LANGS weights
-    out_type = "struct<lang_pred: string, score: double, n_switches: long>"
+    shared = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS + lexicon rows of at most MOST_LANGS weights
+    names = ("lang_pred", "score", "n_switches")
+    kept = df.select(F.col(text_col).cast("string").alias("_text"), *[c for c in df.columns if c not in names])
 
-    @F.pandas_udf(out_type)
-    def tag(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for series in texts:
+        for batch in batches:
             rows: list[tuple[str, float, int]] = []
             held: list[str | None] = []
             size = 0
-            values = [x if isinstance(x, str) else None for x in series]
-            for i, x in enumerate(values):
-                held.append(x)
-                size += len(x or "")
-                if size > 1_000_000 or i == len(values) - 1:
+            for i, x in enumerate(batch.column(0)):
+                held.append(x.as_py())
+                size += len(held[-1] or "")
+                if size > PART or i == batch.num_rows - 1:
                     rows += m.predict(held) if m else [(UND, 0.0, 0)] * len(held)
                     held, size = [], 0
-            yield pd.DataFrame(rows, columns=["lang_pred", "score", "n_switches"])
+            cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.float64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *cols], names=[*batch.schema.names[1:], *names])
 
-    clash = {"lang_pred", "score", "n_switches", "_tag"} & set(df.columns)
-    if clash:
-        raise ValueError(f"columns in the way: {sorted(clash)}")
-    return df.withColumn("_tag", tag(F.col(text_col).cast("string"))).select(*df.columns, "_tag.lang_pred", "_tag.score", "_tag.n_switches")
+    schema = T.StructType([*kept.schema.fields[1:], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_switches", T.LongType())])
+    return kept.mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -31,7 +31,9 @@ CHUNK = 1 << 18
 HOT = 2_000
 #: Starts in a piece of a hot anchor's run.
 PIECE = 16
-SHARD_BYTES = 1_000_000
+SHARD_BYTES = 500_000
+#: Rows that are turned into Python objects at once.
+ROWS = 256
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -172,18 +174,20 @@ def _bytes(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, ROWS):
+            yield batch.slice(i, ROWS)
+
+
 def _find_anchors(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, first, n, off, h = [], [], [], [], []
-            for k1, k2, text in zip(*(batch.column(i) for i in range(3)), strict=True):
-                f, c, o, x = anchor_runs(_bytes(text.as_py()), length)
-                if len(f):
-                    ids.append(np.array([[k1.as_py()], [k2.as_py()]]).repeat(len(f), axis=1)), first.append(f), n.append(c), off.append(o), h.append(x.view(np.int64))
-            if ids:
-                k1, k2 = np.concatenate(ids, axis=1)
-                rest = [np.concatenate(x).astype(k) for x, k in ((first, np.int64), (n, np.int16), (off, np.int16), (h, np.int64))]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1, k2, *rest)], names=["k1", "k2", "first", "n", "off", "anchor"])
+        for batch in _sliced(batches):
+            runs = [anchor_runs(_bytes(text.as_py()), length) for text in batch.column(2)]
+            n = [len(r[0]) for r in runs]
+            keys = [pa.array(np.repeat(batch.column(k).to_numpy(), n)) for k in (0, 1)]
+            rest = [pa.array(np.concatenate([r[k] for r in runs]).astype(t)) for k, t in enumerate((np.int64, np.int16, np.int16))]
+            yield pa.RecordBatch.from_arrays([*keys, *rest, pa.array(np.concatenate([r[3] for r in runs]).view(np.int64))], names=["k1", "k2", "first", "n", "off", "anchor"])
 
     return run
 
@@ -195,15 +199,15 @@ def _key(data: bytes) -> bytes:
 def _cut_contexts(length: int):
     """Contexts of a document's repeated anchors; those of hot anchors in pieces that are dealt by the bytes all their windows share."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _sliced(batches):
             out = []
-            for *row, text, runs in zip(pdf["k1"], pdf["k2"], pdf["text"], pdf["runs"], strict=True):
-                data = _bytes(text)
-                for r in runs:
+            for i in range(batch.num_rows):
+                data = _bytes(batch.column(2)[i].as_py())
+                for r in batch.column(3)[i].as_py():
                     first, n, off, anchor = r["first"], r["n"], r["off"], r["anchor"]
                     if not r["hot"]:
-                        out.append((row, first, n, anchor, data[first : first + n + length - 1]))
+                        out.append((i, first, n, anchor, data[first : first + n + length - 1]))
                         continue
                     # offsets from the anchor run from off down to off - n + 1; pieces lie on a grid of offsets
                     s = first
@@ -213,12 +217,12 @@ def _cut_contexts(length: int):
                         p = first + off
                         shared = data[p - cell * PIECE : p - cell * PIECE - PIECE + 1 + length]
                         deal = int.from_bytes(_key(b"%d %d " % (anchor, cell) + shared)[:8], "little", signed=True)
-                        out.append((row, s, e - s, deal, data[s : e + length - 1]))
+                        out.append((i, s, e - s, deal, data[s : e + length - 1]))
                         s = e
-            yield pd.DataFrame({
-                "k1": pd.Series([x[0][0] for x in out], dtype="int64"), "k2": pd.Series([x[0][1] for x in out], dtype="int64"), "first": pd.Series([x[1] for x in out], dtype="int64"), "n": pd.Series([x[2] for x in out], dtype="int16"),
-                "deal": pd.Series([x[3] for x in out], dtype="int64"), "key": [_key(x[4] + bytes([x[2]])) for x in out], "context": [x[4] for x in out],
-            })
+            at = pa.array([x[0] for x in out], pa.int64())
+            cols = [pa.array([x[k] for x in out], t) for k, t in ((1, pa.int64()), (2, pa.int16()), (3, pa.int64()))]
+            keys = pa.array([_key(x[4] + bytes([x[2]])) for x in out], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *cols, keys, pa.array([x[4] for x in out], pa.binary())], names=["k1", "k2", "first", "n", "deal", "key", "context"])
 
     return run
 
@@ -277,25 +281,25 @@ MOST = (1 << 20) - 8
 
 
 def _take_out(length: int, as_text: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _sliced(batches):
             out = []
-            for text, hits in zip(pdf["text"], pdf["hits"], strict=True):
-                data = _bytes(text)
+            for text, hits in zip(batch.column("text"), batch.column("hits"), strict=True):
+                data = _bytes(text.as_py())
                 gone = np.zeros(len(data) + 1, np.int32)
-                for hit in hits if hits is not None else ():
+                for hit in hits.as_py() or ():
                     at = np.flatnonzero(np.unpackbits(np.frombuffer(hit["mask"], np.uint8))[: hit["n"]]) + hit["first"]
-                    np.add.at(gone, at, 1)
-                    np.add.at(gone, at + length, -1)
+                    gone[at] += 1  # distinct within a hit
+                    gone[at + length] -= 1
                 inside = np.cumsum(gone[:-1]) > 0
                 edge = np.diff(np.r_[False, inside, False].astype(np.int8))
                 spans = list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
                 kept = b"".join(data[a:b] for a, b in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(data)], strict=True))
-                out.append((len(data), int(inside.sum()), len(spans), kept.decode("utf-8", "ignore") if as_text else kept, [list(x) for x in spans]))
-            res = pdf.drop(columns=["text", "hits"])
-            for k, name in enumerate(("n_bytes", "n_removed", "n_spans", "kept", "spans")):
-                res[name] = pd.Series([x[k] for x in out], index=res.index, dtype="int64" if k < 3 else object)
-            yield res
+                out.append((len(data), int(inside.sum()), len(spans), kept.decode("utf-8", "ignore") if as_text else kept, spans))
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary(), pa.list_(pa.list_(pa.int64())))
+            rest = [k for k, name in enumerate(batch.schema.names) if name not in ("text", "hits")]
+            cols = [pa.array([x[k] for x in out], t) for k, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in rest), *cols], names=[*(batch.schema.names[k] for k in rest), "n_bytes", "n_removed", "n_spans", "kept", "spans"])
 
     return run
 
@@ -314,15 +318,17 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # rows with one id and one text are alike in all that follows, so hashes of both stand for a row
     rows = rows.withColumn("k1", F.xxhash64("id", "text")).withColumn("k2", F.xxhash64("text", "id", F.lit(1)))
     anchors = stored(rows.select("k1", "k2", "text").mapInArrow(_find_anchors(length), "k1 long, k2 long, first long, n short, off short, anchor long"), "anchors")
-    often = anchors.groupBy("anchor").agg(F.count("*").alias("seen")).where("seen > 1")
+    # written, so that both sides of the join are plain shuffles, whose large partitions can be split
+    often = stored(anchors.groupBy("anchor").agg(F.count("*").alias("seen")).where("seen > 1"), "often")
     runs = (
         anchors.join(often, "anchor")
         .groupBy("k1", "k2")
         .agg(F.collect_set(F.struct("first", "n", "off", "anchor", (F.col("seen") > HOT).alias("hot"))).alias("runs"))
     )
     cut = rows.drop("id").join(runs, ["k1", "k2"]).select("k1", "k2", "text", "runs")
-    contexts = stored(cut.mapInPandas(_cut_contexts(length), "k1 long, k2 long, first long, n short, deal long, key binary, context binary"), "contexts")
+    contexts = stored(cut.mapInArrow(_cut_contexts(length), "k1 long, k2 long, first long, n short, deal long, key binary, context binary"), "contexts")
     drop(anchors)
+    drop(often)
     distinct = contexts.groupBy("deal", "key", "n", "context").agg(F.count("*").alias("count"))
     total = contexts.agg(F.sum(F.octet_length("context")).alias("x")).head()["x"] or 0
     shards = max(1, -(-total // (4 * SHARD_BYTES)))
@@ -341,4 +347,4 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     carried = f"carried {rows.schema['carried'].dataType.simpleString()}, " if carry else ""
     schema = f"id {df.schema[id_col].dataType.simpleString()}, {carried}n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}, spans array<array<long>>"
     out = out.select("id", *(["carried"] if carry else []), "text", "hits")
-    return out.mapInPandas(_take_out(length, as_text), schema).withColumnRenamed("id", id_col)
+    return out.mapInArrow(_take_out(length, as_text), schema).withColumnRenamed("id", id_col)
