@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .common import stored
+
 # Header fields that a 304 response updates, and query parameters that name no resource.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 TRACKING = r"^(utm_[a-z]+|ref|gclid|fbclid|sessionid)="
@@ -42,9 +44,9 @@ def as_of(asks: DataFrame, facts: DataFrame, key: str, at: str, fact: str, bucke
     points = facts.where(F.col(key).isNotNull() & F.col(at).isNotNull()).groupBy(key, at).agg(F.max(fact).alias("fact"))
     wanted = asks.where(F.col(key).isNotNull() & F.col(at).isNotNull()).groupBy(key, at).agg(F.lit(True).alias("asked"))
     both = points.select(key, at, "fact", F.lit(False).alias("asked")).unionByName(wanted.select(key, at, F.lit(None).cast(points.schema["fact"].dataType).alias("fact"), "asked"))
-    both = both.groupBy(key, at).agg(F.max("fact").alias("fact"), F.max("asked").alias("asked"))
-    ends = facts.agg(F.min(at).alias("a"), F.max(at).alias("b")).head()
-    low, high = (ends["a"] or 0, ends["b"] or 0) if ends else (0, 0)
+    both = stored(both.groupBy(key, at).agg(F.max("fact").alias("fact"), F.max("asked").alias("asked")), "points")
+    ends = both.where("fact IS NOT NULL").agg(F.min(at).alias("a"), F.max(at).alias("b")).head()
+    low, high = ends["a"] or 0, ends["b"] or 0
     width = max(1, (high - low) // buckets + 1)
     both = both.withColumn("bucket", F.greatest(F.lit(-1), F.least(F.lit(buckets), F.floor((F.col(at) - low) / width))).cast("int"))
     last = both.where("fact IS NOT NULL").groupBy(key, "bucket").agg(F.max_by("fact", at).alias("last"))
@@ -63,7 +65,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     disagree: entity tags are compared weakly where both have one, else Last-Modified where both have one; 'no validator' if they share none.
     Only resolved rows have a digest and the merged headers: the target's, with those a 304 may carry replaced. A null URL or time finds no response.
     """
-    rows = records.select("record_id", "url", "at", "kind", "status", "headers", "digest", canonical_url(F.col("url")).alias("canonical"))
+    rows = stored(records.select("record_id", "url", "at", "kind", "status", "headers", "digest", canonical_url(F.col("url")).alias("canonical")), "records")
     full = rows.where("kind = 'response' AND status = 200")
     asks = rows.where("kind = 'revisit'").drop("digest", "status", "kind")
     found = as_of(asks.select("canonical", "at"), full.select("canonical", "at", "record_id"), "canonical", "at", "record_id")
