@@ -8,13 +8,15 @@ its terminal node. Texts then sum the terminal counts of their pre-tokens.
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 #: Nodes that a task keeps at most before it starts a new trie.
-MOST_NODES = 600_000
+MOST_NODES = 1_500_000
 SPACE = "▁"
 #: Log-probability of one byte of a character without a piece, below the rarest piece.
 BYTE_PENALTY = 10.0
@@ -30,48 +32,79 @@ def vocabulary(path: str) -> dict[str, float]:
     return {p: -math.log(k + 2) - total for k, p in enumerate(pieces)}
 
 
-class Trie:
-    """count(word): pieces of a pre-token's best segmentation; of equal scores the one of fewer pieces."""
+class Trie(dict):
+    """Pre-tokens with the pieces of their best segmentation (of equal scores the one of fewer pieces); a new one is inserted when it is looked up.
+
+    Nodes are numbers: one table leads from a node and a character to the next node, and arrays hold each node's forward score and pieces.
+    """
 
     def __init__(self, pieces: dict[str, float]):
-        self._pieces = pieces
+        super().__init__()
+        self.pieces = pieces
         self._longest = max(map(len, pieces), default=1)
         self._byte = min(pieces.values(), default=0.0) - BYTE_PENALTY
-        self._clear()
-
-    def _clear(self) -> None:
-        self.nodes = 1
-        self._root: tuple[float, int, dict] = (0.0, 0, {})  # forward score, pieces of it, children
-        self.terminal: dict[str, int] = {}
-
-    def count(self, word: str) -> int:
-        found = self.terminal.get(word)
-        return self._insert(word) if found is None else found
-
-    def _insert(self, word: str) -> int:
-        if self.nodes > MOST_NODES:
-            self._clear()
+        self._ending = ahocorasick.Automaton()
+        for piece, score in pieces.items():
+            self._ending.add_word(piece, (len(piece), score))
+        self._ending.make_automaton()
+        self._start()
+
+    def _start(self) -> None:
+        self.clear()
+        self._next: dict[int, int] = {}
+        self._score, self._count = array("d", [0.0]), array("q", [0])
+
+    def __missing__(self, word: str) -> int:
+        if len(self._score) > MOST_NODES:
+            self._start()
         marked = SPACE + word
-        node = self._root
-        path = [node]
-        pieces, longest = self._pieces.get, self._longest
-        for end, char in enumerate(marked, 1):
-            below = node[2].get(char)
+        follow, all_scores, all_counts = self._next, self._score, self._count
+        # down the trie as far as it goes
+        node, scores, counts = 0, [0.0], [0]
+        for char in marked:
+            below = follow.get(node << 21 | ord(char))
             if below is None:
-                best, n = path[end - 1][0] + self._byte * len(char.encode("utf-8", "surrogatepass")), path[end - 1][1] + len(char.encode("utf-8", "surrogatepass"))
-                for start in range(max(0, end - longest), end):
-                    p = pieces(marked[start:end])
-                    if p is not None:
-                        before = path[start]
-                        score = before[0] + p
-                        if score > best or score == best and before[1] + 1 < n:
-                            best, n = score, before[1] + 1
-                below = node[2][char] = (best, n, {})
-                self.nodes += 1
-            path.append(below)
+                break
             node = below
-        self.terminal[word] = node[1]
-        return node[1]
+            scores.append(all_scores[node])
+            counts.append(all_counts[node])
+        known, size = len(scores) - 1, len(marked)
+        if known < size:
+            found = self._ending.iter(marked, max(0, known + 1 - self._longest)) if self.pieces else ()
+            for last, (n, piece) in found:
+                if last < known:
+                    continue
+                while len(scores) < last + 2:
+                    self._by_bytes(marked, scores, counts)
+                score, count = scores[last + 1 - n] + piece, counts[last + 1 - n] + 1
+                if score > scores[last + 1] or score == scores[last + 1] and count < counts[last + 1]:
+                    scores[last + 1], counts[last + 1] = score, count
+            while len(scores) <= size:
+                self._by_bytes(marked, scores, counts)
+            for k in range(known, size):
+                follow[node << 21 | ord(marked[k])] = node = len(all_scores)
+                all_scores.append(scores[k + 1])
+                all_counts.append(counts[k + 1])
+        self[word] = count = counts[size]
+        return count
+
+    def _by_bytes(self, marked: str, scores: list[float], counts: list[int]) -> None:
+        """The next prefix, its last character as bytes."""
+        char = marked[len(scores) - 1]
+        n = 1 if char < "\x80" else len(char.encode("utf-8", "surrogatepass"))
+        scores.append(scores[-1] + self._byte * n)
+        counts.append(counts[-1] + n)
+
+
+_trie: Trie | None = None
+
+
+def _trie_of(pieces: dict[str, float]) -> Trie:
+    """The process's trie, which later tasks go on with."""
+    global _trie
+    if _trie is None or _trie.pieces is not pieces:
+        _trie = Trie(pieces)
+    return _trie
 
 
 def count_tokens(df: DataFrame, pieces: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -81,12 +114,12 @@ def count_tokens(df: DataFrame, pieces: dict[str, float], id_col: str = "doc_id"
     shared = df.sparkSession.sparkContext.broadcast(pieces)  # a vocabulary: its size doesn't depend on the data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(shared.value)
+        count = _trie_of(shared.value).__getitem__
         for batch in batches:
             tokens, words = [], []
             for text in batch.column(1):
                 own = (text.as_py() or "").split()
-                tokens.append(sum(map(trie.count, own)))
+                tokens.append(sum(map(count, own)))
                 words.append(len(own))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.int64()), pa.array(words, pa.int64())], names=[id_col, "n_tokens", "n_pretokens"])
 

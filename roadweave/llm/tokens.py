@@ -78,7 +78,10 @@ class Encoder:
 
     def ids(self, text: str) -> bytes:
         if len(text) > 2 * PART:
-            return b"".join(map(self.ids, self._parts(text)))
+            return b"".join(map(self._ids, self._parts(text)))
+        return self._ids(text)
+
+    def _ids(self, text: str) -> bytes:
         pieces = self._pieces(text)
         new = list(set(pieces).difference(self._memo))
         if new:
