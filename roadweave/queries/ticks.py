@@ -140,13 +140,42 @@ def throttled_emission(t: Traffic) -> DataFrame:
     return _streamed(t, "emission", lambda s: throttled(s.select((_c("user_id") % 500).cast("int").alias("run_id"), _c("event_id").alias("tick"), _c("event_type").alias("payload"), (_c("event_type") == "error").alias("force")), 40))
 
 
-@query()
+def _updated(t: Traffic, name: str, make, key: list[str]) -> DataFrame:
+    """The last row of each key that a streaming aggregation updates, run over a whole table; batches are written to the shared folder."""
+    from roadweave.sources.shared import new_path
+
+    path, spark = new_path(t.spark, name), t.spark
+    stream = make(spark.readStream.schema(t.table("events").schema).parquet(f"{t._dir}/events.parquet*"))
+    write = lambda df, batch: df.withColumn("_batch", F.lit(batch)).write.mode("overwrite").parquet(f"{path}/out/_batch_dir={batch}")
+    stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    rest = [c for c in stream.columns if c not in key]
+    rows = spark.read.schema(stream.withColumn("_batch", F.lit(0)).schema).parquet(f"{path}/out/*")
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "_batch").alias("r")).select(*key, "r.*")
+
+
+@query("""WITH m AS (SELECT event_id, start_tick, end_tick, start_tick + d AS tick, event_id % 50 = 0 AND d = 0 AS clear FROM tf_event CROSS JOIN (VALUES (0), (5), (20)) v(d)), a AS (SELECT event_id, min(CASE WHEN NOT clear AND tick BETWEEN start_tick AND end_tick THEN tick END) AS f, min(CASE WHEN clear OR tick > end_tick THEN tick END) AS c FROM m GROUP BY event_id)
+SELECT event_id, CAST(CASE WHEN c IS NULL OR f < c THEN f END AS BIGINT) AS active_at, CAST(c AS BIGINT) AS cleared_at, CASE WHEN c IS NOT NULL THEN 'cleared' WHEN f IS NOT NULL THEN 'active' ELSE 'scheduled' END AS stage FROM a""")
 def event_lifecycle_stream(t: Traffic) -> DataFrame:
     from roadweave.streaming.learning import event_lifecycle
 
     def messages(s: DataFrame) -> DataFrame:
-        a, b = (_c("event_id") % 60).alias("start_tick"), (_c("event_id") % 60 + 1 + _c("user_id") % 10).alias("end_tick")
-        rows = F.array(*[F.struct(F.lit(k).alias("kind"), x.cast("long").alias("tick")) for k, x in (("schedule", F.lit(0)), ("tick", _c("event_id") % 60), ("tick", _c("event_id") % 60 + 20))])
-        return s.select("event_id", a, b, F.explode(rows).alias("m")).select("event_id", "m.tick", "m.kind", "start_tick", "end_tick")
+        a, b = _c("event_id") % 60, _c("event_id") % 60 + 1 + _c("user_id") % 10
+        rows = F.array(*[F.struct(F.when((_c("event_id") % 50 == 0) & F.lit(d == 0), "clear").otherwise("tick").alias("kind"), (a + d).alias("tick")) for d in (0, 5, 20)])
+        return s.select("event_id", a.alias("start_tick"), b.alias("end_tick"), F.explode(rows).alias("m")).select("event_id", "m.tick", "m.kind", "start_tick", "end_tick")
+
+    return _updated(t, "lifecycle", lambda s: event_lifecycle(messages(s)), ["event_id"])
+
+
+@query("SELECT CAST(user_id % 20 AS INT) AS od_id, CAST(event_id % 4 AS INT) AS arm, count(*) AS pulls, round(avg(value), 6) AS reward FROM events GROUP BY 1, 2")
+def arm_means_stream(t: Traffic) -> DataFrame:
+    from roadweave.streaming.learning import arm_means
+
+    out = _updated(t, "arms", lambda s: arm_means(s.select((_c("user_id") % 20).cast("int").alias("od_id"), (_c("event_id") % 4).cast("int").alias("arm"), _c("value").alias("reward"))), ["od_id", "arm"])
+    return out.withColumn("reward", _r("reward"))
+
 
-    return _streamed(t, "lifecycle", lambda s: event_lifecycle(messages(s)))
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def windowed_event_counts(t: Traffic) -> DataFrame:
+    """The batch form of windowed_counts(): tumbling windows of an hour."""
+    w = F.window(_c("ts").cast("timestamp"), "1 hour")["start"].cast("timestamp_ntz")
+    return t.table("events").groupBy(w.alias("start"), "event_type").agg(F.count("*").alias("n"), _r(F.sum("value"), 4).alias("total"))

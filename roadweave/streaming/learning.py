@@ -24,27 +24,17 @@ def arm_means(rewards: DataFrame) -> DataFrame:
     return rewards.groupBy("od_id", "arm").applyInPandasWithState(_means, "od_id int, arm int, pulls long, reward double", "pulls long, reward double", "update", GroupStateTimeout.NoTimeout)
 
 
-def _stages(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    stage, start, end = state.get if state.exists else ("scheduled", -1, -1)
-    out = []
-    for pdf in batches:
-        for tick, kind, a, b in zip(pdf["tick"].tolist(), pdf["kind"].tolist(), pdf["start_tick"].tolist(), pdf["end_tick"].tolist(), strict=True):
-            if kind == "schedule":
-                start, end = a, b
-            before = stage
-            if stage != "cleared" and (kind == "clear" or (end >= 0 and tick > end)):
-                stage = "cleared"
-            elif stage == "scheduled" and start >= 0 and start <= tick <= end:
-                stage = "active"
-            if stage != before:
-                out.append((key[0], tick, stage))
-    state.update((stage, start, end))
-    yield pd.DataFrame(out, columns=["event_id", "tick", "stage"])
-
-
 def event_lifecycle(messages: DataFrame) -> DataFrame:
-    """Changes of stage of each event, from messages (event_id, tick, kind 'schedule', 'tick' or 'clear', start_tick, end_tick): active while start <= tick <= end, then cleared, or when told."""
-    return messages.groupBy("event_id").applyInPandasWithState(_stages, "event_id long, tick long, stage string", "stage string, start_tick long, end_tick long", "append", GroupStateTimeout.NoTimeout)
+    """(event_id, active_at, cleared_at, stage) of each event, from messages (event_id, tick, kind 'schedule', 'tick' or 'clear', start_tick, end_tick).
+
+    An event is active from the first tick within its span and cleared at the first one after it, or when told; one that is cleared before it is active never is.
+    The state of an event is two numbers that merge in any order, so rows are aggregated before they are shuffled; for update mode.
+    """
+    inside = (F.col("kind") != "clear") & (F.col("tick") >= F.col("start_tick")) & (F.col("tick") <= F.col("end_tick"))
+    over = (F.col("kind") == "clear") | (F.col("tick") > F.col("end_tick"))
+    x = messages.groupBy("event_id").agg(F.min(F.when(inside, F.col("tick"))).alias("first"), F.min(F.when(over, F.col("tick"))).alias("cleared_at"))
+    active = F.when(F.col("cleared_at").isNull() | (F.col("first") < F.col("cleared_at")), F.col("first"))
+    return x.select("event_id", active.alias("active_at"), "cleared_at", F.when(F.col("cleared_at").isNotNull(), "cleared").when(active.isNotNull(), "active").otherwise("scheduled").alias("stage"))
 
 
 def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
