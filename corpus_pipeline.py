@@ -14,7 +14,7 @@ from roadweave.llm.common import stored, table
 from roadweave.llm.decontamination import overlaps
 from roadweave.llm.language_id import UND, predict, train
 from roadweave.llm.packing import pack_documents
-from roadweave.llm.simhash import near_duplicates
+from roadweave.llm.simhash import similar_documents
 from roadweave.llm.suffix_dedup import remove_repeats
 
 #: A text whose likeliest language has a smaller share of its letters is in no learned language.
@@ -36,9 +36,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: the one of the least key."""
+    """One document of each component of texts alike in 0.8 or more of their five-word shingles: the one of the least key."""
     keyed = _keyed(docs)
-    kept = near_duplicates(keyed, "_key").where("_key = component_id").select("_key").distinct()
+    kept = similar_documents(keyed, "_key").where("_key = component_id").select("_key").distinct()
     return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
 
 

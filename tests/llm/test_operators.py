@@ -241,13 +241,42 @@ def test_probes_meet_every_pair(spark, parts):
     assert sorted(b for g in groups for b in g) == list(range(64))
     for _ in range(20):
         costs = [[0.0] + sorted(r.random() for _ in range(4)) for _ in groups]
-        t = simhash.allocate(costs, 3 - parts + 1)
+        _, t = simhash.allocate(costs, 3 - parts + 1)
         assert sum(t) == 3 - parts + 1 and min(t) >= -1
         for _ in range(50):
             off = set(r.sample(range(64), 3))
             assert any(len(off & set(g)) <= k for g, k in zip(groups, t, strict=True))
 
 
+def jaccard(a, b):
+    words = (a or "").lower().split(), (b or "").lower().split()
+    x, y = ({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words)
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("block", [4096, 5])
+def test_similar_documents(spark, corpus, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    r = random.Random(9)
+    rows = [(i, t) for i, t in corpus if i is not None]
+    base = [t for _, t in rows if t and 80 < len(t.split()) < 600][:12]
+    rows += [(50_000 + 10 * k + j, " ".join(w if r.random() > 0.012 else f"new{r.randrange(9999)}" for w in t.split())) for k, t in enumerate(base) for j in range(4)]
+    got = dict(map(tuple, simhash.similar_documents(docs(spark, rows)).collect()))
+    groups = collections.defaultdict(set)
+    for i, c in got.items():
+        groups[c].add(i)
+    assert all(min(g) == c for c, g in groups.items())
+    texts = dict(rows)
+    pairs = [(a, b, jaccard(texts[a], texts[b])) for a in texts for b in texts if a < b and abs(len(texts[a] or "") - len(texts[b] or "")) < 0.5 * len(texts[a] or "x")]
+    near = [(a, b) for a, b, j in pairs if j >= 0.9]
+    assert len(near) > 30 and sum(got[a] == got[b] for a, b in near) >= 0.98 * len(near)
+    loose = {(a, b) for a, b, j in pairs if j >= 0.6} | {(b, a) for a, b, j in pairs if j >= 0.6}
+    for g in groups.values():
+        for a in g:
+            assert len(g) == 1 or any((a, b) in loose or texts[a] == texts[b] for b in g if b != a)
+    assert simhash.similar_documents(docs(spark, rows).limit(0)).count() == 0
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100 + i, 100) for i in range(1, 30)] + [(5, 5)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
