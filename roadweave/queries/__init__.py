@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from roadweave.sources.traffic import Traffic, oracle
 
-MODULES = ("elementwise", "joins", "aggregates", "ranking", "graphs", "scalars", "ticks", "datasets", "checks")
+MODULES = ("elementwise", "joins", "aggregates", "ranking", "graphs", "scalars", "ticks", "datasets", "checks", "interfaces")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
