@@ -19,7 +19,7 @@ def state(t: Traffic) -> DataFrame:
 
 @query("SELECT t.from_link_id, t.to_link_id, a.queue_vehicles AS from_queue, a.capacity_veh_per_tick AS from_capacity, b.capacity_veh_per_tick AS to_capacity FROM tf_turn t JOIN tf_link a ON a.link_id = t.from_link_id JOIN tf_link b ON b.link_id = t.to_link_id")
 def turn_link_gather(t: Traffic) -> DataFrame:
-    link = t.link().withColumnRenamed("capacity_veh_per_tick", "capacity").persist()
+    link = t.link().withColumnRenamed("capacity_veh_per_tick", "capacity")
     return Flow.turn_links(t.turn(link), link).select("from_link_id", "to_link_id", "from_queue", "from_capacity", "to_capacity")
 
 

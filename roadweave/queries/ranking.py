@@ -10,7 +10,6 @@ from roadweave.sources.traffic import Traffic
 
 from . import query
 from .elementwise import _REWARD, _sets
-from .joins import state
 
 _c = F.col
 

@@ -9,7 +9,7 @@ from roadweave.sources.traffic import Traffic
 
 from . import query
 from .aggregates import _TIMES, zone_times
-from .elementwise import _edges, _EDGES
+from .elementwise import _edges
 
 _c = F.col
 

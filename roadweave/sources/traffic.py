@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from roadweave.plans.loops import cut
+
 #: SQL of each projection, the same in Spark and DuckDB; they refer to each other in this order.
 VIEWS = {
     "tf_zone": "SELECT CAST(r_regionkey AS INT) AS zone_id, CASE r_regionkey % 4 WHEN 0 THEN 'residential' WHEN 1 THEN 'cbd_commercial' WHEN 2 THEN 'industrial' ELSE 'mixed_use' END AS zone_type, CAST(1000 * (r_regionkey + 1) AS INT) AS population_capacity, CAST(500 * (r_regionkey + 2) AS INT) AS job_capacity FROM region",
@@ -52,7 +54,7 @@ class Traffic:
     """The entities as DataFrames: zone, node, link, turn, profile, trip, event and outcome."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self._dir = spark, sf_dir
+        self.spark, self._dir, self._pairs = spark, sf_dir, None
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self._dir}/{name}.parquet")
@@ -75,15 +77,24 @@ class Traffic:
             (((key - key % 5) / 5) * 1000).cast("double").alias("y"),
         )
 
-    def link(self) -> DataFrame:
-        """Six links leave each node; capacity and queue come from what is shipped between two nations."""
-        sent = (
+    def _sent(self) -> DataFrame:
+        """What is shipped between two nations, a row for each pair; made once for a query, however often its plan needs links."""
+        if self._pairs is None:
+            self._pairs = cut(self._shipped())
+        return self._pairs
+
+    def _shipped(self) -> DataFrame:
+        return (
             self.table("lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
             .join(self.table("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
             .join(self.table("customer").select("c_custkey", F.col("c_nationkey").alias("v")), F.col("o_custkey") == F.col("c_custkey"))
             .join(self.table("supplier").select("s_suppkey", F.col("s_nationkey").alias("u")), F.col("l_suppkey") == F.col("s_suppkey"))
             .where("u <> v").groupBy("u", "v").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("q"))
         )
+
+    def link(self) -> DataFrame:
+        """Six links leave each node; capacity and queue come from what is shipped between two nations."""
+        sent = self._sent()
         nation = self.table("nation")
         a = nation.select(F.col("n_nationkey").alias("u"))
         # the nodes that a node leads to are at fixed distances, so pairs need no cross join
