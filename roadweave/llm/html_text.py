@@ -17,7 +17,7 @@ NOT_TEXT = frozenset("aside button canvas dialog footer form head header iframe
 SECTIONS = frozenset("article main section div td body".split())
 CLOSED_BY_NEXT = frozenset("p li dt dd tr td th option".split())
 #: Words of a class, id or role that mark what is not the article.
-_NOT_ARTICLE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|complementary|consent|contentinfo|cookies?|disqus|footer|gdpr|header|menu|modal|nav|navbar|navigation|newsletter|notices?|popup|promo\w*|related|replies|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.IGNORECASE)
+_NOT_ARTICLE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|alert|banner|breadcrumbs?|comments?|complementary|consent|contentinfo|cookies?|disclaimer|disqus|footer|gdpr|header|menu|modal|nav|navbar|navigation|newsletter|notices?|pagination|paywall|popup|promo\w*|related|replies|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.IGNORECASE)
 
 #: Lines of standard deviation of the smoothing, and the share of the mean ratio from which a line is content.
 SIGMA, THRESHOLD = 2.0, 0.5

@@ -539,9 +539,9 @@ def test_language_held_out(spark):
     out = language_id.predict(df.withColumn("score", F.lit("clash")), model)
     got = out.where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")).alias("a")).first()["a"]
     assert got > 0.95
-    odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 -- 3"), (4, "Der " * 60_000), (5, "日本語")], "doc_id long, text string")
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 -- 3"), (4, "Der " * 60_000), (5, "日本語"), (6, "½ ² Ⅷ"[:3])], "doc_id long, text string")
     rows = {r["doc_id"]: r for r in language_id.predict(odd, model).collect()}
-    assert [rows[k]["lang_pred"] for k in (1, 2, 3)] == ["und"] * 3 and rows[4]["lang_pred"] == "de" and 0 <= rows[5]["score"] <= 1
+    assert [rows[k]["lang_pred"] for k in (1, 2, 3, 6)] == ["und"] * 4 and rows[4]["lang_pred"] == "de" and 0 <= rows[5]["score"] <= 1
     assert language_id.predict(odd.limit(0), model).count() == 0
     assert language_id.train(odd.withColumn("lang", F.lit(None).cast("string"))) is None
     assert {r["lang_pred"] for r in language_id.predict(odd, None).collect()} == {"und"}
