@@ -139,7 +139,7 @@ def graph_split(t: Traffic) -> DataFrame:
     return t.outcome().where("trip_id % 50 = 0").select("od_id", "trip_id").join(held, "od_id", "left").select("od_id", "trip_id", F.coalesce("v", F.lit(False)).alias("validation"))
 
 
-@query("SELECT DISTINCT od_id, CAST(1 AS INT) AS selected, round(0.9 + 0.7 * (1 + od_id % 4), 6) AS total FROM tf_outcome")
+@query("SELECT DISTINCT od_id, CAST(1 AS INT) AS selected, CAST(round(0.9 + 0.7 * (1 + od_id % 4), 6) AS DOUBLE) AS total FROM tf_outcome")
 def surrogate_predict(t: Traffic) -> DataFrame:
     """Scores by place, the last one repeated; the best place."""
     model = F.array(F.lit(0.9), F.lit(0.7))
@@ -209,7 +209,7 @@ def static_map_artifact(t: Traffic) -> DataFrame:
     return x.groupBy("zone_id").agg(F.count_distinct("node_id").alias("n_nodes"), F.count("link_id").alias("n_links"), _r(F.sum("length_m"), 4).alias("length_m"))
 
 
-@query("""SELECT link_id, 1 + CAST(lanes AS INT) * 2 AS n_strips, round(lanes * 3.25 + 2.0, 4) AS width_m FROM tf_link""")
+@query("""SELECT link_id, 1 + CAST(lanes AS INT) * 2 AS n_strips, CAST(round(lanes * 3.25 + 2.0, 4) AS DOUBLE) AS width_m FROM tf_link""")
 def road_sections(t: Traffic) -> DataFrame:
     """Lane profile of each link."""
     return t.link().select("link_id", (1 + _c("lanes") * 2).alias("n_strips"), _r(_c("lanes") * 3.25 + 2.0, 4).alias("width_m"))

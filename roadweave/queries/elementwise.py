@@ -162,7 +162,7 @@ def trip_reward(t: Traffic) -> DataFrame:
     return t.outcome().select("trip_id", _r(L.trip_reward(_c("outcome"), _c("observed_travel_time"), _c("baseline_travel_time")), 6).alias("reward"))
 
 
-@query("SELECT zone_id, round(0.5 * greatest(zone_id - 1.5, 0.0), 6) AS delta, round(greatest(population_capacity + 0.5 * greatest(zone_id - 1.5, 0.0), 0.0), 6) AS housing, round(greatest(job_capacity - 600 + 0.5 * greatest(zone_id - 1.5, 0.0), 0.0), 6) AS jobs FROM tf_zone")
+@query("SELECT zone_id, CAST(round(0.5 * greatest(zone_id - 1.5, 0.0), 6) AS DOUBLE) AS delta, CAST(round(greatest(population_capacity + 0.5 * greatest(zone_id - 1.5, 0.0), 0.0), 6) AS DOUBLE) AS housing, CAST(round(greatest(job_capacity - 600 + 0.5 * greatest(zone_id - 1.5, 0.0), 0.0), 6) AS DOUBLE) AS jobs FROM tf_zone")
 def landuse_feedback(t: Traffic) -> DataFrame:
     d = T.landuse_delta(_c("zone_id") - 1.5, 0.5)
     return t.zone().select("zone_id", _r(d, 6).alias("delta"), _r(T.landuse_applied(_c("population_capacity"), d), 6).alias("housing"), _r(T.landuse_applied(_c("job_capacity") - 600, d), 6).alias("jobs"))
