@@ -162,7 +162,7 @@ class Model:
         """(language, score, switches between words' languages) of each text; UND without letters."""
         out: list[tuple[str, float, int]] = [(UND, 0.0, 0)] * len(texts)
         lists = [words_of(t) for t in texts]
-        kept = [i for i, w in enumerate(lists) if w]
+        kept = [i for i, own in enumerate(lists) if any(c.isalpha() for w in own for c in w)]  # a fraction or a superscript is no letter
         if not kept:
             return out
         words = [w for i in kept for w in lists[i]]
@@ -293,24 +293,24 @@ def predict(df: DataFrame, model: Model | None, text_col: str = "text") -> DataF
     """
     shared = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS + lexicon rows of at most MOST_LANGS weights
     names = ("lang_pred", "score", "n_switches")
-    kept = df.select(F.col(text_col).cast("string").alias("_text"), *[c for c in df.columns if c not in names])
+    kept = df.select(*[F.col(c).cast("string").alias(c) if c == text_col and df.schema[c].dataType != T.StringType() else F.col(c) for c in df.columns if c not in names])
+    at = kept.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            rows: list[tuple[str, float, int]] = []
-            held: list[str | None] = []
-            size = 0
-            for i, x in enumerate(batch.column(0)):
+            first, held, size = 0, [], 0
+            for i, x in enumerate(batch.column(at)):
                 held.append(x.as_py())
                 size += len(held[-1] or "")
                 if size > PART or i == batch.num_rows - 1:
-                    rows += m.predict(held) if m else [(UND, 0.0, 0)] * len(held)
-                    held, size = [], 0
-            cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.float64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *cols], names=[*batch.schema.names[1:], *names])
+                    # rows go out as they are labelled, so that no whole batch is held twice
+                    rows = m.predict(held) if m else [(UND, 0.0, 0)] * len(held)
+                    cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.float64(), pa.int64()))]
+                    yield pa.RecordBatch.from_arrays([*batch.slice(first, len(held)).columns, *cols], names=[*batch.schema.names, *names])
+                    first, held, size = i + 1, [], 0
 
-    schema = T.StructType([*kept.schema.fields[1:], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_switches", T.LongType())])
+    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_switches", T.LongType())])
     return kept.mapInArrow(run, schema)
 
 
