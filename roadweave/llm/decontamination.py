@@ -7,7 +7,7 @@ with the benchmark's seeds on the hash, and each alignment they propose is verif
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,8 +17,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import stored
 
-#: Places that a mask selects. Together they hit any fifth word substituted, pairs and single substitutions.
-MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 3, 5), (0, 1, 3, 4, 6), (0, 2, 3, 5, 6))
+#: Places that a mask selects. Of any LONG words or more of which 0.8 are the same, one of the first four hits some;
+#: of five or six, one of the next four. An item of fewer words must be there whole, and its mask is all of it.
+LONG = 7
+MASKS = (
+    (0, 1, 2, 3, 4), (0, 1, 2, 3, 5), (0, 1, 3, 4, 5), (0, 1, 3, 6, 7),
+    (0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4),
+    (0,), (0, 1), (0, 1, 2), (0, 1, 2, 3),
+)
+WHOLE = 8
 MIN_WORDS = 13
 SIMILARITY = 0.8
 #: Bits of the Bloom filter: this many a seed, at most MOST_BITS (4 MB). A fuller filter only lets more seeds through to the join.
@@ -47,11 +54,19 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, words), np.uint32, len(words))
 
 
-def seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of each mask at each place."""
+def masks_of(n_words: int) -> range:
+    """The masks, by their place in MASKS, that find an item of so many words."""
+    if n_words >= LONG:
+        return range(4)
+    return range(4, WHOLE) if n_words >= 5 else range(WHOLE + n_words - 1, WHOLE + n_words) if n_words else range(0)
+
+
+def seeds(words: np.ndarray, masks: Iterable[int] = range(4)) -> tuple[np.ndarray, np.ndarray]:
+    """(position, hash) of each mask at each place; of a mask that is a whole item, each hash's first place."""
     at, out = [], []
     wide = words.astype(np.uint64)
-    for k, mask in enumerate(MASKS):
+    for k in masks:
+        mask = MASKS[k]
         n = len(words) - mask[-1]
         if n <= 0:
             continue
@@ -59,7 +74,9 @@ def seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for place in mask:
             h = (h ^ wide[place : place + n]) * np.uint64(0xFF51AFD7ED558CCD)
             h ^= h >> np.uint64(32)
-        at.append(np.arange(n))
+        if k >= WHOLE:
+            h, first = np.unique(h, return_index=True)
+        at.append(first if k >= WHOLE else np.arange(n))
         out.append(h)
     return (np.concatenate(at), np.concatenate(out)) if at else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
@@ -79,7 +96,7 @@ def _item_seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
         for item, words in zip(pdf["item_id"], pdf["words"], strict=True):
-            at, h = seeds(np.asarray(words, np.int32).view(np.uint32))
+            at, h = seeds(np.asarray(words, np.int32).view(np.uint32), masks_of(len(words)))
             out.append(pd.DataFrame({"seed": h.view(np.int64), "item_id": item, "item_at": at}))
         yield pd.concat(out) if out else pd.DataFrame({"seed": [], "item_id": [], "item_at": []})
 
@@ -94,14 +111,14 @@ def _filter_rows(bits: int):
     return run
 
 
-def _probe(shared, bits: int):
+def _probe(shared, bits: int, masks: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
             rows, words, hits = [], [], []
             for i, text in enumerate(batch.column(0)):
                 w = word_hashes(text.as_py())
-                at, h = seeds(w)
+                at, h = seeds(w, masks)
                 for k in range(PROBES):
                     if len(h):
                         place = _place(h, k, bits)
@@ -119,17 +136,22 @@ def _probe(shared, bits: int):
     return run
 
 
-def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int, similarity: float = SIMILARITY) -> tuple[int, int, int]:
-    """(first item word, words, matches) of the alignment's best segment: each match counts 1 - similarity, each substitution -similarity."""
+def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> tuple[int, int, int]:
+    """(first item word, words, matches) of the alignment's best segment of min_words words or more, or of all its words if it has fewer.
+
+    Each match counts 1 - similarity, each substitution -similarity. The best sum is below zero only if no such segment has the similarity.
+    """
     a, b = max(0, -diagonal), min(len(item), len(doc) - diagonal)
     if b <= a:
         return 0, 0, 0
     same = item[a:b] == doc[a + diagonal : b + diagonal]
     sums = np.concatenate([[0.0], np.cumsum(np.where(same, 1 - similarity, -similarity))])
-    least = np.minimum.accumulate(sums)
-    gain = sums - least
+    least_words = min(min_words, b - a)
+    least = np.minimum.accumulate(sums[: len(sums) - least_words])
+    gain = sums[least_words:] - least
     end = len(gain) - 1 - int(np.argmax((gain >= gain.max() - 1e-9)[::-1]))
     start = int(np.flatnonzero(sums[: end + 1] <= least[end] + 1e-9)[0])
+    end += least_words
     return a + start, end - start, int(same[start:end].sum())
 
 
@@ -142,10 +164,10 @@ def _verify(similarity: float, min_words: int):
                 best: dict = {}
                 for t in tests:
                     item = np.asarray(t["words"], np.int32)
-                    start, n, same = overlap(doc, item, t["diagonal"], similarity)
+                    start, n, same = overlap(doc, item, t["diagonal"], similarity, min_words)
                     if n >= min(len(item), min_words) or same >= similarity * len(item) - 1e-9:
-                        if n and same >= similarity * n - 1e-9 and (t["item_id"] not in best or (same, -start) > best[t["item_id"]][0]):
-                            best[t["item_id"]] = ((same, -start), start + t["diagonal"], start, n, same, len(item))
+                        if n and same >= similarity * n - 1e-9 and (t["item_id"] not in best or (same, -start, -t["diagonal"]) > best[t["item_id"]][0]):
+                            best[t["item_id"]] = ((same, -start, -t["diagonal"]), start + t["diagonal"], start, n, same, len(item))
                 out += [(i, k, at, start, n, same, same / n, size) for k, (_, at, start, n, same, size) in best.items()]
             yield pd.DataFrame(out, columns=["id", "item_id", "word_at", "item_word_at", "n_words", "n_same", "similarity", "item_words"])
 
@@ -155,9 +177,10 @@ def _verify(similarity: float, min_words: int):
 def overlaps(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per text and benchmark item that overlap: `id_col`, item_id, word_at and item_word_at (where the overlap begins), n_words, n_same, similarity, item_words.
 
-    An overlap is an alignment's best stretch of min_words words (of all the item's words if it has fewer) of which `similarity` or more are the
-    same. Items with the same words are one: the least item id stands for them. Items with fewer words than the longest mask may be found by the
-    shorter masks only; under five words, never. Null or empty texts overlap nothing. Equal rows give one row. Empty tables: no rows.
+    An overlap is an alignment's best stretch of min_words words or more (of all the item's words if it has fewer) of which `similarity` or more are
+    the same, or `similarity` of the item where the text ends before it. All are found if similarity is 0.8 and min_words LONG at least. Items with
+    the same words are one: the least item id stands for them. Of an item under five words, the first occurrence is reported. Null or empty texts
+    overlap nothing. Equal rows give one row. Empty tables: no rows.
     """
     spark = docs.sparkSession
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), tests.schema[item_col].dataType.simpleString()
@@ -166,6 +189,8 @@ def overlaps(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col
     items = stored(items.where("item_id IS NOT NULL").select("item_id", "words"), "items")
     item_seeds = stored(items.mapInPandas(_item_seeds, f"seed long, item_id {item_kind}, item_at int"), "seeds")
     n = item_seeds.count()
+    sizes = [r["n"] for r in items.select(F.least(F.size("words"), F.lit(LONG)).alias("n")).distinct().collect()]  # at most LONG + 1
+    masks = sorted({k for x in sizes for k in masks_of(x)})
     bits = min(MOST_BITS, 1 << max(12, (BITS_A_SEED * max(n, 1)).bit_length()))
     filled = item_seeds.select("seed").mapInArrow(_filter_rows(bits), "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most MOST_BITS / 64 rows
     table = np.zeros(bits >> 6, np.uint64)
@@ -173,7 +198,7 @@ def overlaps(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col
     shared = spark.sparkContext.broadcast(table)
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id")).where("text IS NOT NULL")
     rows = rows.select("text", "id", F.xxhash64("id", "text").alias("k1"), F.xxhash64("text", "id", F.lit(1)).alias("k2"))
-    found = stored(rows.mapInArrow(_probe(shared, bits), f"id {kind}, k1 long, k2 long, words array<int>, hits array<struct<seed: long, at: long>>"), "hits")
+    found = stored(rows.mapInArrow(_probe(shared, bits, masks), f"id {kind}, k1 long, k2 long, words array<int>, hits array<struct<seed: long, at: long>>"), "hits")
     hits = found.select("k1", "k2", F.explode("hits").alias("h")).select("k1", "k2", "h.*")
     lines = hits.join(item_seeds, "seed").select("k1", "k2", "item_id", (F.col("at") - F.col("item_at")).cast("int").alias("diagonal")).distinct()
     tests_of = lines.join(items, "item_id").groupBy("k1", "k2").agg(F.collect_list(F.struct("item_id", "diagonal", "words")).alias("tests"))

@@ -312,6 +312,43 @@ def test_overlaps(spark, corpus):
     assert decontamination.overlaps(docs(spark, rows), tests.limit(0)).count() == 0
 
 
+def test_overlaps_with_words_changed(spark):
+    r = random.Random(6)
+    items, rows = [], []
+    for n in [1, 2, 3, 4] + [5, 6, 7, 9, 10, 11, 12] * 2 + [*range(13, 21)] * 3 + [40, 40]:
+        w = [f"w{r.randrange(10**6)}" for _ in range(n)]
+        items.append((len(items), w))
+        for k in range(12):
+            out = list(w)
+            changes = n // 5 if k < 9 else n // 5 + 1  # the least similarity, and one word less
+            places = [r.sample(range(n), changes), [x for x in (1, n - 2, 3, n - 4, 0, n - 1, *range(5, n - 5)) if 0 <= x < n][:changes], [*range(3, n, 4)][:changes]][min(k, 2) if k < 3 else 0]
+            for x in places:
+                out[x] = "other"
+            before, after = (["so"] * r.randrange(4), ["on"] * r.randrange(4)) if k % 3 else ([], [])
+            rows.append((len(rows), before + out + after))
+    w = items[-1][1]
+    rows += [(len(rows), w[:12] + ["x", "y"]), (len(rows) + 1, w[3:15] + ["x", "y", "z"]), (len(rows) + 2, items[20][1][:11]), (len(rows) + 3, items[0][1] * 50)]
+
+    def alike(doc, item):
+        least = min(13, len(item))
+        for d in range(-len(item), len(doc)):
+            same = [x == doc[i + d] if 0 <= i + d < len(doc) else None for i, x in enumerate(item)]
+            if same.count(True) >= 0.8 * len(item):
+                return True
+            same = [x for x in same if x is not None]
+            if any(sum(same[a:b]) >= 0.8 * (b - a) - 1e-9 for a in range(len(same)) for b in range(a + least, len(same) + 1)):
+                return True
+        return False
+
+    want = {(i, k) for i, x in rows for k, y in items if set(x) & set(y) and alike(x, y)}
+    tests = spark.createDataFrame([(k, " ".join(x)) for k, x in items], "item_id long, text string")
+    found = decontamination.overlaps(docs(spark, [(i, " ".join(x)) for i, x in rows]), tests).collect()
+    got = {(x["doc_id"], x["item_id"]) for x in found}
+    assert len(want) > 300 and (len(rows) - 3, len(items) - 1) in want
+    assert got == want, (len(want), len(want - got), len(got - want))
+    assert all(x["n_same"] >= 0.8 * x["n_words"] - 1e-9 and x["n_words"] >= min(13, x["item_words"]) or x["n_same"] >= 0.8 * x["item_words"] for x in found)
+
+
 def test_overlap_segment():
     a = np.arange(100, dtype=np.int32)
     b = a[20:60].copy()
