@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NOT_TEXT = frozenset("aside button canvas dialog footer form head header iframe menu nav noscript object script select style svg template textarea title".split())
-SECTIONS = frozenset("article main section div td body".split())
+SECTIONS = frozenset("article main section div td ul ol dl body".split())
 CLOSED_BY_NEXT = frozenset("p li dt dd tr td th option".split())
 #: Words of a class, id or role that mark what is not the article.
 _NOT_ARTICLE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|alert|banner|breadcrumbs?|comments?|complementary|consent|contentinfo|cookies?|disclaimer|disqus|footer|gdpr|header|menu|modal|nav|navbar|navigation|newsletter|notices?|pagination|paywall|popup|promo\w*|related|replies|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.IGNORECASE)
@@ -102,9 +102,10 @@ def smoothed(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
 
 
 def main_text(html: str | None) -> tuple[str, int]:
-    """(text, lines of it) of a page. Lines of a high smoothed text-to-tag ratio mark the content's sections, which are kept whole.
+    """(text, lines of it) of a page. Lines of a high smoothed text-to-tag ratio mark the content's sections, which are kept whole if their text is mostly not links.
 
-    Where the page has an article or main element with text, only it is searched. Null, empty or textless: ("", 0).
+    Where the page has an article or main element with text, only it is searched, and it is kept whole if none of its sections is content. Null,
+    empty or textless: ("", 0).
     """
     if not html:
         return "", 0
@@ -119,17 +120,15 @@ def main_text(html: str | None) -> tuple[str, int]:
     own = np.array([max(0, len(text) - linked) for text, linked, *_ in lines], float)
     ratio = smoothed(own / np.array([max(1, x[2]) for x in lines]))
     content = (ratio >= THRESHOLD * ratio.mean()) & (own > 0)
-    article = any(x[4] for x in lines)
-    kept = {x[3] for x, c in zip(lines, content, strict=True) if c}
-    if not article:
-        # without an article: the sections whose text is mostly not links
-        sums: dict[int, list[float]] = {}
-        for x, n in zip(lines, own, strict=True):
-            s = sums.setdefault(x[3], [0, 0])
-            s[0] += n
-            s[1] += len(x[0])
-        kept = {k for k in kept if sums[k][0] >= 0.5 * sums[k][1]}
-    texts = [x[0] for x in lines if article or x[3] in kept]
+    sums: dict[int, list[float]] = {}
+    for x, n in zip(lines, own, strict=True):
+        s = sums.setdefault(x[3], [0, 0])
+        s[0] += n
+        s[1] += len(x[0])
+    kept = {x[3] for x, c in zip(lines, content, strict=True) if c and sums[x[3]][0] >= 0.5 * sums[x[3]][1]}
+    if not kept and lines[0][4]:
+        kept = set(sums)
+    texts = [x[0] for x in lines if x[3] in kept]
     return " ".join(texts), len(texts)
 
 

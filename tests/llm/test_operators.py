@@ -479,6 +479,17 @@ PAGE = """<!doctype html><html><head><title>T</title><script>var a = "<p>no</p>"
 <section class="comments"><p>Nice article, a long comment with many words that reads like text does.</p></section><footer>&copy; x</footer></body></html>"""
 
 
+def test_main_text_inside_an_article():
+    prose = "".join(f"<p>Paragraph {k} tells at some length what has happened, to whom, and why it was so.</p>" for k in range(8))
+    links = "".join(f"<li><a href=/{k}>Another story, number {k}</a></li>" for k in range(9))
+    marks = "".join(f"<p><b>{k}</b> <i>up</i> <b>{k}</b> <i>down</i></p>" for k in range(9))
+    want = ["Title", *(f"Paragraph {k}" for k in range(8)), "one two", "Short.", "The end, with"]
+    page = f"<article><h1>Title</h1>{prose}<ul><li>one<li>two</ul><p>Short.</p><p>The end, with <a href=x>a link</a> in it.</p><ul>{links}</ul><div>{marks}</div><div>{links}</div></article>"
+    text = html_text.main_text(page)[0]
+    assert all(x in text for x in want) and "Another story" not in text and "down" not in text
+    assert html_text.main_text("<article><a href=x>All of it is a link.</a></article>") == ("All of it is a link.", 1)
+
+
 def test_main_text():
     assert html_text.main_text(PAGE) == ("The title First & bold para graph. Ok. one two", 6)
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<p></p>") == ("", 0)
