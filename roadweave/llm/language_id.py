@@ -265,18 +265,25 @@ def _gradient(transitions: np.ndarray, e: np.ndarray, y: np.ndarray, starts: np.
 
 
 def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> Model | None:
-    """A model of at most `rows` labelled rows, equally many of each language if there are so many, chosen by a hash of their text; None without a labelled word."""
+    """A model of at most `rows` labelled texts, equally many of each language if there are so many, chosen by their hash; None without a labelled word.
+
+    Copies of a text count once in a language, however many there are.
+    """
     labelled = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
+    labelled = labelled.withColumn("h", F.xxhash64("text"))
+    distinct = labelled.groupBy("lang", "h").agg(F.count("*").alias("n"))
+    counts = distinct.groupBy("lang").agg(F.sum("n").alias("rows"), F.count("*").alias("texts")).orderBy(F.desc("rows"), "lang").limit(MOST_LANGS).collect()
     if not counts:
         return None
     each = max(1, rows // len(counts))
     parts = []
     for r in counts:
-        own = labelled.where(F.col("lang") == r["lang"]).withColumn("h", F.xxhash64("text"))
+        own = labelled.where(F.col("lang") == r["lang"])
         # the bound is a share of the hash's range with room to spare, so that few rows are sorted
-        share = min(1.0, 2.0 * each / r["count"] + 20.0 / r["count"])
-        parts.append(own.where(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy("h", "text").limit(each).select("lang", F.split(F.substring("text", 1, 20 * TRAIN_WORDS), r"\s+").alias("w")))
+        share = min(1.0, 2.0 * each / r["texts"] + 20.0 / r["texts"])
+        own = own.where(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+        own = own.groupBy("lang", "h").agg(F.min(F.substring("text", 1, 20 * TRAIN_WORDS)).alias("text"))
+        parts.append(own.orderBy("h").limit(each).select("lang", F.split("text", r"\s+").alias("w")))
     sample = parts[0]
     for x in parts[1:]:
         sample = sample.unionByName(x)

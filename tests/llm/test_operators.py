@@ -358,6 +358,22 @@ def test_overlap_segment():
     assert decontamination.overlap(a[:10], b, 20) == (0, 0, 0)
 
 
+# --- training sample of languages -------------------------------------------
+
+
+def test_training_sample_of_copied_texts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language_id, "fit", lambda rows, *_: seen.append(rows))
+    letters = lambda k: "".join(chr(97 + int(c)) for c in str(k))
+    many = spark.createDataFrame([("aa", f"hot {letters(k)}") for k in range(3)] * 1500 + [("bb", f"cold {letters(k)}") for k in range(30)], "lang string, text string")
+    least = many.where("lang = 'bb'").orderBy(F.xxhash64("text")).first()["text"]
+    copies = spark.createDataFrame([("bb", least)] * 50, "lang string, text string")
+    language_id.train(many.unionByName(copies), rows=20)
+    sample = {lang: [" ".join(w) for x, w in seen[0] if x == lang] for lang in ("aa", "bb")}
+    assert sorted(sample["aa"]) == [f"hot {letters(k)}" for k in range(3)]
+    assert len(sample["bb"]) == len(set(sample["bb"])) == 10 and least in sample["bb"]
+
+
 # --- media ------------------------------------------------------------------
 
 
