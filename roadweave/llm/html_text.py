@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import named
+
 # Elements of HTML by their role.
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -21,18 +25,31 @@ _NOT_ARTICLE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|alert|banner|breadcrum
 
 #: Lines of standard deviation of the smoothing, and the share of the mean ratio from which a line is content.
 SIGMA, THRESHOLD = 2.0, 0.5
-_PART = 1 << 16
+#: What a line's ratio counts in an article or main element, against one outside.
+ARTICLE_WEIGHT = 2.0
+
+
+@dataclass
+class Line:
+    """A line's text, its characters in links, its tags, the section and the article or main element (0: none) that hold it."""
+
+    text: str
+    linked: int
+    tags: int
+    section: int
+    region: int
 
 
 class _Lines(HTMLParser):
-    """Cuts a page into lines at block elements: text, characters of it in links, tags, section, and whether an article or main holds it."""
+    """Cuts a page into lines at block elements, in time linear in the page."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int, bool]] = []
+        self.lines: list[Line] = []
         self._open: list[tuple[str, bool, int]] = []  # element, hidden, section
+        self._named: Counter[str] = Counter()  # open elements by name
         self._text: list[str] = []
-        self._tags = self._links = self._sections = self._in_link = self._in_article = self._hidden = 0
+        self._tags = self._links = self._sections = self._regions = self._in_article = self._hidden = 0
 
     def _section(self) -> int:
         return self._open[-1][2] if self._open else 0
@@ -40,7 +57,7 @@ class _Lines(HTMLParser):
     def _flush(self) -> None:
         text = " ".join("".join(self._text).split())
         if text:
-            self.lines.append((text, self._links, self._tags, self._section(), self._in_article > 0))
+            self.lines.append(Line(text, self._links, self._tags, self._section(), self._regions if self._in_article else 0))
         self._text, self._tags, self._links = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -51,31 +68,32 @@ class _Lines(HTMLParser):
             return
         if tag in CLOSED_BY_NEXT and self._open and self._open[-1][0] == tag:
             self._pop()
-        if tag in ("article", "main") and self._hidden:
-            # an unclosed menu or notice ends where the article begins
+        if tag in ("article", "main"):
             while self._hidden:
+                # an unclosed menu or notice ends where the article begins
                 self._pop()
-        hidden = tag in NOT_TEXT or tag not in ("html", "body", "article", "main") and any(v and k in ("class", "id", "role") and _NOT_ARTICLE.search(v) for k, v in attrs) or any(k in ("hidden",) or k == "aria-hidden" and v == "true" for k, v in attrs)
+            self._regions += not self._in_article
+            self._in_article += 1
+        hidden = tag in NOT_TEXT or tag not in ("html", "body", "article", "main") and any(v and k in ("class", "id", "role") and _NOT_ARTICLE.search(v) for k, v in attrs) or any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
         section = self._section()
         if tag in SECTIONS:
             self._sections += 1
             section = self._sections
         self._open.append((tag, hidden, section))
+        self._named[tag] += 1
         self._hidden += hidden
-        self._in_link += tag == "a"
-        self._in_article += tag in ("article", "main")
 
     def _pop(self) -> None:
         tag, hidden, _ = self._open.pop()
+        self._named[tag] -= 1
         self._hidden -= hidden
-        self._in_link -= tag == "a"
         self._in_article -= tag in ("article", "main")
 
     def handle_endtag(self, tag: str) -> None:
         self._tags += 1
         if tag in BLOCKS:
             self._flush()
-        if tag in VOID or not any(x[0] == tag for x in self._open):
+        if tag in VOID or not self._named[tag]:
             return
         while self._open[-1][0] != tag:
             self._pop()
@@ -84,13 +102,25 @@ class _Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self._hidden:
             self._text.append(data)
-            if self._in_link:
+            if self._named["a"]:
                 self._links += len(data)
 
-    def finish(self) -> list[tuple[str, int, int, int, bool]]:
-        self.close()
-        self._flush()
-        return self.lines
+
+def _closed(html: str) -> str:
+    """The page without beginnings of comments and tags that no end follows: the parser would look for each one's end to the end of the page."""
+    at = max(0, html.rfind("-->"))
+    html = html[:at] + html[at:].replace("<!--", " ")
+    at = html.rfind(">") + 1
+    return html[:at] + html[at:].replace("<", "&lt;")
+
+
+def lines_of(html: str) -> list[Line]:
+    """The lines of a page that show text and aren't hidden."""
+    parser = _Lines()
+    parser.feed(_closed(html))
+    parser.close()
+    parser._flush()
+    return parser.lines
 
 
 def smoothed(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -102,38 +132,41 @@ def smoothed(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
 
 
 def main_text(html: str | None) -> tuple[str, int]:
-    """(text, lines of it) of a page. Lines of a high smoothed text-to-tag ratio mark the content's sections, which are kept whole if their text is mostly not links.
+    """(text, lines of it) of a page. Null, empty or textless: ("", 0).
 
-    Where the page has an article or main element with text, only it is searched, and it is kept whole if none of its sections is content. Null,
-    empty or textless: ("", 0).
+    A line's ratio is its text outside links by its tags, ARTICLE_WEIGHT times as much in an article or main element. Ratios are smoothed over
+    neighbouring lines of one article, or outside all. Clusters of lines of THRESHOLD times the mean ratio or more select the sections they lie in,
+    and a selected section is kept whole unless its text is mostly links.
     """
-    if not html:
-        return "", 0
-    parser = _Lines()
-    for i in range(0, len(html), _PART):
-        parser.feed(html[i : i + _PART])
-    lines = parser.finish()
-    if any(x[4] for x in lines):
-        lines = [x for x in lines if x[4]]
+    lines = lines_of(html) if html else []
     if not lines:
         return "", 0
-    own = np.array([max(0, len(text) - linked) for text, linked, *_ in lines], float)
-    ratio = smoothed(own / np.array([max(1, x[2]) for x in lines]))
+    own = np.array([max(0, len(x.text) - x.linked) for x in lines], float)
+    weight = np.where([x.region > 0 for x in lines], ARTICLE_WEIGHT, 1.0)
+    ratio = weight * own / np.array([max(1, x.tags) for x in lines])
+    region = np.array([x.region for x in lines])
+    edges = np.flatnonzero(np.r_[True, region[1:] != region[:-1], True])
+    for a, b in zip(edges, edges[1:], strict=False):
+        ratio[a:b] = smoothed(ratio[a:b])
     content = (ratio >= THRESHOLD * ratio.mean()) & (own > 0)
     sums: dict[int, list[float]] = {}
     for x, n in zip(lines, own, strict=True):
-        s = sums.setdefault(x[3], [0, 0])
+        s = sums.setdefault(x.section, [0, 0])
         s[0] += n
-        s[1] += len(x[0])
-    kept = {x[3] for x, c in zip(lines, content, strict=True) if c and sums[x[3]][0] >= 0.5 * sums[x[3]][1]}
-    if not kept and lines[0][4]:
-        kept = set(sums)
-    texts = [x[0] for x in lines if x[3] in kept]
+        s[1] += len(x.text)
+    kept = {x.section for x, c in zip(lines, content, strict=True) if c and sums[x.section][0] >= 0.5 * sums[x.section][1]}
+    texts = [x.text for x in lines if x.section in kept]
     return " ".join(texts), len(texts)
 
 
 def extract(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """One row per page: the columns in `keep`, text, n_chars (code points), n_lines. No page is left out; other columns are not read."""
+    """One row per page: the columns in `keep`, text, n_chars (code points), n_lines. No page is left out, and repeated rows each get a row.
+
+    Null, empty and textless pages: "" and 0. Long pages are read whole, in time linear in their length. Empty table: no rows. Other columns are
+    not read; a kept column called like an output: ValueError.
+    """
+    for c in keep:
+        named(c, "text", "n_chars", "n_lines")
     kept = [df.schema[c] for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
