@@ -13,10 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset and Spark runs on one machine (tests) one of our own."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = getattr(spark.sparkContext, "_roadweave_shared", None)
+        if not found and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not found:
             found = "file://" + tempfile.mkdtemp(prefix="roadweave-shared-")
             spark.sparkContext._roadweave_shared = found
@@ -24,6 +26,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def named(id_col: str, *taken: str) -> None:
+    """Raises ValueError if an id column is called like one of an operator's own output columns."""
+    if id_col in taken:
+        raise ValueError(f"the id column can't be called {id_col!r}: the result has such a column")
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/roadweave-{tag}-{uuid.uuid4().hex[:12]}"

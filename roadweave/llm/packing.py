@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from .common import named
 from .tokens import encoder
 
 #: Tokens that are packed together; bounds a task's memory.
@@ -72,7 +72,9 @@ def pack_documents(df: DataFrame, tokenizer: str, end_id: int = 0, capacity: int
     A row's ids are those of its text and then `end_id`; each lies in one piece. Rows are packed in groups of about GROUP_TOKENS ids as they
     are read, without a shuffle; only the last sequence of a group is not full. Null text: empty, one piece with the end id. Null or repeated
     ids: each row is a document of its own. Empty table: no rows. Other columns are not read. sequence_id is unique, not dense.
+    An id column called like an output: ValueError.
     """
+    named(id_col, "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +111,3 @@ def pack_documents(df: DataFrame, tokenizer: str, end_id: int = 0, capacity: int
             yield packed()
 
     return df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"{id_col} {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
-
-
-def crc32(data: bytes) -> int:
-    return zlib.crc32(data)

@@ -2,7 +2,8 @@
 
 A part file holds the ids of its documents in order of their id, one after another, cut into rows of `width` ids.
 All batches have `rows` rows but the last, so the bytes of batch k begin at a computed place: neither a footer nor
-a scan is needed, and a memory-mapped row is a view of the file. `mask` is false where the last row is filled up.
+a scan is needed, and a memory-mapped row is a view of the file. `mask` is 0 where the last row is filled up,
+else 1: a byte each, so that masks are views as well.
 """
 
 from __future__ import annotations
@@ -15,14 +16,14 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import stored
+from .common import named, stored
 from .tokens import encoder
 
 WIDTH, ROWS = 2048, 64
 
 
 def _schema(dtype: np.dtype, width: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), width)), ("mask", pa.list_(pa.bool_(), width))])
+    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), width)), ("mask", pa.list_(pa.uint8(), width))])
 
 
 class TokenWriter:
@@ -41,7 +42,7 @@ class TokenWriter:
         self._n = 0
 
     def _put(self, ids: np.ndarray, used: int) -> None:
-        mask = np.arange(len(ids)) < used
+        mask = (np.arange(len(ids)) < used).astype(np.uint8)
         cols = [pa.FixedSizeListArray.from_arrays(pa.array(x), self._width) for x in (ids, mask)]
         self._stream.write_batch(pa.RecordBatch.from_arrays(cols, schema=self._schema))
 
@@ -76,7 +77,7 @@ class TokenFile:
         self._schema = pa.ipc.read_schema(self._file)
         self.width = self._schema.field("ids").type.list_size
         self._base = self._file.tell()
-        self._batches: dict[int, tuple[np.ndarray, pa.RecordBatch]] = {}
+        self._batches: dict[int, tuple[np.ndarray, np.ndarray, pa.RecordBatch]] = {}
         first = self._read(self._base)
         self._stride, self._rows = self._file.tell() - self._base, first.num_rows if first else 1
 
@@ -86,26 +87,26 @@ class TokenFile:
         return pa.ipc.read_record_batch(message, self._schema)
 
     def batch(self, k: int) -> pa.RecordBatch:
-        return self._batch(k)[1]
+        return self._batch(k)[2]
 
-    def _batch(self, k: int) -> tuple[np.ndarray, pa.RecordBatch]:
+    def _batch(self, k: int) -> tuple[np.ndarray, np.ndarray, pa.RecordBatch]:
         if k not in self._batches:
             self._batches.clear()
             b = self._read(self._base + k * self._stride)
-            self._batches[k] = b.column(0).values.to_numpy(zero_copy_only=True), b
+            self._batches[k] = *(b.column(c).values.to_numpy(zero_copy_only=True) for c in (0, 1)), b
         return self._batches[k]
 
     def row(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (a view) and mask of row i."""
-        ids, b = self._batch(i // self._rows)
-        r = i % self._rows
-        return ids[r * self.width : (r + 1) * self.width], np.array(b.column(1).slice(r, 1).flatten())
+        """Ids and mask of row i, as views."""
+        ids, mask, _ = self._batch(i // self._rows)
+        at = i % self._rows * self.width
+        return ids[at : at + self.width], mask[at : at + self.width].view(np.bool_)
 
     def span(self, start: int, n: int) -> np.ndarray:
         """The n ids from place `start` of the part's stream."""
         size, out = self.width * self._rows, []
         while n > 0:
-            ids, _ = self._batch(start // size)
+            ids = self._batch(start // size)[0]
             x = ids[start % size : start % size + n]
             out.append(x)
             start, n = start + len(x), n - len(x)
@@ -116,8 +117,10 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
     """Writes the ids of each text and `end_id` in ascending order of `id_col` to part files in `path`; returns their index.
 
     Index: part, file, `id_col`, at (place in its part), n_tokens, start (ids of all rows before it). Null text: empty, so its ids are the end id
-    alone. Null ids come first; rows with the same id follow each other in either order. Empty table: no rows.
+    alone. Null ids come first; rows with the same id follow each other in either order. Empty table: no rows. Other columns of df are not read.
+    An id column may not have the name of another column of the index: ValueError.
     """
+    named(id_col, "part", "file", "at", "n_tokens", "start", "ids")
     spark = df.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = df.schema[id_col].dataType.simpleString()

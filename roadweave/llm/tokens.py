@@ -25,15 +25,19 @@ _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\
 
 
 class Encoder:
-    """ids(text): the ids of the text, as little-endian unsigned 32-bit integers in bytes."""
+    """ids(text): the ids that the library's encode(text, add_special_tokens=False) gives, as little-endian unsigned 32-bit integers in bytes.
+
+    A special token's string in a text gets that token's id, as in the library's plain call.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
+        #: What all special tokens' strings begin with; a text that holds it is encoded as it stands.
+        self._special = os.path.commonprefix([x["content"] for x in made["added_tokens"] if x["special"]])
         self.vocab_size = self._tokenizer.get_vocab_size(with_added_tokens=True)
         if made.get("normalizer"):
             # white space is dropped and letters lowered: a piece is what stands between spaces and line feeds
@@ -53,7 +57,8 @@ class Encoder:
     def _stem(self, piece: str) -> tuple[str, str]:
         """A piece without a full stop or comma after its last letter, which the splitting always parts; in small ASCII letters if case is dropped."""
         mark = piece[-1:]
-        if (mark == "." or mark == ",") and piece[-2:-1].isalpha() and piece[-2] < "\u0250":
+        # a capital whose small form ends in a combining mark is no such letter: the splitting joins that with the full stop
+        if (mark == "." or mark == ",") and piece[-2:-1].isalpha() and piece[-2] < "\u0250" and len(piece[-2].lower()) == 1:
             piece = piece[:-1]
         else:
             mark = ""
@@ -82,6 +87,8 @@ class Encoder:
         return self._ids(text)
 
     def _ids(self, text: str) -> bytes:
+        if self._special and self._special in text:
+            return self.direct(text)
         pieces = self._pieces(text)
         new = list(set(pieces).difference(self._memo))
         if new:
