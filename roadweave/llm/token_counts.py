@@ -2,12 +2,14 @@
 
 The distinct pre-tokens of what a task reads are inserted in a trie. The forward score of a node (the best sum of log-probabilities of
 pieces that spell its prefix) is computed once, when the node is made, from those of the nodes above it; a pre-token's count is stored at
-its terminal node. Texts then sum the terminal counts of their pre-tokens.
+its terminal node. Texts then sum the terminal counts of their pre-tokens. A pre-token longer than MOST_CHARS shares nothing worth keeping:
+its forward pass keeps the scores of the last characters that a piece can reach, and it stays out of the trie.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -15,8 +17,14 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import named
+
 #: Nodes that a task keeps at most before it starts a new trie.
 MOST_NODES = 1_500_000
+#: Characters of a pre-token that is inserted in the trie at most.
+MOST_CHARS = 512
+#: Characters of a text that is cut into pre-tokens at once; those of a longer one are taken one after another.
+PART = 1 << 20
 SPACE = "▁"
 #: Log-probability of one byte of a character without a piece, below the rarest piece.
 BYTE_PENALTY = 10.0
@@ -55,6 +63,8 @@ class Trie(dict):
         self._score, self._count = array("d", [0.0]), array("q", [0])
 
     def __missing__(self, word: str) -> int:
+        if len(word) > MOST_CHARS:
+            return self._long(word)
         if len(self._score) > MOST_NODES:
             self._start()
         marked = SPACE + word
@@ -88,6 +98,33 @@ class Trie(dict):
         self[word] = count = counts[size]
         return count
 
+    def _long(self, word: str) -> int:
+        """The pieces of a long word, by a forward pass in a ring of as many scores as the longest piece has characters."""
+        size, marked = self._longest + 1, SPACE + word
+        scores, counts, known = [0.0] * size, [0] * size, 0
+        best: tuple[float, int] | None = None
+
+        def step() -> None:
+            nonlocal known, best
+            if best is None:
+                char = marked[known]
+                n = 1 if char < "\x80" else len(char.encode("utf-8", "surrogatepass"))
+                best = scores[known % size] + self._byte * n, counts[known % size] + n
+            known += 1
+            scores[known % size], counts[known % size] = best
+            best = None
+
+        for last, (n, piece) in self._ending.iter(marked) if self.pieces else ():
+            while known < last:
+                step()
+            at = (last + 1 - n) % size
+            found = scores[at] + piece, counts[at] + 1
+            if best is None or found[0] > best[0] or found[0] == best[0] and found[1] < best[1]:
+                best = found
+        while known < len(marked):
+            step()
+        return counts[known % size]
+
     def _by_bytes(self, marked: str, scores: list[float], counts: list[int]) -> None:
         """The next prefix, its last character as bytes."""
         char = marked[len(scores) - 1]
@@ -96,6 +133,11 @@ class Trie(dict):
         counts.append(counts[-1] + n)
 
 
+def _pre_tokens(text: str) -> Iterator[str]:
+    """The runs without white space; of a long text one at a time."""
+    return iter(text.split()) if len(text) <= PART else (m.group() for m in re.finditer(r"\S+", text))
+
+
 _trie: Trie | None = None
 
 
@@ -109,7 +151,9 @@ def _trie_of(pieces: dict[str, float]) -> Trie:
 
 def count_tokens(df: DataFrame, pieces: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: `id_col`, n_tokens, n_pretokens (runs without white space). Null or blank text: 0 and 0. A character without a piece counts its
-    UTF-8 bytes. Rows are counted where they are read, without a shuffle; whole texts. Repeated rows and null ids each get a row. Other columns are not read."""
+    UTF-8 bytes. Rows are counted where they are read, without a shuffle; whole texts. Repeated rows and null ids each get a row. Empty table: no rows.
+    Other columns are not read. An id column called like an output: ValueError."""
+    named(id_col, "n_tokens", "n_pretokens")
     kind = df.schema[id_col].dataType.simpleString()
     shared = df.sparkSession.sparkContext.broadcast(pieces)  # a vocabulary: its size doesn't depend on the data
 
@@ -118,9 +162,11 @@ def count_tokens(df: DataFrame, pieces: dict[str, float], id_col: str = "doc_id"
         for batch in batches:
             tokens, words = [], []
             for text in batch.column(1):
-                own = (text.as_py() or "").split()
-                tokens.append(sum(map(count, own)))
-                words.append(len(own))
+                n_tokens = n_words = 0
+                for n_words, word in enumerate(_pre_tokens(text.as_py() or ""), 1):  # noqa: B007
+                    n_tokens += count(word)
+                tokens.append(n_tokens)
+                words.append(n_words)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.int64()), pa.array(words, pa.int64())], names=[id_col, "n_tokens", "n_pretokens"])
 
     return df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"{id_col} {kind}, n_tokens long, n_pretokens long")
