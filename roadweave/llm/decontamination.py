@@ -2,7 +2,8 @@
 
 A seed is the hash of the words that a fixed mask selects from a span; a substituted word at an ignored place leaves it as it is.
 Seeds of the training texts are held against a Bloom filter of the benchmark's seeds where they are made; those that pass are joined
-with the benchmark's seeds on the hash, and each alignment they propose is verified word by word around the hit.
+with the benchmark's seeds on the hash, and each alignment they propose is verified word by word around the hit. A row of the verification
+holds one alignment: the item's words and those of the text that stand against them.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stored
+from .common import named, stored
 
 #: Places that a mask selects. Of any LONG words or more of which 0.8 are the same, one of the first four hits some;
 #: of five or six, one of the next four. An item of fewer words must be there whole, and its mask is all of it.
@@ -156,20 +157,19 @@ def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int, similarity: float
 
 
 def _verify(similarity: float, min_words: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    """Of alignments (words of the item, words against them from its word `first` on) those that overlap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out = []
-            for i, words, tests in zip(pdf["id"], pdf["words"], pdf["tests"], strict=True):
-                doc = np.asarray(words, np.int32)
-                best: dict = {}
-                for t in tests:
-                    item = np.asarray(t["words"], np.int32)
-                    start, n, same = overlap(doc, item, t["diagonal"], similarity, min_words)
-                    if n >= min(len(item), min_words) or same >= similarity * len(item) - 1e-9:
-                        if n and same >= similarity * n - 1e-9 and (t["item_id"] not in best or (same, -start, -t["diagonal"]) > best[t["item_id"]][0]):
-                            best[t["item_id"]] = ((same, -start, -t["diagonal"]), start + t["diagonal"], start, n, same, len(item))
-                out += [(i, k, at, start, n, same, same / n, size) for k, (_, at, start, n, same, size) in best.items()]
-            yield pd.DataFrame(out, columns=["id", "item_id", "word_at", "item_word_at", "n_words", "n_same", "similarity", "item_words"])
+            items, against = batch.column("words"), batch.column("against")
+            for i, (first, diagonal) in enumerate(zip(batch.column("first").to_pylist(), batch.column("diagonal").to_pylist(), strict=True)):
+                item, doc = (x[i].values.to_numpy() for x in (items, against))
+                start, n, same = overlap(doc, item, -first, similarity, min_words)
+                if n and same >= similarity * n - 1e-9 and (n >= min(len(item), min_words) or same >= similarity * len(item) - 1e-9):
+                    out.append((i, start + diagonal, start, n, same, len(item)))
+            at = pa.array([x[0] for x in out], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("k1", "k2", "item_id")), *(pa.array([x[k] for x in out], pa.int32()) for k in range(1, 6))], names=["k1", "k2", "item_id", "word_at", "item_word_at", "n_words", "n_same", "item_words"])
 
     return run
 
@@ -180,8 +180,10 @@ def overlaps(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col
     An overlap is an alignment's best stretch of min_words words or more (of all the item's words if it has fewer) of which `similarity` or more are
     the same, or `similarity` of the item where the text ends before it. All are found if similarity is 0.8 and min_words LONG at least. Items with
     the same words are one: the least item id stands for them. Of an item under five words, the first occurrence is reported. Null or empty texts
-    overlap nothing. Equal rows give one row. Empty tables: no rows.
+    overlap nothing; long ones are read whole. Equal rows give one row. Empty tables: no rows. Other columns are not read. An id column called like an
+    output: ValueError.
     """
+    named(id_col, "item_id", "word_at", "item_word_at", "n_words", "n_same", "similarity", "item_words")
     spark = docs.sparkSession
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), tests.schema[item_col].dataType.simpleString()
     items = tests.select(F.col(item_col).alias("id"), F.col(item_text_col).cast("string").alias("text")).where("text IS NOT NULL")
@@ -201,7 +203,12 @@ def overlaps(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col
     found = stored(rows.mapInArrow(_probe(shared, bits, masks), f"id {kind}, k1 long, k2 long, words array<int>, hits array<struct<seed: long, at: long>>"), "hits")
     hits = found.select("k1", "k2", F.explode("hits").alias("h")).select("k1", "k2", "h.*")
     lines = hits.join(item_seeds, "seed").select("k1", "k2", "item_id", (F.col("at") - F.col("item_at")).cast("int").alias("diagonal")).distinct()
-    tests_of = lines.join(items, "item_id").groupBy("k1", "k2").agg(F.collect_list(F.struct("item_id", "diagonal", "words")).alias("tests"))
-    texts = found.dropDuplicates(["k1", "k2"]).select("k1", "k2", "id", "words")
-    schema = f"id {kind}, item_id {item_kind}, word_at int, item_word_at int, n_words int, n_same int, similarity double, item_words int"
-    return texts.join(tests_of, ["k1", "k2"]).select("id", "words", "tests").mapInPandas(_verify(similarity, min_words), schema).withColumnRenamed("id", id_col)
+    texts = found.dropDuplicates(["k1", "k2"]).select("k1", "k2", "id", F.col("words").alias("own"))
+    # only the words that stand against the item's go on: no row grows with the number of its text's alignments
+    pairs = lines.join(items.select("item_id", "words"), "item_id").join(texts.select("k1", "k2", "own"), ["k1", "k2"])
+    pairs = pairs.withColumn("first", F.greatest(-F.col("diagonal"), F.lit(0))).withColumn("begin", F.greatest("diagonal", F.lit(0)))
+    pairs = pairs.select("k1", "k2", "item_id", "diagonal", "first", "words", F.slice("own", F.col("begin") + 1, F.greatest(F.size("words") - F.col("first"), F.lit(0))).alias("against"))
+    good = pairs.mapInArrow(_verify(similarity, min_words), f"k1 long, k2 long, item_id {item_kind}, word_at int, item_word_at int, n_words int, n_same int, item_words int")
+    best = F.max(F.struct("n_same", (-F.col("item_word_at")).alias("a"), (F.col("item_word_at") - F.col("word_at")).alias("b"), "word_at", "item_word_at", "n_words", "item_words")).alias("x")
+    out = good.groupBy("k1", "k2", "item_id").agg(best).join(texts.select("k1", "k2", "id"), ["k1", "k2"])
+    return out.select(F.col("id").alias(id_col), "item_id", "x.word_at", "x.item_word_at", "x.n_words", "x.n_same", (F.col("x.n_same") / F.col("x.n_words")).alias("similarity"), "x.item_words")
