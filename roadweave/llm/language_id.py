@@ -15,15 +15,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 UND = "und"
 #: Rows with a label that training reads at most; those of the smallest hash, so the same ones at any partitioning.
 TRAIN_ROWS = 2_000
-#: Words of a training row that are used at most (training only; prediction reads whole texts).
-TRAIN_WORDS = 120
-#: Languages that are learned at most, the most frequent ones.
-MOST_LANGS = 64
+#: Words of a training row that are used at most, in spans of SPAN words that its hash draws from the whole text (training only; prediction reads whole texts).
+TRAIN_WORDS, SPAN = 120, 20
 BUCKETS = 1 << 17
 #: Words that a task remembers at most.
 MEMO = 150_000
@@ -264,41 +262,49 @@ def _gradient(transitions: np.ndarray, e: np.ndarray, y: np.ndarray, starts: np.
     return d, dt
 
 
+def spans(words: list[str], seed: int, most: int | None = None) -> list[str]:
+    """The words, or of more than `most` (TRAIN_WORDS) so many: spans of SPAN words that the seed draws from all over the text, in its order."""
+    most = TRAIN_WORDS if most is None else most
+    if len(words) <= most:
+        return words
+    whole = -(-len(words) // SPAN)
+    drawn = np.sort(np.random.default_rng(seed).permutation(whole)[: -(-most // SPAN)])
+    return [w for k in drawn.tolist() for w in words[k * SPAN : (k + 1) * SPAN]]
+
+
+def _training_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = [spans(words_of(text.as_py()), h & 0xFFFFFFFF) for h, text in zip(batch.column(1).to_pylist(), batch.column(2), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string()))], names=["lang", "words"])
+
+
 def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> Model | None:
-    """A model of at most `rows` labelled texts, equally many of each language if there are so many, chosen by their hash; None without a labelled word.
+    """A model of at most `rows` labelled texts that hold a letter (at least one of each language), equally many of each language if there are so many,
+    chosen by their hash; None without a labelled word.
 
-    Copies of a text count once in a language, however many there are.
+    Copies of a text count once in a language, however many there are. Every language that occurs is learned: the model has BUCKETS weights for each.
     """
-    labelled = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    labelled = labelled.withColumn("h", F.xxhash64("text"))
-    distinct = labelled.groupBy("lang", "h").agg(F.count("*").alias("n"))
-    counts = distinct.groupBy("lang").agg(F.sum("n").alias("rows"), F.count("*").alias("texts")).orderBy(F.desc("rows"), "lang").limit(MOST_LANGS).collect()
+    labelled = df.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    labelled = labelled.where(F.regexp_like("text", F.lit(r"\p{L}"))).withColumn("h", F.xxhash64("text"))
+    counts = labelled.groupBy("lang", "h").agg(F.lit(1).alias("one")).groupBy("lang").agg(F.count("*").alias("texts")).collect()  # one row a language
     if not counts:
         return None
     each = max(1, rows // len(counts))
-    parts = []
-    for r in counts:
-        own = labelled.where(F.col("lang") == r["lang"])
-        # the bound is a share of the hash's range with room to spare, so that few rows are sorted
-        share = min(1.0, 2.0 * each / r["texts"] + 20.0 / r["texts"])
-        own = own.where(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-        own = own.groupBy("lang", "h").agg(F.min(F.substring("text", 1, 20 * TRAIN_WORDS)).alias("text"))
-        parts.append(own.orderBy("h").limit(each).select("lang", F.split("text", r"\s+").alias("w")))
-    sample = parts[0]
-    for x in parts[1:]:
-        sample = sample.unionByName(x)
-    found = sample.collect()
-    found = [(r["lang"], words_of(" ".join(r["w"]))[:TRAIN_WORDS]) for r in found]
-    found = sorted((lang, w) for lang, w in found if w)
+    # a bar on the hash with room to spare, so that few texts are sorted; of those the `each` least hashes stay
+    bars = df.sparkSession.createDataFrame([(r["lang"], int(min(1.0, (2.0 * each + 20.0) / r["texts"]) * (1 << 20)) + 1) for r in counts], "lang string, bar int")
+    few = labelled.join(F.broadcast(bars), "lang").where(F.pmod("h", F.lit(1 << 20)) < F.col("bar")).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    few = few.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("nth") <= each)
+    found = few.select("lang", "h", "text").mapInArrow(_training_words, "lang string, words array<string>").collect()  # at most `rows` of TRAIN_WORDS words
+    found = sorted((r["lang"], r["words"]) for r in found if r["words"])
     return fit(found) if found else None
 
 
 def predict(df: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """df with lang_pred, score (0 to 1) and n_switches (neighbouring words of different languages); columns of df with these names are replaced.
 
-    Null text, or text without a letter: UND with score 0. Without a model each text is UND. Whole texts are read. Empty table: no rows.
+    Null text, or text without a letter: UND with score 0. Without a model each text is UND. Whole texts are read. Repeated rows each get a row. Empty table: no rows.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS + lexicon rows of at most MOST_LANGS weights
+    shared = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS + lexicon rows of a weight for each language
     names = ("lang_pred", "score", "n_switches")
     kept = df.select(*[F.col(c).cast("string").alias(c) if c == text_col and df.schema[c].dataType != T.StringType() else F.col(c) for c in df.columns if c not in names])
     at = kept.columns.index(text_col)
