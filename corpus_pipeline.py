@@ -1,8 +1,8 @@
 """The corpus pipeline: from documents to packed training sequences.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each one's rows and reads them again as the next one's docs.
-All but the last return the columns of documents. A null doc_id stands for a document of its own text; repeated rows are one document
-from the near-duplicate stage on.
+All but the last return the columns of documents. A document is a pair of doc_id and text: rows of one doc_id, or of none, with different
+texts are different documents, and repeated rows are one from the near-duplicate stage on.
 """
 
 from __future__ import annotations
@@ -17,21 +17,20 @@ from roadweave.llm.packing import pack_documents
 from roadweave.llm.simhash import similar_documents
 from roadweave.llm.suffix_dedup import remove_repeats
 
-#: A text whose likeliest language has a smaller share of its letters is in no learned language.
-LEAST_SCORE = 0.3
 REPEAT_BYTES = 200
 END_ID = 0
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a key that is never null: the doc_id, or below zero a hash of the text."""
-    return docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), -1 - F.abs(F.shiftright(F.xxhash64("text"), 2))))
+    """docs with a key that is never null, one for each different pair of doc_id and text, in order of doc_id (null last)."""
+    first = F.coalesce(F.lpad(F.col("doc_id").cast("string"), 20, "0"), F.lit("~"))
+    return docs.withColumn("_key", F.concat(first, F.md5(F.concat(F.lit("."), F.coalesce("text", F.lit(""))))))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; a missing lang is filled in."""
+    """Documents with a word in some language; a missing lang is filled in."""
     named = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    found = predict(named, train(named)).where((F.col("lang_pred") != UND) & (F.col("score") >= LEAST_SCORE))
+    found = predict(named, train(named)).where(F.col("lang_pred") != UND)
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*named.columns)
 
 
