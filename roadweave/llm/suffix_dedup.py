@@ -6,7 +6,8 @@
 2. The windows of one anchor occurrence form one run; its bytes are its context. Equal contexts are collapsed to
    one with a count, so groups of copies and common passages are aggregated before they are shuffled.
 3. Contexts are dealt into shards by their anchor: equal windows always meet in one shard. Anchors with very many
-   occurrences are dealt by anchor, offset and the bytes that all windows of the piece share instead.
+   occurrences are dealt by anchor, offset and the bytes that all windows of the piece share instead; a deal of
+   contexts that is still too large for a shard is dealt window by window, equal ones collapsed to one with a count.
 4. Each shard is suffix-sorted by the difference cover {1, 2} mod 3: sampled triples are sorted and named, the
    names are sorted by recursion, the remaining suffixes are merged in, and neighbours' prefixes are compared.
 5. The repeated starts go back to their documents.
@@ -22,7 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import drop, stored
+from .common import drop, named, stored
 
 GRAM = 40
 #: Window starts that are hashed at once; bounds the memory that a very long text takes.
@@ -227,56 +228,33 @@ def _cut_contexts(length: int):
     return run
 
 
-def _exact_pieces(part: pd.DataFrame, length: int) -> list[np.ndarray]:
-    """repeated_starts() for a deal too large to sort at once: each window is its own context, and equal ones collapse to one with a count."""
-    seen: dict[bytes, int] = {}
-    rows = list(zip(part["context"], part["count"].tolist(), part["n"].tolist(), strict=True))
-    for text, count, n in rows:
-        for i in range(n):
-            k = _key(text[i : i + length])
-            seen[k] = seen.get(k, 0) + count
-    return [np.array([seen[_key(text[i : i + length])] > 1 for i in range(n)]) for text, _, n in rows]
-
-
 def _sort_shard(length: int):
-    """Suffix-sorts a shard in parts that hold whole deals. A context alone in its deal has no other to be compared with: its count decides."""
+    """Suffix-sorts a shard in parts that hold whole deals."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("deal", kind="stable", ignore_index=True)
         size = pdf["context"].str.len().to_numpy() + 1
         deal = pdf["deal"].to_numpy()
         first = np.flatnonzero(np.r_[True, deal[1:] != deal[:-1]])
-        last = np.r_[first[1:], len(pdf)]
-        alone = np.zeros(len(pdf), bool)
-        alone[first[last - first == 1]] = True
-        masks = [np.packbits(np.ones(n, bool)).tobytes() if one and count > 1 else b"" for one, count, n in zip(alone, pdf["count"], pdf["n"], strict=True)]
-
-        def sort(at: list[int]) -> None:
-            part = pdf.iloc[at]
-            whole = size[at].sum() < MOST
-            hit = repeated_starts(part["context"].tolist(), part["count"].tolist(), part["n"].tolist(), length) if whole else _exact_pieces(part, length)
-            for i, x in zip(at, hit, strict=True):
-                masks[i] = np.packbits(x).tobytes() if x.any() else b""
-
-        held: list[int] = []
-        total = 0
-        for a, b in zip(first.tolist(), last.tolist(), strict=True):
-            if b - a == 1:
-                continue
-            if held and total + size[a:b].sum() > SHARD_BYTES:
-                sort(held)
-                held, total = [], 0
-            held += range(a, b)
-            total += size[a:b].sum()
-        if held:
-            sort(held)
-        found = np.array([bool(x) for x in masks])
-        return pd.DataFrame({"key": pdf["key"].to_numpy()[found], "mask": [x for x in masks if x]})
+        total = np.add.reduceat(size, first) if len(pdf) else size
+        keys, masks = [], []
+        at, held = 0, 0
+        for k, n in enumerate(total.tolist() + [None]):
+            if n is None or held and held + n > SHARD_BYTES:
+                part = pdf.iloc[at : first[k] if n is not None else len(pdf)]
+                hit = repeated_starts(part["context"].tolist(), part["count"].tolist(), part["n"].tolist(), length)
+                for key, x in zip(part["key"], hit, strict=True):
+                    if x.any():
+                        keys.append(key)
+                        masks.append(np.packbits(x).tobytes())
+                at, held = at + len(part), 0
+            held += n or 0
+        return pd.DataFrame({"key": keys, "mask": masks})
 
     return run
 
 
-#: Letters of a shard fit in 20 bits of a packed key.
+#: Bytes of a deal's contexts beyond which it is dealt window by window; letters of what is sorted at once fit in 20 bits of a packed key.
 MOST = (1 << 20) - 8
 
 
@@ -309,9 +287,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A byte goes if a `length`-byte string over it starts anywhere else too, in this or another row; strings never cross rows.
     Null text: empty. Ids may be null or repeat: every row counts and gets a row of its own.
-    Empty table: no rows. Columns named in `carry` are returned too, in a struct `carried`; other columns of df are neither read nor returned.
+    Empty table: no rows. Long texts are read whole. An id column called like an output: ValueError. Columns named in `carry` are returned too, in a struct `carried`; other columns of df are neither read nor returned.
     as_text: kept is a string; what a cut has left of a character goes too.
     """
+    named(id_col, "n_bytes", "n_removed", "n_spans", "kept", "spans", "carried")
     if length < GRAM + 8:
         raise ValueError(f"length must be at least {GRAM + 8}")
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -329,16 +308,24 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     contexts = stored(cut.mapInArrow(_cut_contexts(length), "k1 long, k2 long, first long, n short, deal long, key binary, context binary"), "contexts")
     drop(anchors)
     drop(often)
-    distinct = contexts.groupBy("deal", "key", "n", "context").agg(F.count("*").alias("count"))
-    total = contexts.agg(F.sum(F.octet_length("context")).alias("x")).head()["x"] or 0
+    size = F.octet_length("context") + 1
+    deals = contexts.groupBy("deal", "key").agg(F.first(size).alias("size")).groupBy("deal").agg(F.sum("size").alias("size"))
+    deals = stored(deals.where(F.col("size") > MOST).select("deal"), "large-deals")
+    large = contexts.join(deals, "deal")
+    windows = large.select("k1", "k2", F.posexplode(F.expr(f"transform(sequence(0, n - 1), i -> substring(context, i + 1, {length}))")).alias("i", "context"), "first")
+    windows = windows.select("k1", "k2", (F.col("first") + F.col("i")).alias("first"), F.lit(1).cast("short").alias("n"), F.xxhash64("context").alias("deal"), F.unhex(F.md5("context")).alias("key"), "context")
+    dealt = contexts.join(deals, "deal", "left_anti").select(*windows.columns).unionByName(windows)
+    distinct = dealt.groupBy("deal", "key", "n", "context").agg(F.count("*").alias("count"))
+    total = contexts.agg(F.sum(size).alias("x")).head()["x"] or 0
     shards = max(1, -(-total // (4 * SHARD_BYTES)))
     found = (
         distinct.withColumn("shard", F.pmod(F.xxhash64("deal"), F.lit(shards)))
         .groupBy("shard")
         .applyInPandas(_sort_shard(length), "key binary, mask binary")
     )
-    hits = contexts.select("k1", "k2", "first", "n", "key").join(found, "key")
+    hits = dealt.select("k1", "k2", "first", "n", "key").join(found, "key")
     hits = stored(hits.groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "n", "mask")).alias("hits")), "hits")
+    drop(deals)
     drop(contexts)
     if carry:
         rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(*carry).alias("carried"))

@@ -613,7 +613,7 @@ def test_ratio_and_smoothing_decide(spark, monkeypatch):
     fixture = [p for p in pages if "<article>" in p and "<nav>" in p]
     strict = [html_text.main_text(p) for p in fixture]
     monkeypatch.setattr(html_text, "THRESHOLD", 0.5)
-    assert len(fixture) > 10 and sum(html_text.main_text(p) != x for p, x in zip(fixture, strict, strict=True)) > 0.5 * len(fixture)
+    assert sum(html_text.main_text(p) != x for p, x in zip(fixture, strict, strict=True)) > 10
 
 
 def test_pages_in_linear_time():
