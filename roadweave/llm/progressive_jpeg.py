@@ -1,6 +1,6 @@
 """Media columns as progressive JPEG: scans accumulate into coefficient arrays, which numpy turns into full-resolution RGB tensors.
 
-decode() reads any Huffman-coded progressive JPEG of eight bits. store() keeps arbitrary bytes without loss as coefficients, 64 a block, each
+decode() reads Huffman-coded progressive JPEGs of eight bits, of one or three components. store() keeps arbitrary bytes without loss as coefficients, 64 a block, each
 as 256 plus the byte: a DC scan and two AC bands by spectral selection, each in two steps of successive approximation. All coefficients then
 have the same size category and all codes one length, so that whole scans are packed and unpacked by array operations.
 """
@@ -16,7 +16,9 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
+
+from .common import named, stored
 
 BLOCK = 64
 #: MCUs of a row of the picture: its width of 16 samples an MCU fits in 16 bits.
@@ -368,14 +370,10 @@ def rgb_tensor(media: bytes) -> np.ndarray:
     return np.concatenate(list(rgb_rows(decode(media))))
 
 
-def feature(picture: Picture) -> str:
-    """Size, the means of the channels, and the CRC of the RGB tensor."""
-    sums, crc = np.zeros(3), 0
-    for rows in rgb_rows(picture):
-        sums += rows.reshape(-1, 3).sum(axis=0, dtype=np.int64)
-        crc = zlib.crc32(rows, crc)
-    r, g, b = sums / (picture.width * picture.height)
-    return f"{picture.width}x{picture.height} {r:.2f} {g:.2f} {b:.2f} {crc:08x}"
+def feature(rgb: np.ndarray) -> str:
+    """Size, the means of the channels, and the CRC of an RGB tensor."""
+    r, g, b = rgb.reshape(-1, 3).mean(axis=0)
+    return f"{rgb.shape[1]}x{rgb.shape[0]} {r:.2f} {g:.2f} {b:.2f} {zlib.crc32(np.ascontiguousarray(rgb)):08x}"
 
 
 def padded(text: str | None) -> tuple[bytes, int]:
@@ -385,7 +383,9 @@ def padded(text: str | None) -> tuple[bytes, int]:
 
 
 def media_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: `id_col` and media, the progressive JPEG that holds the text's padded bytes. Null text: empty. Other columns are not read."""
+    """One row per input row: `id_col` and media, the progressive JPEG that holds the text's padded bytes. Null text: empty. Repeated rows
+    each get a row; long texts are stored whole. Empty table: no rows. Other columns are not read."""
+    named(id_col, "media")
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -404,35 +404,51 @@ def _with_size(text: str | None) -> tuple[bytes, bytes]:
 
 
 def tensors(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """`id_col`, height, width and rgb (binary, rows of columns of three channels) of each picture of a media column. A null picture has nulls."""
+    """`id_col`, media_bytes, media_sha256, n_bytes and payload (what store() put in; null in other pictures), height, width and rgb (binary, rows of columns
+    of three channels) of each picture of a media column. A null picture has nulls. Repeated rows each get a row. Empty table: no rows."""
+    named(id_col, "media", "media_bytes", "media_sha256", "n_bytes", "payload", "height", "width", "rgb")
     kind = media.schema[id_col].dataType.simpleString()
+    types = {"media_bytes": pa.int64(), "media_sha256": pa.string(), "n_bytes": pa.int64(), "payload": pa.binary(), "height": pa.int32(), "width": pa.int32(), "rgb": pa.binary()}
+
+    def one(data: bytes | None) -> tuple:
+        if data is None:
+            return (None,) * len(types)
+        picture = decode(data)
+        own = len(picture.comment) == 16
+        rgb = np.concatenate(list(rgb_rows(picture)))
+        return len(data), sha256(data).hexdigest(), struct.unpack(">Q", picture.comment[8:])[0] if own else None, restore(picture) if own else None, *rgb.shape[:2], rgb.tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 16):
-                part = batch.slice(i, 16)
-                rgb = [rgb_tensor(x.as_py()) if x.is_valid else None for x in part.column(1)]
-                dims = [pa.array([None if x is None else x.shape[k] for x in rgb], pa.int32()) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *dims, pa.array([None if x is None else x.tobytes() for x in rgb], pa.binary())], names=[id_col, "height", "width", "rgb"])
-
-    return media.select(id_col, "media").mapInArrow(run, f"{id_col} {kind}, height int, width int, rgb binary")
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                cols = zip(*(one(x.as_py()) for x in part.column(1)), strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, t) for x, t in zip(cols, types.values(), strict=True))], names=[id_col, *types])
 
+    return media.select(id_col, "media").mapInArrow(run, f"{id_col} {kind}, media_bytes long, media_sha256 string, n_bytes long, payload binary, height int, width int, rgb binary")
 
-def digests(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """What is read back from each picture of media_column(): `id_col`, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
-    kind = media.schema[id_col].dataType.simpleString()
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
-    def one(data: bytes) -> tuple:
-        picture = decode(data)
-        payload = restore(picture)
-        n = struct.unpack(">Q", picture.comment[8:16])[0]
-        return n, len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(data), sha256(data).hexdigest(), feature(picture)
+def features(pictures: DataFrame) -> DataFrame:
+    """The rows of tensors() with feature, computed from their rgb column, in place of it. A null picture has a null feature."""
+    kept = [c for c in pictures.columns if c not in ("height", "width", "rgb")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = list(zip(*(one(x.as_py()) for x in batch.column(1)), strict=True)) or [()] * 7
-            types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(cols, types, strict=True))], names=[id_col, *names])
-
-    return media.select(id_col, "media").mapInArrow(run, f"{id_col} {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+            out = []
+            for h, w, rgb in zip(batch.column("height").to_pylist(), batch.column("width").to_pylist(), batch.column("rgb"), strict=True):
+                out.append(feature(np.frombuffer(rgb.as_buffer(), np.uint8).reshape(h, w, 3)) if rgb.is_valid else None)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.string())], names=[*kept, "feature"])
+
+    return pictures.mapInArrow(run, T.StructType([*(pictures.schema[c] for c in kept), T.StructField("feature", T.StringType())]))
+
+
+def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Texts stored as a table of pictures and what is read back from it: `id_col`, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
+    media_sha256, feature. Null text: empty. Repeated rows each get a row; long texts are stored whole. Empty table: no rows."""
+    pictures = tensors(stored(media_column(df, id_col, text_col), "media"), id_col)
+    payload = F.col("payload")
+    shown = pictures.select(
+        id_col, "n_bytes", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"),
+        F.crc32(F.substring(payload, -BLOCK, BLOCK)).alias("tail_crc32"), "media_bytes", "media_sha256", "height", "width", "rgb",
+    )
+    return features(shown)

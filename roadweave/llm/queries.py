@@ -40,9 +40,9 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .progressive_jpeg import digests, media_column
+    from .progressive_jpeg import digests
 
-    return digests(media_column(table(spark, sf_dir, "documents")))
+    return digests(table(spark, sf_dir, "documents"))
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -445,7 +445,7 @@ def test_training_sample_of_copied_texts(spark, monkeypatch):
 
 
 def test_jpeg_round_trip(spark, corpus):
-    rows = progressive_jpeg.digests(progressive_jpeg.media_column(docs(spark, corpus))).collect()
+    rows = progressive_jpeg.digests(docs(spark, corpus)).collect()
     want = collections.Counter()
     for i, x in corpus:
         b = (x or "").encode()
@@ -453,9 +453,19 @@ def test_jpeg_round_trip(spark, corpus):
         want[i, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])] += 1
     assert collections.Counter(tuple(r)[:5] for r in rows) == want
     assert len({r["feature"] for r in rows if r["doc_id"] in (9001, 9002)}) == 1
+    texts = {i: x for i, x in corpus if i is not None}
+    for r in rows[:40]:
+        if r["doc_id"] is not None:
+            media = progressive_jpeg.store(*progressive_jpeg._with_size(texts[r["doc_id"]]))
+            rgb = progressive_jpeg.rgb_tensor(media)
+            h, w, _ = rgb.shape
+            mean = [float(rgb[:, :, k].astype(np.float64).mean()) for k in range(3)]
+            assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+            assert r["feature"] == f"{w}x{h} {mean[0]:.2f} {mean[1]:.2f} {mean[2]:.2f} {zlib.crc32(rgb.tobytes()):08x}"
     t = progressive_jpeg.tensors(progressive_jpeg.media_column(docs(spark, [(1, "x" * 100), (2, None)]))).collect()
     assert all(len(r["rgb"]) == r["height"] * r["width"] * 3 for r in t)
-    assert progressive_jpeg.digests(progressive_jpeg.media_column(docs(spark, corpus).limit(0))).count() == 0
+    assert progressive_jpeg.features(progressive_jpeg.tensors(spark.createDataFrame([(1, None)], "doc_id long, media binary"))).first()["feature"] is None
+    assert progressive_jpeg.digests(docs(spark, corpus).limit(0)).count() == 0
 
 
 def test_jpeg_symbol_by_symbol(monkeypatch):
