@@ -11,13 +11,13 @@ def within_budget(asks: DataFrame, budgets: DataFrame, key: list[str], order: li
     return asks.withColumn("_rank", rank).join(budgets.select(*key, budget), key, "left").withColumn("granted", F.col("_rank") <= F.coalesce(F.col(budget), F.lit(0))).drop("_rank", budget)
 
 
-def reservations(routes: DataFrame, demand: DataFrame, strength: float, bound: int) -> DataFrame:
-    """Vehicles of each route: od_id, candidate_id, n. routes: od_id, candidate_id, base, capacity; demand: od_id, demand (at most `bound`).
+def reservations(routes: DataFrame, demand: DataFrame, strength: float) -> DataFrame:
+    """Vehicles of each route: od_id, candidate_id, n. routes: od_id, candidate_id, base, capacity; demand: od_id, demand.
 
     The n-th vehicle of a route costs base + strength * n / capacity; an od's vehicles take the cheapest units, ties by route. The costs of a route's units
     rise, so that ranking all units is the same as adding one vehicle after another.
     """
-    units = routes.join(demand, "od_id").where(F.col("demand") > 0).withColumn("n", F.explode(F.sequence(F.lit(1), F.least("demand", F.lit(bound)))))
+    units = routes.join(demand, "od_id").where(F.col("demand") > 0).withColumn("n", F.explode(F.sequence(F.lit(1), "demand")))
     marginal = F.col("base") + strength * F.col("n") / F.greatest("capacity", F.lit(1e-6))
     w = Window.partitionBy("od_id").orderBy("marginal", "candidate_id", "n")
     taken = units.withColumn("marginal", marginal).withColumn("r", F.row_number().over(w)).where("r <= demand").groupBy("od_id", "candidate_id").agg(F.count("*").alias("n"))

@@ -132,11 +132,11 @@ def audit_gate(t: Traffic) -> DataFrame:
     return t.outcome().agg(((F.count_distinct("od_id") >= 10) & (F.stddev_pop("observed_travel_time") > 1) & (F.min("observed_travel_time") >= 0)).alias("passed"))
 
 
-@query("SELECT od_id, trip_id, od_id IN (SELECT DISTINCT od_id FROM tf_outcome WHERE od_id % 5 = 3) AS validation FROM tf_outcome WHERE trip_id % 50 = 0")
+@query("SELECT od_id, trip_id, od_id IN (SELECT DISTINCT od_id FROM tf_outcome WHERE od_id % 5 = 3) AS validation FROM tf_outcome")
 def graph_split(t: Traffic) -> DataFrame:
     """Samples of the held-out networks, and the others."""
     held = t.outcome().where("od_id % 5 = 3").select("od_id").distinct().withColumn("v", F.lit(True))
-    return t.outcome().where("trip_id % 50 = 0").select("od_id", "trip_id").join(held, "od_id", "left").select("od_id", "trip_id", F.coalesce("v", F.lit(False)).alias("validation"))
+    return t.outcome().select("od_id", "trip_id").join(held, "od_id", "left").select("od_id", "trip_id", F.coalesce("v", F.lit(False)).alias("validation"))
 
 
 @query("SELECT DISTINCT od_id, CAST(1 AS INT) AS selected, CAST(round(0.9 + 0.7 * (1 + od_id % 4), 6) AS DOUBLE) AS total FROM tf_outcome")

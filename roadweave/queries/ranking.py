@@ -60,7 +60,7 @@ def _routes(t: Traffic) -> DataFrame:
 k AS (SELECT *, row_number() OVER (PARTITION BY od_id ORDER BY marginal, candidate_id, n) AS r FROM u) SELECT rt.od_id, rt.candidate_id, count(k.n) AS n FROM rt LEFT JOIN k ON k.od_id = rt.od_id AND k.candidate_id = rt.candidate_id AND k.r <= k.demand GROUP BY rt.od_id, rt.candidate_id""")
 def route_reservations(t: Traffic) -> DataFrame:
     r = _routes(t)
-    return A.reservations(r, r.select("od_id").distinct().withColumn("demand", 20 + _c("od_id") % 7), 5.0, 40)
+    return A.reservations(r, r.select("od_id").distinct().withColumn("demand", 20 + _c("od_id") % 7), 5.0)
 
 
 @query()

@@ -115,10 +115,10 @@ def cache_pruning(t: Traffic) -> DataFrame:
     return o.join(F.broadcast(newest), "generation").groupBy("od_id", "arm").agg(F.count("*").alias("n"))
 
 
-@query("SELECT CAST(start_tick AS INT) AS tick, 'inject' AS control, event_id FROM tf_event WHERE event_id % 100 = 0 UNION ALL SELECT CAST(end_tick + 1 AS INT), 'clear', event_id FROM tf_event WHERE event_id % 100 = 0")
+@query("SELECT CAST(start_tick AS INT) AS tick, 'inject' AS control, event_id FROM tf_event UNION ALL SELECT CAST(end_tick + 1 AS INT), 'clear', event_id FROM tf_event")
 def scenario_controls(t: Traffic) -> DataFrame:
     """Messages that inject an event at its start and clear it after its end."""
-    e = t.event().where("event_id % 100 = 0")
+    e = t.event()
     both = F.array(F.struct(_c("start_tick").alias("tick"), F.lit("inject").alias("control")), F.struct((_c("end_tick") + 1).alias("tick"), F.lit("clear").alias("control")))
     return e.select("event_id", F.explode(both).alias("c")).select("c.tick", "c.control", "event_id")
 

@@ -146,7 +146,7 @@ def test_reservations_equal_one_by_one(spark):
     r = random.Random(5)
     routes = [(od, c, r.uniform(0, 10), r.uniform(0.5, 4)) for od in range(5) for c in range(4)]
     demand = [(od, r.randint(0, 10)) for od in range(5)]
-    got = {(x["od_id"], x["candidate_id"]): x["n"] for x in agents.reservations(spark.createDataFrame(routes, "od_id int, candidate_id int, base double, capacity double"), spark.createDataFrame(demand, "od_id int, demand int"), 2.0, 10).collect()}
+    got = {(x["od_id"], x["candidate_id"]): x["n"] for x in agents.reservations(spark.createDataFrame(routes, "od_id int, candidate_id int, base double, capacity double"), spark.createDataFrame(demand, "od_id int, demand int"), 2.0).collect()}
     for od, d in demand:
         own = {c: [b, k, 0] for o, c, b, k in routes if o == od}
         for _ in range(d):
