@@ -41,9 +41,9 @@ def test_near_dedup(stages):
     for a in texts:
         alike = [jaccard(a, b) for b in texts if b != a and abs(len(a) - len(b)) < 0.5 * len(a)]
         if a in kept:
-            assert not any(jaccard(a, b) >= 0.93 for b in kept if b != a)
+            assert not any(jaccard(a, b) >= 0.8 for b in kept if b != a)
         else:
-            assert max(alike, default=0) > 0.65  # a document goes for the sake of one like it
+            assert max(alike, default=0) >= 0.8  # a document goes for the sake of one like it
     ids = {r["text"]: r["doc_id"] for r in before}
     assert len(after) > 0.8 * len(ids)
 
@@ -76,6 +76,17 @@ def test_columns_and_run(spark, stages):
     assert C.run(spark, SF).count() > 0
 
 
+def test_one_id_with_several_texts(spark):
+    """Different texts of one doc_id, and of none, are different documents; one that goes takes no other with it."""
+    docs = C.table(spark, SF, "documents")
+    item = max((r["text"] for r in C.table(spark, SF, "benchmark").collect()), key=len)
+    own = [r["text"] for r in docs.where("length(text) between 300 and 900").limit(3).collect()]
+    rows = spark.createDataFrame([(i, t, "en", "s", len(t)) for i in (5, None) for t in [*own, item + " and more", own[0]]], docs.schema)
+    assert sorted(r["text"] for r in C.near_dedup(spark, rows, SF).collect()) == sorted({*own, item + " and more"})
+    left = C.decontaminate(spark, rows, SF).collect()
+    assert collections.Counter((r["doc_id"], r["text"]) for r in left) == collections.Counter((r["doc_id"], r["text"]) for r in rows.collect() if r["text"] in own)
+
+
 def test_empty_table(spark):
     docs = C.table(spark, SF, "documents").limit(0)
     for _, stage in C.STAGES:
