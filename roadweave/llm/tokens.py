@@ -10,6 +10,7 @@ import functools
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,15 @@ MEMO_BYTES = 160_000_000
 PART = 1 << 20
 #: The white space of Unicode, as the vocabulary's patterns understand it.
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: A word that the vocabularies' splitting leaves whole: letters that composing keeps and whose small form is one letter (a space may lead where spaces are kept).
+_WORD = " ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if it is visible, else one of those from U+0100 on, in order."""
+    seen = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
 class Encoder:
@@ -47,6 +57,8 @@ class Encoder:
             # a word takes the one space before it; the last white space before a word is apart from what precedes it
             self._lowers = False
             self._pieces = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+").findall
+        # words of letters alone skip the library's normalizing and splitting and go to its model at once
+        self._model, self._letters, self._word = self._tokenizer.model.tokenize, _byte_letters(), re.compile(_WORD).fullmatch
         self._cut = re.compile(f"[^{_WHITE}](?= [^{_WHITE}])").search
         self._memo: dict[str, bytes] = {}
         self._size = 0
@@ -64,10 +76,24 @@ class Encoder:
             mark = ""
         return (piece.lower() if self._lowers and piece.isascii() else piece), mark
 
+    def _word_ids(self, word: str) -> bytes:
+        if self._lowers:
+            word = word.strip(" ").lower()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self._letters)
+        elif word[0] == " ":
+            word = self._letters[32] + word[1:]
+        return array("I", [x.id for x in self._model(word)]).tobytes()
+
     def _learn(self, new: list[str]) -> None:
         memo = self._memo
         stems = list(map(self._stem, new))
         unknown = list({x for x, _ in stems}.union({m for _, m in stems}).difference(memo))
+        words = [x for x in unknown if self._word(x)]
+        for x in words:
+            memo[x] = self._word_ids(x)
+            self._size += len(memo[x]) + len(x) + 140
+        unknown = list(set(unknown).difference(words)) if words else unknown
         for i in range(0, len(unknown), 1000):
             part = unknown[i : i + 1000]
             e = self._tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
