@@ -20,11 +20,6 @@ def ema(old, observed, rate: float) -> Column:
     return (1 - rate) * old + rate * observed
 
 
-def ema_of(values: Column, start: Column, rate: float) -> Column:
-    """ema() over an array in order."""
-    return F.aggregate(values, start, lambda a, x: (1 - rate) * a + rate * x)
-
-
 def arm_update(value, reward, alpha: float) -> Column:
     return value + alpha * (reward - value)
 

@@ -109,9 +109,9 @@ h AS (SELECT floor(((bearing + 5) % 360) / 10) AS bin, count(*) AS n FROM k GROU
 d AS (SELECT node, count(*) AS deg FROM (SELECT u AS node FROM e UNION ALL SELECT v FROM e) GROUP BY node)"""
 
 
-def streets(t: Traffic) -> DataFrame:
-    """Undirected streets with the vector between their ends."""
-    e = t.link().select(F.least("src_node_id", "dst_node_id").alias("u"), F.greatest("src_node_id", "dst_node_id").alias("v")).distinct()
+def streets(t: Traffic, link: DataFrame | None = None) -> DataFrame:
+    """Undirected streets of the links (of all, unless some are given) with the vector between their ends."""
+    e = (t.link() if link is None else link).select(F.least("src_node_id", "dst_node_id").alias("u"), F.greatest("src_node_id", "dst_node_id").alias("v")).distinct()
     n = t.node()
     a = n.select(_c("node_id").alias("u"), _c("x").alias("ax"), _c("y").alias("ay"))
     b = n.select(_c("node_id").alias("v"), _c("x").alias("bx"), _c("y").alias("by"))

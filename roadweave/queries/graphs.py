@@ -85,11 +85,11 @@ def candidate_refresh(t: Traffic) -> DataFrame:
 
 
 def _sparse(t: Traffic) -> DataFrame:
-    """A network in several parts: only some of the links."""
-    return t.link().where("link_id % 11 = 3").select(_c("src_node_id").alias("u"), _c("dst_node_id").alias("v"))
+    """The network that is left when every link that can be blocked is."""
+    return t.link().where("NOT is_blockable").select(_c("src_node_id").alias("u"), _c("dst_node_id").alias("v"))
 
 
-_PARTS = """RECURSIVE e AS (SELECT src_node_id AS u, dst_node_id AS v FROM tf_link WHERE link_id % 11 = 3), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r(node_id, to_id) AS (SELECT node_id, node_id FROM tf_node UNION SELECT r.node_id, b.v FROM r JOIN b ON b.u = r.to_id), w AS (SELECT node_id, min(to_id) AS root FROM r GROUP BY node_id)"""
+_PARTS = """RECURSIVE e AS (SELECT src_node_id AS u, dst_node_id AS v FROM tf_link WHERE NOT is_blockable), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r(node_id, to_id) AS (SELECT node_id, node_id FROM tf_node UNION SELECT r.node_id, b.v FROM r JOIN b ON b.u = r.to_id), w AS (SELECT node_id, min(to_id) AS root FROM r GROUP BY node_id)"""
 
 
 @query(f"WITH {_PARTS} SELECT node_id, root FROM w")
@@ -102,14 +102,14 @@ def component_order(t: Traffic) -> DataFrame:
     return G.component_order(G.weak_components(t.node().select("node_id"), _sparse(t)))
 
 
-@query("""WITH RECURSIVE e AS (SELECT src_node_id AS u, dst_node_id AS v FROM tf_link WHERE link_id % 11 = 3), r(a, b) AS (SELECT node_id, node_id FROM tf_node UNION SELECT r.a, e.v FROM r JOIN e ON e.u = r.b), p AS (SELECT DISTINCT origin_node_id AS a, destination_node_id AS b FROM tf_trip WHERE stage = 'active')
+@query("""WITH RECURSIVE e AS (SELECT src_node_id AS u, dst_node_id AS v FROM tf_link WHERE NOT is_blockable), r(a, b) AS (SELECT node_id, node_id FROM tf_node UNION SELECT r.a, e.v FROM r JOIN e ON e.u = r.b), p AS (SELECT DISTINCT origin_node_id AS a, destination_node_id AS b FROM tf_trip WHERE stage = 'active')
 SELECT p.a, p.b, r.a IS NOT NULL AS reached FROM p LEFT JOIN r ON r.a = p.a AND r.b = p.b""")
 def directed_reachability(t: Traffic) -> DataFrame:
     pairs = t.trip().where("stage = 'active'").select(_c("origin_node_id").alias("a"), _c("destination_node_id").alias("b")).distinct()
     return G.reachable_pairs(pairs, _sparse(t))
 
 
-@query("""WITH RECURSIVE e AS (SELECT src_node_id AS u, dst_node_id AS v FROM tf_link WHERE link_id % 11 = 3), r(a, b) AS (SELECT node_id, node_id FROM tf_node UNION SELECT r.a, e.v FROM r JOIN e ON e.u = r.b), p AS (SELECT a.node_id AS a, b.node_id AS b, sha256('3:' || a.node_id || ':' || b.node_id) AS h FROM tf_node a JOIN tf_node b ON a.node_id <> b.node_id),
+@query("""WITH RECURSIVE e AS (SELECT src_node_id AS u, dst_node_id AS v FROM tf_link WHERE NOT is_blockable), r(a, b) AS (SELECT node_id, node_id FROM tf_node UNION SELECT r.a, e.v FROM r JOIN e ON e.u = r.b), p AS (SELECT a.node_id AS a, b.node_id AS b, sha256('3:' || a.node_id || ':' || b.node_id) AS h FROM tf_node a JOIN tf_node b ON a.node_id <> b.node_id),
 s AS (SELECT a, b FROM p ORDER BY h, a, b LIMIT 50) SELECT count(*) AS n_pairs, count(r.a) AS n_reached FROM s LEFT JOIN r ON r.a = s.a AND r.b = s.b""")
 def sampled_od_reachability(t: Traffic) -> DataFrame:
     """Fifty pairs by the hash of seed and pair, and how many of them are connected."""
@@ -135,7 +135,8 @@ def connectivity_repair(t: Traffic) -> DataFrame:
 
 
 def _thin(t: Traffic) -> DataFrame:
-    s = streets(t).where("(u * 7 + v) % 5 < 2")
+    """The streets of the collectors."""
+    s = streets(t, t.link().where("road_class = 'collector'"))
     return s.select((_c("u") * 25 + _c("v")).cast("long").alias("edge_id"), "u", "v", F.hypot(_c("bx") - _c("ax"), _c("by") - _c("ay")).alias("length"))
 
 

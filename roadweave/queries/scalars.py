@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from roadweave.functions import encoding as E, geometry as G, learning as L
+from roadweave.functions import encoding as E, geometry as G
 from roadweave.sources.traffic import Traffic
 
 from . import query
@@ -150,9 +150,16 @@ def packet_envelope(t: Traffic) -> DataFrame:
     return t.event().where("start_tick <= 30 AND end_tick >= 30").select("event_id", E.envelope("event_overlay", _c("start_tick"), item).alias("packet"))
 
 
-@query("SELECT od_id, round(sum(observed_travel_time * pow(0.7, n - r)) * 0.3, 4) AS ema FROM (SELECT od_id, observed_travel_time, row_number() OVER (PARTITION BY od_id ORDER BY trip_id) AS r, count(*) OVER (PARTITION BY od_id) AS n FROM tf_outcome WHERE trip_id % 10 = 0) GROUP BY od_id")
+@query("SELECT od_id, round(sum(observed_travel_time * pow(0.7, n - r)) * 0.3, 4) AS ema FROM (SELECT od_id, observed_travel_time, row_number() OVER (PARTITION BY od_id ORDER BY trip_id, observed_travel_time) AS r, count(*) OVER (PARTITION BY od_id) AS n FROM tf_outcome) GROUP BY od_id")
 def ema_sequence(t: Traffic) -> DataFrame:
-    """Running mean of each od's every tenth trip, in order."""
-    seq = F.transform(F.array_sort(F.collect_list(F.struct("trip_id", "observed_travel_time"))), lambda x: x["observed_travel_time"])
-    g = t.outcome().where("trip_id % 10 = 0").groupBy("od_id").agg(seq.alias("seq"))
-    return g.select("od_id", _r(L.ema_of(_c("seq"), F.lit(0.0), 0.3), 4).alias("ema"))
+    """Running mean of each od's trips, in order.
+
+    A trip weighs by how many of its od follow it: those in its own range of trip ids by rank, those in later ranges by count, so that no task
+    sorts more than a range. The ranges' sums are few and are weighed in the same way.
+    """
+    later = Window.partitionBy("od_id", "range").orderBy(F.desc("trip_id"), F.desc("observed_travel_time"))
+    ranked = t.outcome().select("od_id", "trip_id", "observed_travel_time", F.floor(_c("trip_id") / 100_000).alias("range")).withColumn("after", F.row_number().over(later) - 1)
+    sums = ranked.groupBy("od_id", "range").agg(F.sum(_c("observed_travel_time") * F.pow(F.lit(0.7), "after")).alias("part"), F.count("*").alias("n"))
+    ranges = Window.partitionBy("od_id").orderBy(F.desc("range"))
+    weighed = sums.withColumn("after", F.sum("n").over(ranges) - _c("n"))
+    return weighed.groupBy("od_id").agg(_r(F.sum(_c("part") * F.pow(F.lit(0.7), "after")) * 0.3, 4).alias("ema"))
