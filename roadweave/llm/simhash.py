@@ -34,23 +34,27 @@ TILE, TILE_SHINGLES = 256, 100_000
 
 def fingerprint(text: str | None, words_in_shingle: int = 3, seed: int = 42) -> int:
     """64 bits: each is 1 if set in over half of the XXH64 hashes of the word shingles. Fewer words: they are one shingle. None: 0."""
-    if not text:
-        return 0
-    words = text.encode("utf-8", "surrogatepass").lower().split()
+    return _fingerprints_of(_words(text), words_in_shingle, (seed,))[0]
+
+
+def _fingerprints_of(words: list[bytes], words_in_shingle: int, seeds: tuple[int, ...]) -> list[int]:
+    """A fingerprint for each seed."""
+    digest = xxhash.xxh64_intdigest
     if not words:
-        return 0
+        return [0] * len(seeds)
     if len(words) <= words_in_shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), seed)
+        return [digest(b" ".join(words), seed) for seed in seeds]
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate([[0], ends[: -words_in_shingle]]).tolist()
     ends = (ends[words_in_shingle - 1 :] - 1).tolist()
     joined = b" ".join(words)
-    del words
-    digest, total, ones = xxhash.xxh64_intdigest, len(starts), np.zeros(64, np.int64)
+    total, ones = len(starts), np.zeros((len(seeds), 64), np.int64)
     for i in range(0, total, 1 << 16):
-        h = np.array([digest(joined[a:b], seed) for a, b in zip(starts[i : i + (1 << 16)], ends[i : i + (1 << 16)], strict=True)], "<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(sum(1 << k for k in range(64) if 2 * ones[k] > total))
+        shingles = [joined[a:b] for a, b in zip(starts[i : i + (1 << 16)], ends[i : i + (1 << 16)], strict=True)]
+        for k, seed in enumerate(seeds):
+            h = np.fromiter(map(digest, shingles, itertools.repeat(seed)), "<u8", len(shingles))
+            ones[k] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return [int.from_bytes(np.packbits(2 * x > total, bitorder="little").tobytes(), "little") for x in ones]
 
 
 def _fingerprints(words_in_shingle: int, seed: int):
@@ -343,9 +347,13 @@ def shingle_set(words: list[bytes], words_in_shingle: int = 5) -> np.ndarray:
 def _text_rows(feature_words: int, seeds: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x.as_py() for x in batch.column(1)]
-            fps = [pa.array(np.array([fingerprint(x, feature_words, seed) for x in texts], np.uint64).view(np.int64)) for seed in seeds]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_text_key(_words(x)) for x in texts], pa.binary()), *fps], names=["id", "node", *(f"fp{k}" for k in range(len(seeds)))])
+            keys, fps = [], np.zeros((batch.num_rows, len(seeds)), np.uint64)
+            for i, text in enumerate(batch.column(1)):
+                words = _words(text.as_py())
+                keys.append(_text_key(words))
+                fps[i] = _fingerprints_of(words, feature_words, seeds)
+            cols = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in fps.T]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), *cols], names=["id", "node", *(f"fp{k}" for k in range(len(seeds)))])
 
     return run
 
