@@ -8,7 +8,6 @@ probabilities; a text's language has the largest sum of them, each word weighted
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -31,38 +30,64 @@ PART = 500_000
 BLOCK = 64
 
 #: A word is a run of letters; CJK letters, kana and Thai, written without spaces, are words of one letter.
-_WORD = re.compile(r"[฀-๿぀-ヿ㐀-鿿豈-﫿]|(?:(?![฀-๿぀-ヿ㐀-鿿豈-﫿])[^\W\d_])+")
+_SINGLE = "฀-๿぀-ヿ㐀-鿿豈-﫿"
+_LONE = re.compile(f"[{_SINGLE}]")
+_WORD = re.compile(rf"[{_SINGLE}]|(?:(?![{_SINGLE}])[^\W\d_])+")
+#: The same words where no letter stands alone.
+_RUN = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text) if text else []
+    if not text:
+        return []
+    return (_WORD if not text.isascii() and _LONE.search(text) else _RUN).findall(text)
 
 
-class _Buckets(dict):
-    """The bucket of each feature's name; hashed once."""
+#: Multiplier of the grams' rolling hashes: odd, about 2^64 over the golden ratio.
+_TURN = np.uint64(0x9E3779B97F4A7C15)
 
-    def __missing__(self, name: str) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        self[name] = v = zlib.crc32(name.encode("utf-8", "surrogatepass")) % BUCKETS
-        return v
 
+def features_of(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets of all words' features one word after the other, their number for each word), for words that aren't empty.
 
-_buckets = _Buckets()
-
-
-def features(word: str, lexicon: dict[str, int]) -> list[int]:
-    """Buckets of a word's features: prefixes, suffixes, n-grams, script; the lexicon's words have their own after the hashed ones."""
-    w = word.lower()
-    marked = f"^{w}$"
-    n = len(marked)
-    names = [marked[:3], marked[:4], marked[-4:], marked[-5:], f"block{ord(w[0]) >> 7}"]
-    names += [marked[i : i + 2] for i in range(n - 1)]
-    names += [marked[i : i + 3] for i in range(1, n - 3)]
-    out = [_buckets[x] for x in names]
-    if w in lexicon:
-        out.append(BUCKETS + lexicon[w])
-    return out
+    Prefixes and suffixes, n-grams of two and three letters with the word's ends marked, and the block of the first letter are hashed
+    to BUCKETS; the lexicon's words have a feature of their own after those.
+    """
+    lowered = [w.lower() for w in words]
+    cp = np.frombuffer("".join(f"^{w}$" for w in lowered).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = np.fromiter(map(len, lowered), np.int64, len(words)) + 2
+    start = np.cumsum(n) - n
+    own = np.fromiter((lexicon.get(w, -1) for w in lowered), np.int64, len(words))
+    # grams[k][i]: the bucket of the k letters from i on
+    padded = np.concatenate([cp, np.zeros(5, np.uint64)])
+    rolled, grams = cp.copy(), {}
+    for k in range(2, 6):
+        rolled = rolled * _TURN + padded[k - 1 : k - 1 + len(cp)]
+        grams[k] = _bucket(rolled)
+    counts = 5 + (n - 1) + np.maximum(n - 4, 0) + (own >= 0)
+    out = np.cumsum(counts) - counts
+    flat = np.empty(counts.sum(), np.int64)
+    # of words shorter than an affix the whole is taken
+    whole = np.where(n >= 4, grams[4][start], grams[3][start])
+    flat[out] = grams[3][start]
+    flat[out + 1] = whole
+    flat[out + 2] = np.where(n >= 4, grams[4][np.maximum(start + n - 4, 0)], whole)
+    flat[out + 3] = np.where(n >= 5, grams[5][np.maximum(start + n - 5, 0)], whole)
+    flat[out + 4] = _bucket((cp[start + 1] >> np.uint64(7)) + np.uint64(1 << 40))
+    nth = np.arange(len(cp)) - np.repeat(start, n)
+    left, to = np.repeat(n, n) - nth, np.repeat(out + 5, n) + nth
+    two = left >= 2
+    flat[to[two]] = grams[2][two]
+    three = (nth >= 1) & (left >= 4)
+    flat[(to + np.repeat(n - 2, n))[three]] = grams[3][three]
+    known = own >= 0
+    flat[(out + counts - 1)[known]] = BUCKETS + own[known]
+    return flat, counts
+
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * _TURN
+    return (h >> np.uint64(40)).astype(np.int64) % BUCKETS
 
 
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -87,9 +112,7 @@ class Model:
                 self._memo.clear()
                 self._rows = None
                 new = list(set(words))
-            feats = [features(w, self.lexicon) for w in new]
-            counts = np.fromiter(map(len, feats), np.int64, len(feats))
-            flat = np.fromiter((i for f in feats for i in f), np.int64, counts.sum())
+            flat, counts = features_of(new, self.lexicon)
             rows = np.add.reduceat(self.weights[flat], np.cumsum(counts) - counts, axis=0) / np.sqrt(counts)[:, None]
             at = len(self._memo)
             self._memo.update(zip(new, range(at, at + len(new)), strict=True))
@@ -121,7 +144,7 @@ class Model:
             live = inside[:, t]
             if not live.any():
                 break
-            m = (whole[live] @ move) * e[at[live, t]][:, None, :]
+            m = (whole[live].reshape(-1, k) @ move).reshape(-1, k, k) * e[at[live, t]][:, None, :]
             whole[live] = m / m.sum(axis=(1, 2), keepdims=True)
         # chain the blocks of each sequence: what comes in from the left, and from the right
         left, right = np.ones((len(seq), k)), np.ones((len(seq), k))
@@ -197,8 +220,10 @@ def fit(rows: list[tuple[str, list[str]]], epochs: int = 5, seed: int = 7, lexic
     if k < 2:
         return model
     rng = np.random.default_rng(seed)
-    cache: dict[str, np.ndarray] = {}
-    feats = [[cache[w] if w in cache else cache.setdefault(w, np.array(features(w, lexicon))) for w in words] for _, words in rows]
+    distinct = sorted({w for _, words in rows for w in words})
+    flat, counts = features_of(distinct, lexicon)
+    cache = dict(zip(distinct, np.split(flat, np.cumsum(counts)[:-1]), strict=True))
+    feats = [[cache[w] for w in words] for _, words in rows]
     w_sum, t_sum = np.full(model.weights.shape, 1e-6), np.full((k, k), 1e-6)
     for _ in range(epochs):
         spans = []

@@ -685,6 +685,37 @@ def test_as_of_against_brute_force(spark):
 # --- language ---------------------------------------------------------------
 
 
+def test_word_features_are_those_of_each_word_alone():
+    turn, top = 0x9E3779B97F4A7C15, 1 << 64
+
+    def bucket(h):
+        h = (h ^ (h >> 29)) * turn % top
+        return (h >> 40) % language_id.BUCKETS
+
+    def gram(x):
+        h = ord(x[0])
+        for c in x[1:]:
+            h = (h * turn + ord(c)) % top
+        return bucket(h)
+
+    words, lexicon = ["a", "Ab", "abc", "abcd", "Straße", "a", "漢", "\U00010400x", "İstanbul", "z" * 3000], {"ab": 0, "straße": 1}
+    flat, counts = language_id.features_of(words, lexicon)
+    got = [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])]
+    for word, own in zip(words, got, strict=True):
+        w = word.lower()
+        m = f"^{w}$"
+        want = [gram(m[:3]), gram(m[:4]), gram(m[-4:]), gram(m[-5:]), bucket((ord(w[0]) >> 7) + (1 << 40))]
+        want += [gram(m[i : i + 2]) for i in range(len(m) - 1)] + [gram(m[i : i + 3]) for i in range(1, len(m) - 3)]
+        want += [language_id.BUCKETS + lexicon[w]] if w in lexicon else []
+        assert own == want, word
+    assert [len(x) for x in map(np.asarray, language_id.features_of([], lexicon))] == [0, 0]
+
+
+def test_words_are_runs_of_letters_and_lone_letters():
+    for text in ("plain words, 2x", "naïve café", "漢字かな mixed ไทย text", "a漢b", "", None):
+        assert language_id.words_of(text) == (language_id._WORD.findall(text) if text else [])
+
+
 def test_forward_backward_in_blocks():
     r = np.random.default_rng(0)
     model = language_id.Model(["a", "b", "c"], {}, np.zeros((1, 3)), r.normal(size=(3, 3)))
