@@ -4,9 +4,31 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of results that a task gathers before it hands them on.
+BATCH_BYTES = 16_000_000
+
+
+def gathered(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of some thousand, or of about BATCH_BYTES of strings."""
+    out, held = [], 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    for row in rows:
+        out.append(row)
+        held += sum(len(x) for x in row if isinstance(x, (bytes, str)))
+        if len(out) >= 5000 or held > BATCH_BYTES:
+            yield batch()
+            out, held = [], 0
+    if out:
+        yield batch()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -79,6 +79,30 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs.select("doc_id", "text", "held_out"), model).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_token_counts, op3_suffix_dedup, op4_decontamination, op5_progressive_jpeg, op6_html_text, op7_simhash, op8_warc_revisits, op9_packing, op10_language_id)}
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic_runs import longest, planted, runs, runs_text
+
+    out = runs(planted(table(spark, sf_dir, "documents")), min_length=6, min_exponent=4).withColumn("best", longest("runs"))
+    exponent = F.expr("1000 * best.length div best.period").alias("exponent_milli")
+    digests = F.sha2(runs_text("runs").cast("binary"), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", exponent, *digests)
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .byte_bpe import decode_documents, encode_documents
+
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    out = decode_documents(encode_documents(table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern)
+    n = F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens")
+    return out.select("doc_id", n, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_files, op2_token_counts, op3_suffix_dedup, op4_decontamination, op5_progressive_jpeg, op6_html_text, op7_simhash, op8_warc_revisits, op9_packing, op10_language_id,
+        op12_periodic_runs, op13_byte_bpe,
+    )
+}
 
 ORACLES: dict[str, str] = {"op8_warc_revisits": warc.ORACLE}
