@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import warc
+from . import collocations, warc
 from .common import scratch, table
 
 
@@ -79,6 +79,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs.select("doc_id", "text", "held_out"), model).drop("text")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .periodic_runs import longest, planted, runs, runs_text
 
@@ -101,8 +105,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_token_files, op2_token_counts, op3_suffix_dedup, op4_decontamination, op5_progressive_jpeg, op6_html_text, op7_simhash, op8_warc_revisits, op9_packing, op10_language_id,
-        op12_periodic_runs, op13_byte_bpe,
+        op11_collocations, op12_periodic_runs, op13_byte_bpe,
     )
 }
 
-ORACLES: dict[str, str] = {"op8_warc_revisits": warc.ORACLE}
+ORACLES: dict[str, str] = {"op8_warc_revisits": warc.ORACLE, "op11_collocations": collocations.ORACLE}
