@@ -6,7 +6,8 @@ one place and ANDed with a following word's bitmap it is that of the longer phra
 places stop phrases at the ends of pieces. Phrases are extended depth first, over a range of first words at a time.
 
 Only the sums of the counts over all shards tell which phrases are frequent, so a phrase is counted in every shard or in none: words first,
-then pairs of frequent words, then what frequent pairs make up. What is frequent is told to the shards by a Bloom filter of bounded size: a
+then pairs of frequent words, then what frequent pairs make up. Pairs are many, most of them rare: they are summed by 64-bit keys first, and
+those whose key may be frequent are then counted as words. What is frequent is told to the shards by a Bloom filter of bounded size: a
 phrase that it lets through by mistake is counted too, and dropped after the sum. With more frequent phrases than the filter separates,
 more is counted, and nothing is lost.
 """
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import drop, named, stored
 
 #: Places of a shard, about, and bytes of a text that are cut at once; a piece is never parted.
-SHARD_WORDS, TEXT_BYTES = 1 << 20, 1 << 22
+SHARD_WORDS, TEXT_BYTES = 1 << 19, 1 << 22
 #: Rows of bitmaps that are extended at once.
 RANGE_ROWS = 1 << 18
 #: The most bits of the filter of frequent phrases (16 MB).
@@ -157,6 +158,14 @@ class Found:
         self.place = place[first]
         self.count = np.add.reduceat(np.bitwise_count(bits).astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
 
+    def only(self, good: np.ndarray) -> Found:
+        """The phrases for which good is true."""
+        out = object.__new__(Found)
+        out.bitmaps = self.bitmaps.part(good[self.bitmaps.label])
+        out.bitmaps.label = (np.cumsum(good) - 1)[out.bitmaps.label]
+        out.place, out.count = self.place[good], self.count[good]
+        return out
+
 
 def extend(phrases: Bitmaps, ends: Bitmaps, row_of: np.ndarray, last: np.ndarray, n_last: int) -> Found:
     """The phrases longer by one word: their bitmaps shifted and ANDed with those of `ends`.
@@ -220,18 +229,18 @@ def _phrases(words: pa.Array, ids: np.ndarray, place: np.ndarray, size: int) ->
     return pc.binary_join_element_wise(*(words.take(pa.array(ids[place - k] - 1)) for k in range(size - 1, -1, -1)), " ")
 
 
-def _counted(all_shards: DataFrame, count: Callable[[str, pa.Array, np.ndarray], Iterator[tuple[pa.Array, np.ndarray]]], least: int) -> DataFrame:
-    """(lang, phrase, f) of the phrases that `count` finds in the shards, at least `least` times in all."""
+def _each(all_shards: DataFrame, made: Callable[[str, pa.Array, np.ndarray], Iterator[list[pa.Array]]], schema: str) -> DataFrame:
+    """The rows that `made` gives for the shards' language, words and places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split(" ")[0] for c in schema.split(", ")]
         for batch in batches:
             for k in range(batch.num_rows):
                 lang, words = batch.column(0)[k].as_py(), batch.column(1)[k].values
-                for phrase, n in count(lang, words, np.frombuffer(batch.column(2)[k].as_py(), np.int32)):
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrase), pa.string()), phrase, pa.array(n, pa.int64())], names=["lang", "phrase", "n"])
+                for columns in made(lang, words, np.frombuffer(batch.column(2)[k].as_py(), np.int32)):
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    found = all_shards.select("lang", "words", "places").mapInArrow(run, "lang string, phrase string, n long")
-    return found.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    return all_shards.select("lang", "words", "places").mapInArrow(run, schema)
 
 
 def _ranges(labels: np.ndarray) -> Iterator[slice]:
@@ -263,44 +272,45 @@ def frequent(df: DataFrame, least: int, lang_col: str = "lang", text_col: str =
         for part in _ranges(one.label):
             yield extend(one.part(part), one, row_of, ids, len(keys)), keys
 
-    def pairs(lang: str, words: pa.Array, ids: np.ndarray) -> Iterator[tuple[pa.Array, np.ndarray]]:
-        for found, _ in pairs_of(lang, words, ids):
-            yield _phrases(words, ids, found.place, 2), found.count
+    def keyed_pairs(lang: str, words: pa.Array, ids: np.ndarray) -> Iterator[list[pa.Array]]:
+        for found, keys in pairs_of(lang, words, ids):
+            yield [pa.array(_pair_keys(keys[ids[found.place - 1]], keys[ids[found.place]]).view(np.int64)), pa.array(found.count, pa.int64())]
 
-    words2 = stored(_counted(base, pairs, least), "pairs")
-    w = F.split("phrase", " ")
-    k1, k2 = F.xxhash64("lang", w[0]), F.xxhash64("lang", w[1])
-    ok_pairs = context.broadcast(Filter.of(words2.select(k1.bitwiseXOR(F.shiftleft(k2, 1).bitwiseOR(F.shiftrightunsigned(k2, 63))).alias("key"))))
+    sums = _each(base, keyed_pairs, "key long, n long").groupBy("key").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    pairs = stored(sums.select("key"), "pairs")
+    ok_pairs = context.broadcast(Filter.of(pairs))
+
+    def phrases(lang: str, words: pa.Array, ids: np.ndarray) -> Iterator[list[pa.Array]]:
+        def row(found: Found, size: int) -> list[pa.Array]:
+            return [pa.array([lang] * len(found.place), pa.string()), _phrases(words, ids, found.place, size), pa.array(found.count, pa.int64())]
 
-    def longer(lang: str, words: pa.Array, ids: np.ndarray) -> Iterator[tuple[pa.Array, np.ndarray]]:
-        label, block, bits, base_label = [], [], [], 0
+        parts: list[Bitmaps] = []
         row_of = np.full(len(ids), -1, np.int64)
-        n = 0
+        n = labels = 0
         for found, keys in pairs_of(lang, words, ids):
-            good = ok_pairs.value(_pair_keys(keys[ids[found.place - 1]], keys[ids[found.place]]))
-            two = found.bitmaps.part(np.flatnonzero(good[found.bitmaps.label]))
-            row, place = two.places()
-            row_of[place] = row + n
-            n += len(two.label)
-            label.append(two.label + base_label)
-            block.append(two.block)
-            bits.append(two.bits)
-            base_label += len(found.place)
+            found = found.only(ok_pairs.value(_pair_keys(keys[ids[found.place - 1]], keys[ids[found.place]])))
+            two = found.bitmaps
+            at, place = two.places()
+            row_of[place] = at + n
+            parts.append(Bitmaps(two.label + labels, two.block, two.bits))
+            n, labels = n + len(two.label), labels + len(found.place)
+            yield row(found, 2)
         if not n:
             return
-        two = Bitmaps(np.concatenate(label), np.concatenate(block), np.concatenate(bits))
+        two = Bitmaps(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("label", "block", "bits")))
         for part in _ranges(two.label):
             now = two.part(part)
             for size in range(3, most_words + 1):
                 found = extend(now, two, row_of, ids, len(words) + 1)
                 if not len(found.place):
                     break
-                yield _phrases(words, ids, found.place, size), found.count
+                yield row(found, size)
                 now = found.bitmaps
 
-    words3 = stored(_counted(base, longer, least), "phrases")
-    out = words1.unionByName(words2).unionByName(words3)
-    return totals, out.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("size"), "f"), [base, words1, words2, words3]
+    counted = _each(base, phrases, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+    longer = stored(counted.where(F.col("f") >= least), "phrases")
+    out = words1.unionByName(longer)
+    return totals, out.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("size"), "f"), [base, words1, pairs, longer]
 
 
 def collocations(df: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = 30, most_words: int = 4, best: int = 2000, cover: int = 80) -> DataFrame:
