@@ -1,20 +1,14 @@
-"""Graph operators over edge tables: components, reachability, shortest paths, routes, contraction, bridges."""
+"""Graph operators over edge tables: components, reachability, shortest paths, routes, contraction."""
 
 from __future__ import annotations
 
-import heapq
-from collections import defaultdict
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from roadweave.functions.routing import OUT_OF_REACH, UNREACHABLE
+from roadweave.functions.routing import OUT_OF_REACH
+from roadweave.operators.ranks import ranked
+from roadweave.operators.spatial import nearest
 from roadweave.plans.loops import cut
 
-#: Links of a network that a task may hold for a search; a city has some ten thousands.
-MOST_LINKS = 2_000_000
-
 
 def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node_id, root): the least node of its component. nodes: node_id; edges: u, v.
@@ -36,7 +30,7 @@ def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def component_order(components: DataFrame) -> DataFrame:
     """(component_id, root, size): the largest first, ties by the least node; ids from 0."""
     sizes = components.groupBy("root").agg(F.count("*").alias("size"))
-    return sizes.select((F.row_number().over(Window.orderBy(F.desc("size"), "root")) - 1).alias("component_id"), "root", "size")
+    return ranked(sizes, F.desc("size"), "root").select((F.col("rank") - 1).cast("int").alias("component_id"), "root", "size")
 
 
 def cost_to_go(links: DataFrame, destinations: DataFrame) -> DataFrame:
@@ -88,65 +82,75 @@ def greedy_routes(starts: DataFrame, links: DataFrame, turns: DataFrame, costs:
     return now.select("od_id", "origin_id", "destination_id", F.when(F.col("done"), F.col("path")).otherwise(F.array().cast("array<int>")).alias("path"))
 
 
-def ranked_paths(ods: DataFrame, links: DataFrame, turns: DataFrame, costs: DataFrame, k: int, max_hops: int, max_expansions: int = 20_000) -> DataFrame:
-    """(od_id, rank, path, cost): the k cheapest paths without a node twice, under turn rules; ties by the order in which they were found. ods: od_id, origin_id, destination_id.
+def ranked_paths(ods: DataFrame, links: DataFrame, turns: DataFrame, costs: DataFrame, k: int, max_hops: int, max_expansions: int | None = None) -> DataFrame:
+    """(od_id, rank, path, cost, met_bound): the k cheapest paths of each od (od_id, origin_id, destination_id) without a node twice, under turn rules; ties by the path.
 
-    Partial paths wait by cost so far plus cost to go, so they end in order of cost. The search is of one od; ods are dealt over the tasks, each of
-    which holds the network, whose size is checked.
+    Partial paths are rows, ordered by cost so far plus cost to go, which never falls along a path. Each round adds a link to all of them by one
+    equi-join. A row goes when the cost to go is known to be in vain: it is dearer than the k cheapest whole paths so far, or `max_expansions`
+    rows of its od come before it. That is the bound on the search: at most so many rows of an od, in order, are looked at, by default
+    k * max(16, 4 * links). An od that met it has `met_bound` set, also where no path was found (one row with a null rank). Other ods without a
+    path, those that start at their goal among them, have no row.
     """
-    spark = ods.sparkSession
-    network = links.where("NOT blocked").select("link_id", "src_node_id", "dst_node_id", "cost").limit(MOST_LINKS + 1).toPandas()
-    if len(network) > MOST_LINKS:
-        raise ValueError(f"the network has over {MOST_LINKS} links; search its parts")
-    legal = turns.where("NOT is_forbidden").select("from_link_id", "to_link_id").limit(16 * MOST_LINKS + 1).toPandas()
-    if len(legal) > 16 * MOST_LINKS:
-        raise ValueError("the network has too many turns; search its parts")
-    shared = spark.sparkContext.broadcast((network, legal))
-    goals = costs.groupBy("destination_id").agg(F.map_from_entries(F.collect_list(F.struct("node_id", "cost"))).alias("goal"))
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        net, allowed = shared.value
-        out, follow = defaultdict(list), defaultdict(set)
-        for r in net.sort_values("link_id").itertuples(index=False):
-            out[r.src_node_id].append((r.link_id, r.dst_node_id, r.cost))
-        for r in allowed.itertuples(index=False):
-            follow[r.from_link_id].add(r.to_link_id)
-        for pdf in batches:
-            rows = []
-            for od in pdf.itertuples(index=False):
-                goal = dict(od.goal)
-                heap, serial, found, expanded = [(goal.get(od.origin_id, UNREACHABLE), 0, 0.0, od.origin_id, (), (od.origin_id,))], 1, 0, 0
-                while heap and found < k and expanded < max_expansions:
-                    estimate, _, cost, node, path, seen = heapq.heappop(heap)
-                    if estimate >= OUT_OF_REACH:
-                        break
-                    if node == od.destination_id:
-                        found += 1
-                        rows.append((od.od_id, found, list(path), cost))
-                        continue
-                    expanded += 1
-                    if len(path) >= max_hops:
-                        continue
-                    for link, to, step in out[node]:
-                        if to in seen or path and link not in follow[path[-1]]:
-                            continue
-                        heapq.heappush(heap, (cost + step + goal.get(to, UNREACHABLE), serial, cost + step, to, (*path, link), (*seen, to)))
-                        serial += 1
-            yield pd.DataFrame(rows, columns=["od_id", "rank", "path", "cost"])
-
-    kind = ods.schema["od_id"].dataType.simpleString()
-    return ods.join(goals, "destination_id").select("od_id", "origin_id", "destination_id", "goal").mapInPandas(search, f"od_id {kind}, rank int, path array<int>, cost double")
+    usable = cut(links.where("NOT blocked").select("link_id", F.col("src_node_id").alias("src"), F.col("dst_node_id").alias("to"), F.col("cost").alias("step")))
+    bound = max_expansions or k * max(16, 4 * links.count())
+    follow = cut(turns.where("NOT is_forbidden").select(F.col("from_link_id").alias("last"), F.col("to_link_id").alias("link_id")).join(usable, "link_id"))
+    goal = cut(costs.where(F.col("cost") < OUT_OF_REACH).select("destination_id", F.col("node_id").alias("to"), F.col("cost").alias("rest")))
+    start = ods.where("origin_id <> destination_id").join(goal, ["destination_id"]).where("to = origin_id")
+    front = cut(start.select("od_id", "destination_id", F.col("to").alias("at"), F.lit(None).cast("int").alias("last"), F.array().cast("array<int>").alias("path"), F.array("to").alias("seen"), F.lit(0.0).alias("cost"), F.col("rest").alias("estimate")))
+    seen = front.select("od_id", "estimate", "cost", "path", F.lit(False).alias("whole"))
+    found = seen.where("whole")
+    first = lambda: Window.partitionBy("od_id").orderBy("estimate", "cost", "path")
+    for hop in range(max_hops):
+        x = front.join(usable, front["at"] == usable["src"]) if hop == 0 else front.join(follow, "last")
+        x = x.where(~F.array_contains("seen", F.col("to"))).join(goal, ["destination_id", "to"]).withColumn("cost", F.col("cost") + F.col("step"))
+        x = x.select("od_id", "destination_id", F.col("to").alias("at"), F.col("link_id").alias("last"), F.concat("path", F.array("link_id")).alias("path"), F.concat("seen", F.array("to")).alias("seen"), "cost", (F.col("cost") + F.col("rest")).alias("estimate"))
+        dear = found.groupBy("od_id").agg(F.count("*").alias("n"), F.max("estimate").alias("most")).where(F.col("n") >= k).select("od_id", "most")
+        x = x.join(dear, "od_id", "left").where("most IS NULL OR estimate <= most").drop("most")
+        x = cut(x.withColumn("place", F.row_number().over(first())).where(F.col("place") <= bound + 1).drop("place"))
+        whole = F.col("at") == F.col("destination_id")
+        rows = x.select("od_id", "estimate", "cost", "path", whole.alias("whole"))
+        seen = seen.unionByName(rows)
+        found = cut(found.unionByName(rows.where("whole")).withColumn("place", F.row_number().over(first())).where(F.col("place") <= k).drop("place"))
+        front = x.where(~whole)
+        if front.isEmpty():
+            break
+    # one sort by od: which turn each row has, which of the whole paths it is, and whether the bound was met
+    of_od = Window.partitionBy("od_id")
+    x = seen.withColumn("turn", F.row_number().over(first())).withColumn("rank", F.sum(F.col("whole").cast("int")).over(first().rowsBetween(Window.unboundedPreceding, 0)))
+    x = x.withColumn("good", F.col("whole") & (F.col("rank") <= k) & (F.col("turn") <= bound))
+    x = x.withColumn("n", F.sum(F.col("good").cast("int")).over(of_od)).withColumn("met_bound", (F.max("turn").over(of_od) > bound) & (F.col("n") < k))
+    out = x.where("good OR (met_bound AND n = 0 AND turn = 1)")
+    some = lambda c: F.when(F.col("good"), F.col(c)).alias(c)
+    return out.select("od_id", some("rank").cast("int").alias("rank"), some("path"), some("cost"), "met_bound")
 
 
 def reachable_pairs(pairs: DataFrame, edges: DataFrame) -> DataFrame:
-    """pairs (a, b) with `reached`: whether b can be reached from a over directed edges (u, v). A frontier of each distinct start grows until nothing is new."""
-    edges = cut(edges.select("u", "v").distinct())
-    seen = cut(pairs.select("a").distinct().select("a", F.col("a").alias("b")))
-    front = seen
+    """pairs (a, b) with `reached`: whether b can be reached from a over directed edges (u, v).
+
+    What edges in both directions join is one place, found in few rounds. Between places a frontier of each distinct start grows until nothing
+    is new: as many rounds as the longest way has one-way edges.
+    """
+    edges = cut(edges.select("u", "v").where("u <> v").distinct())
+    nodes = edges.select(F.col("u").alias("node_id")).union(edges.select("v")).union(pairs.select("a")).union(pairs.select("b")).distinct()
+    both = edges.join(edges.select(F.col("u").alias("v"), F.col("v").alias("u")), ["u", "v"])
+    place = cut(weak_components(nodes, both))
+    named = lambda df, c: df.join(place.select(F.col("node_id").alias(c), F.col("root").alias(f"{c}_")), c)
+    ways = cut(named(named(edges, "u"), "v").where("u_ <> v_").select("u_", "v_").distinct())
+    asked = cut(named(named(pairs, "a"), "b"))
+    seen = asked.select(F.col("a_").alias("s")).distinct().select("s", F.col("s").alias("e"))
+    front = seen = cut(seen)
     while not front.isEmpty():
-        front = cut(front.join(edges, front["b"] == edges["u"]).select("a", F.col("v").alias("b")).distinct().join(seen, ["a", "b"], "left_anti"))
+        front = cut(front.join(ways, front["e"] == ways["u_"]).select("s", F.col("v_").alias("e")).distinct().join(seen, ["s", "e"], "left_anti"))
         seen = seen.unionByName(front)
-    return pairs.join(seen.withColumn("hit", F.lit(True)), ["a", "b"], "left").select(*pairs.columns, F.coalesce("hit", F.lit(False)).alias("reached"))
+    hit = seen.select(F.col("s").alias("a_"), F.col("e").alias("b_"), F.lit(True).alias("hit"))
+    return asked.join(hit, ["a_", "b_"], "left").select(*pairs.columns, F.coalesce("hit", F.lit(False)).alias("reached"))
+
+
+def joined_to_main(nodes: DataFrame, parts: DataFrame) -> DataFrame:
+    """(root, u, v): for each part (node_id, root) but the largest the shortest link between its nodes (node_id, x, y) and the largest part's, ties by ids."""
+    main = component_order(parts).where("component_id = 0").select(F.col("root").alias("main"))
+    n = nodes.join(parts, "node_id").join(F.broadcast(main), F.lit(True), "left")  # one row
+    return nearest(n.where("root <> main").select("root", "node_id", "x", "y"), n.where("root = main").select("node_id", "x", "y"), "root").select("root", F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def contracted(edges: DataFrame) -> DataFrame:
@@ -159,46 +163,3 @@ def contracted(edges: DataFrame) -> DataFrame:
     tips = outer.groupBy("root").agg(F.array_sort(F.collect_list("node_id")).alias("tips"))  # at most two
     sums = x.groupBy("root").agg(F.sum("length").alias("length"), F.count("*").alias("n_edges"))
     return sums.join(tips, "root", "left").select(F.col("tips")[0].alias("u"), F.try_element_at("tips", F.lit(2)).alias("v"), "length", "n_edges")
-
-
-def bridges(edges: DataFrame) -> DataFrame:
-    """edge_id of each edge (edge_id, u, v) whose loss parts its component. A component is one task's; those of a road network are as large as the network, which is checked."""
-    nodes = edges.select(F.explode(F.array("u", "v")).alias("node_id")).distinct()
-    x = edges.join(weak_components(nodes, edges), edges["u"] == F.col("node_id")).drop("node_id")
-
-    def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MOST_LINKS:
-            raise ValueError(f"a component has over {MOST_LINKS} edges")
-        around = defaultdict(list)
-        for r in pdf.itertuples(index=False):
-            around[r.u].append((r.v, r.edge_id))
-            around[r.v].append((r.u, r.edge_id))
-        order, low, out, clock = {}, {}, [], 0
-        for start in around:
-            if start in order:
-                continue
-            order[start] = low[start] = clock
-            clock += 1
-            stack = [(start, None, iter(around[start]))]
-            while stack:
-                node, via, rest = stack[-1]
-                for to, edge in rest:
-                    if edge == via:
-                        continue
-                    if to in order:
-                        low[node] = min(low[node], order[to])
-                    else:
-                        order[to] = low[to] = clock
-                        clock += 1
-                        stack.append((to, edge, iter(around[to])))
-                        break
-                else:
-                    stack.pop()
-                    if stack:
-                        up = stack[-1][0]
-                        low[up] = min(low[up], low[node])
-                        if low[node] > order[up]:
-                            out.append(via)
-        return pd.DataFrame({"edge_id": pd.Series(out, dtype="int64")})
-
-    return x.groupBy("root").applyInPandas(find, "edge_id long")

@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 
+from roadweave.sources.shared import new_path
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """df checkpointed; a lost executor costs no recomputation. The folder is spark.checkpoint.dir, or where it is unset and Spark runs on one machine (tests) one of our own."""
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and not getattr(context, "_roadweave_checkpoints", None):
-        if not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context._roadweave_checkpoints = tempfile.mkdtemp(prefix="roadweave-checkpoints-")
-        context.setCheckpointDir(context._roadweave_checkpoints)
-    return df.checkpoint()
+    """df written to the shared folder and read again: a lost executor costs no recomputation, and the plans of later rounds know its size."""
+    path = new_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

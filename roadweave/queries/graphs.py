@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from roadweave.functions import routing as R
-from roadweave.operators import graph as G, spatial as S
+from roadweave.operators import forest, graph as G, planar as P, spatial as S
+from roadweave.plans.loops import cut
 from roadweave.sources.traffic import Traffic
 
 from . import query
-from .aggregates import streets
 from .joins import _PATHS, two_link_paths
 
 _c = F.col
@@ -84,76 +84,141 @@ def candidate_refresh(t: Traffic) -> DataFrame:
     return c.select("od_id", ((_c("od_id") % 4 == 0) | (_c("od_id") % 5 == 0) | (_c("n") % 3 == 0) | (_c("at") % 7 < 2)).alias("refresh"))
 
 
-def _sparse(t: Traffic) -> DataFrame:
-    """The network that is left when every link that can be blocked is."""
-    return t.link().where("NOT is_blockable").select(_c("src_node_id").alias("u"), _c("dst_node_id").alias("v"))
+_PARTS = """RECURSIVE b AS (SELECT u, v FROM tf_street UNION SELECT v, u FROM tf_street), r(node_id, to_id) AS (SELECT junction_id, junction_id FROM tf_junction UNION SELECT r.node_id, b.v FROM r JOIN b ON b.u = r.to_id), w AS (SELECT node_id, min(to_id) AS root FROM r GROUP BY node_id)"""
+_WAYS = "way AS (SELECT u, v FROM tf_street UNION SELECT v, u FROM tf_street WHERE NOT one_way), r(a, b) AS (SELECT DISTINCT a, a FROM p UNION SELECT r.a, way.v FROM r JOIN way ON way.u = r.b)"
 
 
-_PARTS = """RECURSIVE e AS (SELECT src_node_id AS u, dst_node_id AS v FROM tf_link WHERE NOT is_blockable), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r(node_id, to_id) AS (SELECT node_id, node_id FROM tf_node UNION SELECT r.node_id, b.v FROM r JOIN b ON b.u = r.to_id), w AS (SELECT node_id, min(to_id) AS root FROM r GROUP BY node_id)"""
+def junctions(t: Traffic) -> DataFrame:
+    return t.junction().select(_c("junction_id").alias("node_id"), "x", "y")
+
+
+def ways(t: Traffic) -> DataFrame:
+    """Streets by direction of travel."""
+    s = t.street()
+    return s.select("u", "v").union(s.where("NOT one_way").select("v", "u"))
+
+
+def street_edges(t: Traffic) -> DataFrame:
+    """Streets as undirected edges with their length."""
+    return t.street().select(_c("street_id").alias("edge_id"), "u", "v", F.hypot(_c("bx") - _c("ax"), _c("by") - _c("ay")).alias("length"))
 
 
 @query(f"WITH {_PARTS} SELECT node_id, root FROM w")
 def weak_components(t: Traffic) -> DataFrame:
-    return G.weak_components(t.node().select("node_id"), _sparse(t))
+    return G.weak_components(junctions(t).select("node_id"), t.street())
 
 
 @query(f"WITH {_PARTS}, s AS (SELECT root, count(*) AS size FROM w GROUP BY root) SELECT CAST(row_number() OVER (ORDER BY size DESC, root) - 1 AS INT) AS component_id, root, size FROM s")
 def component_order(t: Traffic) -> DataFrame:
-    return G.component_order(G.weak_components(t.node().select("node_id"), _sparse(t)))
+    return G.component_order(G.weak_components(junctions(t).select("node_id"), t.street()))
 
 
-@query("""WITH RECURSIVE e AS (SELECT src_node_id AS u, dst_node_id AS v FROM tf_link WHERE NOT is_blockable), r(a, b) AS (SELECT node_id, node_id FROM tf_node UNION SELECT r.a, e.v FROM r JOIN e ON e.u = r.b), p AS (SELECT DISTINCT origin_node_id AS a, destination_node_id AS b FROM tf_trip WHERE stage = 'active')
+@query(f"""WITH RECURSIVE p AS (SELECT DISTINCT x.o_custkey AS a, y.o_custkey AS b FROM orders x JOIN orders y ON y.o_orderkey = x.o_orderkey + 1 WHERE x.o_orderstatus = 'P'), {_WAYS}
 SELECT p.a, p.b, r.a IS NOT NULL AS reached FROM p LEFT JOIN r ON r.a = p.a AND r.b = p.b""")
 def directed_reachability(t: Traffic) -> DataFrame:
-    pairs = t.trip().where("stage = 'active'").select(_c("origin_node_id").alias("a"), _c("destination_node_id").alias("b")).distinct()
-    return G.reachable_pairs(pairs, _sparse(t))
+    """Whether the customer of each open order can drive to that of the next order, one-way streets regarded."""
+    o = t.table("orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    then = o.select((_c("o_orderkey") - 1).alias("o_orderkey"), _c("o_custkey").alias("b"))
+    pairs = o.where("o_orderstatus = 'P'").join(then, "o_orderkey").select(_c("o_custkey").alias("a"), "b").distinct()
+    return G.reachable_pairs(pairs, ways(t))
 
 
-@query("""WITH RECURSIVE e AS (SELECT src_node_id AS u, dst_node_id AS v FROM tf_link WHERE NOT is_blockable), r(a, b) AS (SELECT node_id, node_id FROM tf_node UNION SELECT r.a, e.v FROM r JOIN e ON e.u = r.b), p AS (SELECT a.node_id AS a, b.node_id AS b, sha256('3:' || a.node_id || ':' || b.node_id) AS h FROM tf_node a JOIN tf_node b ON a.node_id <> b.node_id),
-s AS (SELECT a, b FROM p ORDER BY h, a, b LIMIT 50) SELECT count(*) AS n_pairs, count(r.a) AS n_reached FROM s LEFT JOIN r ON r.a = s.a AND r.b = s.b""")
+@query(f"""WITH RECURSIVE o AS (SELECT junction_id AS a, row_number() OVER (ORDER BY sha256('3:' || junction_id), junction_id) AS k FROM tf_junction), d AS (SELECT junction_id AS b, row_number() OVER (ORDER BY sha256('4:' || junction_id), junction_id) AS k FROM tf_junction), p AS (SELECT a, b FROM o JOIN d USING (k) WHERE k <= 50), {_WAYS}
+SELECT count(*) AS n_pairs, count(r.a) AS n_reached FROM p LEFT JOIN r ON r.a = p.a AND r.b = p.b""")
 def sampled_od_reachability(t: Traffic) -> DataFrame:
-    """Fifty pairs by the hash of seed and pair, and how many of them are connected."""
-    ids = t.node().agg(F.collect_list("node_id").alias("ids"))
-    pairs = t.node().select(_c("node_id").alias("a")).crossJoin(F.broadcast(ids)).select("a", F.explode("ids").alias("b")).where("a <> b")  # one row
-    h = F.sha2(F.concat_ws(":", F.lit("3"), _c("a").cast("string"), _c("b").cast("string")), 256)
-    some = pairs.orderBy(h, "a", "b").limit(50)
-    return G.reachable_pairs(some, _sparse(t)).agg(F.count("*").alias("n_pairs"), F.count_if("reached").alias("n_reached"))
+    """Fifty origins and fifty destinations by hashes of seed and junction, paired in that order, and how many of the pairs are connected."""
 
+    def some(seed: int, name: str) -> DataFrame:
+        h = F.sha2(F.concat_ws(":", F.lit(str(seed)), _c("junction_id").cast("string")), 256)
+        best = t.junction().select("junction_id", h.alias("h")).orderBy("h", "junction_id").limit(50)
+        return best.select(_c("junction_id").alias(name), F.row_number().over(Window.orderBy("h", "junction_id")).alias("k"))  # fifty rows
 
-@query(f"""WITH {_PARTS}, s AS (SELECT root, count(*) AS size FROM w GROUP BY root), main AS (SELECT root FROM s ORDER BY size DESC, root LIMIT 1), d AS (SELECT w.root, n.node_id AS a, m.node_id AS b, (n.x - m.x) ** 2 + (n.y - m.y) ** 2 AS d FROM w JOIN tf_node n ON n.node_id = w.node_id CROSS JOIN (SELECT n2.node_id, n2.x, n2.y FROM w w2 JOIN tf_node n2 ON n2.node_id = w2.node_id WHERE w2.root = (SELECT root FROM main)) m WHERE w.root <> (SELECT root FROM main)),
+    pairs = some(3, "a").join(some(4, "b"), "k").select("a", "b")
+    return G.reachable_pairs(pairs, ways(t)).agg(F.count("*").alias("n_pairs"), F.count_if("reached").alias("n_reached"))
+
+
+@query(f"""WITH {_PARTS}, s AS (SELECT root, count(*) AS size FROM w GROUP BY root), main AS (SELECT root FROM s ORDER BY size DESC, root LIMIT 1), d AS (SELECT w.root, n.junction_id AS a, m.node_id AS b, (n.x - m.x) ** 2 + (n.y - m.y) ** 2 AS d FROM w JOIN tf_junction n ON n.junction_id = w.node_id CROSS JOIN (SELECT n2.junction_id AS node_id, n2.x, n2.y FROM w w2 JOIN tf_junction n2 ON n2.junction_id = w2.node_id WHERE w2.root = (SELECT root FROM main)) m WHERE w.root <> (SELECT root FROM main)),
 k AS (SELECT root, a, b, row_number() OVER (PARTITION BY root ORDER BY d, a, b) AS r FROM d) SELECT a AS u, b AS v FROM k WHERE r = 1 UNION ALL SELECT b, a FROM k WHERE r = 1""")
 def connectivity_repair(t: Traffic) -> DataFrame:
-    """Two links between each smaller component and the largest, at their nearest nodes; the main component's places are every other node's candidates."""
-    parts = G.weak_components(t.node().select("node_id"), _sparse(t))
-    main = G.component_order(parts).where("component_id = 0").select(_c("root").alias("main"))
-    n = t.node().join(parts, "node_id").crossJoin(F.broadcast(main))  # one row
-    inner = n.where("root = main").agg(F.collect_list(F.struct("node_id", "x", "y")).alias("places"))
-    d = lambda p: (_c("x") - p["x"]) * (_c("x") - p["x"]) + (_c("y") - p["y"]) * (_c("y") - p["y"])
-    x = n.where("root <> main").crossJoin(F.broadcast(inner))  # one row: the nodes of one city
-    best = x.groupBy("root").agg(F.min(F.array_min(F.transform("places", lambda p: F.struct(d(p).alias("d"), _c("node_id").alias("a"), p["node_id"].alias("b"))))).alias("m"))
-    return best.select(F.explode(F.array(F.struct(_c("m.a").alias("u"), _c("m.b").alias("v")), F.struct(_c("m.b").alias("u"), _c("m.a").alias("v")))).alias("e")).select("e.*")
+    """Two links between each smaller component and the largest, at their nearest nodes."""
+    n = junctions(t)
+    best = G.joined_to_main(n, G.weak_components(n.select("node_id"), t.street()))
+    return best.select(F.explode(F.array(F.struct("u", "v"), F.struct(_c("v").alias("u"), _c("u").alias("v")))).alias("e")).select("e.*")
 
 
-def _thin(t: Traffic) -> DataFrame:
-    """The streets of the collectors."""
-    s = streets(t, t.link().where("road_class = 'collector'"))
-    return s.select((_c("u") * 25 + _c("v")).cast("long").alias("edge_id"), "u", "v", F.hypot(_c("bx") - _c("ax"), _c("by") - _c("ay")).alias("length"))
+_CHAINS = """RECURSIVE e AS (SELECT street_id, u, v, sqrt((bx - ax) ** 2 + (by_ - ay) ** 2) AS length FROM tf_street), t AS (SELECT street_id, u AS n FROM e UNION ALL SELECT street_id, v FROM e), two AS (SELECT n, min(street_id) AS a, max(street_id) AS b FROM t GROUP BY n HAVING count(*) = 2),
+near AS (SELECT a, b FROM two UNION SELECT b, a FROM two), r(s, o) AS (SELECT street_id, street_id FROM e UNION SELECT r.s, near.b FROM r JOIN near ON near.a = r.o), w AS (SELECT s, min(o) AS root FROM r GROUP BY s),
+tips AS (SELECT root, min(n) AS u, max(n) AS v, count(*) AS k FROM t JOIN w ON w.s = t.street_id WHERE n NOT IN (SELECT n FROM two) GROUP BY root), chains AS (SELECT p.u, CASE WHEN p.k > 1 THEN p.v END AS v, x.length, x.n_edges FROM (SELECT root, sum(length) AS length, count(*) AS n_edges FROM e JOIN w ON w.s = e.street_id GROUP BY root) x LEFT JOIN tips p ON p.root = x.root)"""
 
 
-@query()
+@query(f"WITH {_CHAINS} SELECT u, v, round(length, 4) AS length, n_edges FROM chains")
 def degree_two_contraction(t: Traffic) -> DataFrame:
-    return G.contracted(_thin(t)).withColumn("length", _r("length", 4))
+    return G.contracted(street_edges(t)).withColumn("length", _r("length", 4))
 
 
-@query()
+@query(f"WITH {_CHAINS} SELECT round(max(length), 4) AS longest_m FROM chains")
+def branch_free_corridor(t: Traffic) -> DataFrame:
+    """The longest chain between branches."""
+    return G.contracted(street_edges(t)).agg(_r(F.max("length"), 4).alias("longest_m"))
+
+
+@query("""WITH RECURSIVE b AS (SELECT street_id, u, v FROM tf_street UNION ALL SELECT street_id, v, u FROM tf_street), r(street_id, n) AS (SELECT street_id, u FROM tf_street UNION SELECT r.street_id, b.v FROM r JOIN b ON b.u = r.n AND b.street_id <> r.street_id)
+SELECT s.street_id AS edge_id FROM tf_street s WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.street_id = s.street_id AND r.n = s.v)""")
 def graph_bridges(t: Traffic) -> DataFrame:
-    return G.bridges(_thin(t))
+    """Streets whose loss parts the network: their ends can't be reached from each other without them."""
+    return forest.bridges(street_edges(t))
 
 
 @query()
-def branch_free_corridor(t: Traffic) -> DataFrame:
-    """The longest chain between branches."""
-    return G.contracted(_thin(t)).agg(_r(F.max("length"), 4).alias("longest_m"))
+def null_thinning(t: Traffic) -> DataFrame:
+    """A third of the streets removed at random, none that the network needs to stay as whole as it is."""
+    return forest.thinned(street_edges(t), 1 / 3, 17)
+
+
+_PIECES = """s AS (SELECT street_id, CAST(street_id AS VARCHAR) AS name, layer, CAST(ax * 1000 AS BIGINT) AS ax, CAST(ay * 1000 AS BIGINT) AS ay, CAST(bx * 1000 AS BIGINT) AS bx, CAST(by_ * 1000 AS BIGINT) AS by_ FROM tf_street),
+p AS (SELECT p.street_id, p.name < q.name AS first, p.ax, p.ay, p.bx, p.by_, q.ax AS cx, q.ay AS cy, q.bx AS dx, q.by_ AS dy FROM s p JOIN s q ON q.street_id <> p.street_id AND q.layer = p.layer AND least(p.ax, p.bx) - 20 <= greatest(q.ax, q.bx) AND greatest(p.ax, p.bx) + 20 >= least(q.ax, q.bx) AND least(p.ay, p.by_) - 20 <= greatest(q.ay, q.by_) AND greatest(p.ay, p.by_) + 20 >= least(q.ay, q.by_)),
+o AS (SELECT *, (bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax) AS sc, (bx - ax) * (dy - ay) - (by_ - ay) * (dx - ax) AS sd, (dx - cx) * (ay - cy) - (dy - cy) * (ax - cx) AS sa, (dx - cx) * (by_ - cy) - (dy - cy) * (bx - cx) AS sb, (bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay) AS l2 FROM p),
+c AS (SELECT *, CASE WHEN first THEN ax + CAST(floor(sa / (sa - sb) * (bx - ax) + 0.5) AS BIGINT) ELSE cx + CAST(floor(sc / (sc - sd) * (dx - cx) + 0.5) AS BIGINT) END AS x, CASE WHEN first THEN ay + CAST(floor(sa / (sa - sb) * (by_ - ay) + 0.5) AS BIGINT) ELSE cy + CAST(floor(sc / (sc - sd) * (dy - cy) + 0.5) AS BIGINT) END AS y FROM o WHERE sign(sc) * sign(sd) < 0 AND sign(sa) * sign(sb) < 0),
+e AS (SELECT *, cx AS px, cy AS py, sc AS sp FROM o UNION ALL SELECT *, dx, dy, sd FROM o),
+cuts AS (SELECT street_id, x, y FROM c WHERE (x - ax) ** 2 + (y - ay) ** 2 > 400 AND (x - bx) ** 2 + (y - by_) ** 2 > 400 AND (x - cx) ** 2 + (y - cy) ** 2 > 400 AND (x - dx) ** 2 + (y - dy) ** 2 > 400
+UNION SELECT street_id, px, py FROM e WHERE abs(sp) <= 20 * sqrt(l2) AND (px - ax) * (bx - ax) + (py - ay) * (by_ - ay) > 0 AND (px - ax) * (bx - ax) + (py - ay) * (by_ - ay) < l2 AND (px - ax) ** 2 + (py - ay) ** 2 > 400 AND (px - bx) ** 2 + (py - by_) ** 2 > 400),
+points AS (SELECT street_id, x, y FROM cuts UNION SELECT street_id, ax, ay FROM s UNION SELECT street_id, bx, by_ FROM s),
+runs AS (SELECT q.street_id, s.layer, q.x, q.y, lead(q.x) OVER w AS nx, lead(q.y) OVER w AS ny FROM points q JOIN s USING (street_id) WINDOW w AS (PARTITION BY q.street_id ORDER BY (q.x - s.ax) * (s.bx - s.ax) + (q.y - s.ay) * (s.by_ - s.ay), q.x, q.y)),
+low AS (SELECT *, x > nx OR (x = nx AND y > ny) AS turn FROM runs WHERE nx IS NOT NULL),
+pieces AS (SELECT layer, ax, ay, bx, by_, min(street_id) AS street_id, count(DISTINCT street_id) AS n_streets FROM (SELECT layer, street_id, CASE WHEN turn THEN nx ELSE x END AS ax, CASE WHEN turn THEN ny ELSE y END AS ay, CASE WHEN turn THEN x ELSE nx END AS bx, CASE WHEN turn THEN y ELSE ny END AS by_ FROM low) GROUP BY layer, ax, ay, bx, by_)"""
+
+
+def planar(t: Traffic) -> DataFrame:
+    """The pieces of the streets, in millimetres."""
+    return P.planarise(t.street().select("street_id", *[(_c(k) * 1000).cast("long").alias(k) for k in ("ax", "ay", "bx", "by")], "layer"), 200_000.0)[0]
+
+
+@query(f"WITH {_PIECES} SELECT layer, ax, ay, bx, by_ AS by, street_id, n_streets FROM pieces")
+def planar_pieces(t: Traffic) -> DataFrame:
+    """Streets split where those of a layer cross or touch, in millimetres; on these the first pass leaves no meeting."""
+    return planar(t).select("layer", "ax", "ay", "bx", "by", "street_id", F.size("streets").cast("long").alias("n_streets"))
+
+
+@query(f"""WITH RECURSIVE {_PIECES}, half AS (SELECT layer, ax, ay, bx, by_ FROM pieces UNION ALL SELECT layer, bx, by_, ax, ay FROM pieces),
+spun AS (SELECT *, coalesce(lag(bx) OVER w, last_value(bx) OVER a) AS px, coalesce(lag(by_) OVER w, last_value(by_) OVER a) AS py FROM half WINDOW w AS (PARTITION BY layer, ax, ay ORDER BY atan2(CAST(by_ - ay AS DOUBLE), CAST(bx - ax AS DOUBLE))), a AS (PARTITION BY layer, ax, ay ORDER BY atan2(CAST(by_ - ay AS DOUBLE), CAST(bx - ax AS DOUBLE)) ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+numbered AS (SELECT row_number() OVER (ORDER BY layer, ax, ay, bx, by_) AS h, * FROM half), step AS (SELECT i.h, o.h AS then FROM numbered i JOIN spun s ON s.layer = i.layer AND s.ax = i.bx AND s.ay = i.by_ AND s.bx = i.ax AND s.by_ = i.ay JOIN numbered o ON o.layer = i.layer AND o.ax = i.bx AND o.ay = i.by_ AND o.bx = s.px AND o.by_ = s.py),
+walk(start, h) AS (SELECT h, h FROM step UNION SELECT w.start, s.then FROM walk w JOIN step s ON s.h = w.h), face AS (SELECT start, min(h) AS face FROM walk GROUP BY start)
+SELECT n.layer, min(struct_pack(x := ax, y := ay)).x AS x, min(struct_pack(x := ax, y := ay)).y AS y, count(*) AS n_edges, CAST(sum(ax * by_ - bx * ay) AS BIGINT) AS twice_area FROM face f JOIN numbered n ON n.h = f.start GROUP BY n.layer, f.face""")
+def planar_faces(t: Traffic) -> DataFrame:
+    """The walk around each face: its least corner, edges, and twice the signed area in square millimetres; bounded faces have a positive one."""
+    pieces = planar(t)
+    walks = P.face_walks(pieces.withColumnRenamed("piece_id", "edge_id")).join(pieces.select(_c("piece_id").alias("edge_id"), "layer"), "edge_id")
+    return walks.groupBy("layer", "face").agg(F.min(F.struct("ax", "ay")).alias("m"), F.count("*").alias("n_edges"), P.twice_area().alias("twice_area")).select("layer", _c("m.ax").alias("x"), _c("m.ay").alias("y"), "n_edges", "twice_area")
+
+
+@query()
+def city_blocks(t: Traffic) -> DataFrame:
+    """The blocks between streets: simple rings, with area, perimeter and the streets in front."""
+    pieces = cut(planar(t))
+    b = cut(P.blocks(pieces.withColumnRenamed("piece_id", "edge_id")))
+    front = b.select("block", F.explode("edge_ids").alias("piece_id")).join(pieces.select("piece_id", "streets"), "piece_id")
+    front = front.groupBy("block").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("streets")))).alias("frontage"))
+    return b.join(front, "block").select("block", "n_edges", (_c("twice_area") / 2e6).alias("area_m2"), _r(_c("perimeter") / 1000, 4).alias("perimeter_m"), "frontage", "ring")
 
 
 @query("""WITH i AS (SELECT 'duplicate_link' AS code, CAST(link_id AS VARCHAR) AS subject FROM tf_link GROUP BY link_id HAVING count(*) > 1 UNION ALL SELECT 'self_loop', CAST(link_id AS VARCHAR) FROM tf_link WHERE src_node_id = dst_node_id

@@ -18,6 +18,8 @@ VIEWS = {
     "tf_profile": "SELECT CAST(c_custkey % 8 AS INT) AS behavior_profile_id, c_custkey AS citizen_id, CAST(c_nationkey AS INT) AS home_node_id, 0.75 + 0.15 * CAST(c_custkey % 8 AS DOUBLE) AS delay_sensitivity, 0.25 + 0.08 * CAST(c_custkey % 8 AS DOUBLE) AS reroute_willingness, 1.0 - 0.125 * CAST(c_custkey % 8 AS DOUBLE) AS persistence_bias, 0.05 + 0.03 * CAST(c_custkey % 8 AS DOUBLE) AS exploration_bias FROM customer",
     "tf_trip": "SELECT o.o_orderkey AS trip_request_id, o.o_custkey AS citizen_id, CAST(c.c_nationkey AS INT) AS origin_node_id, CAST((c.c_nationkey + 1 + o.o_orderkey % 24) % 25 AS INT) AS destination_node_id, CAST(o.o_orderkey % 64 AS INT) AS planned_depart_tick, CASE o.o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'pending' ELSE 'active' END AS stage FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey",
     "tf_event": "SELECT event_id, CAST(event_id % 60 AS INT) AS start_tick, CAST(event_id % 60 + 1 + user_id % 10 AS INT) AS end_tick, CAST((event_id % 25) * 25 + (event_id % 25 + 1) % 25 AS INT) AS link_id, CASE WHEN event_type = 'error' THEN 'closure' WHEN event_type = 'signup' THEN 'unsupported' ELSE 'capacity_reduction' END AS effect_model, least(1.0, round(value / 100.0, 4)) AS severity FROM events",
+    "tf_junction": "SELECT junction_id, CAST((junction_id % 40) * 100 + cents % 61 AS DOUBLE) AS x, CAST(((junction_id - junction_id % 40) / 40) * 100 + ((cents - cents % 61) / 61) % 61 AS DOUBLE) AS y, kind, balance FROM (SELECT c_custkey AS junction_id, CAST(round(abs(c_acctbal) * 100) AS BIGINT) AS cents, c_mktsegment AS kind, c_acctbal AS balance FROM customer)",
+    "tf_street": "SELECT 8 * a.junction_id + w.way AS street_id, a.junction_id AS u, b.junction_id AS v, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, CASE WHEN a.balance > 9000 THEN 1 ELSE 0 END AS layer, a.balance BETWEEN 0 AND 1000 AS one_way FROM (SELECT *, junction_id % 40 AS col FROM tf_junction) a JOIN (VALUES (0, 1), (1, 40), (2, 41), (3, 39), (4, 83)) w(way, step) ON (way = 0 AND col < 39 AND kind IN ('HOUSEHOLD', 'BUILDING', 'AUTOMOBILE')) OR (way = 1 AND kind IN ('FURNITURE', 'BUILDING', 'HOUSEHOLD')) OR (way = 2 AND col < 39 AND kind = 'BUILDING') OR (way = 3 AND col > 0 AND kind = 'AUTOMOBILE') OR (way = 4 AND col < 37 AND balance < 0) JOIN tf_junction b ON b.junction_id = a.junction_id + w.step",
     "tf_outcome": "SELECT event_id AS trip_id, CAST(user_id % 20 AS INT) AS od_id, CAST(event_id % 4 AS INT) AS arm, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'completed' END AS outcome, value AS observed_travel_time, CAST(50.0 AS DOUBLE) AS baseline_travel_time, ts FROM events",
 }
 
@@ -51,7 +53,7 @@ def _choice(key: Column, *values: str) -> Column:
 
 
 class Traffic:
-    """The entities as DataFrames: zone, node, link, turn, profile, trip, event and outcome."""
+    """The entities as DataFrames: zone, node, link, turn, profile, trip, event, junction, street and outcome."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self._dir, self._pairs = spark, sf_dir, None
@@ -161,6 +163,36 @@ class Traffic:
             F.least(F.lit(1.0), F.round(F.col("value") / 100.0, 4)).alias("severity"),
         )
 
+    def junction(self) -> DataFrame:
+        """A place for each customer, forty to a row, somewhat off the grid; the network grows with the table."""
+        cents, key = F.round(F.abs("c_acctbal") * 100).cast("long"), F.col("c_custkey")
+        return self.table("customer").select(
+            key.alias("junction_id"),
+            ((key % 40) * 100 + cents % 61).cast("double").alias("x"),
+            (((key - key % 40) / 40) * 100 + ((cents - cents % 61) / 61) % 61).cast("double").alias("y"),
+            F.col("c_mktsegment").alias("kind"),
+            F.col("c_acctbal").alias("balance"),
+        )
+
+    def street(self) -> DataFrame:
+        """Streets between junctions, by the market segment and balance of the customer at their start: along rows and columns, diagonals, and avenues across."""
+        a = self.junction().select(F.col("junction_id").alias("u"), F.col("x").alias("ax"), F.col("y").alias("ay"), "kind", "balance")
+        b = self.junction().select(F.col("junction_id").alias("v"), F.col("x").alias("bx"), F.col("y").alias("by"))
+        col, kind = F.col("u") % 40, F.col("kind")
+        ways = (
+            (1, (col < 39) & kind.isin("HOUSEHOLD", "BUILDING", "AUTOMOBILE")),
+            (40, kind.isin("FURNITURE", "BUILDING", "HOUSEHOLD")),
+            (41, (col < 39) & (kind == "BUILDING")),
+            (39, (col > 0) & (kind == "AUTOMOBILE")),
+            (83, (col < 37) & (F.col("balance") < 0)),
+        )
+        way = F.filter(F.array(*[F.when(has, F.struct(F.lit(k).alias("way"), F.lit(step).alias("step"))) for k, (step, has) in enumerate(ways)]), lambda w: w.isNotNull())
+        out = a.select("*", F.explode(way).alias("w")).withColumn("v", F.col("u") + F.col("w.step")).join(b, "v")
+        return out.select(
+            (8 * F.col("u") + F.col("w.way")).alias("street_id"), "u", "v", "ax", "ay", "bx", "by",
+            F.when(F.col("balance") > 9000, 1).otherwise(0).alias("layer"), F.col("balance").between(0, 1000).alias("one_way"),
+        )
+
     def outcome(self) -> DataFrame:
         return self.table("events").select(
             F.col("event_id").alias("trip_id"),
