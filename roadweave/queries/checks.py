@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from roadweave.operators import morphology as M
 from roadweave.sources.traffic import Traffic
 
 from . import query
+from .graphs import _PARTS, junctions
 from .ticks import links
 
 _c = F.col
@@ -142,12 +144,56 @@ def geometry_anchors(t: Traffic) -> DataFrame:
     return g.where(F.abs(_c("gx") - _c("x")) > 0.25).select("link_id")
 
 
-@query("WITH m AS (SELECT zone_id, count(*) AS n, avg(x) AS mx FROM tf_node GROUP BY zone_id) SELECT zone_id, array_to_string(list_filter([CASE WHEN n < 5 AND zone_id <> 2 THEN 'sparse' END, CASE WHEN mx > 2100 THEN 'off_centre' END], lambda x: x IS NOT NULL), ',') AS failed FROM m")
+_SHAPE = f"""{_PARTS}, e AS (SELECT street_id, u, v, ax, ay, bx, by_, sqrt((bx - ax) ** 2 + (by_ - ay) ** 2) AS length, street_id % 8 < 4 AS local FROM tf_street),
+g AS (SELECT floor(junction_id / 40) AS k, x, y FROM tf_junction), s1 AS (SELECT p.k, p.x AS ax, p.y AS ay, q.x AS bx, q.y AS by_ FROM g p JOIN g q ON q.k = p.k AND (q.x <> p.x OR q.y <> p.y) WHERE NOT EXISTS (SELECT 1 FROM g r WHERE r.k = p.k AND ((q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x) < 0))),
+g2 AS (SELECT DISTINCT ax AS x, ay AS y FROM s1 UNION SELECT bx, by_ FROM s1 UNION SELECT x, y FROM g WHERE k NOT IN (SELECT k FROM s1)),
+s2 AS (SELECT p.x AS ax, p.y AS ay, q.x AS bx, q.y AS by_ FROM g2 p JOIN g2 q ON q.x <> p.x OR q.y <> p.y WHERE NOT EXISTS (SELECT 1 FROM g2 r WHERE (q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x) < 0 OR ((q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x) = 0 AND ((r.x - p.x) * (q.x - p.x) + (r.y - p.y) * (q.y - p.y) < 0 OR (r.x - p.x) * (q.x - p.x) + (r.y - p.y) * (q.y - p.y) > (q.x - p.x) ** 2 + (q.y - p.y) ** 2)))),
+box AS (SELECT min(ax) AS x0, min(ay) AS y0, max(ax) - min(ax) AS w, max(ay) - min(ay) AS h, sum(ax * by_ - bx * ay) / 2 AS area FROM s2),
+cell AS (SELECT n, cx, cy, x0 + (cx + 0.5) * w / n AS x, y0 + (cy + 0.5) * h / n AS y FROM box, (VALUES (24), (12)) v(n), range(0, 24) a(cx), range(0, 24) b(cy) WHERE cx < n AND cy < n),
+good AS (SELECT * FROM cell c WHERE NOT EXISTS (SELECT 1 FROM s2 WHERE (bx - ax) * (c.y - ay) - (by_ - ay) * (c.x - ax) < 0)),
+steps AS (SELECT e.*, x0, y0, w, h, greatest(1, CAST(ceil(greatest(abs(bx - ax) / (w / 24), abs(by_ - ay) / (h / 24)) * 2.0) AS INT)) AS n FROM e, box),
+dots AS (SELECT DISTINCT local, least(23, greatest(0, CAST(trunc((ax + (bx - ax) * (i / n) - x0) / (w / 24)) AS INT))) AS cx, least(23, greatest(0, CAST(trunc((ay + (by_ - ay) * (i / n) - y0) / (h / 24)) AS INT))) AS cy FROM (SELECT *, unnest(range(0, n + 1)) AS i FROM steps)),
+deg AS (SELECT j.junction_id, count(t.n) AS d, count(CASE WHEN t.local THEN 1 END) AS dl FROM tf_junction j LEFT JOIN (SELECT u AS n, local FROM e UNION ALL SELECT v, local FROM e) t ON t.n = j.junction_id GROUP BY j.junction_id),
+hub AS (SELECT x, y FROM tf_junction WHERE junction_id IN (SELECT junction_id FROM deg WHERE dl >= 3)),
+zone AS (SELECT floor(junction_id / 400) AS z, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM tf_junction GROUP BY 1), spot AS (SELECT ax AS x, ay AS y FROM e UNION SELECT bx, by_ FROM e UNION SELECT (ax + bx) * 0.5, (ay + by_) * 0.5 FROM e),
+quad AS (SELECT z, count(DISTINCT CASE WHEN s.x IS NOT NULL THEN (CASE WHEN s.x >= (x0 + x1) * 0.5 THEN 1 ELSE 0 END) * 2 + CASE WHEN s.y >= (y0 + y1) * 0.5 THEN 1 ELSE 0 END END) AS q FROM zone LEFT JOIN spot s ON s.x BETWEEN x0 AND x1 AND s.y BETWEEN y0 AND y1 GROUP BY z),
+b2 AS (SELECT street_id, u, v FROM tf_street UNION ALL SELECT street_id, v, u FROM tf_street), r2(street_id, n) AS (SELECT street_id, u FROM tf_street UNION SELECT r2.street_id, b2.v FROM r2 JOIN b2 ON b2.u = r2.n AND b2.street_id <> r2.street_id),
+sums AS (SELECT sum(length) AS total, sum(CASE WHEN NOT EXISTS (SELECT 1 FROM r2 WHERE r2.street_id = e.street_id AND r2.n = e.v) THEN length ELSE 0.0 END) AS cut, sum(CASE WHEN local THEN length ELSE 0.0 END) AS narrow, sum(CASE WHEN local THEN 0.0 ELSE length END) AS wide, coalesce(median(CASE WHEN local THEN length END), 0.0) AS ml, coalesce(median(CASE WHEN NOT local THEN length END), 0.0) AS mc, count(*) AS n FROM e),
+shape AS (SELECT area AS convex_hull_area_m2, total AS physical_road_length_m, total * 1000.0 / area AS street_density_km_per_km2, 1.0 - cut / total AS block_continuity, cut / total AS bridge_length_share, wide / greatest(narrow, 1e-12) AS connector_to_local_length_ratio, ml AS median_local_length_m, mc AS median_connector_length_m,
+(SELECT avg(CASE WHEN d = 1 THEN 1.0 ELSE 0.0 END) FROM deg) AS degree_one_share, (SELECT avg(CASE WHEN d = 2 THEN 1.0 ELSE 0.0 END) FROM deg) AS degree_two_share, (SELECT avg(CASE WHEN d = 3 THEN 1.0 ELSE 0.0 END) FROM deg) AS degree_three_share, (SELECT avg(CASE WHEN d = 4 THEN 1.0 ELSE 0.0 END) FROM deg) AS degree_four_share, (SELECT avg(CASE WHEN d >= 5 THEN 1.0 ELSE 0.0 END) FROM deg) AS degree_five_plus_share,
+(SELECT avg(q / 4.0) FROM quad) AS district_quadrant_presence_share, (SELECT count(*) FROM zone) AS district_count,
+(SELECT avg(CASE WHEN EXISTS (SELECT 1 FROM dots d WHERE d.cx = g.cx AND d.cy = g.cy) THEN 1.0 ELSE 0.0 END) FROM good g WHERE n = 24) AS global_street_cell_presence_share, (SELECT avg(CASE WHEN EXISTS (SELECT 1 FROM dots d WHERE d.cx = g.cx AND d.cy = g.cy AND d.local) THEN 1.0 ELSE 0.0 END) FROM good g WHERE n = 24) AS global_local_street_cell_presence_share,
+(SELECT avg(CASE WHEN EXISTS (SELECT 1 FROM hub WHERE sqrt((hub.x - g.x) ** 2 + (hub.y - g.y) ** 2) <= sqrt((w / 12) ** 2 + (h / 12) ** 2) * 0.5) THEN 1.0 ELSE 0.0 END) FROM good g WHERE n = 12) AS global_local_junction_proximity_share,
+(SELECT count(DISTINCT root) FROM w) AS weak_component_count, sums.n AS physical_segment_count FROM box, sums)"""
+_MEASURES = (
+    "convex_hull_area_m2", "physical_road_length_m", "street_density_km_per_km2", "block_continuity", "bridge_length_share", "connector_to_local_length_ratio", "median_local_length_m", "median_connector_length_m",
+    "degree_one_share", "degree_two_share", "degree_three_share", "degree_four_share", "degree_five_plus_share", "district_quadrant_presence_share", "global_street_cell_presence_share", "global_local_street_cell_presence_share", "global_local_junction_proximity_share",
+)
+_COUNTS = ("district_count", "weak_component_count", "physical_segment_count")
+
+
+def _shape(t: Traffic) -> DataFrame:
+    """Measures of the street network; its districts are the boxes of ten rows of junctions."""
+    edges = t.street().select(_c("street_id").alias("edge_id"), "u", "v", "ax", "ay", "bx", "by", F.hypot(_c("bx") - _c("ax"), _c("by") - _c("ay")).alias("length"), (_c("street_id") % 8 < 4).alias("local"))
+    box = t.junction().groupBy(F.floor(_c("junction_id") / 400).alias("district_id")).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    corner = lambda x, y: F.struct(_c(x).alias("x"), _c(y).alias("y"))
+    districts = box.select("district_id", F.array(corner("x0", "y0"), corner("x1", "y0"), corner("x1", "y1"), corner("x0", "y1")).alias("ring"))
+    return M.metrics(junctions(t), edges, districts, 500.0)
+
+
+@query(f"WITH {_SHAPE} SELECT {', '.join(f'round({c}, 6) AS {c}' for c in _MEASURES)}, {', '.join(_COUNTS)} FROM shape")
+def morphology_metrics(t: Traffic) -> DataFrame:
+    return _shape(t).select(*[_r(c).alias(c) for c in _MEASURES], *_COUNTS)
+
+
+@query(f"""WITH {_SHAPE}, style AS (SELECT unnest(['standard', 'river_constrained', 'polycentric_tod', 'superblock_mixed']) AS style), f AS (SELECT style, list_filter([CASE WHEN weak_component_count <> 1 THEN 'weak_component_count' END, CASE WHEN global_local_street_cell_presence_share < 0.4 THEN 'global_local_street_cell_presence_share' END,
+CASE WHEN global_local_junction_proximity_share < 0.4 THEN 'global_local_junction_proximity_share' END, CASE WHEN street_density_km_per_km2 < 5.951 THEN 'street_density_km_per_km2' END, CASE WHEN block_continuity < 0.85 THEN 'block_continuity' END, CASE WHEN degree_one_share > CASE WHEN style = 'river_constrained' THEN 0.13 ELSE 0.15 END THEN 'degree_one_share' END,
+CASE WHEN district_count > 0 AND district_quadrant_presence_share < 0.9 THEN 'district_quadrant_presence_share' END, CASE WHEN style IN ('polycentric_tod', 'superblock_mixed') AND degree_four_share > 0.62 THEN 'mixed_grid_four_way_share' END, CASE WHEN style = 'river_constrained' AND block_continuity < 0.87 THEN 'river_block_continuity' END], lambda x: x IS NOT NULL) AS failed,
+CASE WHEN street_density_km_per_km2 > 21.323 THEN 'street_density_km_per_km2' ELSE '' END AS advisories FROM shape, style) SELECT style, array_to_string(failed, ',') AS failures, advisories, len(failed) = 0 AS accepted FROM f""")
 def morphology_gate(t: Traffic) -> DataFrame:
-    """Threshold rules, one of them not for every style."""
-    m = t.node().groupBy("zone_id").agg(F.count("*").alias("n"), F.avg("x").alias("mx"))
-    rules = F.array_compact(F.array(F.when((_c("n") < 5) & (_c("zone_id") != 2), "sparse"), F.when(_c("mx") > 2100, "off_centre")))
-    return m.select("zone_id", F.array_join(rules, ",").alias("failed"))
+    """The gate's rules on the street network, for four styles."""
+    x = _shape(t).withColumn("_style", F.explode(F.array(*map(F.lit, ("standard", "river_constrained", "polycentric_tod", "superblock_mixed")))))
+    return M.gate(x, _c("_style")).select("style", F.array_join("failures", ",").alias("failures"), F.array_join("advisories", ",").alias("advisories"), "accepted")
 
 
 @query("SELECT od_id, CASE WHEN avg(CASE WHEN outcome = 'completed' THEN 1.0 ELSE 0.0 END) < 0.7 THEN 'connectivity' WHEN avg(observed_travel_time) > 52 THEN 'retention' WHEN count(*) > 520 THEN 'iterations' ELSE 'pass' END AS verdict FROM tf_outcome GROUP BY od_id")
@@ -164,10 +210,16 @@ def seed_budget_gate(t: Traffic) -> DataFrame:
     return s.select((_c("total") > BUDGET["total_seconds"]).alias("over_total"), (_c("p90") > BUDGET["p90_seconds"]).alias("over_p90"), (_c("most") > BUDGET["max_seconds"]).alias("over_max"))
 
 
-@query("WITH e AS (SELECT least(src_node_id, dst_node_id) AS u, greatest(src_node_id, dst_node_id) AS v, count(*) AS n FROM tf_link GROUP BY 1, 2) SELECT count(*) AS n_streets, CAST(sum(CASE WHEN n > 2 THEN 1 ELSE 0 END) AS BIGINT) AS n_repeated, CAST(sum(CASE WHEN n = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_one_way FROM e")
+@query(f"""WITH {_PARTS}, s AS (SELECT street_id AS id, u, v, layer, CAST(ax * 1000 AS BIGINT) AS ax, CAST(ay * 1000 AS BIGINT) AS ay, CAST(bx * 1000 AS BIGINT) AS bx, CAST(by_ * 1000 AS BIGINT) AS by_ FROM tf_street),
+p AS (SELECT p.ax, p.ay, p.bx, p.by_, q.ax AS cx, q.ay AS cy, q.bx AS dx, q.by_ AS dy FROM s p JOIN s q ON q.id > p.id AND q.layer = p.layer AND least(p.ax, p.bx) <= greatest(q.ax, q.bx) AND greatest(p.ax, p.bx) >= least(q.ax, q.bx) AND least(p.ay, p.by_) <= greatest(q.ay, q.by_) AND greatest(p.ay, p.by_) >= least(q.ay, q.by_)),
+o AS (SELECT *, (bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax) AS sc, (bx - ax) * (dy - ay) - (by_ - ay) * (dx - ax) AS sd, (dx - cx) * (ay - cy) - (dy - cy) * (ax - cx) AS sa, (dx - cx) * (by_ - cy) - (dy - cy) * (bx - cx) AS sb, (cx - ax) * (bx - ax) + (cy - ay) * (by_ - ay) AS tc, (dx - ax) * (bx - ax) + (dy - ay) * (by_ - ay) AS td, (ax - cx) * (dx - cx) + (ay - cy) * (dy - cy) AS ta, (bx - cx) * (dx - cx) + (by_ - cy) * (dy - cy) AS tb, (bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay) AS l2, (dx - cx) * (dx - cx) + (dy - cy) * (dy - cy) AS m2 FROM p),
+m AS (SELECT count(CASE WHEN sign(sc) * sign(sd) < 0 AND sign(sa) * sign(sb) < 0 THEN 1 END) AS proper_crossings, count(CASE WHEN sc = 0 AND sd = 0 AND greatest(tc, td) > 0 AND least(tc, td) < l2 THEN 1 END) AS collinear_overlaps,
+CAST(count(CASE WHEN sc = 0 AND tc > 0 AND tc < l2 THEN 1 END) + count(CASE WHEN sd = 0 AND td > 0 AND td < l2 THEN 1 END) + count(CASE WHEN sa = 0 AND ta > 0 AND ta < m2 THEN 1 END) + count(CASE WHEN sb = 0 AND tb > 0 AND tb < m2 THEN 1 END) AS BIGINT) AS t_touches FROM o),
+ends AS (SELECT layer, u AS n, ax AS x, ay AS y FROM s UNION SELECT layer, v, bx, by_ FROM s)
+SELECT (SELECT count(DISTINCT root) FROM w WHERE node_id IN (SELECT n FROM ends)) = 1 AS is_connected, proper_crossings, collinear_overlaps, t_touches, (SELECT CAST(coalesce(sum(k - 1), 0) AS BIGINT) FROM (SELECT count(*) AS k FROM s GROUP BY layer, least(u, v), greatest(u, v))) AS repeated_roads, (SELECT count(*) FROM (SELECT 1 FROM ends GROUP BY x, y HAVING count(DISTINCT layer) > 1 AND count(DISTINCT n) > 1)) AS false_junctions FROM m""")
 def structural_audit(t: Traffic) -> DataFrame:
-    e = t.link().groupBy(F.least("src_node_id", "dst_node_id").alias("u"), F.greatest("src_node_id", "dst_node_id").alias("v")).agg(F.count("*").alias("n"))
-    return e.agg(F.count("*").alias("n_streets"), F.count_if(_c("n") > 2).alias("n_repeated"), F.count_if(_c("n") == 1).alias("n_one_way"))
+    """Faults of the street network before it is made planar."""
+    return M.audit(t.street().select(_c("street_id").alias("road_id"), "u", "v", *[(_c(k) * 1000).cast("long").alias(k) for k in ("ax", "ay", "bx", "by")], "layer"), 200_000.0)
 
 
 @query("WITH r AS (SELECT o_orderkey AS route_id, o_custkey AS stop_id FROM orders) SELECT count(*) AS n_routes, CAST(sum(CASE WHEN c.c_custkey IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_dangling FROM r LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 7 <> 0) c ON c.c_custkey = r.stop_id")
