@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from roadweave.functions import encoding as E
+from roadweave.operators.ranks import ranked
 
 
 def quotas(pool: DataFrame, group: list[str], key: str, capacity: str, total: Column) -> DataFrame:
@@ -31,9 +32,8 @@ def slots(quota: DataFrame, key: str) -> DataFrame:
 
 def leisure_preferences(pool: DataFrame, key: str, seed: int) -> DataFrame:
     """(start, poi, weight): for each place three in a row of the key order, around the end, with random weights that sum to 1."""
-    n = pool.select(key, (F.row_number().over(Window.orderBy(key)) - 1).alias("i"))  # the places of a city
-    total = n.agg(F.count("*").alias("n"))
-    starts = n.crossJoin(F.broadcast(total)).select(F.col(key).alias("start"), "i", "n", F.explode(F.sequence(F.lit(0), F.least("n", F.lit(3)).cast("int") - 1)).alias("k"))  # one row
+    n = ranked(pool.select(key), key, total="n").select(key, (F.col("rank") - 1).alias("i"), "n")
+    starts = n.select(F.col(key).alias("start"), "i", "n", F.explode(F.sequence(F.lit(0), F.least("n", F.lit(3)).cast("int") - 1)).alias("k"))
     x = starts.withColumn("at", F.pmod(F.col("i") + F.col("k"), F.col("n"))).join(n.select(F.col(key).alias("poi"), F.col("i").alias("at")), "at")
     raw = 0.5 + E.uniform(E.fold_in(seed, F.col("start"), F.col("k")))
     x = x.withColumn("raw", raw)

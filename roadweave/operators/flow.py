@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from roadweave.functions import traffic as T
+from roadweave.plans.loops import cut
 
 TOLERANCE = 1e-6
 
@@ -135,3 +136,60 @@ def token_arbitration(turn: DataFrame, link: DataFrame, sinks: DataFrame | None
     moves = moves.join(tokens.select(F.col("link_id").alias("from_link_id"), "service", "vehicles"), "from_link_id")
     moves = moves.join(tokens.select(F.col("link_id").alias("to_link_id"), "receiving"), "to_link_id", "left").fillna(0, ["receiving"])
     return moves.groupBy("node_id").applyInPandas(_junction, _TOKENS)
+
+
+def token_tick(turn: DataFrame, link: DataFrame, sinks: DataFrame, moves_before: DataFrame | None = None, links_before: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(moves, links) after a tick of integer vehicles; both are the next tick's state, so that ticks can be chained.
+
+    link: link_id, queue_vehicles, capacity, and optionally storage; sinks: link_id, demand of vehicles that end there.
+    links_before: link_id, service_residual, receiving_residual, service_carry, receiving_carry; moves_before: from_link_id, to_link_id (-1: a sink), credit; none: zeros.
+    moves: node_id, from_link_id, to_link_id, is_sink, realized, credit. links: link_id, queue_vehicles, capacity and those of links_before.
+
+    A link that has something to send (or to receive) gains its capacity in tokens; the fraction is left as a residual, and of whole tokens not used one is carried
+    on. Others start at zero again. Its capacity is shared as credit between turns and sink in proportion to their demands, turns among themselves by their flow;
+    a sink gets what the turns leave. A turn with demand that can't flow keeps its credit.
+    """
+    zero = F.lit(0.0)
+    names = ("service_residual", "receiving_residual", "service_carry", "receiving_carry")
+    before = link if links_before is None else link.join(links_before.select("link_id", *names), "link_id", "left")
+    before = before.select(*link.columns, *[(F.coalesce(n, zero) if links_before is not None else zero).alias(n) for n in names])
+    waiting = turn_flows(turn, link).where("NOT is_forbidden AND turn_demand > 0").select("node_id", "from_link_id", "to_link_id", F.lit(False).alias("is_sink"), F.col("turn_demand").alias("demand"), "flow")
+    if "storage" in link.columns:
+        full = link.where(F.col("storage") - F.col("queue_vehicles") < 1 - TOLERANCE).select(F.col("link_id").alias("to_link_id"), F.lit(True).alias("full"))
+        waiting = waiting.join(full, "to_link_id", "left").withColumn("flow", F.when(F.col("full"), 0.0).otherwise(F.col("flow"))).drop("full")
+    ends = sinks.select(F.col("link_id").alias("from_link_id"), F.floor(F.greatest("demand", zero) + TOLERANCE).cast("double").alias("demand")).where("demand > 0")
+    node_of = turn.select("from_link_id", "node_id").distinct()
+    open_ = waiting.where("flow > 0")
+    sent = open_.groupBy("from_link_id").agg(F.sum("demand").alias("inner"), F.sum("flow").alias("fraction"))
+    source = before.select(F.col("link_id").alias("from_link_id"), F.col("capacity").alias("cap")).join(sent, "from_link_id", "left").join(ends.withColumnRenamed("demand", "outer"), "from_link_id", "left").fillna(0.0, ["inner", "fraction", "outer"])
+    total = F.col("inner") + F.col("outer")
+    source = source.withColumn("inner_credit", F.least(F.when(total > 0, F.col("cap") * F.col("inner") / total).otherwise(0.0), "fraction"))
+    source = source.withColumn("outer_credit", F.least("outer", F.greatest(F.col("cap") - F.col("inner_credit"), zero)))
+    shares = source.select("from_link_id", "fraction", "inner_credit", "outer_credit")
+    credit = lambda df: df.join(moves_before.select("from_link_id", "to_link_id", "credit"), ["from_link_id", "to_link_id"], "left").fillna(0.0, ["credit"]) if moves_before is not None else df.withColumn("credit", zero)
+    sinking = ends.join(node_of, "from_link_id").withColumns({"to_link_id": F.lit(-1), "is_sink": F.lit(True), "flow": F.lit(None).cast("double")})
+    moves = credit(waiting.unionByName(sinking)).join(shares, "from_link_id")
+    moves = moves.withColumn("share", F.when(F.col("is_sink"), F.col("outer_credit")).when(F.col("flow") > 0, F.col("flow") * F.col("inner_credit") / F.col("fraction")).otherwise(0.0))
+    sends = source.where(total > 0).select(F.col("from_link_id").alias("link_id"), F.lit(True).alias("sends"))
+    receives = open_.select(F.col("to_link_id").alias("link_id")).distinct().withColumn("receives", F.lit(True))
+    tokens = before.join(sends, "link_id", "left").join(receives, "link_id", "left").fillna(False, ["sends", "receives"])
+    for side, has in (("service", "sends"), ("receiving", "receives")):
+        gained = F.when(F.col(has), F.col(f"{side}_residual") + F.col("capacity")).otherwise(0.0)
+        whole = F.floor(gained + 1e-9)
+        rest = F.when(F.abs(gained - whole) <= 1e-9, 0.0).otherwise(gained - whole)
+        carried = F.when(F.col(has) & (F.col("capacity") > 0), F.round(f"{side}_carry").cast("long")).otherwise(0)
+        tokens = tokens.withColumn(f"{side}_left", rest).withColumn(side, whole + carried)
+    if "storage" in link.columns:
+        tokens = tokens.withColumn("receiving", F.least("receiving", F.floor(F.greatest(F.col("storage") - F.col("queue_vehicles"), zero) + TOLERANCE)))
+    tokens = tokens.withColumn("vehicles", F.floor(F.col("queue_vehicles") + TOLERANCE))
+    dealt = moves.join(tokens.select(F.col("link_id").alias("from_link_id"), "service", "vehicles"), "from_link_id").join(tokens.select(F.col("link_id").alias("to_link_id"), "receiving"), "to_link_id", "left").fillna(0, ["receiving"])
+    # a turn that can't flow this tick has no demand in the deal
+    dealt = dealt.withColumn("demand", F.when(F.col("is_sink") | (F.col("flow") > 0), F.col("demand")).otherwise(0.0))
+    out = cut(dealt.groupBy("node_id").applyInPandas(_junction, _TOKENS))
+    gone = out.groupBy(F.col("from_link_id").alias("link_id")).agg(F.sum("realized").alias("sent"))
+    came = out.where("NOT is_sink").groupBy(F.col("to_link_id").alias("link_id")).agg(F.sum("realized").alias("came"))
+    x = tokens.join(gone, "link_id", "left").join(came, "link_id", "left").fillna(0, ["sent", "came"])
+    one = lambda side, used, has: F.when(F.col(has) & (F.col("capacity") > 0), F.greatest(F.least(F.col(side) - F.col(used), F.lit(1)), F.lit(0))).otherwise(0).cast("double").alias(f"{side}_carry")
+    queue = F.greatest(zero, F.col("queue_vehicles") - F.col("sent") + F.col("came")).alias("queue_vehicles")
+    after = x.select("link_id", queue, *[c for c in link.columns if c not in ("link_id", "queue_vehicles")], F.col("service_left").alias("service_residual"), F.col("receiving_left").alias("receiving_residual"), one("service", "sent", "sends"), one("receiving", "came", "receives"))
+    return out, cut(after)

@@ -89,19 +89,22 @@ def ranked_paths(ods: DataFrame, links: DataFrame, turns: DataFrame, costs: Data
     equi-join. A row goes when the cost to go is known to be in vain: it is dearer than the k cheapest whole paths so far, or `max_expansions`
     rows of its od come before it. That is the bound on the search: at most so many rows of an od, in order, are looked at, by default
     k * max(16, 4 * links). An od that met it has `met_bound` set, also where no path was found (one row with a null rank). Other ods without a
-    path, those that start at their goal among them, have no row.
+    path, those that start at their goal among them, have no row. Ods may have an incoming_link_id, after which the first link must be a legal turn.
     """
     usable = cut(links.where("NOT blocked").select("link_id", F.col("src_node_id").alias("src"), F.col("dst_node_id").alias("to"), F.col("cost").alias("step")))
     bound = max_expansions or k * max(16, 4 * links.count())
     follow = cut(turns.where("NOT is_forbidden").select(F.col("from_link_id").alias("last"), F.col("to_link_id").alias("link_id")).join(usable, "link_id"))
     goal = cut(costs.where(F.col("cost") < OUT_OF_REACH).select("destination_id", F.col("node_id").alias("to"), F.col("cost").alias("rest")))
     start = ods.where("origin_id <> destination_id").join(goal, ["destination_id"]).where("to = origin_id")
-    front = cut(start.select("od_id", "destination_id", F.col("to").alias("at"), F.lit(None).cast("int").alias("last"), F.array().cast("array<int>").alias("path"), F.array("to").alias("seen"), F.lit(0.0).alias("cost"), F.col("rest").alias("estimate")))
+    front = cut(start.select("od_id", "destination_id", F.col("to").alias("at"), (F.col("incoming_link_id") if "incoming_link_id" in ods.columns else F.lit(None)).cast("int").alias("last"), F.array().cast("array<int>").alias("path"), F.array("to").alias("seen"), F.lit(0.0).alias("cost"), F.col("rest").alias("estimate")))
     seen = front.select("od_id", "estimate", "cost", "path", F.lit(False).alias("whole"))
     found = seen.where("whole")
     first = lambda: Window.partitionBy("od_id").orderBy("estimate", "cost", "path")
     for hop in range(max_hops):
-        x = front.join(usable, front["at"] == usable["src"]) if hop == 0 else front.join(follow, "last")
+        x = front.join(follow, "last")
+        if hop == 0:
+            names = ("od_id", "destination_id", "path", "seen", "cost", "link_id", "to", "step")
+            x = x.select(*names).unionByName(front.where("last IS NULL").join(usable, front["at"] == usable["src"]).select(*names))
         x = x.where(~F.array_contains("seen", F.col("to"))).join(goal, ["destination_id", "to"]).withColumn("cost", F.col("cost") + F.col("step"))
         x = x.select("od_id", "destination_id", F.col("to").alias("at"), F.col("link_id").alias("last"), F.concat("path", F.array("link_id")).alias("path"), F.concat("seen", F.array("to")).alias("seen"), "cost", (F.col("cost") + F.col("rest")).alias("estimate"))
         dear = found.groupBy("od_id").agg(F.count("*").alias("n"), F.max("estimate").alias("most")).where(F.col("n") >= k).select("od_id", "most")

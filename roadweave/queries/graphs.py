@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from roadweave.functions import routing as R
-from roadweave.operators import forest, graph as G, planar as P, spatial as S
+from roadweave.operators import candidates as C, forest, graph as G, planar as P, spatial as S
 from roadweave.plans.loops import cut
 from roadweave.sources.traffic import Traffic
 
@@ -77,11 +77,75 @@ def two_link_candidates(t: Traffic) -> DataFrame:
     return k.withColumn("rank", F.row_number().over(Window.partitionBy("od_id").orderBy("cost", "a", "b"))).where("rank <= 3")
 
 
-@query("WITH c AS (SELECT od_id, max(CAST(epoch(ts) AS BIGINT)) AS last, count(*) AS n FROM tf_outcome GROUP BY od_id) SELECT od_id, od_id % 4 = 0 OR od_id % 5 = 0 OR n % 3 = 0 OR last % 7 < 2 AS refresh FROM c")
+#: Ticks at which routes are asked for, in that order: the clock is moved back once.
+_ASKED = (12, 17, 26, 20)
+_SEVERE = 1.0
+
+
+def _cache_sql() -> str:
+    steps = [f"""req AS (SELECT k.tick, t.origin_node_id * 100 + t.destination_node_id AS od_id, t.origin_node_id AS o, t.destination_node_id AS d, bool_or(r.o_orderpriority = '1-URGENT') AS forced FROM tf_trip t JOIN orders r ON r.o_orderkey = t.trip_request_id JOIN (SELECT unnest({list(_ASKED)}) AS tick) k ON t.planned_depart_tick BETWEEN k.tick - 3 AND k.tick GROUP BY ALL),
+inc AS (SELECT DISTINCT k.tick, l.src_node_id AS o FROM tf_event e JOIN tf_link l ON l.link_id = e.link_id JOIN (SELECT unnest({list(_ASKED)}) AS tick) k ON k.tick BETWEEN e.start_tick AND e.end_tick WHERE e.effect_model = 'closure' AND e.severity >= {_SEVERE}),
+asked AS (SELECT req.*, inc.o IS NOT NULL AS incident FROM req LEFT JOIN inc ON inc.tick = req.tick AND inc.o = req.o), cache0 AS (SELECT 0 AS od_id, 0 AS at, 0 AS version WHERE false)"""]
+    for i, tick in enumerate(_ASKED, 1):
+        steps.append(f"dec{i} AS (SELECT a.tick, a.od_id, c.version, CASE WHEN forced THEN 'forced' WHEN c.at IS NULL THEN 'missing' WHEN incident THEN 'incident' WHEN c.at > {tick} THEN 'clock' WHEN {tick} - c.at >= 8 THEN 'interval' END AS reason FROM asked a LEFT JOIN cache{i - 1} c ON c.od_id = a.od_id WHERE a.tick = {tick})")
+        steps.append(f"cache{i} AS (SELECT * FROM cache{i - 1} WHERE od_id NOT IN (SELECT od_id FROM dec{i} WHERE reason IS NOT NULL) UNION ALL SELECT od_id, {tick}, coalesce(version, 0) + 1 FROM dec{i} WHERE reason IS NOT NULL)")
+    return ", ".join(steps)
+
+
+def _closures(t: Traffic) -> DataFrame:
+    return t.event().where((_c("effect_model") == "closure") & (_c("severity") >= _SEVERE))
+
+
+def candidate_cache(t: Traffic) -> tuple[DataFrame, DataFrame]:
+    """(cache, decisions) of four ticks: the ods of the trips that start about then, forced for urgent orders, under an incident where a severe closure is on a link from the origin."""
+    urgent = t.table("orders").select(_c("o_orderkey").alias("trip_request_id"), (_c("o_orderpriority") == "1-URGENT").alias("forced"))
+    # a tick is asked for by the trips that start then or in the three ticks before
+    tick = F.explode(F.filter(F.array(*map(F.lit, _ASKED)), lambda k: (_c("planned_depart_tick") >= k - 3) & (_c("planned_depart_tick") <= k))).alias("tick")
+    trip = t.trip().select("*", tick).join(urgent, "trip_request_id")
+    od = (_c("origin_node_id") * 100 + _c("destination_node_id")).alias("od_id")
+    asked = cut(trip.groupBy("tick", od, _c("origin_node_id").alias("origin_id"), _c("destination_node_id").alias("destination_id")).agg(F.bool_or("forced").alias("forced")))
+    source = t.link().select("link_id", _c("src_node_id").alias("origin_id"))
+    closed = cut(_closures(t).join(source, "link_id").select("origin_id", "start_tick", "end_tick"))
+    paths = cut(two_link_candidates(t).groupBy("od_id").agg(F.count("*").alias("n_candidates"), F.min("cost").alias("least_cost")))
+    kind = "od_id int, origin_id int, destination_id int, refreshed_at int, version int, n_candidates long, least_cost double"
+    cache, log = t.spark.createDataFrame([], kind), []
+    for tick in _ASKED:
+        now = closed.where((_c("start_tick") <= tick) & (_c("end_tick") >= tick)).select("origin_id").distinct().withColumn("incident", F.lit(True))
+        requests = asked.where(_c("tick") == tick).drop("tick").join(now, "origin_id", "left")
+        cache, decisions = C.refreshed(requests, cache, tick, lambda ods: ods.select("od_id").join(paths, "od_id"))
+        cache, decisions = cut(cache), cut(decisions)
+        log.append(decisions.select(F.lit(tick).alias("tick"), "od_id", F.coalesce("reason", F.lit("reuse")).alias("reason")))
+    out = log[0]
+    for x in log[1:]:
+        out = out.unionByName(x)
+    return cache, out
+
+
+@query(f"WITH {_cache_sql()} SELECT tick, od_id, coalesce(reason, 'reuse') AS reason FROM ({' UNION ALL '.join(f'SELECT * FROM dec{i}' for i in range(1, len(_ASKED) + 1))})")
 def candidate_refresh(t: Traffic) -> DataFrame:
-    """A cached candidate set is made anew if it is missing, forced, under an incident, or old."""
-    c = t.outcome().groupBy("od_id").agg(F.max(F.unix_seconds(_c("ts").cast("timestamp"))).alias("at"), F.count("*").alias("n"))
-    return c.select("od_id", ((_c("od_id") % 4 == 0) | (_c("od_id") % 5 == 0) | (_c("n") % 3 == 0) | (_c("at") % 7 < 2)).alias("refresh"))
+    """Why each od's set is made anew, or that it is used again, tick by tick."""
+    return candidate_cache(t)[1]
+
+
+@query(f"""WITH {_cache_sql()}, {_PATHS}, k AS (SELECT p.o * 100 + p.d AS od_id, la + lb AS cost, row_number() OVER (PARTITION BY p.o * 100 + p.d ORDER BY la + lb, a, b) AS r FROM p), s AS (SELECT od_id, count(*) AS n_candidates, min(cost) AS least_cost FROM k WHERE r <= 3 GROUP BY od_id)
+SELECT c.od_id, CAST(c.at AS INT) AS refreshed_at, CAST(c.version AS INT) AS version, s.n_candidates, s.least_cost FROM cache{len(_ASKED)} c LEFT JOIN s ON s.od_id = c.od_id""")
+def candidate_sets(t: Traffic) -> DataFrame:
+    """The cache after those ticks."""
+    return candidate_cache(t)[0].select("od_id", "refreshed_at", "version", "n_candidates", "least_cost")
+
+
+_SCOPE = "(SELECT coalesce(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id), '') FROM tf_event WHERE effect_model = 'closure' AND severity >= 1.0 AND @ BETWEEN start_tick AND end_tick)"
+
+
+@query(f"WITH {_cache_sql()}, x AS (SELECT k.tick, {_SCOPE.replace('@', 'k.tick')} AS scope FROM (SELECT unnest({list(_ASKED)}) AS tick) k) SELECT count(CASE WHEN x.scope = y.scope THEN 1 END) AS n_kept, count(CASE WHEN x.scope <> y.scope THEN 1 END) AS n_pruned FROM cache{len(_ASKED)} c JOIN x ON x.tick = c.at JOIN x y ON y.tick = {_ASKED[-1]}")
+def cache_pruning(t: Traffic) -> DataFrame:
+    """Entries made under the closures of the last tick stay, those of other states of the network go. A state is told by the digest of its closures."""
+    ticks = t.spark.createDataFrame([(k,) for k in _ASKED], "tick int")
+    on = ticks.join(_closures(t), (_c("start_tick") <= _c("tick")) & (_c("end_tick") >= _c("tick")), "left")
+    # order-free digest of a set of ids of any size
+    state = cut(on.groupBy("tick").agg(F.count("event_id").alias("n"), F.bit_xor(F.xxhash64("event_id")).alias("x"), F.sum(F.col("event_id")).alias("s")).select(_c("tick").alias("refreshed_at"), F.concat_ws(":", "n", "x", "s").alias("scope")))
+    current = state.where(_c("refreshed_at") == _ASKED[-1]).select("scope").head()["scope"]
+    return C.pruned(candidate_cache(t)[0].join(state, "refreshed_at"), ("scope", F.lit(current)))[1]
 
 
 _PARTS = """RECURSIVE b AS (SELECT u, v FROM tf_street UNION SELECT v, u FROM tf_street), r(node_id, to_id) AS (SELECT junction_id, junction_id FROM tf_junction UNION SELECT r.node_id, b.v FROM r JOIN b ON b.u = r.to_id), w AS (SELECT node_id, min(to_id) AS root FROM r GROUP BY node_id)"""

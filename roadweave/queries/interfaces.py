@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from roadweave.functions import encoding as E
-from roadweave.operators import policy, spatial
+from roadweave.functions.routing import UNREACHABLE
+from roadweave.operators import candidates as C, graph as G, policy, spatial
+from roadweave.plans.loops import cut
 from roadweave.sources.traffic import Traffic
 
 from . import query
 from .aggregates import agent_paths
-from .elementwise import _SETS, _sets
-from .graphs import _SEG, segments
+from .elementwise import _BAR, _SCORE, _SETS, _sets
+from .graphs import _NET, _SEG, network, segments
 
 _c = F.col
 
@@ -21,13 +23,42 @@ def policy_plugin_scores(t: Traffic) -> DataFrame:
     return policy.scored(_sets(t), "linear", ["cost", "reward"]).select("od_id", "arm", F.round("score", 6).alias("score"))
 
 
-@query("""WITH a AS (SELECT trip_request_id AS agent_id, CAST(origin_node_id * 25 + (origin_node_id + 1) % 25 AS INT) AS a, CAST(((origin_node_id + 1) % 25) * 25 + (origin_node_id + 1 + CASE WHEN trip_request_id % 2 = 0 THEN 5 ELSE 24 END) % 25 AS INT) AS b, trip_request_id % 5 % 2 AS pos FROM tf_trip WHERE stage = 'active')
-SELECT agent_id, CASE WHEN agent_id % 3 = 0 THEN CASE WHEN pos = 0 THEN a || '-7-8' ELSE a || '-' || b || '-7-8' END ELSE a || '-' || b END AS path FROM a""")
+_DRIVERS = f"""RECURSIVE {_NET}, ag AS (SELECT t.trip_request_id AS agent_id, t.trip_request_id % 5 % 2 AS pos, CAST(t.origin_node_id * 25 + (t.origin_node_id + 1) % 25 AS INT) AS a, CAST(((t.origin_node_id + 1) % 25) * 25 + (t.origin_node_id + 1 + CASE WHEN t.trip_request_id % 2 = 0 THEN 5 ELSE 24 END) % 25 AS INT) AS b, p.* FROM tf_trip t JOIN tf_profile p ON p.citizen_id = t.citizen_id WHERE t.stage = 'active'),
+ask AS (SELECT DISTINCT a, b, la.dst_node_id AS n, lb.dst_node_id AS e FROM ag JOIN tf_link la ON la.link_id = a JOIN tf_link lb ON lb.link_id = b WHERE pos = 0 AND la.dst_node_id <> lb.dst_node_id),
+walk(a, e, last, node, path, seen, cost) AS (SELECT a, e, a, n, CAST([] AS INT[]), [n], CAST(0.0 AS DOUBLE) FROM ask UNION ALL SELECT w.a, w.e, l.link_id, l.dst_node_id, list_append(w.path, l.link_id), list_append(w.seen, l.dst_node_id), w.cost + l.cost FROM walk w JOIN tf_turn t ON t.from_link_id = w.last AND NOT t.is_forbidden JOIN net l ON l.link_id = t.to_link_id AND NOT l.blocked WHERE w.node <> w.e AND len(w.path) < 5 AND NOT list_contains(w.seen, l.dst_node_id)),
+tail AS (SELECT a, e, path, cost, row_number() OVER (PARTITION BY a, e ORDER BY cost, path) AS r FROM walk WHERE node = e),
+x AS (SELECT ag.*, tl.path AS new, tl.cost AS cand, CASE WHEN nb.blocked THEN 1e12 ELSE nb.cost END AS cur FROM ag JOIN tf_link lb ON lb.link_id = ag.b LEFT JOIN tail tl ON tl.a = ag.a AND tl.e = lb.dst_node_id AND tl.r = 1 AND ag.pos = 0 JOIN net nb ON nb.link_id = ag.b),
+g AS (SELECT *, greatest(0.0, (cur - cand) / greatest(cur, 1e-6)) AS gain FROM x),
+s AS (SELECT *, CASE WHEN pos = 1 OR new IS NULL THEN 'no_tail' WHEN new = [b] THEN 'same_tail' WHEN gain < 0.05 THEN 'insufficient_improvement' WHEN {_SCORE} >= {_BAR} AND reroute_willingness > 0 THEN 'reroute' ELSE 'persistence' END AS reason FROM g)"""
+
+
+def _drivers(t: Traffic) -> DataFrame:
+    """What travellers under way decide: the cheapest legal tail to where their path ends, against what is left of it."""
+    n = network(t)
+    ends = n.select(F.col("link_id").alias("end_link"), F.col("dst_node_id").alias("destination_id"))
+    trip = t.trip().select(_c("trip_request_id").alias("agent_id"), "citizen_id")
+    profile = t.profile().select("citizen_id", _c("reroute_willingness").alias("willingness"), "delay_sensitivity", _c("exploration_bias").alias("exploration"), _c("persistence_bias").alias("persistence"))
+    agents = agent_paths(t).drop("ready").withColumns({"current_link_id": F.element_at("path", _c("at") + 1), "end_link": F.element_at("path", -1), "cooldown": F.lit(0)})
+    agents = cut(agents.join(ends, "end_link").drop("end_link").join(trip, "agent_id").join(profile, "citizen_id").drop("citizen_id"))
+    asked = cut(C.tail_requests(agents, n))
+    costs = G.cost_to_go(n, asked.select("destination_id").distinct())
+    found = G.ranked_paths(asked, n, t.turn(t.link()), costs, 1, 5).where("rank = 1")
+    tails = asked.join(found, "od_id").select("incoming_link_id", "destination_id", "path", "cost")
+    # a blocked link can't be driven
+    return C.rerouted(agents, tails, n.withColumn("cost", F.when(_c("blocked"), UNREACHABLE).otherwise(_c("cost"))))
+
+
+@query(f"WITH {_DRIVERS} SELECT agent_id, reason, array_to_string(CASE WHEN reason = 'reroute' THEN list_concat([a], new) ELSE [a, b] END, '-') AS path FROM s")
 def reroute_tail_splice(t: Traffic) -> DataFrame:
-    """A rerouted agent's path: what it has driven, its link now, and the new tail."""
-    p = agent_paths(t)
-    new = F.concat(F.slice("path", 1, _c("at") + 1), F.array(F.lit(7), F.lit(8)))
-    return p.select("agent_id", F.array_join(F.when(_c("agent_id") % 3 == 0, new).otherwise(_c("path")), "-").alias("path"))
+    """Each traveller's route after the decision: the links up to the current one, and the new tail."""
+    return _drivers(t).select("agent_id", "reason", F.array_join("route", "-").alias("path"))
+
+
+@query(f"WITH {_DRIVERS} SELECT agent_id, CAST(tick AS INT) AS tick, CAST(greatest(CASE WHEN reason = 'reroute' THEN 3 ELSE 0 END - tick, 0) AS INT) AS cooldown, CASE WHEN reason = 'reroute' THEN 3 ELSE 0 END >= tick AS skips FROM (SELECT agent_id, reason, unnest(range(1, 5)) AS tick FROM s) k")
+def cooldown_decay(t: Traffic) -> DataFrame:
+    """The four ticks after: who was rerouted waits, a tick less each time."""
+    x = _drivers(t).select("agent_id", "next_cooldown", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("tick"))
+    return x.select("agent_id", "tick", F.greatest(_c("next_cooldown") - _c("tick"), F.lit(0)).cast("int").alias("cooldown"), (_c("next_cooldown") >= _c("tick")).alias("skips"))
 
 
 @query(f"""WITH {_SEG}, p AS (SELECT a.segment_id AS i, b.segment_id AS j, a.ax, a.ay, a.bx, a.by_, b.ax AS cx, b.ay AS cy, b.bx AS dx, b.by_ AS dy, (a.bx - a.ax) * (b.by_ - b.ay) - (a.by_ - a.ay) * (b.bx - b.ax) AS det FROM seg a JOIN seg b ON a.segment_id <> b.segment_id AND a.layer = b.layer AND a.u <> b.u AND a.u <> b.v AND a.v <> b.u AND a.v <> b.v),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from roadweave.functions import learning as L, routing as R
 from roadweave.operators import agents as A, flow as Flow
+from roadweave.operators.ranks import ranked
 from roadweave.sources.traffic import Traffic
 
 from . import query
@@ -70,6 +71,19 @@ def token_arbitration(t: Traffic) -> DataFrame:
     return Flow.token_arbitration(t.turn(), link, sinks)
 
 
+@query()
+def token_ticks(t: Traffic) -> DataFrame:
+    """Three ticks of integer vehicles on all links, each from what the one before has left: queues, residuals and carried tokens."""
+    link, turn = t.link(), t.turn()
+    now = link.select("link_id", "queue_vehicles", (_c("capacity_veh_per_tick") / 16.0).alias("capacity"))
+    sinks = link.select("link_id", (_c("lanes") - 1).cast("double").alias("demand"))
+    moves = links = None
+    for _ in range(3):
+        moves, links = Flow.token_tick(turn, now, sinks, moves, links)
+        now = links.select("link_id", "queue_vehicles", "capacity")
+    return links
+
+
 @query("SELECT link_id, round(queue_vehicles / greatest(capacity_veh_per_tick, 1e-6), 6) AS ratio, CAST(row_number() OVER (ORDER BY queue_vehicles / greatest(capacity_veh_per_tick, 1e-6) DESC, link_id) AS INT) AS rank FROM tf_link QUALIFY row_number() OVER (ORDER BY queue_vehicles / greatest(capacity_veh_per_tick, 1e-6) DESC, link_id) <= 10")
 def link_hotspots(t: Traffic) -> DataFrame:
     """The ten links with the most queue for their capacity."""
@@ -161,8 +175,7 @@ def ucb_create(t: Traffic) -> DataFrame:
 @query("WITH n AS (SELECT node_id, row_number() OVER (ORDER BY x, y, node_id) - 1 AS i, count(*) OVER () AS n FROM tf_node) SELECT node_id, CAST(k AS INT) AS k FROM n JOIN range(0, 4) r(k) ON i = floor((k + 0.5) * n / 4)")
 def zone_centres(t: Traffic) -> DataFrame:
     """Nodes at even strides of the order by place."""
-    w = Window.orderBy("x", "y", "node_id")
-    n = t.node().select("node_id", (F.row_number().over(w) - 1).alias("i"), F.count("*").over(Window.partitionBy()).alias("n"))
+    n = ranked(t.node(), "x", "y", "node_id", total="n").select("node_id", (_c("rank") - 1).alias("i"), "n")
     at = F.explode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.struct(k.alias("k"), F.floor((k + 0.5) * _c("n") / 4).alias("at")))).alias("a")
     return n.select("node_id", "i", at).where("i = a.at").select("node_id", "a.k")
 
@@ -171,16 +184,15 @@ def zone_centres(t: Traffic) -> DataFrame:
 def holdout_split(t: Traffic) -> DataFrame:
     """Groups ranked by a hash of seed and group; the first share is held out."""
     g = t.outcome().select("od_id").distinct()
-    w = Window.orderBy(F.sha2(F.concat(F.lit("17:"), _c("od_id").cast("string")), 256), "od_id")
-    return g.select("od_id", (F.row_number().over(w) <= F.ceil(F.count("*").over(Window.partitionBy()) * 0.3)).alias("validation"))
+    g = ranked(g, F.sha2(F.concat(F.lit("17:"), _c("od_id").cast("string")), 256), "od_id", total="n")
+    return g.select("od_id", (_c("rank") <= F.ceil(_c("n") * 0.3)).alias("validation"))
 
 
 @query("WITH b AS (SELECT link_id, row_number() OVER (ORDER BY sha256('5:' || link_id), link_id) AS r, count(*) OVER () AS n FROM tf_link WHERE is_blockable) SELECT link_id FROM b WHERE r <= ceil(n * 0.1)")
 def closure_sampling(t: Traffic) -> DataFrame:
     """A share of the links that can be blocked, by a hash of seed and link."""
-    w = Window.orderBy(F.sha2(F.concat(F.lit("5:"), _c("link_id").cast("string")), 256), "link_id")
-    b = t.link().where("is_blockable").select("link_id", F.row_number().over(w).alias("r"), F.count("*").over(Window.partitionBy()).alias("n"))
-    return b.where(_c("r") <= F.ceil(_c("n") * 0.1)).select("link_id")
+    b = ranked(t.link().where("is_blockable").select("link_id"), F.sha2(F.concat(F.lit("5:"), _c("link_id").cast("string")), 256), "link_id", total="n")
+    return b.where(_c("rank") <= F.ceil(_c("n") * 0.1)).select("link_id")
 
 
 @query()

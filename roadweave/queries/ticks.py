@@ -91,12 +91,6 @@ def metrics_accumulation(t: Traffic) -> DataFrame:
     return Sim.accumulated(c, ["generated", "completed"], [], "tick")  # one row a tick
 
 
-@query("SELECT citizen_id, CAST(greatest(citizen_id % 6 - 1, 0) AS INT) AS cooldown, citizen_id % 6 > 0 AS skips FROM tf_profile")
-def cooldown_decay(t: Traffic) -> DataFrame:
-    k = _c("citizen_id") % 6
-    return t.profile().select("citizen_id", F.greatest(k - 1, F.lit(0)).cast("int").alias("cooldown"), (k > 0).alias("skips"))
-
-
 @query("""WITH RECURSIVE r(link_id, tick, residual, tokens) AS (SELECT link_id, 0, CAST(0.0 AS DOUBLE), CAST(0 AS BIGINT) FROM tf_link UNION ALL SELECT r.link_id, r.tick + 1, r.residual + 0.5 + l.lanes / 10.0 - floor(r.residual + 0.5 + l.lanes / 10.0 + 1e-9), CAST(floor(r.residual + 0.5 + l.lanes / 10.0 + 1e-9) AS BIGINT) FROM r JOIN tf_link l ON l.link_id = r.link_id WHERE r.tick < 6)
 SELECT link_id, tick, tokens FROM r WHERE tick > 0""")
 def residual_credits(t: Traffic) -> DataFrame:
@@ -107,14 +101,6 @@ def residual_credits(t: Traffic) -> DataFrame:
     return x.select("link_id", "tick", (whole(_c("tick")) - whole(_c("tick") - 1)).alias("tokens"))
 
 
-@query("SELECT od_id, arm, count(*) AS n FROM tf_outcome WHERE trip_id % 3 = (SELECT max(trip_id % 3) FROM tf_outcome) GROUP BY od_id, arm")
-def cache_pruning(t: Traffic) -> DataFrame:
-    """Entries of the newest generation."""
-    o = t.outcome().withColumn("generation", _c("trip_id") % 3)
-    newest = o.agg(F.max("generation").alias("generation"))
-    return o.join(F.broadcast(newest), "generation").groupBy("od_id", "arm").agg(F.count("*").alias("n"))
-
-
 @query("SELECT CAST(start_tick AS INT) AS tick, 'inject' AS control, event_id FROM tf_event UNION ALL SELECT CAST(end_tick + 1 AS INT), 'clear', event_id FROM tf_event")
 def scenario_controls(t: Traffic) -> DataFrame:
     """Messages that inject an event at its start and clear it after its end."""
