@@ -179,7 +179,7 @@ def overlaps(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col
 
     An overlap is an alignment's best stretch of min_words words or more (of all the item's words if it has fewer) of which `similarity` or more are
     the same, or `similarity` of the item where the text ends before it. All are found if similarity is 0.8 and min_words LONG at least. Items with
-    the same words are one: the least item id stands for them. Of an item under five words, the first occurrence is reported. Null or empty texts
+    the same words are compared once, and each gets the rows. Of an item under five words, the first occurrence is reported. Null or empty texts
     overlap nothing; long ones are read whole. Equal rows give one row. Empty tables: no rows. Other columns are not read. An id column called like an
     output: ValueError.
     """
@@ -187,8 +187,9 @@ def overlaps(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col
     spark = docs.sparkSession
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), tests.schema[item_col].dataType.simpleString()
     items = tests.select(F.col(item_col).alias("id"), F.col(item_text_col).cast("string").alias("text")).where("text IS NOT NULL")
-    items = items.mapInPandas(_item_rows, f"item_id {item_kind}, words array<int>, n_words int").groupBy("words", "n_words").agg(F.min("item_id").alias("item_id"))
-    items = stored(items.where("item_id IS NOT NULL").select("item_id", "words"), "items")
+    named_items = stored(items.mapInPandas(_item_rows, f"item_id {item_kind}, words array<int>, n_words int").where("item_id IS NOT NULL"), "named-items")
+    items = stored(named_items.groupBy("words", "n_words").agg(F.min("item_id").alias("item_id")).select("item_id", "words"), "items")
+    members = named_items.join(items.select("words", F.col("item_id").alias("first_id")), "words").select("first_id", "item_id").distinct()
     item_seeds = stored(items.mapInPandas(_item_seeds, f"seed long, item_id {item_kind}, item_at int"), "seeds")
     n = item_seeds.count()
     sizes = [r["n"] for r in items.select(F.least(F.size("words"), F.lit(LONG)).alias("n")).distinct().collect()]  # at most LONG + 1
@@ -211,4 +212,5 @@ def overlaps(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col
     good = pairs.mapInArrow(_verify(similarity, min_words), f"k1 long, k2 long, item_id {item_kind}, word_at int, item_word_at int, n_words int, n_same int, item_words int")
     best = F.max(F.struct("n_same", (-F.col("item_word_at")).alias("a"), (F.col("item_word_at") - F.col("word_at")).alias("b"), "word_at", "item_word_at", "n_words", "item_words")).alias("x")
     out = good.groupBy("k1", "k2", "item_id").agg(best).join(texts.select("k1", "k2", "id"), ["k1", "k2"])
+    out = out.withColumnRenamed("item_id", "first_id").join(members, "first_id")
     return out.select(F.col("id").alias(id_col), "item_id", "x.word_at", "x.item_word_at", "x.n_words", "x.n_same", (F.col("x.n_same") / F.col("x.n_words")).alias("similarity"), "x.item_words")

@@ -17,12 +17,18 @@ from .common import named
 # Elements of HTML by their role.
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NOT_TEXT = frozenset("aside button canvas dialog footer form head header iframe menu nav noscript object script select style svg template textarea title".split())
+NOT_TEXT = frozenset("aside button canvas dialog footer head header iframe menu nav noscript object script select style svg template textarea title".split())
 SECTIONS = frozenset("article main section div td ul ol dl body".split())
 CLOSED_BY_NEXT = frozenset("p li dt dd tr td th option".split())
 #: Words of a class, id or role that mark what is not the article.
 _NOT_ARTICLE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|alert|banner|breadcrumbs?|comments?|complementary|consent|contentinfo|cookies?|disclaimer|disqus|footer|gdpr|header|menu|modal|nav|navbar|navigation|newsletter|notices?|pagination|paywall|popup|promo\w*|related|replies|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.IGNORECASE)
 
+#: A class or id that says what an element has or belongs to, not what it is; and those that say that it is an article, whatever else they say.
+_SAYS_ELSE = re.compile(r"(?:has|no|with|without|is|not|category|tag|format|type|status)[_-]", re.IGNORECASE)
+_ARTICLE = frozenset("article article-body article-content content entry entry-content hentry main-content post post-content story story-body".split())
+#: Characters of text from which a form that holds most of a page's text is taken for a frame around the page.
+FORM_PAGE = 500
+
 #: Lines of standard deviation of the smoothing, and the share of the mean ratio from which a line is content.
 SIGMA, THRESHOLD = 2.0, 0.5
 #: What a line's ratio counts in an article or main element, against one outside.
@@ -31,13 +37,20 @@ ARTICLE_WEIGHT = 2.0
 
 @dataclass
 class Line:
-    """A line's text, its characters in links, its tags, the section and the article or main element (0: none) that hold it."""
+    """A line's text, its characters in links, its tags, the section and the article or main element (0: none) that hold it, and whether a form does."""
 
     text: str
     linked: int
     tags: int
     section: int
     region: int
+    form: bool = False
+
+
+def _no_article(value: str) -> bool:
+    """Whether the words of a class, id or role mark what is not the article."""
+    words = [w for w in value.split() if not _SAYS_ELSE.match(w)]
+    return any(map(_NOT_ARTICLE.search, words)) and not any(w.lower() in _ARTICLE for w in words)
 
 
 class _Lines(HTMLParser):
@@ -51,13 +64,17 @@ class _Lines(HTMLParser):
         self._text: list[str] = []
         self._tags = self._links = self._sections = self._regions = self._in_article = self._hidden = 0
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """`<![...>` is no more than a comment in a page."""
+        return self.parse_bogus_comment(i)
+
     def _section(self) -> int:
         return self._open[-1][2] if self._open else 0
 
     def _flush(self) -> None:
         text = " ".join("".join(self._text).split())
         if text:
-            self.lines.append(Line(text, self._links, self._tags, self._section(), self._regions if self._in_article else 0))
+            self.lines.append(Line(text, self._links, self._tags, self._section(), self._regions if self._in_article else 0, self._named["form"] > 0))
         self._text, self._tags, self._links = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -74,7 +91,7 @@ class _Lines(HTMLParser):
                 self._pop()
             self._regions += not self._in_article
             self._in_article += 1
-        hidden = tag in NOT_TEXT or tag not in ("html", "body", "article", "main") and any(v and k in ("class", "id", "role") and _NOT_ARTICLE.search(v) for k, v in attrs) or any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
+        hidden = tag in NOT_TEXT or tag not in ("html", "body", "article", "main") and any(v and k in ("class", "id", "role") and _no_article(v) for k, v in attrs) or any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
         section = self._section()
         if tag in SECTIONS:
             self._sections += 1
@@ -115,12 +132,16 @@ def _closed(html: str) -> str:
 
 
 def lines_of(html: str) -> list[Line]:
-    """The lines of a page that show text and aren't hidden."""
+    """The lines of a page that show text and aren't hidden. Those of forms aren't the page's, unless they hold most of it."""
     parser = _Lines()
     parser.feed(_closed(html))
     parser.close()
     parser._flush()
-    return parser.lines
+    lines = parser.lines
+    inside = sum(len(x.text) for x in lines if x.form)
+    if inside >= FORM_PAGE and 2 * inside > sum(len(x.text) for x in lines):
+        return lines
+    return [x for x in lines if not x.form]
 
 
 def smoothed(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:

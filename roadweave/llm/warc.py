@@ -40,6 +40,7 @@ def as_of(asks: DataFrame, facts: DataFrame, key: str, at: str, fact: str, bucke
 
     Keys are dealt by time as well: within a bucket by a window, across buckets by a window over each bucket's last fact, of which a key has
     at most `buckets`. A key with most of the rows is thus spread, and only distinct points of time are ordered. Null keys or times match nothing.
+    `at` is a whole number. Repeated rows count once. Empty asks: no rows; empty facts: nulls.
     """
     points = facts.where(F.col(key).isNotNull() & F.col(at).isNotNull()).groupBy(key, at).agg(F.max(fact).alias("fact"))
     wanted = asks.where(F.col(key).isNotNull() & F.col(at).isNotNull()).groupBy(key, at).agg(F.lit(True).alias("asked"))
@@ -58,20 +59,25 @@ def as_of(asks: DataFrame, facts: DataFrame, key: str, at: str, fact: str, bucke
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
-    """One row per revisit of records (record_id, url, at, kind 'response' or 'revisit', status, headers: map of small-letter names, digest).
+    """One row per revisit of records (record_id, url, at, kind 'response' or 'revisit', status, headers: map of small-letter names, digest), each row of records a record of its own.
 
     Result: record_id, url, canonical, at, verdict, target_id, target_at, digest, headers. The target is the latest earlier response of status 200 with
     the same canonical URL (of equal times the largest record_id). verdict: 'resolved'; 'no response' if there is none; 'changed' if the validators
     disagree: entity tags are compared weakly where both have one, else Last-Modified where both have one; 'no validator' if they share none.
     Only resolved rows have a digest and the merged headers: the target's, with those a 304 may carry replaced. A null URL or time finds no response.
+    Repeated response rows are one; of rows with one record_id but other contents the least digest counts. Repeated revisits get a row each. Headers of any
+    length are carried as they are. Empty table: no rows. Other columns are not read.
     """
     rows = stored(records.select("record_id", "url", "at", "kind", "status", "headers", "digest", canonical_url(F.col("url")).alias("canonical")), "records")
     full = rows.where("kind = 'response' AND status = 200")
     asks = rows.where("kind = 'revisit'").drop("digest", "status", "kind")
-    found = as_of(asks.select("canonical", "at"), full.select("canonical", "at", "record_id"), "canonical", "at", "record_id")
-    asks = asks.join(found, ["canonical", "at"], "left").withColumnRenamed("fact", "target_id")
-    target = full.select(F.col("record_id").alias("target_id"), F.col("at").alias("target_at"), F.col("headers").alias("stored"), "digest")
-    out = asks.join(target, "target_id", "left")
+    found = as_of(asks.select("canonical", "at"), full.select("canonical", "at", F.struct("at", "record_id").alias("record")), "canonical", "at", "record")
+    asks = asks.join(found, ["canonical", "at"], "left").select("*", F.col("fact.record_id").alias("target_id"), F.col("fact.at").alias("target_at")).drop("fact")
+    # a map can't be compared: of rows of one record and time, the headers go with the least digest
+    first = F.min_by(F.struct("headers", "digest"), F.struct("digest", F.array_sort(F.map_entries("headers")).cast("string"))).alias("first")
+    target = full.groupBy(F.col("record_id").alias("target_id"), F.col("at").alias("target_at"), "canonical").agg(first)
+    target = target.select("target_id", "target_at", "canonical", F.col("first.headers").alias("stored"), F.col("first.digest").alias("digest"))
+    out = asks.join(target, ["target_id", "canonical", "target_at"], "left")
     tag = lambda h: F.regexp_replace(F.try_element_at(h, F.lit("etag")), r"^W/", "")
     since = lambda h: F.try_element_at(h, F.lit("last-modified"))
     a, b = F.col("headers"), F.col("stored")
