@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from roadweave.functions import geometry as G, learning as L
-from roadweave.operators import flow as Flow
+from roadweave.operators import features as X, flow as Flow
 from roadweave.sources.traffic import Traffic
 
 from . import query
@@ -167,22 +167,43 @@ def node_feature_aggregates(t: Traffic) -> DataFrame:
     return x.select("node_id", "out_degree", "in_degree", *[_r(c, 4 if "cap" in c else 6).alias(c) for c in ("out_min", "out_mean", "in_mean", "out_cap", "in_cap", "out_blocked", "in_blocked")])
 
 
-@query(f"""WITH {_FEATURES}, f AS (SELECT n.node_id, n.x, n.y, out_degree, in_degree, out_min, out_cap FROM tf_node n LEFT JOIN o ON o.node_id = n.node_id LEFT JOIN i ON i.node_id = n.node_id),
-m AS (SELECT max(out_degree) AS deg, max(out_cap) AS cap, sqrt((max(x) - min(x)) ** 2 + (max(y) - min(y)) ** 2) AS diag FROM f), c AS (SELECT max(cost) AS cost FROM b)
-SELECT a.node_id, d.node_id AS destination_id, round((a.x - d.x) / diag, 6) AS dx, round((a.y - d.y) / diag, 6) AS dy, round(sqrt((a.x - d.x) ** 2 + (a.y - d.y) ** 2) / diag, 6) AS distance, round(a.in_degree / m.deg, 6) AS in_degree, round(a.out_degree / m.deg, 6) AS out_degree,
-round(coalesce(a.out_min, 0.0) / c.cost, 6) AS out_min, round(a.out_cap / m.cap, 6) AS out_cap, a.node_id = d.node_id AS at_destination FROM f a JOIN f d ON d.node_id IN (0, 7, 24) CROSS JOIN m CROSS JOIN c""")
-def model_inputs(t: Traffic) -> DataFrame:
-    """Normalised features of each node and a destination out of a few."""
-    f = node_features(t).select("node_id", "x", "y", "out_degree", "in_degree", "out_min", "out_cap")
-    top = f.agg(F.max("out_degree").alias("deg"), F.max("out_cap").alias("cap"), F.hypot(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("diag"))
-    cost = t.link().agg(F.max(_c("length_m") / _c("free_flow_speed_mps") + _c("queue_vehicles") / _c("capacity_veh_per_tick")).alias("cost"))
-    d = t.node().where("node_id IN (0, 7, 24)").select(_c("node_id").alias("destination_id"), _c("x").alias("xd"), _c("y").alias("yd"))
-    x = f.crossJoin(F.broadcast(d)).crossJoin(F.broadcast(top)).crossJoin(F.broadcast(cost))  # a fixed set of destinations, and single rows
-    dx, dy = _c("x") - _c("xd"), _c("y") - _c("yd")
-    return x.select(
-        "node_id", "destination_id", _r(dx / _c("diag")).alias("dx"), _r(dy / _c("diag")).alias("dy"), _r(F.hypot(dx, dy) / _c("diag")).alias("distance"), _r(_c("in_degree") / _c("deg")).alias("in_degree"), _r(_c("out_degree") / _c("deg")).alias("out_degree"),
-        _r(F.coalesce("out_min", F.lit(0.0)) / _c("cost")).alias("out_min"), _r(_c("out_cap") / _c("cap")).alias("out_cap"), (_c("node_id") == _c("destination_id")).alias("at_destination"),
+_INPUTS = """eff AS (SELECT *, capacity * multiplier AS ec, capacity * multiplier <= 0 AND blockable AS blocked FROM l),
+o AS (SELECT network, src AS node_id, count(*) AS deg, min(CASE WHEN NOT blocked THEN travel END) AS mn, avg(CASE WHEN NOT blocked THEN travel END) AS mean, sum(ec) AS cap, avg(CASE WHEN blocked THEN 1.0 ELSE 0.0 END) AS shut FROM eff GROUP BY ALL),
+i AS (SELECT network, dst AS node_id, count(*) AS deg, min(CASE WHEN NOT blocked THEN travel END) AS mn, avg(CASE WHEN NOT blocked THEN travel END) AS mean, sum(ec) AS cap, avg(CASE WHEN blocked THEN 1.0 ELSE 0.0 END) AS shut FROM eff GROUP BY ALL),
+f AS (SELECT n.*, coalesce(o.deg, 0) AS od, coalesce(i.deg, 0) AS idg, coalesce(o.mn, 0.0) AS omin, coalesce(o.mean, 0.0) AS omean, coalesce(i.mean, 0.0) AS imean, coalesce(o.cap, 0.0) AS ocap, coalesce(i.cap, 0.0) AS icap, coalesce(o.shut, 0.0) AS oshut, coalesce(i.shut, 0.0) AS ishut, CASE WHEN o.mn IS NULL THEN 0.0 ELSE 1.0 END AS ho, CASE WHEN i.mn IS NULL THEN 0.0 ELSE 1.0 END AS hi FROM n LEFT JOIN o ON o.network = n.network AND o.node_id = n.node_id LEFT JOIN i ON i.network = n.network AND i.node_id = n.node_id),
+g AS (SELECT network, greatest(max(od), max(idg), 1) AS md, greatest(max(ocap), max(icap), 1e-6) AS mc, greatest(sqrt((max(x) - min(x)) ** 2 + (max(y) - min(y)) ** 2), 1.0) AS diag FROM f GROUP BY network),
+h AS (SELECT network, greatest(max(travel), 1e-6) AS mt, avg(travel) / greatest(max(travel), 1e-6) AS gm, avg(CASE WHEN blocked THEN 1.0 ELSE 0.0 END) AS gb FROM eff GROUP BY network),
+inputs AS (SELECT f.network, t.node_id AS destination_id, f.node_id, (f.x - t.x) / diag AS relative_x_by_spatial_diagonal, (f.y - t.y) / diag AS relative_y_by_spatial_diagonal, sqrt((f.x - t.x) ** 2 + (f.y - t.y) ** 2) / diag AS euclidean_distance_by_spatial_diagonal, f.idg / md AS node_in_degree_by_max, f.od / md AS node_out_degree_by_max, t.idg / md AS destination_in_degree_by_max, t.od / md AS destination_out_degree_by_max,
+f.omin / mt AS usable_outgoing_travel_time_min_by_max, f.omean / mt AS usable_outgoing_travel_time_mean_by_max, f.imean / mt AS usable_incoming_travel_time_mean_by_max, f.ocap / mc AS outgoing_effective_capacity_sum_by_max, f.icap / mc AS incoming_effective_capacity_sum_by_max, f.oshut AS outgoing_blocked_link_fraction, f.ishut AS incoming_blocked_link_fraction, mt AS global_max_travel_time_by_one_tick, gm AS global_mean_travel_time_by_max, gb AS global_blocked_link_fraction,
+f.ho AS has_usable_outgoing, f.hi AS has_usable_incoming, CASE WHEN f.node_id = t.node_id THEN 1.0 ELSE 0.0 END AS is_destination FROM f JOIN d ON d.network = f.network JOIN f t ON t.network = d.network AND t.node_id = d.destination_id JOIN g ON g.network = f.network JOIN h ON h.network = f.network)"""
+_ROUNDED = ", ".join(f"round({c}, 6) AS {c}" for c in X.INPUTS)
+_QUARTERS = """jn AS (SELECT *, CAST(floor(junction_id / 320) * 5 + floor(junction_id % 40 / 8) AS BIGINT) AS network FROM tf_junction), n AS (SELECT network, junction_id AS node_id, x, y FROM jn),
+w AS (SELECT 2 * street_id AS link_id, u AS src, v AS dst, sqrt((bx - ax) ** 2 + (by_ - ay) ** 2) AS length, street_id % 8 AS way FROM tf_street UNION ALL SELECT 2 * street_id + 1, v, u, sqrt((bx - ax) ** 2 + (by_ - ay) ** 2), street_id % 8 FROM tf_street WHERE NOT one_way),
+l AS (SELECT a.network, w.link_id, w.src, w.dst, w.length / CASE WHEN way = 4 THEN 15.0 ELSE 10.0 END AS travel, CASE WHEN way = 4 THEN 40.0 ELSE 20.0 END AS capacity, CASE WHEN a.balance < -500 THEN 0.0 WHEN a.balance < 0 THEN 0.5 ELSE 1.0 END AS multiplier, way <> 4 AS blockable FROM w JOIN jn a ON a.junction_id = w.src JOIN jn b ON b.junction_id = w.dst AND b.network = a.network),
+d AS (SELECT network, min(dst) AS destination_id FROM l GROUP BY network UNION SELECT network, max(dst) FROM l GROUP BY network)"""
+
+
+def quarters(t: Traffic) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, links, destinations): the street network in quarters of eight by eight junctions, each a network of its own with two destinations."""
+    j = t.junction().withColumn("network", (F.floor(_c("junction_id") / 320) * 5 + F.floor(_c("junction_id") % 40 / 8)).cast("long"))
+    s = t.street().select("street_id", "u", "v", F.hypot(_c("bx") - _c("ax"), _c("by") - _c("ay")).alias("length"), "one_way", (_c("street_id") % 8).alias("way"))
+    both = s.select((2 * _c("street_id")).alias("link_id"), _c("u").alias("src"), _c("v").alias("dst"), "length", "way").union(s.where("NOT one_way").select(2 * _c("street_id") + 1, "v", "u", "length", "way"))
+    a = j.select(_c("junction_id").alias("src"), "network", "balance")
+    b = j.select(_c("junction_id").alias("dst"), "network")
+    wide = _c("way") == 4
+    links = both.join(a, "src").join(b, ["dst", "network"]).select(
+        "network", "link_id", "src", "dst", "length", F.when(wide, 15.0).otherwise(10.0).alias("speed"), F.when(wide, 2).otherwise(1).alias("lanes"), F.when(wide, "arterial").otherwise("local").alias("road_class"),
+        (_c("length") / F.when(wide, 15.0).otherwise(10.0)).alias("travel"), F.when(wide, 40.0).otherwise(20.0).alias("capacity"), F.when(_c("balance") < -500, 0.0).when(_c("balance") < 0, 0.5).otherwise(1.0).alias("multiplier"), (~wide).alias("blockable"),
     )
+    goals = links.groupBy("network").agg(F.array(F.min("dst"), F.max("dst")).alias("d")).select("network", F.explode("d").alias("destination_id")).distinct()
+    return j.select("network", _c("junction_id").alias("node_id"), "x", "y"), links, goals
+
+
+@query(f"WITH {_QUARTERS}, {_INPUTS} SELECT network, destination_id, node_id, {_ROUNDED} FROM inputs")
+def model_inputs(t: Traffic) -> DataFrame:
+    """The twenty inputs of each node and destination of the quarters."""
+    x = X.model_inputs(*quarters(t))
+    return x.select("network", "destination_id", "node_id", *[_r(c).alias(c) for c in X.INPUTS])
 
 
 @query("""WITH u AS (UNPIVOT (SELECT CAST(observed_travel_time AS DOUBLE) AS observed, CAST(arm AS DOUBLE) AS arm, CAST(baseline_travel_time AS DOUBLE) AS baseline FROM tf_outcome) ON observed, arm, baseline INTO NAME feature VALUE value)

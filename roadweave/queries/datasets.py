@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from roadweave.functions import routing as R
-from roadweave.operators import demand as D, flow as Flow, graph as G
+from roadweave.operators import demand as D, features as X, flow as Flow, graph as G
+from roadweave.plans.loops import cut
 from roadweave.sources.traffic import Traffic
 
 from . import query
+from .aggregates import _INPUTS, _ROUNDED, quarters
 from .elementwise import _NORMAL, _SETS, _sets
 from .graphs import _COST, _goals, network
 
@@ -106,14 +108,19 @@ def block_land_use(t: Traffic) -> DataFrame:
     return b.select("block_id").join(c, "block_id", "left").join(i, "block_id", "left").select("block_id", F.coalesce("a", "i", F.lit("residential")).alias("land_use"))
 
 
-@query(f"WITH {_COST.replace('@', '0, 12')} SELECT c.destination_id, c.node_id, round(c.cost, 6) AS label, round((n.x - d.x) / 5000.0, 6) AS dx, round((n.y - d.y) / 5000.0, 6) AS dy, o.deg AS out_degree FROM ctg c JOIN tf_node n ON n.node_id = c.node_id JOIN tf_node d ON d.node_id = c.destination_id JOIN (SELECT src_node_id, count(*) AS deg FROM tf_link GROUP BY 1) o ON o.src_node_id = c.node_id")
+@query(f"""WITH {_COST.replace('@', '0, 12')}, n AS (SELECT 0 AS network, node_id, x, y FROM tf_node), l AS (SELECT 0 AS network, link_id, src_node_id AS src, dst_node_id AS dst, length_m / free_flow_speed_mps + queue_vehicles / capacity_veh_per_tick AS travel, capacity_veh_per_tick AS capacity, CASE WHEN link_id % 6 = 0 THEN 0.0 ELSE 1.0 END AS multiplier, is_blockable AS blockable FROM tf_link),
+d AS (SELECT 0 AS network, node_id AS destination_id FROM tf_node WHERE node_id IN (0, 12)), {_INPUTS} SELECT i.destination_id, i.node_id, round(c.cost, 6) AS label, {_ROUNDED} FROM inputs i JOIN ctg c ON c.destination_id = i.destination_id AND c.node_id = i.node_id""")
 def cost_to_go_labels(t: Traffic) -> DataFrame:
-    """A label and inputs of each node that reaches a destination."""
-    c = G.cost_to_go(network(t), _goals(t, 0, 12))
-    n = t.node().select("node_id", "x", "y")
-    d = t.node().select(_c("node_id").alias("destination_id"), _c("x").alias("xd"), _c("y").alias("yd"))
-    o = t.link().groupBy(_c("src_node_id").alias("node_id")).agg(F.count("*").alias("out_degree"))
-    return c.join(n, "node_id").join(d, "destination_id").join(o, "node_id").select("destination_id", "node_id", _r("cost").alias("label"), _r((_c("x") - _c("xd")) / 5000.0).alias("dx"), _r((_c("y") - _c("yd")) / 5000.0).alias("dy"), "out_degree")
+    """A label and the twenty inputs of each node that reaches a destination."""
+    n = network(t)
+    c = G.cost_to_go(n, _goals(t, 0, 12))
+    nodes = t.node().select(F.lit(0).alias("network"), "node_id", "x", "y")
+    links = t.link().select(
+        F.lit(0).alias("network"), "link_id", _c("src_node_id").alias("src"), _c("dst_node_id").alias("dst"), (_c("length_m") / _c("free_flow_speed_mps") + _c("queue_vehicles") / _c("capacity_veh_per_tick")).alias("travel"),
+        _c("capacity_veh_per_tick").alias("capacity"), F.when(_c("link_id") % 6 == 0, 0.0).otherwise(1.0).alias("multiplier"), _c("is_blockable").alias("blockable"),
+    )
+    x = X.model_inputs(nodes, links, _goals(t, 0, 12).withColumn("network", F.lit(0)))
+    return x.join(c, ["destination_id", "node_id"]).select("destination_id", "node_id", _r("cost").alias("label"), *[_r(k).alias(k) for k in X.INPUTS])
 
 
 @query(f"WITH s AS ({_SETS}), r AS (SELECT *, row_number() OVER (PARTITION BY od_id ORDER BY cost, arm) AS r FROM s) SELECT od_id, string_agg(arm, ',' ORDER BY arm) AS candidates, min(CASE WHEN r = 1 THEN arm END) AS selected FROM r GROUP BY od_id")
@@ -221,8 +228,17 @@ def node_interfaces(t: Traffic) -> DataFrame:
     return t.link().groupBy(_c("dst_node_id").alias("node_id")).agg(F.count("*").alias("n_incoming"), a.alias("n_arterial"), (a >= 2).alias("signal_eligible"))
 
 
-@query("SELECT src_node_id, string_agg(link_id || ':' || dst_node_id, ';' ORDER BY link_id) AS edges, 8 - count(*) AS n_padding FROM tf_link GROUP BY src_node_id")
+def tensor_batches(t: Traffic, most_bytes: int = 400_000) -> DataFrame:
+    """The quarters and their destinations as padded batches; every fifth quarter by a hash is held out."""
+    nodes, links, goals = (cut(x) for x in quarters(t))
+    usable = links.select(_c("src").alias("src_node_id"), _c("dst").alias("dst_node_id"), _c("travel").alias("cost"), ((_c("capacity") * _c("multiplier") <= 0) & _c("blockable")).alias("blocked"))
+    labels = G.cost_to_go(usable, goals.select("destination_id"))
+    classes = ("local", "arterial")
+    samples = X.graph_samples(nodes, links, X.model_inputs(nodes, links, goals), labels, classes)
+    held = nodes.select("network").distinct().where(F.crc32(_c("network").cast("string")) % 5 == 0)
+    return X.graph_batches(samples, held, most_bytes, len(classes))
+
+
+@query()
 def graph_tensor_batch(t: Traffic) -> DataFrame:
-    """Edges of each node in order, and how many are padded up to eight."""
-    g = t.link().groupBy("src_node_id").agg(F.array_sort(F.collect_list(F.struct("link_id", "dst_node_id"))).alias("e"))
-    return g.select("src_node_id", F.array_join(F.transform("e", lambda x: F.concat_ws(":", x["link_id"], x["dst_node_id"])), ";").alias("edges"), (8 - F.size("e")).cast("long").alias("n_padding"))
+    return tensor_batches(t)
