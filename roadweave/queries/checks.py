@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from roadweave.operators import morphology as M
+from roadweave.functions.traffic import storage_capacity
+from roadweave.operators import contracts as K, graph as G, morphology as M
 from roadweave.sources.traffic import Traffic
 
 from . import query
-from .graphs import _PARTS, junctions
+from .aggregates import agent_paths, zone_times
+from .graphs import _PARTS, junctions, ways
 from .ticks import links
 
 _c = F.col
@@ -58,8 +60,6 @@ _BAD = "b AS (SELECT link_id, queue_vehicles - CASE WHEN link_id % 30 = 2 THEN 1
 
 
 def _bad(t: Traffic) -> DataFrame:
-    from roadweave.functions.traffic import storage_capacity
-
     return t.link().select("link_id", (_c("queue_vehicles") - F.when(_c("link_id") % 30 == 2, 1e6).otherwise(0)).alias("q"), storage_capacity(_c("length_m"), _c("lanes")).alias("storage"), _c("capacity_veh_per_tick").alias("cap"))
 
 
@@ -88,27 +88,65 @@ def queue_authority(t: Traffic) -> DataFrame:
     return t.link().join(a, "link_id", "full_outer").select("link_id", n.alias("n_agents"), q.alias("queue"), (n == q).alias("agrees"))
 
 
-@query("WITH k AS (SELECT link_id, (link_id % 10) / 10.0 AS residual, CAST(link_id % 3 AS DOUBLE) + CASE WHEN link_id % 17 = 0 THEN 0.5 ELSE 0 END AS tokens FROM tf_link) SELECT link_id, residual >= 0 AND residual < 1 AS residual_ok, abs(tokens - round(tokens)) <= 1e-6 AS whole FROM k")
+@query("""WITH k AS (SELECT link_id, capacity_veh_per_tick / 16.0 AS share FROM tf_link), n AS (SELECT k.link_id, r.tick, share, floor(share * r.tick + 1e-9) - floor(share * (r.tick - 1) + 1e-9) AS tokens, share * r.tick - floor(share * r.tick + 1e-9) AS residual FROM k CROSS JOIN (SELECT unnest(range(1, 5)) AS tick) r)
+SELECT link_id, CAST(tick AS INT) AS tick, CAST(tokens AS BIGINT) AS tokens, round(residual, 6) AS residual, residual > -1e-6 AND residual < 1 AS residual_ok, abs(tokens - share) < 1 AS tokens_ok FROM n""")
 def token_authority(t: Traffic) -> DataFrame:
-    """Residuals in [0, 1) and whole tokens."""
-    residual, tokens = (_c("link_id") % 10) / 10.0, (_c("link_id") % 3).cast("double") + F.when(_c("link_id") % 17 == 0, 0.5).otherwise(0)
-    return t.link().select("link_id", ((residual >= 0) & (residual < 1)).alias("residual_ok"), (F.abs(tokens - F.round(tokens)) <= 1e-6).alias("whole"))
+    """Four ticks of a link's whole tokens: the residual stays in [0, 1), and no tick is a token or more away from the share."""
+    share = _c("capacity_veh_per_tick") / 16.0
+    x = t.link().select("link_id", share.alias("share"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("tick"))
+    whole = lambda k: F.floor(_c("share") * k + 1e-9)
+    x = x.withColumn("tokens", whole(_c("tick")) - whole(_c("tick") - 1)).withColumn("residual", _c("share") * _c("tick") - whole(_c("tick")))
+    return x.select("link_id", "tick", "tokens", _r("residual").alias("residual"), ((_c("residual") > -1e-6) & (_c("residual") < 1)).alias("residual_ok"), (F.abs(_c("tokens") - _c("share")) < 1).alias("tokens_ok"))
 
 
-@query("WITH p AS (SELECT user_id AS slot, count(*) AS n, min(value) AS least, max(value) AS most FROM events GROUP BY user_id) SELECT count(*) AS n_slots, CAST(sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_repeated, CAST(sum(CASE WHEN least < 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_low FROM p")
+@query("""WITH ag AS (SELECT trip_request_id AS agent_id, citizen_id, trip_request_id % 5 % 2 AS pos FROM tf_trip WHERE stage = 'active'), k AS (SELECT citizen_id, count(*) AS n_agents, count(DISTINCT agent_id) AS n_ids, count(CASE WHEN pos NOT IN (0, 1) THEN 1 END) AS n_outside FROM ag GROUP BY citizen_id)
+SELECT n_agents, count(*) AS n_citizens, CAST(sum(n_agents - n_ids) AS BIGINT) AS n_repeated, CAST(sum(n_outside) AS BIGINT) AS n_outside, n_agents > 1 AS several FROM k GROUP BY n_agents""")
 def pool_consistency(t: Traffic) -> DataFrame:
-    p = t.table("events").groupBy("user_id").agg(F.count("*").alias("n"), F.min("value").alias("least"))
-    return p.agg(F.count("*").alias("n_slots"), F.count_if(_c("n") > 1).alias("n_repeated"), F.count_if(_c("least") < 1).alias("n_low"))
-
-
-@query(f"""WITH {_BAD}, v AS (SELECT 'negative_queue' AS code, count(*) AS n FROM b WHERE q < 0 UNION ALL SELECT 'over_storage', count(*) FROM b WHERE q > storage + 1e-6 UNION ALL SELECT 'over_capacity', count(*) FROM b WHERE q > cap + 1e-6 UNION ALL SELECT 'no_capacity', count(*) FROM b WHERE cap <= 0) SELECT code, n, n = 0 AS passed FROM v""")
+    """Travellers by how many vehicles they have under way at once; ids that repeat, and places outside a path."""
+    a = agent_paths(t).join(t.trip().select(_c("trip_request_id").alias("agent_id"), "citizen_id"), "agent_id")
+    k = a.groupBy("citizen_id").agg(F.count("*").alias("n_agents"), F.count_distinct("agent_id").alias("n_ids"), F.count_if((_c("at") < 0) | (_c("at") >= F.size("path"))).alias("n_outside"))
+    return k.groupBy("n_agents").agg(F.count("*").alias("n_citizens"), F.sum(_c("n_agents") - _c("n_ids")).alias("n_repeated"), F.sum("n_outside").alias("n_outside")).withColumn("several", _c("n_agents") > 1)
+
+
+_STATE = """ag AS (SELECT trip_request_id AS agent_id, trip_request_id % 5 % 2 AS pos, CAST(origin_node_id * 25 + (origin_node_id + 1) % 25 AS INT) AS a, CAST(((origin_node_id + 1) % 25) * 25 + (origin_node_id + 1 + CASE WHEN trip_request_id % 2 = 0 THEN 5 ELSE 24 END) % 25 AS INT) AS b FROM tf_trip WHERE stage = 'active'), here AS (SELECT CASE WHEN pos = 0 THEN a ELSE b END AS link_id, count(*) AS n FROM ag GROUP BY 1),
+o AS (SELECT from_link_id AS link_id, sum(turn_demand) AS f FROM tf_turn WHERE NOT is_forbidden GROUP BY 1), i AS (SELECT to_link_id AS link_id, sum(turn_demand) AS f FROM tf_turn WHERE NOT is_forbidden GROUP BY 1),
+st AS (SELECT l.link_id, queue_vehicles AS q, CAST(greatest(floor(length_m * lanes / 7.5), 1) AS DOUBLE) AS storage, coalesce(o.f, 0.0) AS outflow, coalesce(i.f, 0.0) AS inflow, capacity_veh_per_tick AS cap, capacity_veh_per_tick / 16.0 - floor(capacity_veh_per_tick / 16.0) AS residual FROM tf_link l LEFT JOIN o ON o.link_id = l.link_id LEFT JOIN i ON i.link_id = l.link_id),
+v AS (SELECT 'active_agent_pool_consistency' AS check, 'place_outside_path' AS code, CAST(agent_id AS VARCHAR) AS subject FROM ag WHERE pos > 1
+UNION ALL SELECT 'non_negative_queue', 'negative_queue', CAST(link_id AS VARCHAR) FROM st WHERE q < 0 UNION ALL SELECT 'finite_link_storage', 'storage_exceeded', CAST(link_id AS VARCHAR) FROM st WHERE q > storage + 1e-6
+UNION ALL SELECT 'runtime_vehicle_queue_authority', 'queue_is_not_agents', CAST(coalesce(st.link_id, h.link_id) AS VARCHAR) FROM st FULL JOIN here h ON h.link_id = st.link_id WHERE coalesce(floor(st.q + 1e-6), 0) <> coalesce(h.n, 0)
+UNION ALL SELECT 'runtime_token_authority', 'service_residual_outside_unit', CAST(link_id AS VARCHAR) FROM st WHERE residual < 0 OR residual >= 1
+UNION ALL SELECT 'capacity_flags', 'capacity_exceeded', CAST(link_id AS VARCHAR) FROM st WHERE outflow > cap + 1e-6 OR inflow > cap + 1e-6 UNION ALL SELECT 'capacity_flags', 'flag_mismatch', CAST(link_id AS VARCHAR) FROM st WHERE (outflow > cap + 1e-6) <> (outflow > cap + 1e-6 OR inflow > cap + 1e-6)
+UNION ALL SELECT 'conservation', 'conservation_mismatch', 'trips' FROM (SELECT count(*) AS n, count(CASE WHEN stage IN ('pending', 'active', 'completed') THEN 1 END) AS m FROM tf_trip) WHERE n <> m
+UNION ALL SELECT 'trip_lifecycle_disjoint', 'trip_in_two_stages', CAST(trip_request_id AS VARCHAR) FROM tf_trip GROUP BY trip_request_id HAVING count(DISTINCT stage) > 1)"""
+
+
+def _broken_invariants(t: Traffic) -> DataFrame:
+    """The eight checks on the links, turns, travellers and trips as they are; the flag looks at what flows out only, as a runtime might."""
+    turn = t.turn().where("NOT is_forbidden")
+    flow = lambda end, name: turn.groupBy(_c(end).alias("link_id")).agg(F.sum("turn_demand").alias(name))
+    cap = _c("capacity_veh_per_tick")
+    share = cap / 16.0
+    link = t.link().join(flow("from_link_id", "outflow"), "link_id", "left").join(flow("to_link_id", "inflow"), "link_id", "left").fillna(0.0, ["outflow", "inflow"])
+    link = link.select(
+        "link_id", _c("queue_vehicles").alias("queue"), storage_capacity(_c("length_m"), _c("lanes")).alias("storage"), "outflow", "inflow", cap.alias("capacity"), cap.alias("receiving"), (_c("outflow") > cap + 1e-6).alias("flag"),
+        (share - F.floor(share)).alias("service_residual"), (share - F.floor(share)).alias("receiving_residual"), F.floor(share).cast("double").alias("service_tokens"), F.floor(share).cast("double").alias("receiving_tokens"),
+    )
+    agents = agent_paths(t).select("agent_id", "path", "at", F.element_at("path", _c("at") + 1).alias("link_id"))
+    trips = t.trip().select(_c("trip_request_id").alias("trip_id"), "stage")
+    totals = trips.agg(F.count("*").alias("generated"), *[F.count_if(_c("stage") == x).alias(x) for x in ("pending", "active", "completed", "failed")])
+    return K.invariants(link, agents, trips, totals)
+
+
+@query(f"WITH {_STATE} SELECT * FROM v")
+def invariant_violations(t: Traffic) -> DataFrame:
+    """Every broken invariant, with its subject."""
+    return _broken_invariants(t)
+
+
+@query(f"WITH {_STATE} SELECT k.check, count(v.check) AS n, count(v.check) = 0 AS passed FROM (SELECT unnest({list(K.INVARIANTS)}) AS check) k LEFT JOIN v ON v.check = k.check GROUP BY k.check")
 def invariant_runner(t: Traffic) -> DataFrame:
-    """All checks in one pass over the links."""
-    b = _bad(t)
-    found = F.array(F.when(_c("q") < 0, "negative_queue"), F.when(_c("q") > _c("storage") + 1e-6, "over_storage"), F.when(_c("q") > _c("cap") + 1e-6, "over_capacity"), F.when(_c("cap") <= 0, "no_capacity"))
-    codes = ("negative_queue", "over_storage", "over_capacity", "no_capacity")
-    x = b.withColumn("f", F.array_compact(found)).agg(*[F.count_if(F.array_contains("f", c)).alias(c) for c in codes])
-    return x.unpivot([], list(codes), "code", "n").withColumn("passed", _c("n") == 0)
+    """The eight checks, and how many rows break each."""
+    return K.report(_broken_invariants(t), K.INVARIANTS)
 
 
 @query("SELECT link_id, length_m > 0 AND lanes >= 1 AND capacity_veh_per_tick > 0 AND queue_vehicles >= 0 AND src_node_id <> dst_node_id AS ok FROM tf_link")
@@ -116,24 +154,64 @@ def link_state_checks(t: Traffic) -> DataFrame:
     return t.link().select("link_id", ((_c("length_m") > 0) & (_c("lanes") >= 1) & (_c("capacity_veh_per_tick") > 0) & (_c("queue_vehicles") >= 0) & (_c("src_node_id") != _c("dst_node_id"))).alias("ok"))
 
 
-@query("SELECT (SELECT count(*) FROM tf_link WHERE link_id < 0) + (SELECT count(*) FROM tf_zone WHERE population_capacity < 0) + (SELECT count(*) FROM tf_event WHERE severity < 0 OR severity > 1 OR end_tick < start_tick) AS n_violations")
-def world_contract(t: Traffic) -> DataFrame:
-    parts = [t.link().where("link_id < 0"), t.zone().where("population_capacity < 0"), t.event().where("severity < 0 OR severity > 1 OR end_tick < start_tick")]
-    x = parts[0].select(F.lit(1).alias("i"))
-    for p in parts[1:]:
-        x = x.unionByName(p.select(F.lit(1).alias("i")))
-    return x.agg(F.count("*").alias("n_violations"))
+_WORLD = """e AS (SELECT *, length_m / free_flow_speed_mps + queue_vehicles / capacity_veh_per_tick AS travel, greatest(floor(length_m * lanes / 7.5), 1) AS stock FROM tf_link), m AS (SELECT a.zone_id AS o, b.zone_id AS d, avg(abs(a.x - b.x) + abs(a.y - b.y)) / 10.0 AS cost FROM tf_node a CROSS JOIN tf_node b GROUP BY a.zone_id, b.zone_id),
+s AS (SELECT CAST(sum(population_capacity) AS BIGINT) AS population, (SELECT count(*) FROM tf_trip WHERE stage = 'active') AS active, (SELECT max(planned_depart_tick) FROM tf_trip) AS step, (SELECT max(start_tick) FROM tf_event) AS snapshot FROM tf_zone),
+v AS (SELECT 'graph' AS check, 'edge_src_unknown' AS code, CAST(link_id AS VARCHAR) AS subject FROM e WHERE src_node_id NOT IN (SELECT node_id FROM tf_node) UNION ALL SELECT 'graph', 'edge_dst_unknown', CAST(link_id AS VARCHAR) FROM e WHERE dst_node_id NOT IN (SELECT node_id FROM tf_node) UNION ALL SELECT 'graph', 'edge_class_missing', CAST(link_id AS VARCHAR) FROM e WHERE road_class IS NULL
+UNION ALL SELECT 'graph', 'edge_id_repeated', CAST(link_id AS VARCHAR) FROM e GROUP BY link_id HAVING count(*) > 1
+UNION ALL SELECT 'traffic', 'negative_queue', CAST(link_id AS VARCHAR) FROM e WHERE queue_vehicles < 0 UNION ALL SELECT 'traffic', 'negative_travel_time', CAST(link_id AS VARCHAR) FROM e WHERE travel < 0 UNION ALL SELECT 'traffic', 'queue_over_stock', CAST(link_id AS VARCHAR) FROM e WHERE queue_vehicles > stock
+UNION ALL SELECT 'traffic', 'negative_movement', from_link_id || '-' || to_link_id FROM tf_turn WHERE turn_demand < 0
+UNION ALL SELECT 'demand', 'active_over_population', 'world' FROM s WHERE active > population UNION ALL SELECT 'demand', 'home_unknown', CAST(citizen_id AS VARCHAR) FROM tf_profile WHERE home_node_id NOT IN (SELECT node_id FROM tf_node)
+UNION ALL SELECT 'landuse', 'negative_housing', CAST(zone_id AS VARCHAR) FROM tf_zone WHERE population_capacity < 0 UNION ALL SELECT 'landuse', 'negative_jobs', CAST(zone_id AS VARCHAR) FROM tf_zone WHERE job_capacity < 0
+UNION ALL SELECT 'accessibility', 'row_length', CAST(o AS VARCHAR) FROM m GROUP BY o HAVING count(*) <> (SELECT count(*) FROM tf_zone) UNION ALL SELECT 'accessibility', 'negative_cost', o || '-' || d FROM m WHERE cost < 0 UNION ALL SELECT 'accessibility', 'snapshot_not_lagged', 'world' FROM s WHERE snapshot >= step
+UNION ALL SELECT 'events', 'severity_outside_unit', CAST(event_id AS VARCHAR) FROM tf_event WHERE severity < 0 OR severity > 1 UNION ALL SELECT 'events', 'ends_before_start', CAST(event_id AS VARCHAR) FROM tf_event WHERE end_tick < start_tick UNION ALL SELECT 'events', 'target_unknown', CAST(event_id AS VARCHAR) FROM tf_event WHERE link_id NOT IN (SELECT link_id FROM tf_link))"""
 
 
-@query("""WITH c AS (SELECT 'lonely_node' AS code, count(*) AS n FROM tf_node n WHERE NOT EXISTS (SELECT 1 FROM tf_link l WHERE l.src_node_id = n.node_id AND l.link_id % 5 = 1) UNION ALL SELECT 'zone_without_node', count(*) FROM tf_zone z WHERE NOT EXISTS (SELECT 1 FROM tf_node n WHERE n.zone_id = z.zone_id) UNION ALL SELECT 'dead_turn', count(*) FROM tf_link l WHERE NOT EXISTS (SELECT 1 FROM tf_turn t WHERE t.from_link_id = l.link_id AND NOT t.is_forbidden)) SELECT code, n FROM c""")
+@query(f"WITH {_WORLD} SELECT * FROM v")
+def world_contract(t: Traffic) -> DataFrame:
+    """Every rule of the world's tables that a row breaks: graph, traffic, demand, land use, accessibility, events."""
+    e = t.link().withColumn("travel", _c("length_m") / _c("free_flow_speed_mps") + _c("queue_vehicles") / _c("capacity_veh_per_tick")).withColumn("stock", storage_capacity(_c("length_m"), _c("lanes")))
+    node, zone, event, turn = t.node(), t.zone(), t.event(), t.turn()
+    costs = zone_times(t)
+    full = costs.groupBy("o").agg(F.count("*").alias("n")).join(F.broadcast(zone.agg(F.count("*").alias("zones"))), F.lit(True))  # one row
+    one = zone.agg(F.sum("population_capacity").alias("population")).join(t.trip().agg(F.count_if(_c("stage") == "active").alias("active"), F.max("planned_depart_tick").alias("step")), F.lit(True)).join(event.agg(F.max("start_tick").alias("snapshot")), F.lit(True))  # one row each
+    return K.together([
+        K.without(e.withColumn("node_id", _c("src_node_id")), "graph", "edge_src_unknown", "link_id", node, ["node_id"]), K.without(e.withColumn("node_id", _c("dst_node_id")), "graph", "edge_dst_unknown", "link_id", node, ["node_id"]),
+        K.broken(e, "graph", _c("link_id"), {"edge_class_missing": _c("road_class").isNull()}), K.repeated(e, "graph", "edge_id_repeated", "link_id"),
+        K.broken(e, "traffic", _c("link_id"), {"negative_queue": _c("queue_vehicles") < 0, "negative_travel_time": _c("travel") < 0, "queue_over_stock": _c("queue_vehicles") > _c("stock")}),
+        K.broken(turn, "traffic", F.concat_ws("-", "from_link_id", "to_link_id"), {"negative_movement": _c("turn_demand") < 0}),
+        K.broken(one, "demand", F.lit("world"), {"active_over_population": _c("active") > _c("population")}), K.without(t.profile().withColumn("node_id", _c("home_node_id")), "demand", "home_unknown", "citizen_id", node, ["node_id"]),
+        K.broken(zone, "landuse", _c("zone_id"), {"negative_housing": _c("population_capacity") < 0, "negative_jobs": _c("job_capacity") < 0}),
+        K.broken(full, "accessibility", _c("o"), {"row_length": _c("n") != _c("zones")}), K.broken(costs, "accessibility", F.concat_ws("-", "o", "d"), {"negative_cost": _c("tt") < 0}), K.broken(one, "accessibility", F.lit("world"), {"snapshot_not_lagged": _c("snapshot") >= _c("step")}),
+        K.broken(event, "events", _c("event_id"), {"severity_outside_unit": (_c("severity") < 0) | (_c("severity") > 1), "ends_before_start": _c("end_tick") < _c("start_tick")}), K.without(event, "events", "target_unknown", "event_id", e, ["link_id"]),
+    ])
+
+
+_MAP = """j AS (SELECT junction_id, x, y FROM tf_junction), s AS (SELECT * FROM tf_street),
+v AS (SELECT 'topology' AS check, 'street_repeated' AS code, CAST(street_id AS VARCHAR) AS subject FROM s GROUP BY street_id HAVING count(*) > 1 UNION ALL SELECT 'topology', 'loop', CAST(street_id AS VARCHAR) FROM s WHERE u = v UNION ALL SELECT 'topology', 'end_unknown', CAST(street_id AS VARCHAR) FROM s WHERE u NOT IN (SELECT junction_id FROM j) OR v NOT IN (SELECT junction_id FROM j)
+UNION ALL SELECT 'topology', 'place_repeated', x || ',' || y FROM (SELECT CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y FROM j) GROUP BY x, y HAVING count(*) > 1
+UNION ALL SELECT 'connectivity', 'junction_without_street', CAST(junction_id AS VARCHAR) FROM j WHERE junction_id NOT IN (SELECT u FROM s UNION SELECT v FROM s) UNION ALL SELECT 'connectivity', 'part_apart', CAST(root AS VARCHAR) FROM w GROUP BY root HAVING root <> (SELECT root FROM w GROUP BY root ORDER BY count(*) DESC, root LIMIT 1)
+UNION ALL SELECT 'geometry', 'no_length', CAST(street_id AS VARCHAR) FROM s WHERE ax = bx AND ay = by_ UNION ALL SELECT 'geometry', 'start_not_anchored', CAST(street_id AS VARCHAR) FROM s JOIN j ON j.junction_id = s.u WHERE abs(s.ax - j.x) > 0.25 OR abs(s.ay - j.y) > 0.25
+UNION ALL SELECT 'access', 'no_way_out', CAST(junction_id AS VARCHAR) FROM j WHERE junction_id IN (SELECT u FROM s UNION SELECT v FROM s) AND junction_id NOT IN (SELECT u FROM s UNION SELECT v FROM s WHERE NOT one_way) UNION ALL SELECT 'access', 'no_way_in', CAST(junction_id AS VARCHAR) FROM j WHERE junction_id IN (SELECT u FROM s UNION SELECT v FROM s) AND junction_id NOT IN (SELECT v FROM s UNION SELECT u FROM s WHERE NOT one_way))"""
+
+
+@query(f"WITH {_PARTS}, {_MAP} SELECT * FROM v")
 def map_contract(t: Traffic) -> DataFrame:
-    link = t.link()
-    few = link.where("link_id % 5 = 1").select(_c("src_node_id").alias("node_id"))
-    legal = t.turn(link).where("NOT is_forbidden").select(_c("from_link_id").alias("link_id"))
-    n = lambda code, df: df.agg(F.lit(code).alias("code"), F.count("*").alias("n"))
-    a = n("lonely_node", t.node().join(few, "node_id", "left_anti"))
-    b = n("zone_without_node", t.zone().join(t.node(), "zone_id", "left_anti"))
-    return a.unionByName(b).unionByName(n("dead_turn", link.join(legal, "link_id", "left_anti")))
+    """Every rule of the street map that is broken: topology, connectivity, geometry, access."""
+    j, s = t.junction().select(_c("junction_id").alias("node_id"), "x", "y"), t.street()
+    ends = s.select("street_id", F.explode(F.array("u", "v")).alias("node_id"))
+    parts = G.weak_components(j.select("node_id"), s)
+    apart = G.component_order(parts).where("component_id > 0")
+    used = j.join(ends.select("node_id").distinct(), "node_id", "left_semi")
+    out, into = (ways(t).select(_c(c).alias("node_id")) for c in "uv")
+    known = K.without(ends, "topology", "end_unknown", "street_id", j, ["node_id"]).distinct()
+    start = s.join(j.withColumnRenamed("node_id", "u"), "u")
+    return K.together([
+        K.repeated(s, "topology", "street_repeated", "street_id"), K.broken(s, "topology", _c("street_id"), {"loop": _c("u") == _c("v")}), known,
+        K.repeated(j.withColumn("place", F.concat_ws(",", _c("x").cast("long"), _c("y").cast("long"))), "topology", "place_repeated", "place"),
+        K.without(j, "connectivity", "junction_without_street", "node_id", ends, ["node_id"]), K.broken(apart, "connectivity", _c("root"), {"part_apart": F.lit(True)}),
+        K.broken(s, "geometry", _c("street_id"), {"no_length": (_c("ax") == _c("bx")) & (_c("ay") == _c("by"))}), K.broken(start, "geometry", _c("street_id"), {"start_not_anchored": (F.abs(_c("ax") - _c("x")) > 0.25) | (F.abs(_c("ay") - _c("y")) > 0.25)}),
+        K.without(used, "access", "no_way_out", "node_id", out, ["node_id"]), K.without(used, "access", "no_way_in", "node_id", into, ["node_id"]),
+    ])
 
 
 @query("WITH g AS (SELECT l.link_id, a.x + CASE WHEN l.link_id % 20 = 0 THEN 3 ELSE 0.1 END AS gx, a.x AS nx FROM tf_link l JOIN tf_node a ON a.node_id = l.src_node_id) SELECT link_id FROM g WHERE abs(gx - nx) > 0.25")
