@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from roadweave.operators.ranks import ranked
 from roadweave.operators.rings import rings
-from roadweave.plans.loops import cut
+from roadweave.plans.loops import cut, drop
 
 #: Steps of a walk around a tree that are summed in one group.
 BLOCK = 4096
@@ -14,11 +14,12 @@ BLOCK = 4096
 
 def _roots(parents: DataFrame) -> DataFrame:
     """(node, root) of a table (node, up) of trees whose roots are their own parents; the way up is halved each round."""
-    now = cut(parents)
+    table = now = cut(parents)
     while True:
         above = now.select(F.col("node").alias("up"), F.col("up").alias("next"))
         then = cut(now.join(above, "up").select("node", F.col("next").alias("up"), (F.col("next") != F.col("up")).alias("moved")))
-        now = then.select("node", "up")
+        drop(table)
+        table, now = then, then.select("node", "up")
         if then.where("moved").isEmpty():
             return now.select("node", F.col("up").alias("root"))
 
@@ -31,17 +32,23 @@ def spanning_forest(edges: DataFrame, weight: Column) -> DataFrame:
     """
     best = lambda: F.min(F.struct("w", "edge_id"))
     left = cut(edges.where("u <> v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), weight.alias("w"), "edge_id").groupBy("a", "b").agg(best().alias("e")).select("a", "b", "e.*"))
-    taken = left.select("edge_id").where(F.lit(False))
+    taken, picks = left.select("edge_id").where(F.lit(False)), [left]
     while not left.isEmpty():
         both = left.select("a", "b", "w", "edge_id").union(left.select("b", "a", "w", "edge_id"))
         pick = cut(both.groupBy("a").agg(F.min(F.struct("w", "edge_id", "b")).alias("e")).select("a", "e.edge_id", "e.b"))
+        picks.append(pick)
         taken = taken.union(pick.select("edge_id").distinct())
         # two parts that pick each other: the lesser is the root
         back = pick.select(F.col("a").alias("b"), F.col("b").alias("back"))
         root = _roots(pick.join(back, "b").select(F.col("a").alias("node"), F.when((F.col("back") == F.col("a")) & (F.col("a") < F.col("b")), F.col("a")).otherwise(F.col("b")).alias("up")))
         x = left.join(root.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(root.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b").where("ra <> rb")
-        left = cut(x.groupBy(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).agg(best().alias("e")).select("a", "b", "e.*"))
-    return cut(taken.distinct())
+        then = cut(x.groupBy(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).agg(best().alias("e")).select("a", "b", "e.*"))
+        if left is not picks[0]:
+            drop(left)
+        left = then
+    out = cut(taken.distinct())
+    drop(left, *picks)
+    return out
 
 
 def thinned(streets: DataFrame, fraction: float, seed: int) -> DataFrame:

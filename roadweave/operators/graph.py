@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from roadweave.functions.routing import OUT_OF_REACH
 from roadweave.operators.ranks import ranked
 from roadweave.operators.spatial import nearest
-from roadweave.plans.loops import cut
+from roadweave.plans.loops import cut, drop
 
 
 def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -16,15 +16,17 @@ def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Each round a node takes the least label around it and then its label's label, so that chains shorten by half; a node's minimum is aggregated before the shuffle.
     """
     both = cut(edges.select("u", "v").union(edges.select("v", "u")).where("u <> v").distinct())
-    label = cut(nodes.select("node_id", F.col("node_id").alias("root")))
+    table = label = cut(nodes.select("node_id", F.col("node_id").alias("root")))
     while True:
         around = both.join(label, both["v"] == label["node_id"]).groupBy("u").agg(F.min("root").alias("near"))
         x = label.join(around, label["node_id"] == around["u"], "left").select("node_id", F.least("root", F.coalesce("near", "root")).alias("root"), F.col("root").alias("was"))
         up = x.select(F.col("node_id").alias("root"), F.col("root").alias("above"))
         x = cut(x.join(up, "root", "left").select("node_id", F.least("root", F.coalesce("above", "root")).alias("root"), "was"))
+        drop(table)
         if x.where("root <> was").isEmpty():
+            drop(both)
             return x.select("node_id", "root")
-        label = x.select("node_id", "root")
+        table, label = x, x.select("node_id", "root")
 
 
 def component_order(components: DataFrame) -> DataFrame:
@@ -39,11 +41,13 @@ def cost_to_go(links: DataFrame, destinations: DataFrame) -> DataFrame:
     All destinations relax in one join each round; only nodes whose cost fell are carried on.
     """
     usable = cut(links.where("NOT blocked").groupBy(F.col("src_node_id").alias("s"), F.col("dst_node_id").alias("d")).agg(F.min("cost").alias("step")))
-    best = cut(destinations.select("destination_id", F.col("destination_id").alias("node_id"), F.lit(0.0).alias("cost")))
+    table = best = cut(destinations.select("destination_id", F.col("destination_id").alias("node_id"), F.lit(0.0).alias("cost")))
     front = best
     while not front.isEmpty():
         reach = front.join(usable, front["node_id"] == usable["d"]).groupBy("destination_id", F.col("s").alias("node_id")).agg(F.min(F.col("cost") + F.col("step")).alias("new"))
         x = cut(best.join(reach, ["destination_id", "node_id"], "full_outer"))
+        drop(table)
+        table = x
         better = F.col("new").isNotNull() & (F.col("cost").isNull() | (F.col("new") < F.col("cost")))
         front = x.where(better).select("destination_id", "node_id", F.col("new").alias("cost"))
         best = x.select("destination_id", "node_id", F.when(better, F.col("new")).otherwise(F.col("cost")).alias("cost"))
@@ -143,7 +147,7 @@ def reachable_pairs(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     seen = asked.select(F.col("a_").alias("s")).distinct().select("s", F.col("s").alias("e"))
     front = seen = cut(seen)
     while not front.isEmpty():
-        front = cut(front.join(ways, front["e"] == ways["u_"]).select("s", F.col("v_").alias("e")).distinct().join(seen, ["s", "e"], "left_anti"))
+        front = cut(front.join(ways, front["e"] == ways["u_"]).select("s", F.col("v_").alias("e")).distinct().join(seen, ["s", "e"], "left_anti"))  # part of what is seen
         seen = seen.unionByName(front)
     hit = seen.select(F.col("s").alias("a_"), F.col("e").alias("b_"), F.lit(True).alias("hit"))
     return asked.join(hit, ["a_", "b_"], "left").select(*pairs.columns, F.coalesce("hit", F.lit(False)).alias("reached"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from roadweave.functions import encoding as E, geometry as G
+from roadweave.operators import lines as L
 from roadweave.sources.traffic import Traffic
 
 from . import query
@@ -163,3 +164,28 @@ def ema_sequence(t: Traffic) -> DataFrame:
     ranges = Window.partitionBy("od_id").orderBy(F.desc("range"))
     weighed = sums.withColumn("after", F.sum("n").over(ranges) - _c("n"))
     return weighed.groupBy("od_id").agg(_r(F.sum(_c("part") * F.pow(F.lit(0.7), "after")) * 0.3, 4).alias("ema"))
+
+
+_BOX = (550.0, 120.0, 2450.0, 1900.0)
+
+
+@query(f"""WITH s AS (SELECT *, bx - ax AS dx, by_ - ay AS dy FROM tf_street), t AS (SELECT *, greatest(0.0, CASE WHEN dx > 0 THEN ({_BOX[0]} - ax) / dx WHEN dx < 0 THEN ({_BOX[2]} - ax) / dx ELSE 0.0 END, CASE WHEN dy > 0 THEN ({_BOX[1]} - ay) / dy WHEN dy < 0 THEN ({_BOX[3]} - ay) / dy ELSE 0.0 END) AS t0,
+least(1.0, CASE WHEN dx > 0 THEN ({_BOX[2]} - ax) / dx WHEN dx < 0 THEN ({_BOX[0]} - ax) / dx ELSE 1.0 END, CASE WHEN dy > 0 THEN ({_BOX[3]} - ay) / dy WHEN dy < 0 THEN ({_BOX[1]} - ay) / dy ELSE 1.0 END) AS t1 FROM s WHERE NOT (dx = 0 AND (ax < {_BOX[0]} OR ax > {_BOX[2]})) AND NOT (dy = 0 AND (ay < {_BOX[1]} OR ay > {_BOX[3]})))
+SELECT street_id, round(ax + t0 * dx, 6) AS ax, round(ay + t0 * dy, 6) AS ay, round(ax + t1 * dx, 6) AS bx, round(ay + t1 * dy, 6) AS by, t0 > 0 AS cut_start, t1 < 1 AS cut_end FROM t WHERE t0 < t1""")
+def clipped_streets(t: Traffic) -> DataFrame:
+    """Streets inside a box, and where it cuts them."""
+    point = lambda x, y: F.struct(_c(x).alias("x"), _c(y).alias("y"))
+    x = L.clip(t.street().select(_c("street_id").alias("line_id"), F.array(point("ax", "ay"), point("bx", "by")).alias("points")), _BOX)
+    a, b = _c("points")[0], _c("points")[1]
+    return x.select(_c("line_id").alias("street_id"), _r(a["x"]).alias("ax"), _r(a["y"]).alias("ay"), _r(b["x"]).alias("bx"), _r(b["y"]).alias("by"), "cut_start", "cut_end")
+
+
+@query()
+def simplified_journeys(t: Traffic) -> DataFrame:
+    """The places of each customer's orders in order of key (the junction of the order after), as a line thinned out to two hundred metres."""
+    o = t.table("orders").select("o_orderkey", "o_custkey")
+    then = o.select((_c("o_orderkey") - 1).alias("o_orderkey"), _c("o_custkey").alias("junction_id"))
+    stops = o.join(then, "o_orderkey").join(t.junction().select("junction_id", "x", "y"), "junction_id")
+    lines = stops.groupBy(_c("o_custkey").alias("citizen_id")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "x", "y"))).alias("s"))
+    lines = lines.select("citizen_id", F.size("s").alias("n_before"), F.transform("s", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("points"))
+    return L.simplify(lines, 200.0).withColumn("n_after", F.size("points"))

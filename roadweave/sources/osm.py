@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from roadweave.functions import geometry as G
+from roadweave.operators.lines import clip, simplify
 
 #: Highway classes that carry cars, with the class, lanes and speed (m/s) they stand for.
 HIGHWAYS = {
@@ -36,9 +37,12 @@ def parse_osm(spark: SparkSession, text: str) -> tuple[DataFrame, DataFrame]:
     return node, way
 
 
-def compile_roads(nodes: DataFrame, ways: DataFrame) -> tuple[DataFrame, DataFrame]:
+def compile_roads(nodes: DataFrame, ways: DataFrame, bounds: tuple[float, float, float, float] | None = None, tolerance: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """(road nodes: node_id, x, y; links: link_id, way_id, u, v, road_class, lanes, speed_mps, length_m, points).
 
+    bounds (metres around the middle: least x, least y, most x, most y): only what lies in that box is kept; where the box cuts a road there is a node of its
+    own, with a negative id by its place. tolerance: roads are simplified to so many metres.
+
     Drivable ways are cut where they share a node or end; longitudes unwrap around the first, and places are metres around the middle. A way that isn't one-way
     gives a link each way. A way with a missing node fails the compilation.
     """
@@ -64,12 +68,23 @@ def compile_roads(nodes: DataFrame, ways: DataFrame) -> tuple[DataFrame, DataFra
     parts = x.groupBy("way_id", "part").agg(F.array_sort(F.collect_list(F.struct("pos", "node_id", "p"))).alias("s")).where("size(s) > 1")
     parts = parts.join(drivable.select("way_id", "highway", F.try_element_at("tags", F.lit("oneway")).alias("oneway")), "way_id")
     kind = lambda k: F.coalesce(*[F.when(F.col("highway") == h, v[k]) for h, v in HIGHWAYS.items()])
-    line = F.transform("s", lambda q: q["p"])
-    ends = parts.select("way_id", "part", kind(0).alias("road_class"), kind(1).alias("lanes"), kind(2).alias("speed_mps"), G.line_length(line).alias("length_m"), line.alias("points"), F.element_at("s", 1)["node_id"].alias("a"), F.element_at("s", -1)["node_id"].alias("b"), F.coalesce("oneway", F.lit("no")).alias("oneway"))
+    line = F.transform("s", lambda q: F.struct(q["p"]["x"].alias("x"), q["p"]["y"].alias("y")))
+    kept = parts.select("way_id", "part", kind(0).alias("road_class"), kind(1).alias("lanes"), kind(2).alias("speed_mps"), line.alias("points"), F.element_at("s", 1)["node_id"].alias("a"), F.element_at("s", -1)["node_id"].alias("b"), F.coalesce("oneway", F.lit("no")).alias("oneway"))
+    if bounds:
+        whole = kept.withColumn("line_id", F.concat_ws("-", "way_id", "part"))
+        pieces = clip(whole.select("line_id", "points"), bounds).withColumnRenamed("points", "inside")
+        at = lambda i: (-F.abs(F.xxhash64(F.round(F.element_at("inside", i)["x"], 6), F.round(F.element_at("inside", i)["y"], 6)) % (1 << 62)) - 1)
+        kept = whole.join(pieces, "line_id").withColumn("a", F.when(F.col("cut_start"), at(1)).otherwise(F.col("a"))).withColumn("b", F.when(F.col("cut_end"), at(-1)).otherwise(F.col("b")))
+        kept = kept.withColumn("points", F.col("inside")).withColumn("part", F.concat_ws(".", "part", "fragment")).drop("inside", "line_id", "fragment", "cut_start", "cut_end")
+        if kept.isEmpty():
+            raise ValueError("no road lies in the box")
+    ends = simplify(kept, tolerance)
+    ends = ends.withColumn("length_m", G.line_length(F.col("points"))).where("length_m > 0")
     ahead = F.struct(F.lit(0).alias("back"), F.col("a").alias("u"), F.col("b").alias("v"), F.col("points").alias("points"))
     behind = F.struct(F.lit(1).alias("back"), F.col("b").alias("u"), F.col("a").alias("v"), F.reverse("points").alias("points"))
     ways_of = F.when(F.col("oneway").isin("yes", "true", "1"), F.array(ahead)).when(F.col("oneway") == "-1", F.array(behind)).otherwise(F.array(ahead, behind))
     links = ends.select("way_id", "part", "road_class", "lanes", "speed_mps", "length_m", F.explode(ways_of).alias("d"))
     links = links.select(F.concat_ws("-", "way_id", "part", "d.back").alias("link_id"), "way_id", "d.u", "d.v", "road_class", "lanes", "speed_mps", "length_m", "d.points")
-    road = placed.join(joints.select("node_id"), "node_id", "left_semi").select("node_id", "p.x", "p.y")
+    tips = links.select(F.explode(F.array(F.struct(F.col("u").alias("node_id"), F.element_at("points", 1).alias("p")), F.struct(F.col("v").alias("node_id"), F.element_at("points", -1).alias("p")))).alias("t"))
+    road = tips.groupBy("t.node_id").agg(F.min("t.p").alias("p")).select("node_id", "p.x", "p.y")
     return road, links
