@@ -206,13 +206,33 @@ def model_inputs(t: Traffic) -> DataFrame:
     return x.select("network", "destination_id", "node_id", *[_r(c).alias(c) for c in X.INPUTS])
 
 
-@query("""WITH u AS (UNPIVOT (SELECT CAST(observed_travel_time AS DOUBLE) AS observed, CAST(arm AS DOUBLE) AS arm, CAST(baseline_travel_time AS DOUBLE) AS baseline FROM tf_outcome) ON observed, arm, baseline INTO NAME feature VALUE value)
-SELECT feature, round(min(value), 4) AS min, round(max(value), 4) AS max, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std, round(avg(CASE WHEN value <> 0 THEN 1.0 ELSE 0.0 END), 6) AS nonzero_share, stddev_pop(value) <= 1e-9 AS near_constant FROM u GROUP BY feature""")
+_COLUMNS = f"""u AS (UNPIVOT (SELECT {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in X.INPUTS)} FROM inputs) ON {', '.join(X.INPUTS)} INTO NAME feature VALUE value),
+audit AS (SELECT feature, min(value) AS least, max(value) AS most, avg(value) AS mean, stddev_pop(value) AS std, avg(CASE WHEN abs(value) > 1e-9 THEN 1.0 ELSE 0.0 END) AS nonzero_share FROM u GROUP BY feature)"""
+
+
+def _column_audit(t: Traffic) -> DataFrame:
+    """A row for each of the twenty inputs over all nodes and destinations of the quarters."""
+    u = X.model_inputs(*quarters(t)).unpivot([], list(X.INPUTS), "feature", "value")
+    return u.groupBy("feature").agg(F.min("value").alias("least"), F.max("value").alias("most"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.avg((F.abs("value") > 1e-9).cast("double")).alias("nonzero_share"))
+
+
+@query(f"WITH {_QUARTERS}, {_INPUTS}, {_COLUMNS} SELECT feature, round(least, 4) AS min, round(most, 4) AS max, round(mean, 4) AS mean, round(std, 4) AS std, round(nonzero_share, 6) AS nonzero_share, std <= 1e-9 AS near_constant FROM audit")
 def feature_column_audit(t: Traffic) -> DataFrame:
-    x = t.outcome().select(_c("observed_travel_time").alias("observed"), _c("arm").cast("double").alias("arm"), _c("baseline_travel_time").alias("baseline"))
-    u = x.unpivot([], ["observed", "arm", "baseline"], "feature", "value")
-    sd = F.stddev_pop("value")
-    return u.groupBy("feature").agg(_r(F.min("value"), 4).alias("min"), _r(F.max("value"), 4).alias("max"), _r(F.avg("value"), 4).alias("mean"), _r(sd, 4).alias("std"), _r(F.avg((_c("value") != 0).cast("double"))).alias("nonzero_share"), (sd <= 1e-9).alias("near_constant"))
+    x = _column_audit(t)
+    return x.select("feature", _r("least", 4).alias("min"), _r("most", 4).alias("max"), _r("mean", 4).alias("mean"), _r("std", 4).alias("std"), _r("nonzero_share").alias("nonzero_share"), (_c("std") <= 1e-9).alias("near_constant"))
+
+
+@query(f"""WITH {_QUARTERS}, {_INPUTS}, {_COLUMNS}, v AS (SELECT 'near_constant' AS rule, feature FROM audit WHERE std <= 1e-9 UNION ALL SELECT 'outside_range', feature FROM audit WHERE feature <> 'global_max_travel_time_by_one_tick' AND (most > 1 + 1e-9 OR least < CASE WHEN feature IN ('relative_x_by_spatial_diagonal', 'relative_y_by_spatial_diagonal') THEN -1 ELSE 0 END - 1e-9)
+UNION ALL SELECT 'hardly_used', feature FROM audit WHERE nonzero_share < 0.02), r AS (SELECT unnest(['near_constant', 'outside_range', 'hardly_used', 'networks']) AS rule)
+SELECT r.rule, CASE WHEN r.rule = 'networks' THEN (SELECT count(DISTINCT network) FROM inputs) ELSE count(v.rule) END AS n, CASE WHEN r.rule = 'networks' THEN (SELECT count(DISTINCT network) FROM inputs) >= 10 ELSE count(v.rule) = 0 END AS passed FROM r LEFT JOIN v ON v.rule = r.rule GROUP BY r.rule""")
+def audit_gate(t: Traffic) -> DataFrame:
+    """The gate on the inputs' audit: no column nearly constant, out of its range or hardly used, and ten networks or more."""
+    signed = _c("feature").isin("relative_x_by_spatial_diagonal", "relative_y_by_spatial_diagonal")
+    outside = (_c("feature") != "global_max_travel_time_by_one_tick") & ((_c("most") > 1 + 1e-9) | (_c("least") < F.when(signed, -1).otherwise(0) - 1e-9))
+    one = _column_audit(t).agg(F.count_if(_c("std") <= 1e-9).alias("near_constant"), F.count_if(outside).alias("outside_range"), F.count_if(_c("nonzero_share") < 0.02).alias("hardly_used"))
+    networks = quarters(t)[1].agg(F.count_distinct("network").alias("networks"))
+    rows = one.join(networks, F.lit(True)).unpivot([], ["near_constant", "outside_range", "hardly_used", "networks"], "rule", "n")  # one row
+    return rows.withColumn("passed", F.when(_c("rule") == "networks", _c("n") >= 10).otherwise(_c("n") == 0))
 
 
 @query("""WITH m AS (SELECT min(observed_travel_time) AS lo, max(observed_travel_time) - min(observed_travel_time) AS span FROM tf_outcome),

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from roadweave.functions import routing as R
+from roadweave.functions import learning as L, routing as R
 from roadweave.operators import demand as D, features as X, flow as Flow, graph as G
+from roadweave.operators.ranks import ranked
 from roadweave.plans.loops import cut
 from roadweave.sources.traffic import Traffic
 
 from . import query
-from .aggregates import _INPUTS, _ROUNDED, quarters
-from .elementwise import _NORMAL, _SETS, _sets
+from .aggregates import _INPUTS, _QUARTERS, _ROUNDED, quarters
+from .elementwise import _NORMAL, _REWARD, _SETS, _sets
 from .graphs import _COST, _goals, network
 
 _c = F.col
@@ -129,14 +130,13 @@ def route_scoring_labels(t: Traffic) -> DataFrame:
     return s.select("od_id", F.array_join("a", ",").alias("candidates"), "selected")
 
 
-@query("SELECT od_id, arm, round(avg(observed_travel_time) / 50.0, 6) AS x, count(*) AS n FROM tf_outcome WHERE observed_travel_time IS NOT NULL GROUP BY od_id, arm HAVING count(*) >= 2")
+@query(f"""WITH {_QUARTERS}, {_INPUTS}, k AS (SELECT network, destination_id, sha256(network || ':' || destination_id) AS split_group, count(*) AS n_rows, avg(euclidean_distance_by_spatial_diagonal) AS distance FROM inputs GROUP BY network, destination_id), r AS (SELECT *, row_number() OVER (ORDER BY split_group) AS r, count(*) OVER () AS n FROM k)
+SELECT network, destination_id, split_group, n_rows, round(distance, 6) AS mean_distance, r <= ceil(n * 0.2) AS validation FROM r""")
 def feature_dataset(t: Traffic) -> DataFrame:
-    return t.outcome().where("observed_travel_time IS NOT NULL").groupBy("od_id", "arm").agg(_r(F.avg("observed_travel_time") / 50.0).alias("x"), F.count("*").alias("n")).where("n >= 2")
-
-
-@query("SELECT count(DISTINCT od_id) >= 10 AND stddev_pop(observed_travel_time) > 1 AND min(observed_travel_time) >= 0 AS passed FROM tf_outcome")
-def audit_gate(t: Traffic) -> DataFrame:
-    return t.outcome().agg(((F.count_distinct("od_id") >= 10) & (F.stddev_pop("observed_travel_time") > 1) & (F.min("observed_travel_time") >= 0)).alias("passed"))
+    """The rows of the inputs by network and destination, which stay together; the first fifth of the groups by their digest is held out."""
+    x = X.model_inputs(*quarters(t)).groupBy("network", "destination_id").agg(F.count("*").alias("n_rows"), _r(F.avg("euclidean_distance_by_spatial_diagonal")).alias("mean_distance"))
+    x = x.withColumn("split_group", F.sha2(F.concat_ws(":", "network", "destination_id"), 256))
+    return ranked(x, "split_group", total="n").select("network", "destination_id", "split_group", "n_rows", "mean_distance", (_c("rank") <= F.ceil(_c("n") * 0.2)).alias("validation"))
 
 
 @query("SELECT od_id, trip_id, od_id IN (SELECT DISTINCT od_id FROM tf_outcome WHERE od_id % 5 = 3) AS validation FROM tf_outcome")
@@ -146,14 +146,20 @@ def graph_split(t: Traffic) -> DataFrame:
     return t.outcome().select("od_id", "trip_id").join(held, "od_id", "left").select("od_id", "trip_id", F.coalesce("v", F.lit(False)).alias("validation"))
 
 
-@query("SELECT DISTINCT od_id, CAST(1 AS INT) AS selected, CAST(round(0.9 + 0.7 * (1 + od_id % 4), 6) AS DOUBLE) AS total FROM tf_outcome")
+@query(f"""WITH o AS (SELECT *, trip_id <= (SELECT max(trip_id) FROM tf_outcome) / 2 AS early FROM tf_outcome), tr AS (SELECT od_id, arm, avg({_REWARD}) AS score FROM o WHERE early GROUP BY od_id, arm), p AS (SELECT score, row_number() OVER (PARTITION BY od_id ORDER BY arm) AS pos FROM tr), m AS (SELECT pos, avg(score) AS score FROM p GROUP BY pos),
+s AS (SELECT od_id, arm, row_number() OVER (PARTITION BY od_id ORDER BY arm) AS pos FROM (SELECT DISTINCT od_id, arm FROM o)), x AS (SELECT s.od_id, s.arm, s.pos, m.score FROM s JOIN m ON m.pos = least(s.pos, (SELECT max(pos) FROM m)))
+SELECT od_id, min(arm) FILTER (r = 1) AS selected, round(sum(score), 6) AS total, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY od_id ORDER BY round(score, 9) DESC, pos) AS r FROM x) GROUP BY od_id""")
 def surrogate_predict(t: Traffic) -> DataFrame:
-    """Scores by place, the last one repeated; the best place."""
-    model = F.array(F.lit(0.9), F.lit(0.7))
-    c = t.outcome().select("od_id").distinct().select("od_id", (2 + _c("od_id") % 4).alias("n"))
-    scores = F.transform(F.sequence(F.lit(1), _c("n")), lambda k: F.element_at(model, F.least(k, F.size(model)).cast("int")))
-    best = F.array_position("s", F.array_max("s")).cast("int")
-    return c.withColumn("s", scores).select("od_id", best.alias("selected"), _r(F.aggregate("s", F.lit(0.0), lambda a, x: a + x)).alias("total"))
+    """Candidates scored by what their place was worth on average in the earlier half of the trips, places beyond as the last one; the best is selected, ties to the first."""
+    o = t.outcome()
+    middle = o.agg((F.max("trip_id") / 2).alias("middle"))
+    reward = L.trip_reward(_c("outcome"), _c("observed_travel_time"), _c("baseline_travel_time"))
+    early = o.join(F.broadcast(middle), F.lit(True)).where("trip_id <= middle").groupBy("od_id", "arm").agg(F.avg(reward).alias("score"))  # one row
+    place = F.row_number().over(Window.partitionBy("od_id").orderBy("arm")).alias("pos")
+    model = cut(early.select("score", place).groupBy("pos").agg(F.avg("score").alias("score")))
+    last = model.agg(F.max("pos").alias("last"))
+    x = o.select("od_id", "arm").distinct().select("od_id", "arm", place).join(F.broadcast(last), F.lit(True)).withColumn("pos", F.least("pos", "last")).join(model, "pos")  # one row; a row for each place
+    return x.groupBy("od_id").agg(F.min_by("arm", F.struct(-F.round("score", 9), "arm")).alias("selected"), _r(F.sum("score")).alias("total"), F.count("*").alias("n"))
 
 
 @query(f"WITH s AS ({_SETS}), r AS (SELECT *, row_number() OVER (PARTITION BY od_id ORDER BY -cost DESC, arm) AS r FROM s), b AS (SELECT od_id, arm AS best FROM r WHERE r = 1) SELECT od_id, CASE WHEN od_id % 3 = 0 OR od_id % 6 > 3 THEN best ELSE CAST(od_id % 6 AS INT) END AS path_id, od_id % 3 = 0 OR od_id % 6 > 3 AS rerouted FROM b")

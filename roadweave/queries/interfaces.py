@@ -23,6 +23,25 @@ def policy_plugin_scores(t: Traffic) -> DataFrame:
     return policy.scored(_sets(t), "linear", ["cost", "reward"]).select("od_id", "arm", F.round("score", 6).alias("score"))
 
 
+@query("""WITH o AS (SELECT od_id, arm, trip_id <= (SELECT max(trip_id) FROM tf_outcome) / 2 AS early, CASE WHEN outcome = 'completed' THEN 1.0 ELSE 0.0 END AS reward FROM tf_outcome), a AS (SELECT DISTINCT od_id, arm FROM o), b AS (SELECT unnest([0, 1, 2]) AS batch),
+s AS (SELECT a.od_id, a.arm, b.batch, count(o.od_id) AS pulls, sum(o.reward) AS total FROM a CROSS JOIN b LEFT JOIN o ON o.od_id = a.od_id AND o.arm = a.arm AND (b.batch = 2 OR (b.batch = 1 AND o.early)) GROUP BY ALL)
+SELECT od_id, arm, CAST(batch AS INT) AS batch, pulls, round(CASE WHEN pulls > 0 THEN total / pulls ELSE 0.5 END, 6) AS score FROM s""")
+def policy_plugin_learning(t: Traffic) -> DataFrame:
+    """Scores of every arm before anything is known, after the earlier half of the outcomes, and after the rest."""
+    o = t.outcome().select("od_id", "arm", "trip_id", F.when(_c("outcome") == "completed", 1.0).otherwise(0.0).alias("reward"))
+    middle = o.agg((F.max("trip_id") / 2).alias("middle"))
+    o = cut(o.join(F.broadcast(middle), F.lit(True)).withColumn("early", _c("trip_id") <= _c("middle")))  # one row
+    plugin = policy.learner("running_mean")
+    actions = o.select("od_id", "arm").distinct()
+    state, out = plugin.init(actions), None
+    for batch, news in enumerate((o.where("false"), o.where("early"), o.where("NOT early"))):
+        state = cut(plugin.update_online(state, news))
+        now = plugin.score_actions(state.select("od_id", "arm"), state).join(state.select("od_id", "arm", "pulls"), ["od_id", "arm"])
+        now = now.select("od_id", "arm", F.lit(batch).alias("batch"), "pulls", F.round("score", 6).alias("score"))
+        out = now if out is None else out.unionByName(now)
+    return out
+
+
 _DRIVERS = f"""RECURSIVE {_NET}, ag AS (SELECT t.trip_request_id AS agent_id, t.trip_request_id % 5 % 2 AS pos, CAST(t.origin_node_id * 25 + (t.origin_node_id + 1) % 25 AS INT) AS a, CAST(((t.origin_node_id + 1) % 25) * 25 + (t.origin_node_id + 1 + CASE WHEN t.trip_request_id % 2 = 0 THEN 5 ELSE 24 END) % 25 AS INT) AS b, p.* FROM tf_trip t JOIN tf_profile p ON p.citizen_id = t.citizen_id WHERE t.stage = 'active'),
 ask AS (SELECT DISTINCT a, b, la.dst_node_id AS n, lb.dst_node_id AS e FROM ag JOIN tf_link la ON la.link_id = a JOIN tf_link lb ON lb.link_id = b WHERE pos = 0 AND la.dst_node_id <> lb.dst_node_id),
 walk(a, e, last, node, path, seen, cost) AS (SELECT a, e, a, n, CAST([] AS INT[]), [n], CAST(0.0 AS DOUBLE) FROM ask UNION ALL SELECT w.a, w.e, l.link_id, l.dst_node_id, list_append(w.path, l.link_id), list_append(w.seen, l.dst_node_id), w.cost + l.cost FROM walk w JOIN tf_turn t ON t.from_link_id = w.last AND NOT t.is_forbidden JOIN net l ON l.link_id = t.to_link_id AND NOT l.blocked WHERE w.node <> w.e AND len(w.path) < 5 AND NOT list_contains(w.seen, l.dst_node_id)),
