@@ -44,7 +44,9 @@ def leisure_preferences(t: Traffic) -> DataFrame:
 
 @query()
 def behavior_profiles(t: Traffic) -> DataFrame:
-    return D.behavior_profiles(t.spark, 8, 41)
+    """A profile for each id that citizens have, and how many have it."""
+    n = t.profile().groupBy(_c("behavior_profile_id").alias("profile_id")).agg(F.count("*").alias("n_citizens"))
+    return D.behavior_profiles(t.spark, n.count(), 41).join(n, "profile_id")
 
 
 @query()
@@ -69,9 +71,12 @@ def population(t: Traffic) -> DataFrame:
 _TEMPLATES = [(k, name, band, p) for k, (name, ps) in enumerate({"office": (0.6, 0.2, 0.5, 0.1), "shift": (0.3, 0.3, 0.3, 0.3), "school": (0.7, 0.1, 0.3, 0.0), "leisure": (0.1, 0.4, 0.4, 0.3)}.items()) for band, p in zip(("morning", "midday", "evening", "night"), ps, strict=True)]
 
 
-@query(f"SELECT * FROM (VALUES {', '.join(str(x) for x in _TEMPLATES)}) v(schedule_id, name, band, propensity)".replace("0.6)", "CAST(0.6 AS DOUBLE))", 1))
+@query(f"WITH v AS (SELECT * FROM (VALUES {', '.join(str(x) for x in _TEMPLATES)}) v(schedule_id, name, band, propensity)), n AS (SELECT behavior_profile_id % 4 AS schedule_id, count(*) AS n_citizens FROM tf_profile GROUP BY 1) SELECT v.schedule_id, name, band, CAST(propensity AS DOUBLE) AS propensity, n_citizens, round(CAST(propensity AS DOUBLE) * n_citizens, 4) AS expected FROM v JOIN n ON n.schedule_id = v.schedule_id")
 def schedule_templates(t: Traffic) -> DataFrame:
-    return t.spark.createDataFrame(_TEMPLATES, "schedule_id int, name string, band string, propensity double")
+    """The templates, how many citizens have each, and the trips to be expected in each band."""
+    v = t.spark.createDataFrame(_TEMPLATES, "schedule_id int, name string, band string, propensity double")
+    n = t.profile().groupBy((_c("behavior_profile_id") % 4).alias("schedule_id")).agg(F.count("*").alias("n_citizens"))
+    return v.join(n, "schedule_id").withColumn("expected", F.round(_c("propensity") * _c("n_citizens"), 4))
 
 
 @query()
@@ -82,10 +87,12 @@ def trip_generation(t: Traffic) -> DataFrame:
     return D.trip_requests(c, 41, 100, 12)
 
 
-@query("""WITH r AS (SELECT i AS a, CASE WHEN i = 11 THEN 1 ELSE i + 1 END AS b, 'ring' AS kind FROM range(1, 12) t(i) UNION ALL SELECT 0, i, 'radial' FROM range(1, 12) t(i) UNION ALL SELECT i, 1 + (i - 1 + 5) % 11, 'bridge' FROM range(1, 3) t(i))
+@query("""WITH m AS (SELECT CAST(count(*) // 10 AS BIGINT) AS n FROM customer), i AS (SELECT n, unnest(range(1, n)) AS i FROM m), r AS (SELECT i AS a, CASE WHEN i = n - 1 THEN 1 ELSE i + 1 END AS b, 'ring' AS kind FROM i UNION ALL SELECT 0, i, 'radial' FROM i UNION ALL SELECT i, 1 + (i - 1 + greatest(1, (n - 1) // 2)) % (n - 1), 'bridge' FROM i WHERE i <= n // 6)
 SELECT CAST(a AS BIGINT) AS u, CAST(b AS BIGINT) AS v, kind FROM r UNION ALL SELECT CAST(b AS BIGINT), CAST(a AS BIGINT), kind FROM r""")
 def ring_city(t: Traffic) -> DataFrame:
-    return D.ring_city(t.spark, 12, 2)
+    """A ring around a hub with a place for every ten customers, and a chord for every sixth of them."""
+    n = t.table("customer").count() // 10
+    return D.ring_city(t.spark, n, n // 6)
 
 
 @query("""WITH c AS (SELECT cx, cy, 1000.0 - abs(cx - 16) * 20.0 - abs(cy - 16) * 15.0 AS height FROM range(0, 32) a(cx) CROSS JOIN range(0, 32) b(cy)) SELECT CAST(cx AS BIGINT) AS cx, CAST(cy AS BIGINT) AS cy, height < 600 AS water, height BETWEEN 600 AND 900 AS buildable FROM c""")
@@ -188,8 +195,15 @@ def run_suite(t: Traffic) -> DataFrame:
 
 @query()
 def dense_flow_workload(t: Traffic) -> DataFrame:
-    """One step of a synthetic dense network."""
-    link, turn = D.flow_workload(t.spark, 4096, 4, 41)
+    """One step of flow on all streets by direction of travel, with every turn but back: a vehicle waits for each order of the customer where a street begins."""
+    o = t.table("orders").groupBy(_c("o_custkey").alias("u")).agg(F.count("*").alias("n"))
+    s = t.street().select("street_id", "u", "v", F.hypot(_c("bx") - _c("ax"), _c("by") - _c("ay")).alias("length"), "one_way")
+    w = s.select((2 * _c("street_id")).alias("link_id"), "u", "v", "length").union(s.where("NOT one_way").select(2 * _c("street_id") + 1, "v", "u", "length"))
+    w = cut(w.join(o, "u", "left").fillna(0, ["n"]))
+    link = w.select("link_id", _c("n").cast("double").alias("queue_vehicles"), F.lit(6.0).alias("capacity"), (_c("length") / 10.0).alias("base_ticks"), F.lit(True).alias("is_blockable"))
+    out = w.select(_c("link_id").alias("to_link_id"), _c("u").alias("node_id"), _c("v").alias("to"))
+    turn = w.select(_c("link_id").alias("from_link_id"), _c("v").alias("node_id"), _c("u").alias("back"), "n").join(out, "node_id").where("to <> back")
+    turn = turn.select("from_link_id", "to_link_id", "node_id", F.lit(False).alias("is_forbidden"), F.lit(1.0).alias("base_priority"), (_c("n") / 3.0).alias("turn_demand"))
     return Flow.point_queue_step(turn, link)
 
 

@@ -117,9 +117,13 @@ def _rings(t: Traffic) -> DataFrame:
     return t.spark.createDataFrame(rows, "ring_id int, x1 double, y1 double, x2 double, y2 double, x3 double, y3 double, x4 double, y4 double").select("ring_id", F.array(p(1), p(2), p(3), p(4)).alias("ring"))
 
 
-@query(f"SELECT ring_id, abs(x1 * y2 - x2 * y1 + x2 * y3 - x3 * y2 + x3 * y4 - x4 * y3 + x4 * y1 - x1 * y4) / 2 AS area FROM {_RINGS}")
+@query("""WITH j AS (SELECT junction_id AS k, x, y FROM tf_junction) SELECT a.k AS block_id, abs(a.x * b.y - b.x * a.y + b.x * c.y - c.x * b.y + c.x * d.y - d.x * c.y + d.x * a.y - a.x * d.y) / 2 AS area FROM j a JOIN j b ON b.k = a.k + 1 JOIN j c ON c.k = a.k + 41 JOIN j d ON d.k = a.k + 40 WHERE a.k % 40 < 39""")
 def polygon_area(t: Traffic) -> DataFrame:
-    return _rings(t).select("ring_id", G.polygon_area(_c("ring")).alias("area"))
+    """Areas of the quadrangles between neighbouring junctions of two rows."""
+    j = t.junction().select(_c("junction_id").alias("k"), F.struct("x", "y").alias("p"))
+    at = lambda step, name: j.select((_c("k") - step).alias("k"), _c("p").alias(name))
+    x = j.where("k % 40 < 39").join(at(1, "b"), "k").join(at(41, "c"), "k").join(at(40, "d"), "k")
+    return x.select(_c("k").alias("block_id"), G.polygon_area(F.array("p", "b", "c", "d")).alias("area"))
 
 
 _SIDES = " UNION ALL ".join(f"SELECT node_id, ring_id, n.x AS px, n.y AS py, r.x{a} AS ax, r.y{a} AS ay, r.x{b} AS bx, r.y{b} AS by_ FROM tf_node n CROSS JOIN {_RINGS}" for a, b in ((1, 2), (2, 3), (3, 4), (4, 1)))
