@@ -11,7 +11,7 @@ from roadweave.plans.loops import cut
 from roadweave.sources.traffic import Traffic
 
 from . import query
-from .aggregates import _INPUTS, _QUARTERS, _ROUNDED, quarters
+from .aggregates import _FLOW, _INPUTS, _QUARTERS, _ROUNDED, quarters
 from .elementwise import _NORMAL, _REWARD, _SETS, _sets
 from .graphs import _COST, _goals, network
 
@@ -193,7 +193,12 @@ def run_suite(t: Traffic) -> DataFrame:
     return t.outcome().groupBy("od_id").agg(F.count("*").alias("n"), _r(F.avg((_c("outcome") == "completed").cast("double"))).alias("done_share"), _r(F.max("observed_travel_time"), 4).alias("worst"))
 
 
-@query()
+_STREET_FLOW = _FLOW.replace("tf_turn", "ft").replace("tf_link", "fl")
+
+
+@query(f"""WITH w0 AS (SELECT 2 * street_id AS link_id, u, v, sqrt((bx - ax) ** 2 + (by_ - ay) ** 2) AS length FROM tf_street UNION ALL SELECT 2 * street_id + 1, v, u, sqrt((bx - ax) ** 2 + (by_ - ay) ** 2) FROM tf_street WHERE NOT one_way), wn AS (SELECT w0.*, coalesce(k.n, 0) AS n FROM w0 LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) k ON k.o_custkey = w0.u),
+fl AS (SELECT link_id, CAST(n AS DOUBLE) AS queue_vehicles, CAST(6.0 AS DOUBLE) AS capacity_veh_per_tick, length AS length_m, CAST(10.0 AS DOUBLE) AS free_flow_speed_mps FROM wn), ft AS (SELECT a.link_id AS from_link_id, b.link_id AS to_link_id, false AS is_forbidden, CAST(1.0 AS DOUBLE) AS base_priority, a.n / CAST(3.0 AS DOUBLE) AS turn_demand FROM wn a JOIN wn b ON b.u = a.v AND b.v <> a.u), {_STREET_FLOW}
+SELECT l.link_id, round(coalesce(o.outflow, 0.0), 6) AS outflow, round(coalesce(i.inflow, 0.0), 6) AS inflow, round(greatest(0.0, l.queue_vehicles - coalesce(o.outflow, 0.0) + coalesce(i.inflow, 0.0)), 6) AS queue_next FROM fl l LEFT JOIN o ON l.link_id = o.link_id LEFT JOIN i ON l.link_id = i.link_id""")
 def dense_flow_workload(t: Traffic) -> DataFrame:
     """One step of flow on all streets by direction of travel, with every turn but back: a vehicle waits for each order of the customer where a street begins."""
     o = t.table("orders").groupBy(_c("o_custkey").alias("u")).agg(F.count("*").alias("n"))
@@ -204,7 +209,7 @@ def dense_flow_workload(t: Traffic) -> DataFrame:
     out = w.select(_c("link_id").alias("to_link_id"), _c("u").alias("node_id"), _c("v").alias("to"))
     turn = w.select(_c("link_id").alias("from_link_id"), _c("v").alias("node_id"), _c("u").alias("back"), "n").join(out, "node_id").where("to <> back")
     turn = turn.select("from_link_id", "to_link_id", "node_id", F.lit(False).alias("is_forbidden"), F.lit(1.0).alias("base_priority"), (_c("n") / 3.0).alias("turn_demand"))
-    return Flow.point_queue_step(turn, link)
+    return Flow.point_queue_step(turn, link).select("link_id", *[_r(c).alias(c) for c in ("outflow", "inflow", "queue_next")])
 
 
 @query("WITH a AS (SELECT link_id, queue_vehicles AS q FROM tf_link), b AS (SELECT link_id, queue_vehicles + CASE WHEN link_id % 13 = 0 THEN 0.25 ELSE 0 END AS q FROM tf_link) SELECT round(max(abs(a.q - b.q)), 6) AS max_abs_diff FROM a JOIN b ON a.link_id = b.link_id")
