@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from roadweave.functions import learning as L, routing as R
-from roadweave.operators import demand as D, features as X, flow as Flow, graph as G
+from roadweave.functions import geometry as Geo, learning as L, routing as R
+from roadweave.operators import demand as D, features as X, flow as Flow, graph as G, landuse as LU
 from roadweave.operators.ranks import ranked
 from roadweave.plans.loops import cut
 from roadweave.sources.traffic import Traffic
@@ -103,17 +103,41 @@ def terrain_raster(t: Traffic) -> DataFrame:
     return c.select("cx", "cy", (h < 600).alias("water"), h.between(600, 900).alias("buildable"))
 
 
-@query("""WITH b AS (SELECT zone_id * 100 + node_id AS block_id, zone_id, (node_id * 37 % 101) / 101.0 AS commerce, (node_id * 53 % 97) / 97.0 AS industry FROM tf_node), n AS (SELECT count(*) AS n FROM b),
-c AS (SELECT block_id FROM b ORDER BY commerce DESC, block_id LIMIT 3), r AS (SELECT * FROM b WHERE block_id NOT IN (SELECT block_id FROM c)), i AS (SELECT block_id FROM r ORDER BY industry DESC, block_id LIMIT 3)
-SELECT block_id, CASE WHEN block_id IN (SELECT block_id FROM c) THEN 'commercial' WHEN block_id IN (SELECT block_id FROM i) THEN 'industrial' ELSE 'residential' END AS land_use FROM b""")
+_BLOCKS = """j AS (SELECT junction_id AS k, x, y FROM tf_junction), nk AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1), ex AS (SELECT u AS k, max(CASE street_id % 8 WHEN 4 THEN 0.8 WHEN 2 THEN 0.35 WHEN 3 THEN 0.35 ELSE 0.0 END) AS e FROM tf_street GROUP BY 1),
+q AS (SELECT a.k AS block_id, abs(a.x * b.y - b.x * a.y + b.x * c.y - c.x * b.y + c.x * d.y - d.x * c.y + d.x * a.y - a.x * d.y) / 2 AS area, (a.x + b.x + c.x + d.x) / 4 AS x, (a.y + b.y + c.y + d.y) / 4 AS y FROM j a JOIN j b ON b.k = a.k + 1 JOIN j c ON c.k = a.k + 41 JOIN j d ON d.k = a.k + 40 WHERE a.k % 40 < 39),
+corner AS (SELECT block_id, block_id + s AS k FROM q, (SELECT unnest([0, 1, 40, 41]) AS s)), sums AS (SELECT c.block_id, CAST(sum(coalesce(nk.n, 0)) AS DOUBLE) AS n, max(coalesce(ex.e, 0.0)) AS e FROM corner c LEFT JOIN nk ON nk.k = c.k LEFT JOIN ex ON ex.k = c.k GROUP BY 1),
+box AS (SELECT avg(x) AS cx, avg(y) AS cy, 0.28 * greatest(max(x) - min(x), max(y) - min(y)) AS reach FROM j), top AS (SELECT max(n) AS m FROM sums),
+b AS (SELECT q.block_id, area, round(exp(-sqrt((q.x - cx) ** 2 + (q.y - cy) ** 2) / reach), 9) AS ce, round(n / m, 9) AS it, e, n / m >= 0.25 AS built FROM q JOIN sums USING (block_id), box, top), cnt AS (SELECT count(*) AS n FROM b WHERE built),
+c1 AS (SELECT block_id FROM (SELECT block_id, row_number() OVER (ORDER BY round(0.55 * ce + 0.30 * it + 0.15 * e, 9) DESC, block_id) AS r FROM b WHERE built), cnt WHERE r <= greatest(1, round_even(n * 0.12, 0))),
+c2 AS (SELECT block_id FROM (SELECT block_id, row_number() OVER (ORDER BY round(0.50 * e + 0.35 * (1.0 - ce) + 0.15 * (1.0 - it), 9) DESC, block_id) AS r FROM b WHERE built AND block_id NOT IN (SELECT block_id FROM c1)), cnt WHERE r <= greatest(1, round_even(n * 0.12, 0))),
+c3 AS (SELECT block_id FROM (SELECT block_id, row_number() OVER (ORDER BY round(0.45 * ce + 0.35 * it + 0.20 * e, 9) DESC, block_id) AS r FROM b WHERE built AND block_id NOT IN (SELECT block_id FROM c1) AND block_id NOT IN (SELECT block_id FROM c2)), cnt WHERE r <= greatest(1, round_even(n * 0.23, 0))),
+near AS (SELECT DISTINCT c2.block_id + s.s AS block_id FROM c2, (SELECT unnest([-40, -1, 1, 40]) AS s) s WHERE NOT (s.s = -1 AND c2.block_id % 40 = 0) AND NOT (s.s = 1 AND c2.block_id % 40 = 38)),
+u AS (SELECT b.*, CASE WHEN NOT built THEN 'open_space' WHEN block_id IN (SELECT block_id FROM c1) THEN 'commercial' WHEN block_id IN (SELECT block_id FROM c2) THEN 'industrial' WHEN block_id IN (SELECT block_id FROM c3) OR block_id IN (SELECT block_id FROM near) THEN 'mixed_use' ELSE 'residential' END AS land_use, area / 10000.0 * (0.45 + 0.55 * it) AS size FROM b)"""
+
+
+@query(f"""WITH {_BLOCKS} SELECT block_id, land_use, CAST(CASE land_use WHEN 'residential' THEN greatest(1, floor(size * 95.0 + 0.5)) WHEN 'mixed_use' THEN greatest(1, floor(size * 75.0 + 0.5)) ELSE 0 END AS BIGINT) AS population,
+CAST(CASE land_use WHEN 'commercial' THEN greatest(1, floor(size * 170.0 + 0.5)) WHEN 'industrial' THEN greatest(1, floor(size * 90.0 + 0.5)) WHEN 'mixed_use' THEN greatest(1, floor(size * 95.0 + 0.5)) ELSE 0 END AS BIGINT) AS jobs, CAST(CASE land_use WHEN 'residential' THEN greatest(1, floor(size * 25.0 + 0.5)) WHEN 'commercial' THEN greatest(1, floor(size * 70.0 + 0.5)) WHEN 'mixed_use' THEN greatest(1, floor(size * 55.0 + 0.5)) ELSE 0 END AS BIGINT) AS leisure FROM u""")
 def block_land_use(t: Traffic) -> DataFrame:
-    """Shares of the blocks by score, each from what the share before has left."""
-    b = t.node().select((_c("zone_id") * 100 + _c("node_id")).alias("block_id"), ((_c("node_id") * 37 % 101) / 101.0).alias("commerce"), ((_c("node_id") * 53 % 97) / 97.0).alias("industry"))
-    n = b.count()
-    some = lambda df, score: df.orderBy(F.desc(score), "block_id").limit(round(0.12 * n))
-    c = some(b, "commerce").select("block_id", F.lit("commercial").alias("a"))
-    i = some(b.join(c, "block_id", "left_anti"), "industry").select("block_id", F.lit("industrial").alias("i"))
-    return b.select("block_id").join(c, "block_id", "left").join(i, "block_id", "left").select("block_id", F.coalesce("a", "i", F.lit("residential")).alias("land_use"))
+    """Uses of the quadrangles between junctions: central where they are near the middle, intense by the orders of their corners' customers, exposed to the avenues there."""
+    j = cut(t.junction().select(_c("junction_id").alias("k"), "x", "y"))
+    corner = j.where("k % 40 < 39").select(_c("k").alias("block_id"), F.explode(F.array(*map(F.lit, (0, 1, 41, 40)))).alias("s")).withColumn("k", _c("block_id") + _c("s")).join(j, "k")
+    way = _c("street_id") % 8
+    orders = t.table("orders").groupBy(_c("o_custkey").alias("k")).agg(F.count("*").alias("n"))
+    seen = t.street().groupBy(_c("u").alias("k")).agg(F.max(F.when(way == 4, 0.8).when(way.isin(2, 3), 0.35).otherwise(0.0)).alias("e"))
+    c = corner.join(orders, "k", "left").join(seen, "k", "left")
+    place = F.array_position(F.array(*map(F.lit, (0, 1, 41, 40))), _c("s")).alias("i")
+    ring = F.transform(F.array_sort(F.collect_list(F.struct(place, "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    b = c.groupBy("block_id").agg(ring.alias("ring"), F.avg("x").alias("x"), F.avg("y").alias("y"), F.sum(F.coalesce("n", F.lit(0))).cast("double").alias("n"), F.max(F.coalesce("e", F.lit(0.0))).alias("exposure")).where("size(ring) = 4")
+    b = cut(b)
+    box = j.agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), (0.28 * F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))).alias("reach")).join(b.agg(F.max("n").alias("m")), F.lit(True))  # one row
+    b = b.join(F.broadcast(box), F.lit(True))
+    centrality = F.round(F.exp(-F.hypot(_c("x") - _c("cx"), _c("y") - _c("cy")) / _c("reach")), 9)
+    b = b.select("block_id", Geo.polygon_area(_c("ring")).alias("area_m2"), centrality.alias("centrality"), F.round(_c("n") / _c("m"), 9).alias("intensity"), "exposure", (_c("n") / _c("m") >= 0.25).alias("buildable"))
+    b = cut(b)
+    col = _c("block_id") % 40
+    steps = F.filter(F.array(F.lit(-40), F.when(col > 0, -1), F.when(col < 38, 1), F.lit(40)), lambda s: s.isNotNull())
+    pairs = b.select(_c("block_id").alias("a"), F.explode(steps).alias("s")).select("a", (_c("a") + _c("s")).alias("b"))
+    return LU.land_use(b, pairs)
 
 
 @query(f"""WITH {_COST.replace('@', '0, 12')}, n AS (SELECT 0 AS network, node_id, x, y FROM tf_node), l AS (SELECT 0 AS network, link_id, src_node_id AS src, dst_node_id AS dst, length_m / free_flow_speed_mps + queue_vehicles / capacity_veh_per_tick AS travel, capacity_veh_per_tick AS capacity, CASE WHEN link_id % 6 = 0 THEN 0.0 ELSE 1.0 END AS multiplier, is_blockable AS blockable FROM tf_link),
