@@ -11,7 +11,6 @@ from roadweave.sources.traffic import Traffic
 from . import query
 from .aggregates import agent_paths, zone_times
 from .graphs import _PARTS, junctions, ways
-from .ticks import links
 
 _c = F.col
 
