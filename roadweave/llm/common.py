@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -48,6 +50,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def text_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Python workers of this session get at most so many rows at once: a batch of whole texts is held by the JVM and by the worker, on every core."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
+def forget() -> None:
+    """Frees what this Python worker keeps of earlier stages, as workers are used again: what tokenizers remember, and memory that Arrow holds unused."""
+    held = [(sys.modules.get(f"{__package__}.{module}"), name) for module, name in (("tokens", "encoder"), ("byte_bpe", "codec"))]
+    for cached in [getattr(module, name) for module, name in held if module]:
+        if cached.cache_info().currsize:
+            cached.cache_clear()
+            gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def named(id_col: str, *taken: str) -> None:
     """Raises ValueError if an id column is called like one of an operator's own output columns."""
     if id_col in taken:

@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import drop, named, stored
+from .common import drop, forget, named, stored, text_batches
 from .components import components
 
 #: Fingerprints of one probe's value that are compared at once. More are probed again, LEVELS times at most (each time they agree in more bits, so that few
@@ -346,6 +346,7 @@ def shingle_set(words: list[bytes], words_in_shingle: int = 5) -> np.ndarray:
 
 def _text_rows(feature_words: int, seeds: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             keys, fps = [], np.zeros((batch.num_rows, len(seeds)), np.uint64)
             for i, text in enumerate(batch.column(1)):
@@ -360,6 +361,7 @@ def _text_rows(feature_words: int, seeds: tuple[int, ...]):
 
 def _shingle_rows(words_in_shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             nodes, sets = [], []
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -417,6 +419,7 @@ def _exact(distance: int, similarity: float):
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for rows, starts in _whole_groups(batches):
             fp, node, shingles = rows["fp"].to_numpy().view(np.uint64), rows["node"].combine_chunks(), rows["shingles"]
             links = []
@@ -438,6 +441,7 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are counted. Null and blank texts are alike. Equal rows get a row each. Empty table: no rows. Other columns are not read.
     """
     named(id_col, "component_id")
+    text_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = df.schema[id_col].dataType.simpleString()
     names = [f"fp{k}" for k in range(len(seeds))]
