@@ -29,6 +29,31 @@ def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         table, label = x, x.select("node_id", "root")
 
 
+def compressed(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, links) in compressed rows: nodes with node_index (from 0 by node_id) and the ranges out_begin to out_end, in_begin to in_end (behind the last) of their links;
+    links (link_id, src, dst) with src_index, dst_index and their places out_at and in_at, ordered by node and link_id.
+
+    A node is ranked together with its links, before the first of them: its rank less the nodes up to it is where its range begins, also if it has no links.
+    Links between unknown nodes: ValueError.
+    """
+    numbered = cut(ranked(nodes.select("node_id").distinct(), "node_id").select("node_id", (F.col("rank") - 1).alias("node_index")))
+    known = numbered.select("node_id")
+    for end in ("src", "dst"):
+        if not links.join(known.withColumnRenamed("node_id", end), end, "left_anti").isEmpty():
+            raise ValueError(f"a link's {end} isn't a node")
+    by_node, by_link = numbered, links
+    for end, name in (("src", "out"), ("dst", "in")):
+        rows = numbered.select("node_id", F.lit(None).cast("long").alias("link_id")).unionByName(links.select(F.col(end).alias("node_id"), F.col("link_id").cast("long")))
+        placed = cut(ranked(rows, "node_id", F.asc_nulls_first("link_id")).join(numbered, "node_id").withColumn("place", F.col("rank") - F.col("node_index") - F.when(F.col("link_id").isNull(), 1).otherwise(2)))
+        begin = placed.where("link_id IS NULL").select("node_id", F.col("place").alias(f"{name}_begin"))
+        degree = placed.where("link_id IS NOT NULL").groupBy("node_id").agg(F.count("*").alias("d"))
+        size = begin.join(degree, "node_id", "left").select("node_id", f"{name}_begin", (F.col(f"{name}_begin") + F.coalesce("d", F.lit(0))).alias(f"{name}_end"))
+        by_node = by_node.join(size, "node_id")
+        at = placed.where("link_id IS NOT NULL").select("link_id", F.col("node_index").alias(f"{end}_index"), F.col("place").alias(f"{name}_at"))
+        by_link = by_link.join(at, "link_id")
+    return by_node, by_link
+
+
 def component_order(components: DataFrame) -> DataFrame:
     """(component_id, root, size): the largest first, ties by the least node; ids from 0."""
     sizes = components.groupBy("root").agg(F.count("*").alias("size"))

@@ -210,6 +210,27 @@ def connectivity_repair(t: Traffic) -> DataFrame:
     return best.select(F.explode(F.array(F.struct("u", "v"), F.struct(_c("v").alias("u"), _c("u").alias("v")))).alias("e")).select("e.*")
 
 
+_CSR = "n AS (SELECT junction_id AS node_id, row_number() OVER (ORDER BY junction_id) - 1 AS node_index FROM tf_junction), w AS (SELECT 2 * street_id AS link_id, u AS src, v AS dst FROM tf_street UNION ALL SELECT 2 * street_id + 1, v, u FROM tf_street WHERE NOT one_way)"
+
+
+def _compressed(t: Traffic) -> tuple[DataFrame, DataFrame]:
+    s = t.street()
+    w = s.select((2 * _c("street_id")).alias("link_id"), _c("u").alias("src"), _c("v").alias("dst")).union(s.where("NOT one_way").select(2 * _c("street_id") + 1, "v", "u"))
+    return G.compressed(junctions(t).select("node_id"), w)
+
+
+@query(f"WITH {_CSR}, o AS (SELECT src AS node_id, count(*) AS d FROM w GROUP BY 1), i AS (SELECT dst AS node_id, count(*) AS d FROM w GROUP BY 1), x AS (SELECT n.*, coalesce(o.d, 0) AS od, coalesce(i.d, 0) AS id FROM n LEFT JOIN o USING (node_id) LEFT JOIN i ON i.node_id = n.node_id), r AS (SELECT *, CAST(sum(od) OVER (ORDER BY node_id) AS BIGINT) AS oe, CAST(sum(id) OVER (ORDER BY node_id) AS BIGINT) AS ie FROM x) SELECT node_id, node_index, oe - od AS out_begin, oe AS out_end, ie - id AS in_begin, ie AS in_end FROM r")
+def compressed_nodes(t: Traffic) -> DataFrame:
+    """Junctions with the ranges of the streets that leave and enter them, of the network in compressed rows."""
+    return _compressed(t)[0]
+
+
+@query(f"WITH {_CSR} SELECT w.link_id, w.src, w.dst, a.node_index AS src_index, b.node_index AS dst_index, row_number() OVER (ORDER BY src, link_id) - 1 AS out_at, row_number() OVER (ORDER BY dst, link_id) - 1 AS in_at FROM w JOIN n a ON a.node_id = w.src JOIN n b ON b.node_id = w.dst")
+def compressed_links(t: Traffic) -> DataFrame:
+    """Streets by direction with their places in both orders."""
+    return _compressed(t)[1].select("link_id", "src", "dst", "src_index", "dst_index", "out_at", "in_at")
+
+
 _CHAINS = """RECURSIVE e AS (SELECT street_id, u, v, sqrt((bx - ax) ** 2 + (by_ - ay) ** 2) AS length FROM tf_street), t AS (SELECT street_id, u AS n FROM e UNION ALL SELECT street_id, v FROM e), two AS (SELECT n, min(street_id) AS a, max(street_id) AS b FROM t GROUP BY n HAVING count(*) = 2),
 near AS (SELECT a, b FROM two UNION SELECT b, a FROM two), r(s, o) AS (SELECT street_id, street_id FROM e UNION SELECT r.s, near.b FROM r JOIN near ON near.a = r.o), w AS (SELECT s, min(o) AS root FROM r GROUP BY s),
 tips AS (SELECT root, min(n) AS u, max(n) AS v, count(*) AS k FROM t JOIN w ON w.s = t.street_id WHERE n NOT IN (SELECT n FROM two) GROUP BY root), chains AS (SELECT p.u, CASE WHEN p.k > 1 THEN p.v END AS v, x.length, x.n_edges FROM (SELECT root, sum(length) AS length, count(*) AS n_edges FROM e JOIN w ON w.s = e.street_id GROUP BY root) x LEFT JOIN tips p ON p.root = x.root)"""

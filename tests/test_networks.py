@@ -107,6 +107,25 @@ def test_ranks(spark):
     assert not ranks.ranked(df.where("i < 0"), "i").collect()
 
 
+def test_compressed_rows(spark):
+    """Nodes without links, several links between two nodes, a loop; links of unknown nodes are refused."""
+    nodes = spark.createDataFrame([(5,), (9,), (7,), (3,), (11,)], "node_id long")
+    links = [(1, 9, 5), (2, 9, 5), (3, 3, 9), (4, 9, 9), (5, 7, 3)]
+    df = spark.createDataFrame(links, "link_id long, src long, dst long")
+    by_node, by_link = graph.compressed(nodes, df)
+    order, index = sorted([3, 5, 7, 9, 11]), {n: i for i, n in enumerate(sorted([3, 5, 7, 9, 11]))}
+    out, into = (sorted(links, key=lambda e: (e[k], e[0])) for k in (1, 2))
+    got = {r.link_id: (r.src_index, r.dst_index, r.out_at, r.in_at) for r in by_link.collect()}
+    assert got == {e[0]: (index[e[1]], index[e[2]], out.index(e), into.index(e)) for e in links}
+    for r in by_node.collect():
+        assert r.node_index == index[r.node_id]
+        assert [e[0] for e in out[r.out_begin : r.out_end]] == [e[0] for e in out if e[1] == r.node_id]
+        assert [e[0] for e in into[r.in_begin : r.in_end]] == [e[0] for e in into if e[2] == r.node_id]
+    assert len(order) == by_node.count()
+    with pytest.raises(ValueError):
+        graph.compressed(nodes.where("node_id <> 7"), df)
+
+
 # --- planar graphs ----------------------------------------------------------
 
 
