@@ -56,6 +56,20 @@ def test_ids_of_any_characters(reference):
         assert np.frombuffer(enc.ids(enc.split(text)), "<u4").tolist() == reference(text), text
 
 
+def test_letters_of_later_editions(reference):
+    """Each character beside a letter, a number and neither, by ranks in which the two are one piece: split as the library's edition of Unicode says."""
+    chars = [chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000]
+    enc = Codec(RANKS, PATTERN)
+    for before in "a1.\n":
+        ranks = {bytes([i]): i for i in range(256)}
+        ranks |= {(before + c).encode(): i for i, c in enumerate(chars, 256)}
+        ids = tiktoken.Encoding("pairs", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        assert [c for c in chars if (len(ids(before + c)) == 1) != (len(enc.split(before + c)) == 1)] == []
+    text = "\u01ab\U0003f35a\u9516 a\U00032408\u8a65 \u0558\u0561 1\U00011de02"
+    assert np.frombuffer(enc.ids(enc.split(text)), "<u4").tolist() == reference(text)
+    assert enc.split(text, 3) == enc.split(text[3:])
+
+
 def test_a_long_piece(reference):
     text = "ab" * 30_000 + " " * 5000 + "x"
     enc = Codec(RANKS, PATTERN)
