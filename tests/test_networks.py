@@ -316,6 +316,28 @@ def test_street_queries_grow_with_the_tables(spark):
         assert 0 < small < large, name
 
 
+def test_streets_split_once_as_in_sql(spark, tmp_path):
+    """Where a second pass finds a meeting: pieces and faces are those of one pass, as their SQL says; blocks take all."""
+    duckdb = pytest.importorskip("duckdb")
+    from roadweave.queries import graphs, load
+    from roadweave.sources.traffic import Traffic
+
+    spark.read.parquet("/root/testdata/sf0.1/customer.parquet").where("c_custkey BETWEEN 720 AND 1080").write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    for name in ("region", "nation", "supplier", "orders", "lineitem", "events"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '/root/testdata/sf0.001/{name}.parquet'")
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    found, sql = load()
+    for name in ("planar_pieces", "planar_faces"):
+        rows = con.execute(sql[name])
+        columns = [c[0] for c in rows.description]
+        assert sorted(map(tuple, found[name](spark, str(tmp_path)).select(columns).collect())) == sorted(rows.fetchall()), name
+    t = Traffic(spark, str(tmp_path))
+    key = lambda p: (p.layer, p.ax, p.ay, p.bx, p.by)
+    once, whole = ({key(p): list(p.streets) for p in graphs.planar(t, n).collect()} for n in (1, None))
+    assert once != whole
+
+
 def test_street_blocks_and_thinning(spark):
     """The registered queries that have no SQL."""
     from roadweave.queries import graphs
