@@ -4,6 +4,7 @@ import heapq
 import itertools
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -303,6 +304,104 @@ def frames_of(spark, links):
     return link, spark.createDataFrame(turns, "from_link_id int, to_link_id int, node_id int, is_forbidden boolean"), turns
 
 
+# --- hubs, long boxes, and cycles followed by blocks ----------------------------
+
+
+@pytest.mark.parametrize(("most", "waves"), [(64, 16), (1, 3)])
+def test_reachability_through_hubs(spark, most, waves):
+    """Whatever the waves settle, the pairs are those of plain searches; a hub, a chain of hubs and cycles of one-way edges among the networks."""
+    r = random.Random(most + waves)
+    edges = {(r.randrange(30), r.randrange(30)) for _ in range(34)} | {(100 + k, 150) for k in range(9)} | {(150, 160 + k) for k in range(9)} | {(150, 151), (151, 152), (152, 170), (152, 171)} | {(k, (k + 1) % 5 + 200) for k in range(200, 205)}
+    out = {}
+    for u, v in edges:
+        out.setdefault(u, []).append(v)
+    nodes = sorted({n for e in edges for n in e})
+
+    def reach(a):
+        seen, todo = {a}, [a]
+        while todo:
+            for v in out.get(todo.pop(), []):
+                if v not in seen:
+                    seen.add(v)
+                    todo.append(v)
+        return seen
+
+    pairs = [(a, b) for a in nodes for b in nodes if (a + b) % 3 or a > 90] + [(999, 999), (999, 1)]
+    got = graph.reachable_pairs(spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(sorted(edges), "u long, v long"), most, waves).collect()
+    assert sorted(map(tuple, got)) == sorted((a, b, b in reach(a)) for a, b in pairs)
+
+
+def test_starts_are_not_followed_through_a_hub(spark, monkeypatch):
+    """Many starts lead to a hub that leads to many places: no table holds a row for each start and place."""
+    sizes = []
+
+    def counted(df, cut=graph.cut):
+        out = cut(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "cut", counted)
+    edges = [(k, 0) for k in range(1, 101)] + [(0, k) for k in range(101, 201)]
+    got = graph.reachable_pairs(spark.createDataFrame([(k, k + 100) for k in range(1, 101)], "a long, b long"), spark.createDataFrame(edges, "u long, v long"))
+    assert all(x.reached for x in got.collect()) and max(sizes) <= 2 * len(edges)
+
+
+def test_nearest_in_a_long_box_takes_small_cells(spark, monkeypatch):
+    """A strip of 1 by 4,000: about a target a cell, so a point meets few of them."""
+    sizes = []
+
+    def first(low, high, n=4000):
+        return [(k, float(k % 4) * 0.25, float(k)) for k in range(low, high)]
+
+    def counted(df):
+        out = cut(df)
+        plan = df._jdf.queryExecution().logical().toString()
+        sizes.extend(float(x) for x in re.findall(r"/ (\d+\.\d+)", plan))
+        return out
+
+    cut = spatial.cut
+    monkeypatch.setattr(spatial, "cut", counted)
+    points = spark.createDataFrame([(k, k, x + 0.1, y) for k, x, y in first(0, 4000, 40)][::40], "g long, node_id long, x double, y double")
+    targets = spark.createDataFrame(first(0, 4000), "node_id long, x double, y double")
+    got = spatial.nearest(points, targets, "g").collect()
+    assert sorted((x.a, x.b) for x in got) == [(k, k) for k in range(0, 4000, 40)] and min(sizes) < 2
+
+
+@pytest.mark.parametrize("block", [1, 3, 7, 1000])
+def test_rings_by_blocks(spark, block):
+    """Cycles within a block, over some, and over all of them."""
+    r = random.Random(block)
+    ids = r.sample(range(10**6), 300)
+    bounds = [0, 1, 3, 4, 10, 60, 63, 64, 300]
+    cycles = [ids[a:b] for a, b in itertools.pairwise(bounds)]
+    steps = [(c[i], c[i - 1]) for c in cycles for i in range(len(c))]
+    place = {h: i for i, h in enumerate(ids)}
+    df = spark.createDataFrame([(h, p, place[h]) for h, p in steps], "h long, prev long, place long")
+    for near in ("h", F.col("place")):
+        got = {x.h: (x.ring, x["at"]) for x in rings.rings(df, near, block).collect()}
+        assert len(got) == 300
+        for c in cycles:
+            k = c.index(min(c))
+            assert all(got[h] == (min(c), (i - k) % len(c)) for i, h in enumerate(c))
+
+
+def test_a_long_cycle_is_followed_in_blocks(spark, monkeypatch):
+    """Steps next to each other are one chain: only chains are joined, not every step in every round."""
+    rows = []
+
+    def counted(df):
+        out = cut(df)
+        rows.append(out.count())
+        return out
+
+    cut = rings.cut
+    monkeypatch.setattr(rings, "cut", counted)
+    n = 4000
+    df = spark.createDataFrame([(k, (k - 1) % n) for k in range(n)], "h long, prev long")
+    got = rings.rings(df, "h", 1000).collect()
+    assert sorted((x.h, x.ring, x["at"]) for x in got) == [(k, 0, k) for k in range(n)] and sum(rows) < 3 * n
+
+
 # --- queries on the street network ------------------------------------------
 
 
