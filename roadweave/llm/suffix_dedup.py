@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .common import drop, named, stored
@@ -113,27 +114,33 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     n = len(t)
     if n < 3:
         return np.array(sorted(range(n), key=lambda i: t[i:].tolist()), np.int64)
-    s = np.zeros(n + 3, np.uint64)
+    s = np.zeros(n + 5, np.uint64)
     s[:n] = t
-    # sort the sampled triples and name them
-    sample = np.concatenate([np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)])
-    names = _named(_packed(s[sample], s[sample + 1], s[sample + 2]))
-    if names.max() < len(sample):
+    # name the sampled triples, those at 1 mod 3 first
+    n1, n2 = -(-n // 3), n // 3  # n1 at 0 and at 1 mod 3 (the last one empty where n is 1 mod 3), n2 at 2 mod 3
+    s0, s1, s2, s3, s4 = s[: 3 * n1 : 3], s[1 : 3 * n1 + 1 : 3], s[2 : 3 * n1 + 2 : 3], s[3 : 3 * n1 + 3 : 3], s[4 : 3 * n2 + 4 : 3]
+    names = _named(np.concatenate([_packed(s1, s2, s3), _packed(s2[:n2], s3[:n2], s4)]))
+    if names.max() < n1 + n2:
         # recurse on the names: the suffixes at 1 mod 3, then those at 2 mod 3
-        names[suffix_array(names)] = np.arange(1, len(sample) + 1)
-    rank = np.zeros(n + 3, np.uint64)
-    rank[sample] = names
-    sampled = np.empty(len(sample), np.int64)
-    sampled[names - 1] = sample
-    sampled = sampled[sampled < n]
+        names[suffix_array(names)] = np.arange(1, n1 + n2 + 1)
+    r1, r2 = names[:n1].astype(np.uint64), np.zeros(n1 + 1, np.uint64)
+    r2[:n2] = names[n1:]
+    r4 = np.append(r1[1:], np.uint64(0))[:n2]
+    by_name = np.empty(n1 + n2, np.int64)
+    by_name[names - 1] = np.arange(n1 + n2)
+    first = by_name < n1
+    ones, twos = by_name[first], by_name[~first] - n1
+    sampled = np.where(first, 3 * by_name + 1, 3 * (by_name - n1) + 2)
+    if n % 3 == 1:
+        ones, sampled = ones[ones < n1 - 1], sampled[sampled < n]
     # the remaining suffixes, by a letter and the rank of the rest
-    rest = np.arange(0, n, 3)
-    rest = rest[np.argsort(_packed(s[rest], rank[rest + 1]))]
+    key = _packed(s0, r1)
+    order = np.argsort(key)
+    rest = 3 * order
     # merge: against suffixes at 1 mod 3 by a letter and a rank, at 2 mod 3 by two letters and a rank
-    ones, twos = sampled[sampled % 3 == 1], sampled[sampled % 3 == 2]
-    place = np.arange(len(rest))
-    place += np.searchsorted(_packed(s[ones], rank[ones + 1]), _packed(s[rest], rank[rest + 1]))
-    place += np.searchsorted(_packed(s[twos], s[twos + 1], rank[twos + 2]), _packed(s[rest], s[rest + 1], rank[rest + 2]))
+    place = np.arange(n1)
+    place += np.searchsorted(_packed(s1, r2[:n1])[ones], key[order])
+    place += np.searchsorted(_packed(s2[:n2], s3[:n2], r4)[twos], _packed(s0, s1, r2[:n1])[order])
     out = np.empty(n, np.int64)
     free = np.ones(n, bool)
     free[place] = False
@@ -155,16 +162,14 @@ def repeated_starts(texts: list[bytes], counts: list[int], starts: list[int], le
     valid = np.arange(n) - begins[owner] < np.array(starts)[owner]
     order = suffix_array(letters)
     order = order[valid[order]]
-    # compare adjacent prefixes, eight bytes at a time
+    # compare adjacent prefixes, eight bytes at a time, from their ends: their beginnings are mostly equal
     padded = np.zeros(n + length + 16, np.uint8)
     padded[:n] = t
-    words = np.lib.stride_tricks.sliding_window_view(padded, 8)[: n + length + 8]
+    words = np.ndarray((n + length + 8,), np.uint64, padded, strides=(1,))
     a, b = order[:-1], order[1:]
     same = np.arange(len(a))
-    for k in [*range(0, length - 8, 8), length - 8]:
-        x = np.ascontiguousarray(words[a[same] + k]).view(np.uint64).ravel()
-        y = np.ascontiguousarray(words[b[same] + k]).view(np.uint64).ravel()
-        same = same[x == y]
+    for k in [length - 8, *range(0, length - 8, 8)[::-1]]:
+        same = same[words[a[same] + k] == words[b[same] + k]]
     hit = (np.array(counts) > 1)[owner] & valid
     hit[a[same]] = True
     hit[b[same]] = True
@@ -181,6 +186,11 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(i, ROWS)
 
 
+def _listed(lists: pa.Array) -> tuple[np.ndarray, pa.StructArray]:
+    """The row of each element of a column of lists of structs, and the elements; null: no element."""
+    return np.repeat(np.arange(len(lists)), np.array(lists.value_lengths().fill_null(0))), lists.flatten()
+
+
 def _find_anchors(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _sliced(batches):
@@ -202,34 +212,35 @@ def _cut_contexts(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _sliced(batches):
+            texts = [_bytes(x) for x in batch.column(2).to_pylist()]
+            at, runs = _listed(batch.column(3))
             out = []
-            for i in range(batch.num_rows):
-                data = _bytes(batch.column(2)[i].as_py())
-                for r in batch.column(3)[i].as_py():
-                    first, n, off, anchor = r["first"], r["n"], r["off"], r["anchor"]
-                    if not r["hot"]:
-                        out.append((i, first, n, anchor, data[first : first + n + length - 1]))
-                        continue
-                    # offsets from the anchor run from off down to off - n + 1; pieces lie on a grid of offsets
-                    s = first
-                    while s < first + n:
-                        cell = (off - (s - first)) // PIECE
-                        e = min(first + n, first + off - cell * PIECE + 1)
-                        p = first + off
-                        shared = data[p - cell * PIECE : p - cell * PIECE - PIECE + 1 + length]
-                        deal = int.from_bytes(_key(b"%d %d " % (anchor, cell) + shared)[:8], "little", signed=True)
-                        out.append((i, s, e - s, deal, data[s : e + length - 1]))
-                        s = e
-            at = pa.array([x[0] for x in out], pa.int64())
-            cols = [pa.array([x[k] for x in out], t) for k, t in ((1, pa.int64()), (2, pa.int16()), (3, pa.int64()))]
-            keys = pa.array([_key(x[4] + bytes([x[2]])) for x in out], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *cols, keys, pa.array([x[4] for x in out], pa.binary())], names=["k1", "k2", "first", "n", "deal", "key", "context"])
+            for i, first, n, off, anchor, hot in zip(at.tolist(), *(runs.field(c).to_pylist() for c in ("first", "n", "off", "anchor", "hot")), strict=True):
+                data = texts[i]
+                if not hot:
+                    out.append((i, first, n, anchor, data[first : first + n + length - 1]))
+                    continue
+                # offsets from the anchor run from off down to off - n + 1; pieces lie on a grid of offsets
+                s = first
+                while s < first + n:
+                    cell = (off - (s - first)) // PIECE
+                    e = min(first + n, first + off - cell * PIECE + 1)
+                    p = first + off
+                    shared = data[p - cell * PIECE : p - cell * PIECE - PIECE + 1 + length]
+                    deal = int.from_bytes(_key(b"%d %d " % (anchor, cell) + shared)[:8], "little", signed=True)
+                    out.append((i, s, e - s, deal, data[s : e + length - 1]))
+                    s = e
+            rows, *rest, contexts = zip(*out, strict=True) if out else [()] * 5
+            at = pa.array(rows, pa.int64())
+            cols = [pa.array(x, t) for x, t in zip(rest, (pa.int64(), pa.int16(), pa.int64()), strict=True)]
+            keys = pa.array([_key(x + bytes([n])) for x, n in zip(contexts, rest[1], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *cols, keys, pa.array(contexts, pa.binary())], names=["k1", "k2", "first", "n", "deal", "key", "context"])
 
     return run
 
 
 def _sort_shard(length: int):
-    """Suffix-sorts a shard in parts that hold whole deals."""
+    """Suffix-sorts a shard in parts that hold whole deals; parts are small enough for a processor's cache."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("deal", kind="stable", ignore_index=True)
@@ -240,7 +251,7 @@ def _sort_shard(length: int):
         keys, masks = [], []
         at, held = 0, 0
         for k, n in enumerate(total.tolist() + [None]):
-            if n is None or held and held + n > SHARD_BYTES:
+            if n is None or held and held + n > SHARD_BYTES // 4:
                 part = pdf.iloc[at : first[k] if n is not None else len(pdf)]
                 hit = repeated_starts(part["context"].tolist(), part["count"].tolist(), part["n"].tolist(), length)
                 for key, x in zip(part["key"], hit, strict=True):
@@ -258,25 +269,50 @@ def _sort_shard(length: int):
 MOST = (1 << 20) - 8
 
 
+def _by_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ROWS rows and about SHARD_BYTES bytes of text; a longer text stands alone."""
+    for batch in _sliced(batches):
+        sizes = np.array(pc.binary_length(batch.column("text")).fill_null(0), np.int64)
+        part = (np.cumsum(sizes) - sizes) // SHARD_BYTES
+        cuts = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (sizes[1:] > SHARD_BYTES)]) if len(sizes) else sizes
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(sizes)], strict=True):
+            yield batch.slice(a, b - a)
+
+
+def _hit_starts(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, start) of every window that is marked in the masks of a column of hits, in order."""
+    row, hits = _listed(lists)
+    masks = hits.field("mask").to_pylist()
+    size = np.array([len(x) for x in masks], np.int64)
+    bits = np.flatnonzero(np.unpackbits(np.frombuffer(b"".join(masks), np.uint8)))
+    hit = np.repeat(np.arange(len(masks)), size)[bits >> 3]
+    start = np.array(hits.field("first"), np.int64)[hit] + bits - 8 * (np.cumsum(size) - size)[hit]
+    row = row[hit]
+    order = np.lexsort((start, row))
+    return row[order], start[order]
+
+
 def _take_out(length: int, as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _sliced(batches):
-            out = []
-            for text, hits in zip(batch.column("text"), batch.column("hits"), strict=True):
-                data = _bytes(text.as_py())
-                gone = np.zeros(len(data) + 1, np.int32)
-                for hit in hits.as_py() or ():
-                    at = np.flatnonzero(np.unpackbits(np.frombuffer(hit["mask"], np.uint8))[: hit["n"]]) + hit["first"]
-                    gone[at] += 1  # distinct within a hit
-                    gone[at + length] -= 1
-                inside = np.cumsum(gone[:-1]) > 0
-                edge = np.diff(np.r_[False, inside, False].astype(np.int8))
-                spans = list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
-                kept = b"".join(data[a:b] for a, b in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(data)], strict=True))
-                out.append((len(data), int(inside.sum()), len(spans), kept.decode("utf-8", "ignore") if as_text else kept, spans))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary(), pa.list_(pa.list_(pa.int64())))
+        for batch in _by_bytes(batches):
+            row, start = _hit_starts(batch.column("hits"))
+            # windows that overlap or touch are one span
+            new = np.r_[True, (row[1:] != row[:-1]) | (start[1:] - start[:-1] > length)][: len(row)]
+            begin, owner = start[new], row[new]
+            end = start[np.r_[new[1:], True][: len(row)]] + length
+            bounds = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+            removed = np.r_[0, np.cumsum(end - begin)]
+            texts, kept = [_bytes(x) for x in batch.column("text").to_pylist()], []
+            begins, ends = begin.tolist(), end.tolist()
+            for data, a, b in zip(texts, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                x = b"".join(data[e:s] for e, s in zip([0, *ends[a:b]], [*begins[a:b], len(data)], strict=True)) if b > a else data
+                kept.append(x.decode("utf-8", "ignore") if as_text else x)
+            pairs = pa.ListArray.from_arrays(pa.array(2 * np.arange(len(begin) + 1), pa.int32()), pa.array(np.column_stack([begin, end]).ravel()))
+            cols = [
+                pa.array([len(x) for x in texts], pa.int64()), pa.array(removed[bounds[1:]] - removed[bounds[:-1]]), pa.array(np.diff(bounds)),
+                pa.array(kept, pa.string() if as_text else pa.binary()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pairs),
+            ]
             rest = [k for k, name in enumerate(batch.schema.names) if name not in ("text", "hits")]
-            cols = [pa.array([x[k] for x in out], t) for k, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in rest), *cols], names=[*(batch.schema.names[k] for k in rest), "n_bytes", "n_removed", "n_spans", "kept", "spans"])
 
     return run

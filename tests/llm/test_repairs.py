@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from roadweave.llm import decontamination, html_text, warc
+from roadweave.llm import decontamination, html_text, suffix_dedup, warc
 
 BODY = "".join(f"<p>Paragraph {k} tells at some length what has happened, to whom, and why it was so.</p>" for k in range(8))
 TEXT = " ".join(f"Paragraph {k} tells at some length what has happened, to whom, and why it was so." for k in range(8))
@@ -61,3 +63,33 @@ def test_every_equal_item_is_linked(spark):
     assert {k: v for k, v in got.items() if k[0] == 1} == {(1, 10): 15, (1, 11): 15, (1, 12): 14}
     assert {k[1] for k in got if k[0] == 3} in ({10, 11, 12}, set())  # as the operator treats case
     assert len(decontamination.overlaps(docs, tests).collect()) == len(got)
+
+
+def test_removed_bytes_of_a_whole_batch(monkeypatch):
+    """Spans of random hits as byte by byte, next to each other across rows too; masks are unpacked once a slice of rows, not once a hit."""
+    r, calls, unpack = random.Random(5), [], np.unpackbits
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 900)
+    monkeypatch.setattr(np, "unpackbits", lambda *a: calls.append(1) or unpack(*a))
+    rows, want = [], []
+    for k in range(60):
+        text = None if k % 9 == 4 else "".join(r.choice("ab\u00e9") for _ in range(r.choice((0, 3, 40, 90, 2000))))
+        data = (text or "").encode()
+        starts, hits, at = range(len(data) - 47), [], 0
+        gone = bytearray(len(data))
+        while at < len(starts):
+            n = min(r.randint(1, 19), len(starts) - at)
+            marks = np.array([r.random() < r.choice((0, 0.02, 1)) for _ in range(n)])
+            if marks.any():
+                hits.append({"first": at, "n": n, "mask": np.packbits(marks).tobytes()})
+            for i in np.flatnonzero(marks).tolist():
+                gone[at + i : at + i + 48] = b"\1" * 48
+            at += n
+        r.shuffle(hits)
+        edges = [i for i in range(len(data) + 1) if (i > 0 and gone[i - 1]) != (i < len(data) and gone[i])]
+        rows.append({"id": k, "text": text, "hits": hits or None})
+        want.append((k, len(data), sum(gone), [list(x) for x in zip(edges[::2], edges[1::2], strict=True)], bytes(b for b, g in zip(data, gone, strict=True) if not g)))
+    kind = pa.schema([("id", pa.int64()), ("text", pa.string()), ("hits", pa.list_(pa.struct([("first", pa.int64()), ("n", pa.int16()), ("mask", pa.binary())])))])
+    out = [x for b in suffix_dedup._take_out(48, False)(iter([pa.RecordBatch.from_pylist(rows, kind)])) for x in b.to_pylist()]
+    assert [(x["id"], x["n_bytes"], x["n_removed"], x["spans"], x["kept"]) for x in out] == want
+    assert all(x["n_spans"] == len(x["spans"]) for x in out)
+    assert len(calls) <= len(rows) < sum(len(x["hits"] or ()) for x in rows)
