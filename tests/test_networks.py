@@ -243,6 +243,27 @@ def test_faces_and_blocks(spark, seed):
     assert all(b.n_edges == len(b.ring) == len(b.edge_ids) for b in blocks)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_cuts_of_new_pieces_only(spark, seed):
+    """Later passes compare what the last one split; nothing that meets is missed, and every pair is told once for both."""
+    r = random.Random(seed)
+    rows = [(i, *[r.randrange(0, 40) * 250 for _ in range(4)], int(r.random() < 0.2)) for i in range(30)]
+    first = streets_frame(spark, rows).selectExpr("cast(street_id AS string) AS segment_id", "ax", "ay", "bx", "by", "layer").where("ax <> bx OR ay <> by")
+    then = planar.split(first, planar.cuts(first, 4000.0, 20)).cache()
+    assert {x.new for x in then.collect()} == {True, False}
+    assert sorted(planar.cuts(then, 4000.0, 20).collect()) == sorted(planar.cuts(then.drop("new"), 4000.0, 20).collect())
+
+
+def test_area_of_a_walk_far_from_the_origin(spark):
+    """A walk's sum of products passes 64 bits on the way; its area doesn't."""
+    top, wide, n = 13_500_000_000, 4_000_000, 400
+    corners = [(0 if i % 2 == 0 else wide, top + 100 * i) for i in range(2 * n)] + [(wide, top + 200 * n + i % 7) for i in range(2)]
+    walk = list(zip(corners, corners[1:] + corners[:1], strict=True))
+    walk.sort(key=lambda e: e[0][0] >= e[1][0])  # sums may come in any order
+    rows = spark.createDataFrame([(*a, *b) for a, b in walk], "ax long, ay long, bx long, by long").coalesce(1)
+    assert rows.agg(planar.twice_area()).head()[0] == sum(a[0] * b[1] - b[0] * a[1] for a, b in walk)
+
+
 # --- ranked paths -----------------------------------------------------------
 
 
