@@ -352,6 +352,18 @@ def test_reachability_through_hubs(spark, most, waves):
     assert sorted(map(tuple, got)) == sorted((a, b, b in reach(a)) for a, b in pairs)
 
 
+def test_pairs_of_all_orders(spark):
+    """directed_reachability asks for every order and the next one, whatever their status; a pair with a null isn't reached."""
+    from roadweave.queries import graphs
+    from roadweave.sources.traffic import Traffic
+
+    orders = sorted((o.o_orderkey, o.o_custkey) for o in spark.read.parquet("/root/testdata/sf0.001/orders.parquet").collect())
+    got = graphs.directed_reachability(Traffic(spark, "/root/testdata/sf0.001")).collect()
+    assert sorted((x.a, x.b) for x in got) == sorted({(a, b) for (k, a), (n, b) in itertools.pairwise(orders) if n == k + 1})
+    got = graph.reachable_pairs(spark.createDataFrame([(1, 2), (None, 2), (1, None), (None, None)], "a long, b long"), spark.createDataFrame([(1, 2)], "u long, v long")).collect()
+    assert [x.reached for x in got if x.a and x.b] == [True] and [x.reached for x in got if not (x.a and x.b)] == [False] * 3
+
+
 def test_starts_are_not_followed_through_a_hub(spark, monkeypatch):
     """Many starts lead to a hub that leads to many places: no table holds a row for each start and place."""
     sizes = []
