@@ -22,10 +22,12 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import drop, stored
+from .common import byte_batches, drop, stored
 
 #: Places of a shard, about, and bytes of a text that are cut at once; a piece is never parted.
 SHARD_WORDS, TEXT_BYTES = 1 << 19, 1 << 22
+#: Shards in a file: a task reads a file's rows all at once.
+FILE_SHARDS = 4
 #: Rows of bitmaps that are extended at once.
 RANGE_ROWS = 1 << 18
 #: The most bits of the filter of frequent phrases (16 MB).
@@ -255,7 +257,8 @@ def _ranges(labels: np.ndarray) -> Iterator[slice]:
 
 def frequent(df: DataFrame, least: int, lang_col: str = "lang", text_col: str = "text", most_words: int = 4) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """(totals, phrases, tables): totals (lang, n) counts each language's words; phrases (lang, phrase, size, f) those of 1 to most_words words that occur at least `least` times; tables are to be dropped after use."""
-    base = stored(shards(df, lang_col, text_col), "shards")
+    byte_batches(df.sparkSession)
+    base = stored(shards(df, lang_col, text_col), "shards", FILE_SHARDS)
     one = base.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("x"))
     totals = base.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c)).alias("n"))
     words1 = stored(one.groupBy("lang", F.col("x.words").alias("phrase")).agg(F.sum("x.counts").alias("f")).where(F.col("f") >= least), "words")
@@ -321,7 +324,7 @@ def collocations(df: DataFrame, lang_col: str = "lang", text_col: str = "text",
     occurs at least `cover` percent as often are left out. Order: score, a, both descending, phrase in byte order.
 
     Null text: empty. Null language: `und`. Empty table or no frequent phrase: no rows. Repeated rows count each. A text's pieces may be of any
-    length; a task holds one piece and one shard. Other columns are not read.
+    length; a task holds one piece and a few shards. Other columns are not read.
     """
     totals, f, tables = frequent(df, least, lang_col, text_col, most_words)
     f = f.withColumn("f", F.col("f").cast("decimal(20,0)"))

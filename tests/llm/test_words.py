@@ -354,6 +354,22 @@ def test_exact_arithmetic(spark, monkeypatch):
     assert got["a b c"] == min([(a, big + 1, big, score(a, big + 1, big)), (a, big - 1, big, score(a, big - 1, big))], key=lambda x: x[3])
 
 
+def test_shards_are_read_a_few_at_once(spark, monkeypatch):
+    """Readers hold a file's rows at once, so that a task's many shards lie in many files; and a worker gets few of them in a batch."""
+    monkeypatch.setattr(collocations, "SHARD_WORDS", 50)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "64m")
+        df = frame(spark, [(i, "a b c d e f g h i j " * 5, "en") for i in range(40)]).coalesce(1)
+        base = collocations.frequent(df, 3)[2][0]
+        sizes = [x["count"] for x in base.groupBy(F.input_file_name()).count().collect()]
+        assert sum(sizes) >= 40 and max(sizes) <= collocations.FILE_SHARDS
+        assert int(spark.conf.get(name)) <= 8 << 20
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_registered_collocations(spark):
     rows = [(r.text, r.lang) for r in spark.read.parquet(f"{SF}/documents.parquet").select("text", "lang").collect()]
     df = QUERIES["op11_collocations"](spark, SF)
