@@ -254,9 +254,10 @@ def test_cuts_of_new_pieces_only(spark, seed):
     assert sorted(planar.cuts(then, 4000.0, 20).collect()) == sorted(planar.cuts(then.drop("new"), 4000.0, 20).collect())
 
 
-def test_area_of_a_walk_far_from_the_origin(spark):
-    """A walk's sum of products passes 64 bits on the way; its area doesn't."""
-    top, wide, n = 13_500_000_000, 4_000_000, 400
+@pytest.mark.parametrize("top", [13_500_000_000, 9 * 10**14])
+def test_area_of_a_walk_far_from_the_origin(spark, top):
+    """A walk's products, or their sum, pass 64 bits on the way; its area doesn't."""
+    wide, n = 4_000_000, 400
     corners = [(0 if i % 2 == 0 else wide, top + 100 * i) for i in range(2 * n)] + [(wide, top + 200 * n + i % 7) for i in range(2)]
     walk = list(zip(corners, corners[1:] + corners[:1], strict=True))
     walk.sort(key=lambda e: e[0][0] >= e[1][0])  # sums may come in any order
